@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from canvass.llm.mixing import op8_mix
+from canvass.llm.ngram_join import op4_ngram_jaccard
 from canvass.llm.token_store import op10_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_ngram_jaccard": op4_ngram_jaccard,
         "op8_mix": op8_mix,
         "op10_token_store": op10_token_store,
     }
