@@ -122,7 +122,7 @@ class SpanHash:
     def __init__(self, seed: int) -> None:
         rng = np.random.default_rng(seed)
         self.of_byte = rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(rng.integers(1 << 40, 1 << 62)) * 8 + 5
+        self.base = (int(rng.integers(1 << 40, 1 << 62)) * 8 + 5) % (1 << 64)
         self.inverse = pow(self.base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
 

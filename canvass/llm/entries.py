@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from canvass.llm.mixing import op8_mix
 from canvass.llm.ngram_join import op4_ngram_jaccard
+from canvass.llm.suffix_dedup import op9_suffix_dedup
 from canvass.llm.token_store import op10_token_store
 
 
@@ -15,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op8_mix": op8_mix,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_token_store": op10_token_store,
     }
 
