@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; longer texts form a step of their own.
 STEP_BYTES = 1 << 20
@@ -150,10 +151,25 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def words(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, words of each row as offsets) of the runs of non-space bytes; no word crosses a row."""
+def labelled(docs: DataFrame, labels: DataFrame, column: str, fold: int, held_out: int, most: int) -> DataFrame:
+    """(doc_id, text, y) of at most `most` labelled documents outside the held-out fold, the least by a hash of their ids.
+
+    Only ids are ordered, and their number is bounded by `most`, so they are broadcast to the scan of the texts.
+    """
+    learn = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & (fold_of("doc_id", fold) != held_out))
+    ids = learn.groupBy("doc_id").agg(F.max(column).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+
+
+def fold_of(key: str, folds: int) -> Column:
+    """crc32 of the key as text, modulo the number of folds."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % folds
+
+
+def words(b: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, words of each row as offsets) of the runs of bytes not in `outside`; no word crosses a row."""
     inside = np.zeros(len(b) + 1, bool)
-    inside[:-1] = ~SPACES[b]
+    inside[:-1] = ~outside[b]
     first = inside[:-1].copy()
     first[1:] &= ~inside[:-2]
     last = inside[:-1] & ~inside[1:]

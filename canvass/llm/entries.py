@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from canvass.llm.mixing import op8_mix
 from canvass.llm.ngram_join import op4_ngram_jaccard
+from canvass.llm.quality_gbt import op2_quality_gbt
 from canvass.llm.suffix_dedup import op9_suffix_dedup
 from canvass.llm.token_store import op10_token_store
+from canvass.llm.toxicity_mil import op3_toxicity_mil
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_gbt": op2_quality_gbt,
+        "op3_toxicity_mil": op3_toxicity_mil,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op8_mix": op8_mix,
         "op9_suffix_dedup": op9_suffix_dedup,
