@@ -12,6 +12,8 @@ from canvass.llm.quality_gbt import op2_quality_gbt
 from canvass.llm.suffix_dedup import op9_suffix_dedup
 from canvass.llm.token_store import op10_token_store
 from canvass.llm.toxicity_mil import op3_toxicity_mil
+from canvass.llm.va_file import OP7_SQL, op7_va_topk
+from canvass.llm.warc import OP6_SQL, op6_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_gbt": op2_quality_gbt,
         "op3_toxicity_mil": op3_toxicity_mil,
         "op4_ngram_jaccard": op4_ngram_jaccard,
+        "op6_warc": op6_warc,
+        "op7_va_topk": op7_va_topk,
         "op8_mix": op8_mix,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_token_store": op10_token_store,
@@ -26,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc": OP6_SQL, "op7_va_topk": OP7_SQL}
