@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from canvass.llm.mixing import op8_mix
 from canvass.llm.ngram_join import op4_ngram_jaccard
 from canvass.llm.quality_gbt import op2_quality_gbt
+from canvass.llm.sentencepiece_nbest import op1_sentencepiece
 from canvass.llm.suffix_dedup import op9_suffix_dedup
 from canvass.llm.token_store import op10_token_store
 from canvass.llm.toxicity_mil import op3_toxicity_mil
@@ -18,6 +19,7 @@ from canvass.llm.warc import OP6_SQL, op6_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
         "op2_quality_gbt": op2_quality_gbt,
         "op3_toxicity_mil": op3_toxicity_mil,
         "op4_ngram_jaccard": op4_ngram_jaccard,
