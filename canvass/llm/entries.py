@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from canvass.llm.mixing import op8_mix
 from canvass.llm.ngram_join import op4_ngram_jaccard
+from canvass.llm.nn_descent import op5_nn_descent
 from canvass.llm.quality_gbt import op2_quality_gbt
 from canvass.llm.sentencepiece_nbest import op1_sentencepiece
 from canvass.llm.suffix_dedup import op9_suffix_dedup
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_gbt": op2_quality_gbt,
         "op3_toxicity_mil": op3_toxicity_mil,
         "op4_ngram_jaccard": op4_ngram_jaccard,
+        "op5_nn_descent": op5_nn_descent,
         "op6_warc": op6_warc,
         "op7_va_topk": op7_va_topk,
         "op8_mix": op8_mix,
