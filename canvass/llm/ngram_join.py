@@ -311,6 +311,19 @@ def link(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """docs, with all their columns, less all but the least id of each component; rows without an id stay."""
+    found = Scratch(docs.sparkSession, "kept").cut(link(docs.select("doc_id", "text"), **options), "found")
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    few = gone.count() <= BROADCAST_IDS
+    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    again = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if again.isEmpty():
+        return left.select(docs.columns)
+    rows = left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).union(rows)
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return link(table(spark, sf_dir, "documents").select("doc_id", "text"))

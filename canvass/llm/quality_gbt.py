@@ -193,6 +193,23 @@ def score(docs: DataFrame, forest: Forest, keep: list[str]) -> DataFrame:
     return picked.mapInArrow(run, f"{kinds}, score double")
 
 
+def keep_good(docs: DataFrame, forest: Forest, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is at least `least`."""
+    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(forest))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = pickle.loads(model.value)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                b, o = flat_text(batch.column(at))
+                for i, j in steps(o):
+                    good = trees.score(features(b[o[i] : o[j]], o[i : j + 1] - o[i])) >= least
+                    yield batch.slice(i, j - i).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -182,7 +182,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, *, length: int = LENGTH, g
     return whole.union(single).groupBy("doc_id", "uid").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
 
 
-CUT = "doc_id long, uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+CUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
 def _remove(length: int, texts: bool):
@@ -190,7 +190,7 @@ def _remove(length: int, texts: bool):
         for batch in batches:
             rows = []
             b, o = flat_text(batch.column(2))
-            lists = batch.column(3) if batch.num_columns > 3 else None
+            lists = batch.column(4) if batch.num_columns > 4 else None
             for r in range(batch.num_rows):
                 x, removed, spans = b[o[r] : o[r + 1]], 0, 0
                 if lists is not None:
@@ -206,31 +206,36 @@ def _remove(length: int, texts: bool):
                 else:
                     n_bytes = len(x)
                 kept = x.tobytes()
-                rows.append((n_bytes, removed, spans, hashlib.sha256(kept).hexdigest(), kept if texts else None))
+                rows.append((n_bytes, removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if texts else None))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], CUT_NAMES)
+            yield pa.RecordBatch.from_arrays([batch.column(3), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], CUT_NAMES)
 
     return run
 
 
-CUT_NAMES = ["doc_id", "uid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+CUT_NAMES = ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, texts: bool = False) -> DataFrame:
-    """doc_id, uid (a hash of the text), n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the kept bytes of docs (doc_id, text)."""
+    """row (all columns of docs but text), n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the kept text of docs (doc_id, text, ...).
+
+    A character of which a byte is removed is not in the kept text; the checksum is that of the kept bytes.
+    """
     scratch = Scratch(docs.sparkSession, "repeats")
+    row = F.struct(*(c for c in docs.columns if c != "text")).alias("row")
     # a null id gets the least one as key: rows of the same text under both have the same spans
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("uid"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    spans = scratch.cut(repeated_spans(docs, scratch, length=length, gram=gram), "spans")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
+    docs = docs.select(key, F.xxhash64("text").alias("uid"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), row)
+    spans = scratch.cut(repeated_spans(docs.select("doc_id", "uid", "text"), scratch, length=length, gram=gram), "spans")
     scratch.drop("runs", "kinds", "repeated", "open", "windows")
     ids = spans.select("doc_id", "uid")
-    hit = _docs_of(docs, ids, "left_semi").join(spans, ["doc_id", "uid"]).select("doc_id", "uid", "text", "spans")
-    rest = _docs_of(docs, ids, "left_anti").select("doc_id", "uid", "text")
-    out = hit.mapInArrow(_remove(length, texts), CUT).union(rest.mapInArrow(_remove(length, texts), CUT))
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    hit = _docs_of(docs, ids, "left_semi").join(spans, ["doc_id", "uid"]).select("doc_id", "uid", "text", "row", "spans")
+    rest = _docs_of(docs, ids, "left_anti").select("doc_id", "uid", "text", "row")
+    kind = f"row {docs.schema['row'].dataType.simpleString()}, {CUT}"
+    return hit.mapInArrow(_remove(length, texts), kind).union(rest.mapInArrow(_remove(length, texts), kind))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes that repeat, removed from all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(docs).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
