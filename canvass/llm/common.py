@@ -108,6 +108,39 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, i
         i = min(j, n)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterator[pa.Table]:
+    """The stream, sorted by its first column, in tables that hold all rows of their keys."""
+    held, n = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.asarray(b.column(0))
+        cut = int(np.searchsorted(keys, keys[-1], "left"))
+        if cut or (held and np.asarray(held[-1].column(0))[-1] != keys[0]):
+            if cut:
+                held.append(b.slice(0, cut))
+                n += cut
+            if n >= least:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n = [], 0
+        held.append(b.slice(cut))
+        n += b.num_rows - cut
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def lists(column, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(values, number in each row) of a binary column of packed values."""
+    b, o = flat_text(column)
+    return np.frombuffer(b.tobytes(), kind), np.diff(o) // np.dtype(kind).itemsize
+
+
+def packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary column, row r holding the next counts[r] values."""
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * values.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of a 64-bit value over all."""
     x = x ^ (x >> np.uint64(30))

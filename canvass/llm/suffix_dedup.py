@@ -3,24 +3,26 @@
 Prefix doubling names every position by the rank of the string of length h
 that starts there, pairs the names of positions h apart, sorts the pairs and
 so names strings of length 2h; positions whose name is unique drop out. Here
-a name is a 128-bit fingerprint that each task computes alike, so that only
-the sorting of names, which tells unique from repeated, is left to Spark.
+a name is a fingerprint that each task computes alike, so that only the
+sorting of names, which tells unique from repeated, is left to Spark.
 
 Positions are not sent one by one. In each window of LENGTH bytes the least
 hash of a string of GRAM bytes marks an anchor; equal windows have equal
 anchors at equal offsets, so a window repeats only where its anchor does.
-The names of anchors (GRAM bytes) are sorted first, and anchors with a unique
-name drop out with all their windows. Next all windows of an anchor are named
-at once, by the string that spans them: if that repeats, they all do. Only
-where anchors repeat in differing surroundings are windows named one by one,
-by pairs of names half a window apart, sorted, and those past the threshold
-of LENGTH bytes kept. No step collects a group: counts decide, with partial
-sums before the shuffle.
+The names of anchors (GRAM bytes, half the threshold) are sorted first, and
+anchors with a unique name drop out with all their windows. Among anchors of
+one name, all windows of an anchor are named at once by the string that spans
+them: if that repeats, they all do. Only where anchors of one name stand in
+differing surroundings are windows named one by one, from the pair of names
+half a window apart, and sorted; those past the threshold of LENGTH bytes
+that repeat are removed. What a task has seen twice itself it does not send
+twice, so a string that is everywhere arrives once from each task.
 
 Defined cases: a null text is an empty one, and nothing of it or of texts
 shorter than LENGTH is removed; overlapping occurrences count, within a text
 too; equal rows (same doc_id and text) are two occurrences; an empty table
-gives no rows; other columns are not read. Equality is that of 128 bits.
+gives no rows; other columns are not read. Spans are compared by 128 bits,
+single windows by 64 bits among those whose anchors have one name.
 """
 
 from __future__ import annotations
@@ -33,9 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm.common import STEP_BYTES, Scratch, SpanHash, flat_text, mix64, steps, table
+from canvass.llm.common import STEP_BYTES, Scratch, SpanHash, flat_text, lists, mix64, packed, steps, table, whole_groups
 
-LENGTH, GRAM = 400, 100
+LENGTH, GRAM = 400, 200
 #: Documents whose ids are broadcast to filter a scan; beyond it a shuffled join does it.
 BROADCAST_IDS = 1_000_000
 _A, _B = SpanHash(101), SpanHash(202)
@@ -55,10 +57,10 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchor_runs(b: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """Row, first window start (in the row), windows, anchor name and two names of the spanning string, for each anchor."""
+    """Row, first window start and anchor (in the row), windows, anchor name and two names of the spanning string, for each anchor."""
     empty = np.zeros(0, np.int64)
     if len(b) < length:
-        return (empty,) * 6
+        return (empty,) * 7
     p = _A.prefix(b)
     at = np.arange(len(b) - gram + 1)
     name = _A.span(p, at, at + gram)
@@ -71,7 +73,7 @@ def anchor_runs(b: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     np.add.at(valid, offsets[1:][ok] - length + 1, -1)
     start = np.flatnonzero(np.cumsum(valid[: len(anchor)]))
     if not len(start):
-        return (empty,) * 6
+        return (empty,) * 7
     a = anchor[start]
     begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
     n = np.diff(np.concatenate([begin, [len(start)]]))
@@ -79,7 +81,7 @@ def anchor_runs(b: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     end = first + n - 1 + length
     salt = mix64(((a - first) << 32 | n).astype(np.uint64))
     row = np.searchsorted(offsets, first, "right") - 1
-    return row, first - offsets[row], n, name[a], _A.span(p, first, end) ^ salt, _B.span(_B.prefix(b), first, end) + salt
+    return row, first - offsets[row], a - offsets[row], n, name[a], _A.span(p, first, end) ^ salt, _B.span(_B.prefix(b), first, end) + salt
 
 
 def _parts(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -95,65 +97,139 @@ def _parts(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray
             yield i, 0, x, o[i : j + 1] - o[i]
 
 
-RUNS = "doc_id long, uid long, first long, n int, name long, u long, v long"
+RUNS = "name long, u long, v long, doc_id long, uid long, first long, n int, whole boolean, known boolean"
+RUN_NAMES = [x.split()[0] for x in RUNS.split(", ")]
 
 
 def _anchors(length: int, gram: int):
+    """Runs of windows by anchor. Of equal runs in one batch one is sent as `known` to repeat, and the others as `whole`, done with."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "uid", "first", "n", "name", "u", "v"]
         with np.errstate(over="ignore"):
             for batch in batches:
+                parts = []
                 for i, before, b, o in _parts(batch.column(2), length):
-                    row, first, n, name, u, v = anchor_runs(b, o, length, gram)
-                    at = pa.array(row + i)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(first + before), pa.array(n.astype(np.int32)), *(pa.array(x.astype(np.int64)) for x in (name, u, v))], names)
+                    row, first, _, n, name, u, v = anchor_runs(b, o, length, gram)
+                    parts.append((row + i, first + before, n, name, u, v))
+                if not parts:
+                    continue
+                row, first, n, name, u, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.lexsort((v, u))
+                same = np.zeros(len(u), bool)
+                same[1:] = (u[order][1:] == u[order][:-1]) & (v[order][1:] == v[order][:-1])
+                whole, known = np.zeros(len(u), bool), np.zeros(len(u), bool)
+                whole[order] = same
+                known[order[:-1]] = same[1:] & ~same[:-1]
+                at = pa.array(row)
+                longs = [pa.array(x.astype(np.int64)) for x in (name, u, v)]
+                yield pa.RecordBatch.from_arrays([*longs, batch.column(0).take(at), batch.column(1).take(at), pa.array(first), pa.array(n.astype(np.int32)), pa.array(whole), pa.array(known)], RUN_NAMES)
 
     return run
 
 
+OPEN = "name long, doc_id long, uid long, first long, n int, whole boolean, open boolean"
+OPEN_NAMES = [x.split()[0] for x in OPEN.split(", ")]
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of runs in order of name: `whole` ones, whose spanning string repeats, and `open` ones, one for each kind of a name with several."""
+    for t in whole_groups(batches, 50_000):
+        name, u, v, done, known = (np.asarray(t.column(i)) for i in (0, 1, 2, 7, 8))
+        keys = np.flatnonzero(~done)
+        order = keys[np.lexsort((v[keys], u[keys], name[keys]))]
+        a, b, c = name[order], u[order], v[order]
+        new_name = np.concatenate([[True], a[1:] != a[:-1]]) if len(order) else np.zeros(0, bool)
+        new_kind = new_name | np.concatenate([[True], (b[1:] != b[:-1]) | (c[1:] != c[:-1])]) if len(order) else new_name
+        kind, group = np.cumsum(new_kind) - 1, np.cumsum(new_name) - 1
+        size = np.bincount(kind) if len(order) else kind
+        kinds = np.bincount(group[new_kind]) if len(order) else group
+        heard = np.bincount(kind, known[order]) > 0 if len(order) else known[:0]
+        whole, open_ = done.copy(), np.zeros(len(name), bool)
+        whole[order] = (size[kind] > 1) | heard[kind]
+        open_[order] = new_kind & (kinds[group] > 1)
+        keep = np.flatnonzero(whole | open_)
+        at = pa.array(keep)
+        yield pa.RecordBatch.from_arrays([pa.array(name[keep]), *(t.column(i).combine_chunks().take(at) for i in (3, 4, 5, 6)), pa.array(whole[keep]), pa.array(open_[keep])], OPEN_NAMES)
+
+
+WINDOWS = "name long, doc_id long, uid long, first long, n int, keys binary, hits binary"
+WINDOW_NAMES = [x.split()[0] for x in WINDOWS.split(", ")]
+
+
 def _window_names(length: int):
-    """The name of each window of the runs of each text, from those of its halves."""
+    """The names of the windows of each open run, from those of their halves, as 64-bit values in a binary column.
+
+    Of equal ones in one flush, one is sent as a hit and the others, hits as well, are blank.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = length // 2
-        out: list[list[np.ndarray]] = [[] for _ in range(5)]
+        held: list[tuple] = []
         size = 0
-        names = ["doc_id", "uid", "first", "u", "v"]
 
         def flush() -> pa.RecordBatch:
-            cols = [np.concatenate(x) for x in out]
-            for x in out:
-                x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+            name, doc, uid, first, n, done, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            hits = np.repeat(done, n)
+            order = np.argsort(keys, kind="stable")
+            same = np.zeros(len(keys), bool)
+            same[1:] = keys[order][1:] == keys[order][:-1]
+            again = np.zeros(len(keys), bool)
+            again[order] = same
+            hits[order[1:]] |= same[1:]
+            hits[order[:-1]] |= same[1:]
+            keys[again] = 0
+            return pa.RecordBatch.from_arrays([pa.array(name), pa.array(doc), pa.array(uid), pa.array(first), pa.array(n.astype(np.int32)), packed(keys, n), packed(hits, n)], WINDOW_NAMES)
 
         with np.errstate(over="ignore"):
             for batch in batches:
                 ids, uids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-                texts, runs = batch.column(2), batch.column(3)
-                ends = np.asarray(runs.offsets) if not isinstance(runs, pa.ChunkedArray) else np.asarray(runs.combine_chunks().offsets)
-                flat = runs.values
-                all_first, all_n = np.asarray(flat.field("first")), np.asarray(flat.field("n"))
+                runs = batch.column(3)
+                ends, flat = np.asarray(runs.offsets), runs.values
+                name, first, n, done = (np.asarray(flat.field(x)) for x in ("name", "first", "n", "whole"))
                 for r in range(len(ids)):
-                    b, _ = flat_text(texts.slice(r, 1))
-                    f, n = all_first[ends[r] : ends[r + 1]], all_n[ends[r] : ends[r + 1]].astype(np.int64)
-                    low, high = int(f.min()), int((f + n).max()) - 1 + length
-                    pa_, pb = _A.prefix(b[low:high]), _B.prefix(b[low:high])
-                    s = np.repeat(f - low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    m, e = s + half, s + length
-                    u = mix64(_A.span(pa_, s, m) + np.uint64(3) * mix64(_A.span(pa_, m, e)))
-                    v = mix64(_B.span(pb, s, m) + np.uint64(5) * mix64(_B.span(pb, m, e)))
-                    for x, y in zip(out, (np.full(len(s), ids[r]), np.full(len(s), uids[r]), s + low, u.astype(np.int64), v.astype(np.int64)), strict=True):
-                        x.append(y)
+                    b, _ = flat_text(batch.column(2).slice(r, 1))
+                    part = slice(ends[r], ends[r + 1])
+                    f, k = first[part], n[part].astype(np.int64)
+                    low, high = int(f.min()), int((f + k).max()) - 1 + length
+                    p = _A.prefix(b[low:high])
+                    s = np.repeat(f - low - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
+                    keys = mix64(_A.span(p, s, s + half) + np.uint64(3) * mix64(_A.span(p, s + half, s + length)))
+                    keys[keys == 0] = 1
+                    held.append((name[part], np.full(len(f), ids[r]), np.full(len(f), uids[r]), f, k, done[part], keys))
                     size += len(s)
-                    if size > 1 << 18:
+                    if size > 1 << 20:
                         yield flush()
                         size = 0
-            if size:
+            if held:
                 yield flush()
 
     return run
 
 
+SPANS = "doc_id long, uid long, first long, n int"
+
+
+def _window_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of windows in order of the names of their anchors, runs of those whose own names repeat."""
+    for t in whole_groups(batches, 5_000):
+        name = np.asarray(t.column(0))
+        n = np.asarray(t.column(4)).astype(np.int64)
+        keys = lists(t.column(5), np.uint64)[0]
+        hits = lists(t.column(6), bool)[0].copy()
+        order = np.lexsort((keys, np.repeat(name, n)))
+        k, a = keys[order], np.repeat(name, n)[order]
+        same = (k[1:] == k[:-1]) & (a[1:] == a[:-1]) & (k[1:] != 0)
+        hits[order[1:]] |= same
+        hits[order[:-1]] |= same
+        row = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n)
+        begin = np.flatnonzero(hits & np.concatenate([[True], ~hits[:-1] | (row[1:] != row[:-1])])) if len(hits) else row
+        end = np.flatnonzero(hits & np.concatenate([~hits[1:] | (row[1:] != row[:-1]), [True]])) if len(hits) else row
+        at = pa.array(row[begin])
+        yield pa.RecordBatch.from_arrays([t.column(1).combine_chunks().take(at), t.column(2).combine_chunks().take(at), pa.array(np.asarray(t.column(3))[row[begin]] + place[begin]), pa.array((end - begin + 1).astype(np.int32))], ["doc_id", "uid", "first", "n"])
+
+
 def _docs_of(docs: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
     """Documents whose key is (left_semi) or is not (left_anti) in ids."""
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ["doc_id", "uid"], kind)
@@ -161,25 +237,18 @@ def _docs_of(docs: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, uid and spans, an array of (first, n): n windows from byte `first` on occur elsewhere; docs has doc_id, uid, text."""
-    runs = scratch.cut(docs.mapInArrow(_anchors(length, gram), RUNS), "runs")
-    # names of GRAM bytes: unique ones drop out
-    kinds = runs.groupBy("name", "u", "v").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "uid", "first", "n")).alias("rep"))
-    kinds = scratch.cut(kinds, "kinds")
-    names = kinds.groupBy("name").agg(F.count("*").alias("k"), F.sum("copies").alias("m")).filter("m > 1")
-    kinds = scratch.cut(kinds.join(names, "name"), "repeated")
-    # all windows of an anchor at once
-    whole = runs.join(kinds.filter("copies > 1").select("name", "u", "v"), ["name", "u", "v"], "left_semi").select("doc_id", "uid", "first", "n")
-    # anchors that repeat in differing surroundings: one of each kind, windows by groups, then one by one
-    open_ = kinds.filter("k > 1").select("rep.*")
-    parts = scratch.cut(open_, "open")
-    by_doc = parts.groupBy("doc_id", "uid").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
-    texts = _docs_of(docs, parts.select("doc_id", "uid").distinct(), "left_semi")
-    named = texts.join(by_doc, ["doc_id", "uid"]).select("doc_id", "uid", "text", "runs")
-    windows = named.mapInArrow(_window_names(length), "doc_id long, uid long, first long, u long, v long")
-    windows = scratch.cut(windows, "windows")
-    twice = windows.groupBy("u", "v").agg(F.count("*").alias("c")).filter("c > 1")
-    single = windows.join(twice, ["u", "v"], "left_semi").select("doc_id", "uid", "first", F.lit(1).alias("n"))
-    return whole.union(single).groupBy("doc_id", "uid").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = docs.select("doc_id", "uid", "text").mapInArrow(_anchors(length, gram), RUNS)
+    # runs that are done with are dealt by place: they are many where a string is everywhere
+    runs = runs.repartition(parts, F.when(F.col("whole"), F.xxhash64("doc_id", "first")).otherwise(F.col("name"))).sortWithinPartitions("name")
+    found = scratch.cut(runs.mapInArrow(_repeated, OPEN), "found")
+    by_doc = found.filter("open").groupBy("doc_id", "uid").agg(F.collect_list(F.struct("name", "first", "n", "whole")).alias("runs"))
+    by_doc = scratch.cut(by_doc, "open")
+    texts = _docs_of(docs, by_doc.select("doc_id", "uid"), "left_semi")
+    named = texts.join(by_doc.hint("merge"), ["doc_id", "uid"]).select("doc_id", "uid", "text", "runs").mapInArrow(_window_names(length), WINDOWS)
+    single = named.repartition(parts, "name").sortWithinPartitions("name").mapInArrow(_window_hits, SPANS)
+    spans = found.filter("whole").select("doc_id", "uid", "first", "n").union(single)
+    return spans.groupBy("doc_id", "uid").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
 
 
 CUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
@@ -227,7 +296,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, t
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
     docs = docs.select(key, F.xxhash64("text").alias("uid"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), row)
     spans = scratch.cut(repeated_spans(docs.select("doc_id", "uid", "text"), scratch, length=length, gram=gram), "spans")
-    scratch.drop("runs", "kinds", "repeated", "open", "windows")
+    scratch.drop("found", "open")
     ids = spans.select("doc_id", "uid")
     hit = _docs_of(docs, ids, "left_semi").join(spans, ["doc_id", "uid"]).select("doc_id", "uid", "text", "row", "spans")
     rest = _docs_of(docs, ids, "left_anti").select("doc_id", "uid", "text", "row")
