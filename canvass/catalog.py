@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from canvass.queries import metrics, relations, sampling, texts
+from canvass.queries.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
+PARTS = (metrics.R, relations.R, sampling.R, texts.R)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {k: q for part in PARTS for k, q in part.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for part in PARTS for k, s in part.sql.items()}
