@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from canvass.functions import arrow_udf
+
 FENCE = r"(?is)```(?:json)?\s*(.*?)\s*```"
 
 
@@ -121,7 +123,7 @@ def _questions(text: str | None) -> list[tuple]:
 
 
 #: The questions of a survey tree, depth first: branches are unbounded, so this one is a Python function over Arrow.
-survey_questions = F.udf(_questions, QUESTION, useArrow=True)
+survey_questions = arrow_udf(_questions, QUESTION)
 
 
 def _numeric_cells(text: str | None) -> list[tuple[str, str]]:
@@ -134,7 +136,7 @@ def _numeric_cells(text: str | None) -> list[tuple[str, str]]:
 
 
 #: Entries Q<n> of a reply object in numeric order, as (key, JSON).
-numbered_answers = F.udf(_numeric_cells, "array<struct<key:string,value:string>>", useArrow=True)
+numbered_answers = arrow_udf(_numeric_cells, "array<struct<key:string,value:string>>")
 
 
 def _align(human: list[str] | None, model: list[str] | None) -> list[tuple[int, int]]:
@@ -159,4 +161,4 @@ def _align(human: list[str] | None, model: list[str] | None) -> list[tuple[int,
 
 
 #: Alignment of two arrays of answer types.
-align_types = F.udf(_align, "array<struct<human:int,model:int>>", useArrow=True)
+align_types = arrow_udf(_align, "array<struct<human:int,model:int>>")

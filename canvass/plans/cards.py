@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canvass.errors import DataError
+from canvass.functions import arrow_udf
 from canvass.functions.text import blank_to_null, distinctive, education_bucket, family_key, income_over_50k, leak_tokens, normalize_cell, place_line, strip, weekly_hours
 from canvass.operators.relational import reasons
 from canvass.operators.sampling import first_uniform
@@ -147,7 +148,7 @@ EXTRAS = {
 }
 
 #: Draws with the generator of a name: one index for each of the given numbers of choices, in turn.
-seeded_choices = F.udf(lambda name, sizes: (lambda rng: [rng.randrange(n) for n in sizes])(first_uniform(name)), "array<int>", useArrow=True)
+seeded_choices = arrow_udf(lambda name, sizes: (lambda rng: [rng.randrange(n) for n in sizes])(first_uniform(name)), "array<int>")
 
 
 def _array(items: Sequence[str]) -> Column:
