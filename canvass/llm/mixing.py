@@ -30,6 +30,7 @@ from canvass.llm.common import Scratch
 WEIGHTS, SHARE, CAP, SEED = (3, 1, 2), Fraction(3, 2), 2, 42
 #: Rounds that fill what whole documents left of a quota with the largest that fits.
 FIT_ROUNDS = 8
+BROADCAST_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -154,14 +155,16 @@ def mix(docs: DataFrame, size: Column, members: Column, *, weights: Sequence[int
     lane = spark.createDataFrame(rows, "__pattern int, __copy int, __lane string, __from long, __to long")
     buckets = max(16, max((p[2] for p in patterns), default=0) // 20_000)
     rank = base.select(key, "__rank", "__size", "__key", F.pmod("__rank", F.lit(buckets)).cast("int").alias("__bucket"))
-    rank = rank.join(numbered, "__key").drop("__key")
+    # one row for each pattern or lane, from the driver's own list: broadcast while that is short
+    small = (lambda df: F.broadcast(df)) if len(patterns) + len(rows) <= BROADCAST_ROWS else (lambda df: df)
+    rank = rank.join(small(numbered), "__key").drop("__key")
     sums = rank.groupBy("__pattern", "__bucket").agg(F.sum("__size").alias("__sum"))
     before = sums.select("__pattern", "__bucket", (F.sum("__sum").over(W.partitionBy("__pattern").orderBy("__bucket")) - F.col("__sum")).alias("__before"))
     inside = W.partitionBy("__pattern", "__bucket").orderBy("__rank", key, "__size")
     placed = rank.withColumn("__n", F.row_number().over(inside)).withColumn("__sum", F.sum("__size").over(inside.rowsBetween(W.unboundedPreceding, 0)))
     placed = placed.join(before, ["__pattern", "__bucket"]).withColumn("__end", F.col("__before") + F.col("__sum"))
     placed = scratch.cut(placed.select(key, "__rank", "__size", "__pattern", "__n", "__bucket", "__end"), "placed")
-    offers = placed.filter("__size > 0").join(lane.groupBy("__pattern").agg(F.collect_list(F.struct("__copy", "__lane", "__from", "__to")).alias("__lanes")), "__pattern")
+    offers = placed.filter("__size > 0").join(small(lane.groupBy("__pattern").agg(F.collect_list(F.struct("__copy", "__lane", "__from", "__to")).alias("__lanes"))), "__pattern")
     begin = F.col("__end") - F.col("__size")
     offers = offers.withColumn("__in", F.filter("__lanes", lambda x: (x["__from"] <= begin) & (F.col("__end") <= x["__to"])))
     offers = scratch.cut(offers.select("__pattern", "__bucket", "__n", "__size", "__rank", "__lanes", F.size("__in").alias("__copies"), F.transform("__in", lambda x: x["__lane"]).alias("__in")), "offers")

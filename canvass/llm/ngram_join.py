@@ -33,12 +33,16 @@ from pyspark.sql import functions as F
 from canvass.llm.common import LOWER, SPACES, STEP_BYTES, Scratch, SpanHash, flat_text, mix64, steps, table, words
 
 N, PERCENT = 5, 80
-#: Counters of the sketch that orders n-grams; 4 MB as broadcast, whatever the input.
-SKETCH_BITS, SKETCH_BLOCKS = 22, 64
+#: The sketch that orders n-grams has a one-byte counter for about GRAMS_PER_COUNTER of them, within these powers of two: 64 MB as broadcast at most.
+LEAST_BITS, MOST_BITS, GRAMS_PER_COUNTER, SKETCH_BLOCKS = 18, 26, 8, 64
 #: Documents whose ids are broadcast to filter a scan; beyond it a shuffled join does it.
 BROADCAST_IDS = 1_000_000
 #: Rounds with pivots at most, and pairs for each entry that need no further round.
-PIVOT_ROUNDS, PAIRS_PER_ENTRY = 8, 2
+PIVOT_ROUNDS, PAIRS_PER_ENTRY = 6, 0.1
+#: Pivots of a column, and tries of a document, in a round.
+PIVOTS = 3
+#: A round is worth another if it leaves less than this share of the pairs.
+WORTH = 0.7
 _HASH = SpanHash(11)
 _WORD = [np.uint64(int(x) * 2 + 1) for x in np.random.default_rng(5).integers(1 << 40, 1 << 62, 64)]
 
@@ -94,10 +98,16 @@ def _each(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list, lis
 SKETCHED = "doc_id long, n long, node long, node2 long, block int, counts binary"
 
 
-def _sketch(n: int):
+def _count(total: np.ndarray, held: list[np.ndarray]) -> None:
+    """Count into one-byte counters that stay at 255; a task's share is all that it has to tell."""
+    at, times = np.unique(np.concatenate(held), return_counts=True)
+    total[at] = np.minimum(total[at] + np.minimum(times, 255).astype(np.uint16), 255)
+
+
+def _sketch(n: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "node", "node2", "block", "counts"]
-        total = np.zeros(1 << SKETCH_BITS, np.uint32)
+        total = np.zeros(1 << bits, np.uint8)
         held, size = [], 0
         for ids, sets in _each(batches, n):
             node = [(int(mix64(s ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mix64(s + np.uint64(77))))) for s in sets]
@@ -105,15 +115,15 @@ def _sketch(n: int):
             k = pa.nulls(len(sets), pa.int32())
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), k, pa.nulls(len(sets), pa.binary())], names)
             for s in sets:
-                held.append((s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64))
+                held.append((s & np.uint64((1 << bits) - 1)).astype(np.int64))
                 size += len(s)
-            if size > 1 << 21:
-                total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
+            if size > 1 << 20:
+                _count(total, held)
                 held, size = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
+            _count(total, held)
         if total.any():
-            part = np.minimum(total, 65535).astype("<u2").reshape(SKETCH_BLOCKS, -1)
+            part = total.reshape(SKETCH_BLOCKS, -1)
             empty = pa.nulls(SKETCH_BLOCKS, pa.int64())
             yield pa.RecordBatch.from_arrays([empty] * 4 + [pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array([x.tobytes() for x in part], pa.binary())], names)
 
@@ -124,9 +134,11 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            add = np.frombuffer(x.as_buffer(), "<u2").astype(np.int64)
-            sums[block] = sums.get(block, 0) + add
-    quick = lambda x: (4 * np.log2(1 + x)).astype(np.uint8).tobytes()
+            add = np.frombuffer(x.as_buffer(), np.uint8)
+            if block not in sums:
+                sums[block] = np.zeros(len(add), np.uint32)
+            sums[block] += add
+    quick = lambda x: (4 * np.log2(1 + x.astype(np.float32))).astype(np.uint8).tobytes()
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([quick(x) for x in sums.values()], pa.binary())], ["block", "rank"])
 
 
@@ -151,6 +163,7 @@ def _incidence(n: int, percent: int, rank, blocks: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.frombuffer(rank.value, np.uint8)
+        low = np.uint64(len(order) - 1)
         held, nodes, size, seen = [], [], 0, set()
         for _, sets in _each(batches, n):
             for s in sets:
@@ -162,12 +175,12 @@ def _incidence(n: int, percent: int, rank, blocks: int):
                 seen.add(node)
                 k = prefix_length(len(s), percent)
                 if k < len(s):
-                    first = (order[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+                    first = (order[(s & low).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                     s = s[np.argpartition(first, k - 1)[:k]]
                 held.append(s)
                 nodes.append(np.full(len(s), node, np.uint64))
                 size += len(s)
-            if size > 1 << 20:
+            if size > 1 << 19:
                 yield flush(held, nodes)
                 held, nodes, size, seen = [], [], 0, set()
         if held:
@@ -229,15 +242,14 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(id, component) of the ids in edges (a, b), the component being its least id: alternating large and small stars."""
     spark = edges.sparkSession
     state, stamp, i = edges.filter("a <> b"), None, 0
+    files = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)  # links are few beside documents
     while True:
         both = state.select("a", "b").union(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        down = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = down.groupBy("a").agg(F.min("b").alias("m"))
         star = down.join(small, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct()
-        state = scratch.cut(star, f"{name}-{i}")
-        # large stars keep links to larger ids only, so the least links of each id stay in `small`
+        state = scratch.cut(star.coalesce(files), f"{name}-{i}")
         if i:
             scratch.drop(f"{name}-{i - 1}")
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
@@ -251,9 +263,11 @@ def link(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of docs (doc_id, text): components of pairs whose Jaccard reaches percent."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ngrams")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    first = scratch.cut(docs.mapInArrow(_sketch(n), SKETCHED), "rows")
+    grams = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    bits = min(MOST_BITS, max(LEAST_BITS, (grams // GRAMS_PER_COUNTER).bit_length()))
+    first = scratch.cut(docs.mapInArrow(_sketch(n, bits), SKETCHED), "rows")
     counted = first.filter("block is not null").select("block", "counts").repartition(min(SKETCH_BLOCKS, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block").mapInArrow(_sum_blocks, "block int, rank binary").collect()
-    order = bytearray(1 << SKETCH_BITS)
+    order = bytearray(1 << bits)
     width = len(order) // SKETCH_BLOCKS
     for r in counted:
         order[r["block"] * width : (r["block"] + 1) * width] = r["rank"]
@@ -267,34 +281,47 @@ def link(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> DataFrame:
     shared = scratch.cut(shared.join(nodes, "node").filter("rep is not null").select("gram", "rep", "n", "node"), "entries")
 
     wanted = scratch.cut(shared.select("rep", "node").distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
-    sets = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(_whole_sets(n), "rep long, node long, grams binary")
-    sets = scratch.cut(sets.join(wanted, ["rep", "node"]).dropDuplicates(["rep"]).select("rep", "grams"), "sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        x = pairs.select("a", "b").join(sets.select(F.col("rep").alias("a"), F.col("grams").alias("x")), "a")
-        x = x.join(sets.select(F.col("rep").alias("b"), F.col("grams").alias("y")), "b")
-        return scratch.cut(x.select("a", "b", "x", "y").mapInArrow(_overlaps(percent), "a long, b long"), name)
-
+        """The pairs whose whole sets reach the threshold; only documents of these pairs are read again."""
+        pairs = scratch.cut(pairs.select("a", "b"), f"{name}-pairs")
+        ids = scratch.cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{name}-ids")
+        few = ids.count() <= BROADCAST_IDS
+        sets = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(_whole_sets(n), "rep long, node long, grams binary")
+        sets = scratch.cut(sets.join(F.broadcast(wanted) if few and wanted.count() <= BROADCAST_IDS else wanted, ["rep", "node"], "left_semi"), f"{name}-sets")
+        one = lambda c, x: sets.select(F.col("rep").alias(c), F.col("grams").alias(x)).hint("merge")
+        # rows that repeat an id and a text give a set each; their pair is the same
+        both = pairs.join(one("a", "x"), "a").join(one("b", "y"), "b").select("a", "b", "x", "y")
+        out = scratch.cut(both.mapInArrow(_overlaps(percent), "a long, b long").coalesce(files), name)
+        scratch.drop(f"{name}-pairs", f"{name}-ids", f"{name}-sets")
+        return out
+
+    files = max(8, parts // 8)
     size = shared.count()
-    found, labels = None, spark.createDataFrame([], "id long, component long")
-    near = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
+    near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    # columns of a row behind its sent ones; a pair can overlap there and in what it shares of the sent
+    rest = lambda c: F.col(c) - (F.col(c) - F.ceil(F.col(c) * percent / 100) + 1)
+    reaches = (100 + percent) * (F.col("overlap") + F.greatest(rest("na"), rest("nb"))) >= percent * (F.col("na") + F.col("nb"))
+    found, before, at = None, None, shared.select("gram", "rep", "n", F.col("rep").alias("c"))
     for turn in range(PIVOT_ROUNDS + 1):
-        at = shared.join(labels, shared["rep"] == labels["id"], "left").select("gram", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        at = scratch.cut(at, f"at-{turn}")
-        per = at.groupBy("gram", "c").agg(F.count("*").alias("m")).groupBy("gram").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.max(F.struct("m", "c"))["c"].alias("major"), F.count("*").alias("k"))
-        per = scratch.cut(per.filter("k > 1"), f"per-{turn}")
-        left = per.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2)).first()[0] or 0
-        if turn == PIVOT_ROUNDS or left <= PAIRS_PER_ENTRY * size + 1000:
+        per = at.groupBy("gram", "c").agg(F.count("*").alias("m"), *(F.min(F.struct(F.xxhash64("rep", F.lit(turn * PIVOTS + i)), "rep", "n")).alias(f"p{i}") for i in range(PIVOTS)))
+        per = per.groupBy("gram").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.max(F.struct("m", "c", F.array_distinct(F.array(*(F.struct(f"p{i}.rep", f"p{i}.n") for i in range(PIVOTS)))).alias("p"))).alias("x"), F.count("*").alias("k"))
+        per = per.filter("k > 1").select("gram", "all", "mm", F.col("x.c").alias("major"), F.col("x.p").alias("pivots"))
+        per = scratch.cut(per, f"per-{turn}")
+        left = per.agg(F.sum((F.col("all") * F.col("all") - F.col("mm")) / 2)).first()[0] or 0
+        if turn == PIVOT_ROUNDS or left <= PAIRS_PER_ENTRY * size + 1000 or (before is not None and left > WORTH * before):
             break
-        pivot = at.join(per, "gram").filter("c = major").groupBy("gram").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "n", "c")).alias("p"))
-        tries = at.join(pivot, "gram").filter((F.col("c") != F.col("p.c")) & near(F.col("n"), F.col("p.n"))).groupBy(F.col("rep").alias("a"), F.col("p.rep").alias("b")).count()
-        best = tries.groupBy("a").agg(F.max(F.struct("count", "b"))["b"].alias("b"))
+        before = left
+        meets = at.join(per, "gram").filter(F.col("c") != F.col("major")).select(F.col("rep").alias("a"), F.col("n").alias("na"), F.explode("pivots").alias("p"))
+        tries = meets.select("a", "na", F.col("p.rep").alias("b"), F.col("p.n").alias("nb")).filter((F.col("a") != F.col("b")) & near(F.col("na"), F.col("nb")))
+        tries = tries.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("overlap")).filter(reaches)
+        best = tries.groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("overlap", "b")), asc=False), 1, PIVOTS).alias("x")).select("a", F.explode("x.b").alias("b"))
         new = verified(best, f"pivot-{turn}")
         found = new if found is None else found.union(new)
         labels = components(found, scratch, f"labels-{turn}")
-        scratch.drop(f"at-{turn}", f"per-{turn}")
+        at = shared.join(labels, shared["rep"] == labels["id"], "left").select("gram", "rep", "n", F.coalesce("component", "rep").alias("c"))
+        at = scratch.cut(at, f"at-{turn}")
+        scratch.drop(f"per-{turn}", f"at-{turn - 1}")
     # every pair that shares a sent column across components: rows outside the column's largest component with all others
     inner = at.join(per.select("gram", "major"), "gram")
     a = inner.filter("c <> major").select("gram", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
@@ -302,9 +329,7 @@ def link(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> DataFrame:
     pairs = a.join(b, "gram").filter((F.col("ca") != F.col("cb")) & (F.col("in_major") | (F.col("a") < F.col("b"))) & near(F.col("na"), F.col("nb")))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
     pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("overlap"))
-    rest = lambda c: F.col(c) - (F.col(c) - F.ceil(F.col(c) * percent / 100) + 1)
-    pairs = pairs.filter((100 + percent) * (F.col("overlap") + F.greatest(rest("na"), rest("nb"))) >= percent * (F.col("na") + F.col("nb")))
-    new = verified(pairs, "rest")
+    new = verified(pairs.filter(reaches), "rest")
     labels = components(new if found is None else found.union(new), scratch, "labels")
     named = nodes.join(labels, nodes["rep"] == labels["id"], "left").select(F.col("node").alias("x"), F.col("node2").alias("y"), F.col("n").alias("z"), F.coalesce("component", "rep").alias("component"))
     out = rows.join(named, (rows["node"] == named["x"]) & (rows["node2"] == named["y"]) & (rows["n"] == named["z"]), "left")

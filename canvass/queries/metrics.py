@@ -9,7 +9,10 @@ from canvass.plans import scoring
 from canvass.queries.base import Registry, Tables
 
 R = Registry()
-HUMAN, MODEL = F.col("l_linestatus") == "F", F.col("l_linestatus") == "O"
+
+
+def _is(status: str):
+    return F.col("l_linestatus") == status
 
 
 def _lines(t: Tables):
@@ -26,13 +29,13 @@ tt AS (SELECT item, sum(abs(h / hn - m / mn)) / 2 AS tvd, max(CASE WHEN h = hx A
 
 @R.add(f"WITH {_BRAND_LABELS} SELECT item, round(tvd, 6) AS tvd, top1 FROM tt")
 def item_tvd_top1(t: Tables):
-    counts = m.label_counts(_lines(t).withColumnRenamed("p_brand", "item"), ["item"], "l_returnflag", HUMAN, MODEL)
+    counts = m.label_counts(_lines(t).withColumnRenamed("p_brand", "item"), ["item"], "l_returnflag", _is("F"), _is("O"))
     return m.tvd_top1(counts, ["item"]).select("item", F.round("tvd", 6).alias("tvd"), "top1")
 
 
 @R.add(f"WITH {_BRAND_LABELS} SELECT round(avg(tvd), 6) AS mean_tvd, round(avg(top1), 6) AS mean_top1, count(*) AS items FROM tt")
 def mean_tvd(t: Tables):
-    counts = m.label_counts(_lines(t).withColumnRenamed("p_brand", "item"), ["item"], "l_returnflag", HUMAN, MODEL)
+    counts = m.label_counts(_lines(t).withColumnRenamed("p_brand", "item"), ["item"], "l_returnflag", _is("F"), _is("O"))
     return m.tvd_top1(counts, ["item"]).agg(F.round(F.avg("tvd"), 6).alias("mean_tvd"), F.round(F.avg("top1"), 6).alias("mean_top1"), F.count("*").alias("items"))
 
 
@@ -92,7 +95,7 @@ def fisher_pooled_corr(t: Tables):
 round(stddev_pop(l_quantity) FILTER (l_linestatus = 'O') / nullif(stddev_pop(l_quantity) FILTER (l_linestatus = 'F'), 0), 6) AS sd_ratio
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand""")
 def glass_sd_ratio(t: Tables):
-    sides = _lines(t).select("p_brand", F.when(HUMAN, F.col("l_quantity")).alias("h"), F.when(MODEL, F.col("l_quantity")).alias("o"))
+    sides = _lines(t).select("p_brand", F.when(_is("F"), F.col("l_quantity")).alias("h"), F.when(_is("O"), F.col("l_quantity")).alias("o"))
     return sides.groupBy(F.col("p_brand").alias("item")).agg(F.round(m.glass_delta("h", "o"), 6).alias("glass_delta"), F.round(m.sd_ratio("h", "o"), 6).alias("sd_ratio"))
 
 
@@ -110,7 +113,7 @@ sp AS (SELECT item, max(v) FILTER (human) - min(v) FILTER (human) AS hs, max(v)
 SELECT item, round(coverage, 6) AS coverage, round(CASE WHEN hs = 0 THEN CASE WHEN ms = 0 THEN 1.0 ELSE 0.0 END ELSE least(1.0, ms / hs) END, 6) AS span_ratio FROM cv JOIN sp USING (item)""")
 def amplitude(t: Tables):
     rows = _lines(t).select(F.col("p_brand").alias("item"), "l_linestatus", (F.col("l_extendedprice") / 1000).alias("v"))
-    return m.amplitude(rows, ["item"], "v", HUMAN).select("item", F.round("coverage", 6).alias("coverage"), F.round("span_ratio", 6).alias("span_ratio"))
+    return m.amplitude(rows, ["item"], "v", _is("F")).select("item", F.round("coverage", 6).alias("coverage"), F.round("span_ratio", 6).alias("span_ratio"))
 
 
 @R.add("""WITH n AS (SELECT user_id % 5 AS model, event_type, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT model, event_type, n / sum(n) OVER (PARTITION BY model) AS v FROM n),
