@@ -114,7 +114,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = TREES, depth: int = DEPTH,
     """Trees for logistic loss, the two kinds of label weighing the same."""
     inner, leaves = 2**depth - 1, 2**depth
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         base = float(np.log((share * len(y) + 0.5) / ((1 - share) * len(y) + 0.5)))
         return Forest(base, np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, leaves)))
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
