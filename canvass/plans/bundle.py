@@ -52,8 +52,8 @@ def from_records(records: DataFrame, dataset: str) -> Bundle:
     flat = base.select("subject_id", "ord", F.posexplode("questions").alias("pos", "q"))
     prompt, gold = strip(F.col("q.prompt")), blank_to_null(F.col("q.gold"))
     leak = F.coalesce(F.contains(prompt, F.concat(F.lit("Answer: "), gold)), F.lit(False))
-    shown = F.when(leak, F.raise_error(F.lit("a prompt shows its held-out answer"))).when(prompt == "", F.raise_error(F.lit("a question has no prompt"))).otherwise(prompt)
-    cases = flat.select(F.lit(dataset).alias("dataset"), "subject_id", F.col("q.id").alias("question_id"), "ord", "pos", shown.alias("prompt"), F.col("q.options").alias("options"), F.coalesce(F.col("q.kind"), F.lit("text")).alias("kind"))
+    fit = lambda value: F.when(leak, F.raise_error(F.lit("a prompt shows its held-out answer"))).when(prompt == "", F.raise_error(F.lit("a question has no prompt"))).otherwise(value)
+    cases = flat.select(F.lit(dataset).alias("dataset"), "subject_id", fit(F.col("q.id")).alias("question_id"), "ord", "pos", fit(prompt).alias("prompt"), F.col("q.options").alias("options"), F.coalesce(F.col("q.kind"), F.lit("text")).alias("kind"))
     questions = first_wins(cases.select("dataset", "question_id", "prompt", "options", "kind", "ord", "pos"), ["dataset", "question_id"], ["ord", "pos"]).drop("ord", "pos")
     golds = flat.filter(gold.isNotNull()).select(F.lit(dataset).alias("dataset"), "subject_id", F.col("q.id").alias("question_id"), gold.alias("answer"))
     return Bundle(subjects.drop("ord"), questions, cases.drop("prompt", "options", "kind"), golds)
