@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm.common import LOWER, SPACES, STEP_BYTES, Scratch, SpanHash, flat_text, mix64, steps, table, words
+from canvass.llm.common import LOWER, SPACES, STEP_BYTES, Scratch, SpanHash, distinct, flat_text, mix64, steps, table, words
 
 N, PERCENT = 5, 80
 #: The sketch that orders n-grams has a one-byte counter for about GRAMS_PER_COUNTER of them, within these powers of two: 64 MB as broadcast at most.
@@ -77,7 +77,7 @@ def shingle_sets(b: np.ndarray, offsets: np.ndarray, n: int = N) -> list[np.ndar
     out = []
     for i, j in zip(o[:-1].tolist(), o[1:].tolist(), strict=True):
         if j - i >= n:
-            out.append(np.unique(whole[i : j - n + 1]))
+            out.append(distinct(whole[i : j - n + 1]))
         elif j > i:
             few = sum((w[i + k] * _WORD[k] for k in range(j - i)), np.uint64(j - i))
             out.append(mix64(np.array([few], np.uint64)))

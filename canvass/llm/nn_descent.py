@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from canvass.llm.common import Scratch, lists, packed, table, whole_groups
+from canvass.llm.common import Scratch, distinct_pairs, lists, packed, table, whole_groups
 from canvass.llm.va_file import usable
 
 #: Neighbours of a node, rounds of NN-descent at most, share of changed neighbours below which it ends.
@@ -229,8 +229,8 @@ def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         block = np.asarray(b.column(0))
         members, n = lists(b.column(2), np.int64)
-        pairs = np.unique(np.stack([np.repeat(block, n), members], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["block", "id"])
+        of, ids = distinct_pairs(np.repeat(block, n), members)
+        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(ids)], ["block", "id"])
 
 
 def _column(t: pa.Table, name: str):
@@ -421,7 +421,7 @@ def _advance(expand: int, k: int, kept: int):
         to, m = lists(_column(links, "body"), np.int64) if links.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         by = np.argsort(node)
         row = by[np.searchsorted(node[by], np.repeat(asked, m))] if len(asked) else np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([row, to], 1), axis=0) if len(row) else np.zeros((0, 2), np.int64)
+        pairs = np.stack(distinct_pairs(row, to), 1)
         pairs = pairs[pairs[:, 1] != node[pairs[:, 0]]]
         at = np.searchsorted(vid, pairs[:, 1])
         score = np.concatenate([np.zeros(0, np.float32), *((q[pairs[i : i + 100_000, 0]] * u[at[i : i + 100_000]]).sum(1) for i in range(0, len(pairs), 100_000))])

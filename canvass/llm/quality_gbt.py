@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm.common import LOWER, SpanHash, fold_of, flat_text, labelled, steps, table, words
+from canvass.llm.common import LOWER, SpanHash, distinct, fold_of, flat_text, labelled, steps, table, words
 
 #: Labelled rows that the trees are fitted on, at most.
 SAMPLE = 20_000
@@ -77,7 +77,7 @@ def features(b: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             row[15], row[16] = len(times) / k, times.max() / k
             row[17] = (w[1:] == w[:-1]).sum() / k
             row[18] = (w[2:] == w[:-2]).sum() / k
-            row[20] = len(np.unique(w[1:] * np.uint64(3) + w[:-1])) / k
+            row[20] = len(distinct(w[1:] * np.uint64(3) + w[:-1])) / k
             row[22] = ends_in_mark[i:j].mean()
         row[5:14] = kinds[:9]
         row[13] = kinds[8]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm.common import LOWER, SpanHash, fold_of, flat_text, labelled, steps, table, words
+from canvass.llm.common import LOWER, SpanHash, distinct, fold_of, flat_text, labelled, steps, table, words
 
 #: Labelled documents that the weights are fitted on, at most.
 SAMPLE = 8_000
@@ -75,7 +75,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Weights:
     """Weights from (word hashes, first word of each sentence) of each document and its label."""
     if not len(y) or not 0 < y.mean() < 1:
         return Weights(BIAS, np.zeros(0, np.uint64), np.zeros(0))
-    words_ = np.concatenate([np.unique(h) for h, _ in bags])
+    words_ = np.concatenate([distinct(h) for h, _ in bags])
     known, docs = np.unique(words_, return_counts=True)
     known = known[docs >= LEAST_DOCS]
     if not len(known):
