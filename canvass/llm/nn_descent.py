@@ -46,11 +46,16 @@ TREES, LEAF, SAMPLE = 6, 1500, 20_000
 BLOCK, QUERY_BLOCK, KEPT, EXPAND, SEARCH_ROUNDS = 8192, 512, 64, 16, 8
 
 
-def best_of(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, fresh: np.ndarray, k: int):
-    """For each owner its k most similar distinct others, best first; of a pair that is there twice the older counts."""
+def best_of(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, fresh: np.ndarray, k: int, alike: bool = True):
+    """For each owner its k most similar distinct others, best first; of a pair that is there twice the older counts.
+
+    alike: owners and others are numbered alike, and an owner is no neighbour of its own.
+    """
     order = np.lexsort((fresh, other, owner))
     owner, other, sim, fresh = owner[order], other[order], sim[order], fresh[order]
-    keep = np.concatenate([[True], (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])]) & (owner != other) if len(owner) else np.zeros(0, bool)
+    keep = np.concatenate([[True], (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])]) if len(owner) else np.zeros(0, bool)
+    if alike:
+        keep &= owner != other
     owner, other, sim, fresh = owner[keep], other[keep], sim[keep], fresh[keep]
     order = np.lexsort((other, -sim, owner))
     owner, other, sim, fresh = owner[order], other[order], sim[order], fresh[order]
@@ -432,7 +437,7 @@ def _advance(expand: int, k: int, kept: int):
         waits = np.bincount(own[open_ & (place < k)], minlength=len(n)) > 0
         rank = np.cumsum(open_) - np.repeat(np.concatenate([[0], np.cumsum(open_)])[np.cumsum(n) - n], n)
         done |= open_ & (rank <= expand) & waits[own]
-        who, counts, other, sim, new = best_of(np.concatenate([own, pairs[:, 0]]), np.concatenate([ids, pairs[:, 1]]), np.concatenate([sims, score]).astype(np.float32), np.concatenate([~done, np.ones(len(pairs), bool)]), kept)
+        who, counts, other, sim, new = best_of(np.concatenate([own, pairs[:, 0]]), np.concatenate([ids, pairs[:, 1]]), np.concatenate([sims, score]).astype(np.float32), np.concatenate([~done, np.ones(len(pairs), bool)]), kept, alike=False)
         full = np.zeros(len(node), np.int64)
         full[who] = counts
         return pa.table([pa.array(np.asarray(_column(left, "block"))), pa.array(node), packed(q.ravel(), np.full(len(node), q.shape[1])), packed(other, full), packed(sim, full), packed(~new, full)], [x.split()[0] for x in WALK.split(", ")])
