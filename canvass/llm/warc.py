@@ -174,6 +174,7 @@ def _normalise(base: str, level: int):
 def normalise(archives: DataFrame, base: str, *, level: int = LEVEL) -> int:
     """Rewrite monolithic archives (path) record by record below base, with an index beside each; returns the records."""
     n = max(1, archives.count())
+    write_file(f"{base}/none.index.jsonl", lambda out: out.write(b""))  # so that an index is there without archives too
     done = archives.select("path").repartition(n).mapInArrow(_normalise(base, level), "path string, records long")
     return done.agg(F.sum("records")).first()[0] or 0
 
