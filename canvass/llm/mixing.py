@@ -7,7 +7,10 @@ later ones dearer (a convex cost), and an arc to each of its sources; each
 source has an arc of its quota. Only the aggregated network is solved on the
 driver; its size follows the number of patterns and sources. Documents are
 then selected in a seeded order that Spark computes: running sums over seeded
-buckets, then within a bucket, so that no task holds a whole source.
+buckets, then within a bucket, so that no task holds a whole source. A
+document that straddles the end of its share is passed over, and the following
+ones that fit go on, again by running sums, until no document with a copy left
+fits what is left of any quota.
 
 Defined cases: a null or empty text has size 0 and takes 0; a null source is a
 source of its own, last in order; documents with no source at all take 0;
@@ -28,8 +31,6 @@ from pyspark.sql.window import Window as W
 from canvass.llm.common import Scratch
 
 WEIGHTS, SHARE, CAP, SEED = (3, 1, 2), Fraction(3, 2), 2, 42
-#: Rounds that fill what whole documents left of a quota with the largest that fits.
-FIT_ROUNDS = 8
 BROADCAST_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -127,7 +128,7 @@ def mix(docs: DataFrame, size: Column, members: Column, *, weights: Sequence[int
 
     members: an array of source names, in which a null is a source too.
     Documents are taken whole, 0 to `cap` times. What whole documents leave of
-    a quota is filled by the largest ones that still fit.
+    a quota is filled by others, until none that may still be taken fits it.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
@@ -164,41 +165,65 @@ def mix(docs: DataFrame, size: Column, members: Column, *, weights: Sequence[int
     placed = rank.withColumn("__n", F.row_number().over(inside)).withColumn("__sum", F.sum("__size").over(inside.rowsBetween(W.unboundedPreceding, 0)))
     placed = placed.join(before, ["__pattern", "__bucket"]).withColumn("__end", F.col("__before") + F.col("__sum"))
     placed = scratch.cut(placed.select(key, "__rank", "__size", "__pattern", "__n", "__bucket", "__end"), "placed")
-    offers = placed.filter("__size > 0").join(small(lane.groupBy("__pattern").agg(F.collect_list(F.struct("__copy", "__lane", "__from", "__to")).alias("__lanes"))), "__pattern")
+    offers = placed.filter("__size > 0").join(small(lane.groupBy("__pattern").agg(F.collect_list(F.struct("__copy", "__lane", "__from", "__to")).alias("__lanes"))), "__pattern", "left")
     begin = F.col("__end") - F.col("__size")
     offers = offers.withColumn("__in", F.filter("__lanes", lambda x: (x["__from"] <= begin) & (F.col("__end") <= x["__to"])))
-    offers = scratch.cut(offers.select("__pattern", "__bucket", "__n", "__size", "__rank", "__lanes", F.size("__in").alias("__copies"), F.transform("__in", lambda x: x["__lane"]).alias("__in")), "offers")
+    offers = scratch.cut(offers.select("__pattern", "__bucket", "__n", "__size", F.when(F.col("__in").isNull(), 0).otherwise(F.size("__in")).alias("__copies"), F.transform("__in", lambda x: x["__lane"]).alias("__in")), "offers")
 
-    # the largest document that fits what is left of each lane, a few times over; one row for each lane
+    # what whole documents and the ends of lanes left of each quota
     got = {r["lane"]: r["s"] for r in offers.select(F.explode("__in").alias("lane"), "__size").groupBy("lane").agg(F.sum("__size").alias("s")).collect()}
-    gap = {x[2]: (x[0], x[4] - x[3] - got.get(x[2], 0)) for x in rows}
-    extra: list[tuple[int, int, int, int]] = []
-    spare = offers.filter(F.col("__copies") < cap)
-    for _ in range(FIT_ROUNDS):
-        need = [(p, name, g) for name, (p, g) in gap.items() if g > 0]
-        if not need:
-            break
-        used = spark.createDataFrame(extra, "__pattern int, __bucket int, __n int, __copies int").groupBy("__pattern", "__bucket", "__n").agg(F.sum("__copies").alias("__more"))
-        free = spare.join(F.broadcast(used), ["__pattern", "__bucket", "__n"], "left").filter(F.col("__copies") + F.coalesce("__more", F.lit(0)) < cap)
-        wanted = spark.createDataFrame(need, "__pattern int, lane string, gap long")
-        best = free.join(F.broadcast(wanted), "__pattern").filter("__size <= gap").groupBy("lane").agg(F.max(F.struct("__size", "__rank", "__bucket", "__n", "__pattern", "__copies")).alias("x")).collect()
-        took: dict[tuple[int, int, int], int] = {}
-        for r in sorted(best, key=lambda r: int(r["lane"])):
-            spot = (r["x"]["__pattern"], r["x"]["__bucket"], r["x"]["__n"])
-            if took.get(spot):
-                continue  # another lane has it; this one looks again
-            took[spot] = 1
-            extra.append((*spot, 1))
-            gap[r["lane"]] = (gap[r["lane"]][0], gap[r["lane"]][1] - r["x"]["__size"])
-        if not best:
-            break
-    more = spark.createDataFrame(extra, "__pattern int, __bucket int, __n int, __copies int").groupBy("__pattern", "__bucket", "__n").agg(F.sum("__copies").alias("__more"))
+    gap = {s: int(t) for s, t in targets.items()}
+    for (_, _, s, _), x in zip(lanes, rows, strict=True):
+        gap[s] -= got.get(x[2], 0)
+    more = _fill(scratch, offers, [p[0] for p in patterns], gap, cap).groupBy("__pattern", "__bucket", "__n").agg(F.count("*").alias("__more"))
     copies = offers.select("__pattern", "__bucket", "__n", "__copies")
-    taken = placed.join(copies, ["__pattern", "__bucket", "__n"], "left").join(F.broadcast(more), ["__pattern", "__bucket", "__n"], "left")
+    taken = placed.join(copies, ["__pattern", "__bucket", "__n"], "left").join(more, ["__pattern", "__bucket", "__n"], "left")
     taken = taken.withColumn("__taken", F.col("__size") * (F.coalesce("__copies", F.lit(0)) + F.coalesce("__more", F.lit(0))))
     return _with_sources(_attach(base, taken, key), sizes, targets).drop("__rank", "__members", "__key")
 
 
+def _fill(scratch: Scratch, offers: DataFrame, members: list[tuple[str | None, ...]], gap: dict[str | None, int], cap: int) -> DataFrame:
+    """The copies (__pattern, __bucket, __n, __copy) that fill gaps of sources, so that no copy left fits what is left of a gap.
+
+    Each pass takes, in seeded order, the copies that fit the gap up to the
+    first that would go over it; that one no longer fits the next time. Of
+    sources with a pattern in common one takes its turn at a time.
+    """
+    spark = offers.sparkSession
+    shape = "__pattern int, __bucket int, __n int, __copy int"
+    # the second copy of a document comes after the first ones of all
+    free = offers.filter(F.col("__copies") < cap).select("__pattern", "__bucket", "__n", "__size", F.explode(F.sequence(F.col("__copies"), F.lit(cap - 1))).alias("__copy"))
+    of: dict[str | None, list[int]] = {}
+    for i, names in enumerate(members):
+        for s in names:
+            of.setdefault(s, []).append(i)
+    gap = dict(gap)
+    waiting = [s for s in gap if gap[s] > 0]
+    taken = spark.createDataFrame([], shape)
+    passes = 0
+    while waiting:
+        turn: dict[int, int] = {}
+        now = []
+        for s in waiting:
+            if not any(i in turn for i in of[s]):
+                turn |= dict.fromkeys(of[s], len(now))
+                now.append(s)
+        asks = spark.createDataFrame([(i, k, gap[now[k]]) for i, k in turn.items()], "__pattern int, __ask int, __gap long")
+        fits = free.join(F.broadcast(asks) if len(turn) <= BROADCAST_ROWS else asks, "__pattern").filter("__size <= __gap").join(taken, ["__pattern", "__bucket", "__n", "__copy"], "left_anti")
+        sums = fits.groupBy("__ask", "__copy", "__bucket").agg(F.sum("__size").alias("__sum"))
+        before = sums.select("__ask", "__copy", "__bucket", (F.sum("__sum").over(W.partitionBy("__ask").orderBy("__copy", "__bucket")) - F.col("__sum")).alias("__before"))
+        inside = W.partitionBy("__ask", "__copy", "__bucket").orderBy("__n", "__pattern").rowsBetween(W.unboundedPreceding, 0)
+        chosen = fits.join(before, ["__ask", "__copy", "__bucket"]).filter("__before < __gap").withColumn("__end", F.col("__before") + F.sum("__size").over(inside)).filter("__end <= __gap")
+        chosen = scratch.cut(chosen.select("__pattern", "__bucket", "__n", "__copy", "__ask", "__size"), f"fill{passes}")
+        used = {now[r["__ask"]]: r["s"] for r in chosen.groupBy("__ask").agg(F.sum("__size").alias("s")).collect()}
+        taken = taken.union(chosen.select(taken.columns))
+        passes += 1
+        # a source that found nothing never will: gaps and copies only shrink
+        gap |= {s: gap[s] - n for s, n in used.items()}
+        waiting = [s for s in waiting if s not in now] + [s for s in now if s in used and gap[s] > 0]
+    return taken
+
+
 def _attach(base: DataFrame, taken: DataFrame, key: str) -> DataFrame:
     """Rows of base with what is taken of them; equal rows are dealt their shares in order."""
     same = W.partitionBy(key, "__rank").orderBy("__size")

@@ -187,6 +187,31 @@ def test_flow_routes_overlaps_at_least_cost():
     assert sorted((r, n) for _, r, _, n in lanes) == [(0, 10), (1, 5)]
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_mixing_goes_on_after_a_long_document(spark, seed):
+    # 200 documents of 20 words and one of 4,000: it straddles the end of the second copies in most orders
+    rows = [(i, "a", 20) for i in range(200)] + [(900, "a", 4000)] + [(1000 + i, "b", 1 + i % 40) for i in range(100)] + [(2000, "b", 700)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, words long")
+    got = mixing.mix(docs, F.col("words"), F.array("source"), seed=seed).collect()
+    assert len(got) == len(rows) and all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in got)
+    for s in ("a", "b"):
+        mine = [r for r in got if r["source"] == s]
+        left = mine[0]["target"] - sum(r["taken"] for r in mine)
+        assert left >= 0 and all(r["size"] > left for r in mine if r["taken"] < 2 * r["size"])
+
+
+def test_mixing_overlaps_leave_no_document_that_fits(spark):
+    rows = [(i, ["a", "b"] if i % 2 else ["b", "c"], 20) for i in range(100)] + [(900, ["a", "b"], 1500), (901, ["c"], 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, sources array<string>, words long")
+    got = mixing.mix(docs, F.col("words"), F.col("sources")).collect()
+    sizes = Counter()
+    for _, names, n in rows:
+        sizes.update(dict.fromkeys(names, n))
+    left = float(sum(mixing.quotas(sizes).values())) - sum(r["taken"] for r in got)
+    # less than 20 words of each of the three quotas, or no copy is left
+    assert 0 <= left and (left < 60 or all(r["size"] > 20 for r in got if r["taken"] < 2 * r["size"]))
+
+
 def test_mixing_overlapping_sources(spark):
     rows = [(i, ["a", "b"] if i % 3 else ["b"], 10 + i % 7) for i in range(300)] + [(900, None, 5), (901, [], 5), (902, ["a"], 0)]
     docs = spark.createDataFrame(rows, "doc_id long, sources array<string>, words long")
