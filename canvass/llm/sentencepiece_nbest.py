@@ -227,16 +227,29 @@ class Pieces:
                     heapq.heappush(heap, (cost + float(row[0] - row[r]), count, i + 1, (*ranks, r)))
         return out
 
-    def ids_of(self, code: np.ndarray, ranks: dict[int, int]) -> list[int]:
-        out: list[int] = []
-        for p, c in enumerate(code.tolist()):
-            r = ranks.get(p, 0)
-            if r:
-                at = c * (self.nbest - 1) + r - 1
-                out += self.others[self.other_at[at] : self.other_at[at + 1]].tolist()
-            else:
-                out += self.flat[self.offsets[c] : self.offsets[c + 1]].tolist()
-        return out
+    def nbest_of(self, b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, rank from 1, score, ids, offsets of the ids) of the N best segmentations of rows, in order."""
+        code, at, _, _ = self.encode(b, offsets)
+        found = [self.combine(code[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        rank = np.array([k for x in found for k in range(1, len(x) + 1)], np.int32)
+        score = np.array([s for x in found for s, _ in x], np.float64)
+        n = at[row + 1] - at[row]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        code = code[np.repeat(at[row] - upto[:-1], n) + np.arange(upto[-1])]
+        first, size = self.offsets[code], self.offsets[code + 1] - self.offsets[code]
+        changed = [(begin + p, r) for begin, (_, ranks) in zip(upto.tolist(), (y for x in found for y in x), strict=False) for p, r in ranks.items()]
+        where, ranks = (np.array(c, np.int64) for c in (zip(*changed, strict=True) if changed else ((), ())))
+        slot = code[where].astype(np.int64) * (self.nbest - 1) + ranks - 1
+        first[where], size[where] = self.other_at[slot], self.other_at[slot + 1] - self.other_at[slot]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        place = np.repeat(first - ends[:-1], size) + np.arange(ends[-1])
+        other = np.zeros(len(code), bool)
+        other[where] = True
+        other = np.repeat(other, size)
+        ids = self.flat[np.where(other, 0, place)]
+        ids[other] = self.others[place[other]]
+        return row, rank, score, ids, ends[upto]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, offsets by row) of the texts, each with its leading space still there."""
@@ -266,10 +279,8 @@ def encode_nbest(docs: DataFrame, path: str, nbest: int = NBEST) -> DataFrame:
             for batch in batches:
                 b, o = flat_text(batch.column(1))
                 for i, j in steps(o):
-                    code, at, _, _ = model.encode(b[o[i] : o[j]], o[i : j + 1] - o[i])
-                    rows = [(r + i, k, s, model.ids_of(code[at[r] : at[r + 1]], ranks)) for r in range(j - i) for k, (s, ranks) in enumerate(model.combine(code[at[r] : at[r + 1]]), 1)]
-                    cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.list_(pa.int32()))], ["doc_id", "rank", "score", "ids"])
+                    row, rank, score, ids, upto = model.nbest_of(b[o[i] : o[j]], o[i : j + 1] - o[i])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + i)), pa.array(rank), pa.array(score), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids))], ["doc_id", "rank", "score", "ids"])
 
     return _spaced(docs).mapInArrow(run, "doc_id long, rank int, score double, ids array<int>")
 
@@ -294,32 +305,38 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return encoded.withColumn("text", text(F.col(ids)))
 
 
-DIGEST = "doc_id long, n_pieces long, score double, ids_crc32 long, n_best int, last_score double, decodes boolean"
+RANKED = "rank int, score double, n_pieces long, ids_crc32 long, decodes boolean"
+DIGEST = f"doc_id long, n_pieces long, score double, ids_crc32 long, n_best int, last_score double, decodes boolean, nbest array<struct<{RANKED}>>"
 
 
 def digest(docs: DataFrame, path: str, nbest: int = NBEST) -> DataFrame:
-    """Of each document: pieces and score of the best, checksum of its ids (little-endian u32), how many of the N best there are and the score of the last, and whether decoding gives the text."""
+    """A row for each document, from all that `encode_nbest` puts together.
+
+    nbest has for each of the N best the rank, score, number of pieces, checksum
+    of the ids (little-endian u32) and whether decoding gives the text. Beside
+    it stand those of the best, how many there are, the score of the last, and
+    whether all decode to the text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path, nbest)
-        names = [x.split()[0] for x in DIGEST.split(", ")]
         with np.errstate(over="ignore"):
             for batch in batches:
                 b, o = flat_text(batch.column(1))
                 for i, j in steps(o):
                     x, at = b[o[i] : o[j]], o[i : j + 1] - o[i]
-                    code, parts, ids, upto = model.encode(x, at)
+                    row, rank, score, ids, upto = model.nbest_of(x, at)
                     back, bounds = model.decode(ids, upto)
-                    raw = ids.astype("<u4").tobytes()
-                    same = np.array_equal(back, x) and np.array_equal(bounds, at)
-                    rows = []
-                    for r in range(j - i):
-                        found = model.combine(code[parts[r] : parts[r + 1]])
-                        whole = same or np.array_equal(back[bounds[r] : bounds[r + 1]], x[at[r] : at[r + 1]])
-                        rows.append((int(upto[r + 1] - upto[r]), found[0][0], zlib.crc32(raw[4 * upto[r] : 4 * upto[r + 1]]), len(found), found[-1][0], bool(whole)))
-                    cols = zip(*rows, strict=True)
-                    kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.float64(), pa.bool_())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
+                    raw, text, said = ids.astype("<u4").tobytes(), x.tobytes(), back.tobytes()
+                    crc = np.array([zlib.crc32(raw[4 * p : 4 * q]) for p, q in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)], np.int64)
+                    good = np.array([said[p:q] == text[u:v] for p, q, u, v in zip(bounds[:-1].tolist(), bounds[1:].tolist(), at[row].tolist(), at[row + 1].tolist(), strict=True)], bool)
+                    n = np.diff(upto)
+                    first = np.searchsorted(row, np.arange(j - i + 1))
+                    best, last = first[:-1], first[1:] - 1
+                    ranked = pa.StructArray.from_arrays([pa.array(c) for c in (rank, score, n, crc, good)], [c.split()[0] for c in RANKED.split(", ")])
+                    cols = (n[best], score[best], crc[best], np.diff(first).astype(np.int32), score[last], np.logical_and.reduceat(good, best))
+                    names = ["doc_id", "n_pieces", "score", "ids_crc32", "n_best", "last_score", "decodes", "nbest"]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, cols), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), ranked)], names)
 
     return _spaced(docs).mapInArrow(run, DIGEST)
 
@@ -331,5 +348,5 @@ def model_path() -> str:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents encoded, the N best counted, and decoded again."""
+    """All documents encoded in the N best ways, and each decoded again."""
     return digest(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path())

@@ -43,7 +43,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of each document, with the N best segmentations counted and the best decoded again."""
+    """The pieces of each document, with the N best segmentations put together and decoded again."""
     return sentencepiece_nbest.digest(docs, sentencepiece_nbest.model_path())
 
 

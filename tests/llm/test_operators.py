@@ -348,6 +348,21 @@ def test_sentencepiece_decodes(spark):
     assert all(sp.decode(first[i]) == texts[i] for i in (1, 2, 7, 9))
 
 
+def test_digest_holds_all_segmentations(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("the aion.,é日\nx") for _ in range(rng.randint(0, 10))) for _ in range(40)] + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    m = sentencepiece_nbest.Pieces(sentencepiece_nbest.model_path(), 1)
+    got = {r["doc_id"]: r for r in sentencepiece_nbest.digest(docs, sentencepiece_nbest.model_path(), 4).collect()}
+    for i, t in enumerate(texts):
+        want = brute_segmentations(m, " " + t if t else "")
+        crcs = {(s, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for s, ids in want}
+        mine = got[i]["nbest"]
+        assert [(x["rank"], x["score"]) for x in mine] == [(k, w[0]) for k, w in enumerate(want[:4], 1)]
+        assert {(x["score"], x["n_pieces"], x["ids_crc32"]) for x in mine} <= crcs and all(x["decodes"] for x in mine)
+        assert got[i]["n_best"] == len(mine) and len({x["ids_crc32"] for x in mine}) == len(mine)
+
+
 # 2 and 3
 
 
