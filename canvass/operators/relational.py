@@ -96,25 +96,36 @@ def numeric_first(c: Column) -> list[Column]:
     return [F.when(digits, 0).otherwise(1), F.when(digits, c).try_cast("decimal(38,0)"), c]
 
 
-def contained(texts: DataFrame, needles: DataFrame, text: str, needle: str, words: int = 4) -> DataFrame:
-    """Pairs of rows whose text contains the needle, by an equi-join on word windows.
+#: Characters by which needles of under three words are known; shorter needles are known by all of theirs.
+GRAM = 6
+
 
-    Each needle is known by its first words; a text offers all its windows of as
-    many words. The substring is checked on pairs that meet there. Needles of
-    fewer words are compared by their single first word. A needle must start at
-    a word of the text.
+def contained(texts: DataFrame, needles: DataFrame, text: str, needle: str, words: int = 4) -> DataFrame:
+    """Pairs of rows whose text contains the needle at any place, by an equi-join on word windows.
+
+    The first and last word of a needle may go on in the text, so a needle is
+    known by a window of words from its second on, or by one word where fewer
+    lie inside it; a text offers all its windows of as many words. Needles of
+    under three words are known by their first characters and meet all strings
+    of as many characters. The substring is checked on pairs that meet; each
+    pair meets once. Null and empty needles are in no text.
     """
     split = lambda c: F.filter(F.split(F.col(c), r"\s+"), lambda w: w != "")
 
-    def windows(df: DataFrame, n: int) -> DataFrame:
-        x = df.withColumn("__w", split(text)).withColumn("__n", F.size("__w"))
-        at = F.when(F.col("__n") >= n, F.sequence(F.lit(1), F.col("__n") - n + 1)).otherwise(F.array().cast("array<int>"))
-        return x.withColumn("__k", F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("__w", i, n), " ")))))).drop("__w", "__n")
-
-    keyed = needles.withColumn("__w", split(needle)).filter("size(__w) > 0")
-    out = []
-    for n, rows in ((words, keyed.filter(F.size("__w") > words)), (1, keyed.filter(F.size("__w") <= words))):
-        # the last word of a key may go on in the text, so it is never part of one
-        probe = rows.withColumn("__k", F.xxhash64(F.array_join(F.slice("__w", 1, n), " "))).drop("__w")
-        out.append(windows(texts, n).join(probe, "__k").filter(F.contains(F.col(text), F.col(needle))).drop("__k"))
-    return reduce(DataFrame.unionByName, out).distinct()
+    def windows(units: Column, n: int, glue: str) -> Column:
+        at = F.when(F.size(units) >= n, F.sequence(F.lit(1), F.size(units) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(units, i, n), glue))))
+
+    inner = F.size("__w") - 2
+    gram = F.least(F.lit(GRAM), F.length(needle))
+    keyed = needles.filter(F.col(needle) != "").withColumn("__w", split(needle)).withColumn("__n", F.when(inner >= words, words).when(inner >= 1, 1).otherwise(-gram))
+    # only the windows that some needle has are built
+    sizes = sorted(r["__n"] for r in keyed.select("__n").distinct().collect())
+    out = [texts.crossJoin(needles).filter("false")]
+    for n in sizes:
+        key = F.xxhash64(F.array_join(F.slice("__w", 2, n), " ")) if n > 0 else F.xxhash64(F.substring(needle, 1, -n))
+        probe = keyed.filter(F.col("__n") == n).withColumn("__k", key).drop("__w", "__n")
+        units = split(text) if n > 0 else F.split(F.col(text), "")
+        offers = texts.withColumn("__u", units).withColumn("__k", F.explode(windows(F.col("__u"), abs(n), " " if n > 0 else ""))).drop("__u")
+        out.append(offers.join(probe, "__k").filter(F.contains(F.col(text), F.col(needle))).drop("__k"))
+    return reduce(DataFrame.unionByName, out)

@@ -199,3 +199,13 @@ def test_relational_helpers(spark):
     texts = spark.createDataFrame([(1, "one two three four five"), (2, "one two")], "id int, text string")
     needles = spark.createDataFrame([(1, "two three four five"), (2, "two"), (3, "one two three four five six"), (4, "three four fi")], "n int, needle string")
     assert {(p["id"], p["n"]) for p in r.contained(texts, needles, "text", "needle", 3).collect()} == {(1, 1), (1, 2), (2, 2), (1, 4)}
+
+
+def test_contained_at_any_place(spark):
+    texts = ['say "one two three four five six", he said', "(one two three)x", "a<b>one two, three", "word, and sword.", "two  spaces\there", "é日本one", "", None]
+    needles = ["one two three four five six", "one two three", "ne two thre", "one two", "one", "word", "ord", "d", "wo  spaces\the", "\t", "日本", "and sword", "one two three four five seven", "", None]
+    a = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3])], "id int, text string")
+    b = spark.createDataFrame(list(enumerate(needles)), "n int, needle string")
+    got = sorted((p["id"], p["n"]) for p in r.contained(a, b, "text", "needle").collect())
+    rows = [*enumerate(texts), (3, texts[3])]
+    assert got == sorted((i, n) for i, x in rows for n, y in enumerate(needles) if x and y and y in x)
