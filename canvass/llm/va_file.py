@@ -13,8 +13,9 @@ one block of queries. No step holds more than a block.
 Defined cases: vectors that are null or have null, NaN or infinite components
 and rows with a null id take no part; a query's own id is no candidate; with
 fewer than k candidates all are returned; ties go to the smaller id; repeated
-rows are candidates of their own with the same id; vectors of another length
-than the first are an error; an empty table gives no rows; components are held
+rows are candidates of their own with the same id; a query id that repeats asks
+once, with its least vector (the SQL pairs each of its rows); vectors of another
+length than the first are an error; an empty table gives no rows; components are held
 within 2**53 and scores within 64 bits.
 """
 
@@ -186,7 +187,9 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int, scale: float = 256.0,
         return scratch.cut(packed, name), n
 
     data, n = stored(rows, BLOCK, "data")
-    queries, _ = stored(rows.filter(is_query), QUERY_BLOCK, "queries")
+    # one row a query id: repeated ones would count each candidate several times towards the k-th bound
+    asking = rows.filter(is_query).groupBy("id").agg(F.min("v").alias("v"))
+    queries, _ = stored(asking, QUERY_BLOCK, "queries")
     ask = queries.select(F.col("ids").alias("qids"), F.col("exact").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
     scan = data.select("block", "ids", "codes").join(ask.withColumn("block", F.col("block").cast("long")), "block").select("ids", "codes", "qids", "q")
     pairs = scratch.cut(scan.repartition(parts).mapInArrow(_scan(cells, k), PAIRS), "pairs")
@@ -197,7 +200,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int, scale: float = 256.0,
     left = scratch.cut(left.select("query_id", "id", "high", "i"), "left")
 
     exact = data.select("ids", "exact").mapInArrow(_exploded("x"), "id long, x binary")
-    asked = queries.select("ids", "exact").mapInArrow(_exploded("q"), "id long, q binary").withColumnRenamed("id", "query_id").dropDuplicates(["query_id"])
+    asked = queries.select("ids", "exact").mapInArrow(_exploded("q"), "id long, q binary").withColumnRenamed("id", "query_id")
 
     def read(part: DataFrame, name: str) -> DataFrame:
         # ids that repeat have been paired once for each row of theirs already

@@ -455,6 +455,22 @@ def test_va_file_awkward(spark):
     assert va_file.top_k(odd_vectors(spark).filter("false"), F.col("id") % 10 == 0, k=5).count() == 0
 
 
+def test_va_file_repeated_queries(spark):
+    df, x = vectors(spark, 200, 6)
+    ints = {i: np.floor(256 * v).astype(np.int64) for i, v in x.items()}
+    # a query three times over, and one that repeats with another, larger vector
+    other = spark.createDataFrame([(100, [99.0] + [float(v) for v in x[100]][1:])], "vec_id long, embedding array<float>")
+    again = df.filter("vec_id = 50")
+    got = {}
+    for r in va_file.top_k(df.union(again).union(again).union(other), F.col("id").isin(50, 100), k=5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+    extra = np.floor(256 * np.array([99.0, *x[100][1:]])).astype(np.int64)
+    rows = [*ints.items(), (50, ints[50]), (50, ints[50]), (100, extra)]
+    for q in (50, 100):
+        want = sorted((-int(ints[q] @ v), i) for i, v in rows if i != q)[:5]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
 def test_nn_descent_recall(spark):
     df, x = vectors(spark, 3000, 2)
     got = {}
