@@ -6,6 +6,7 @@ hashing of bytes, words and spans.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 from collections.abc import Iterator
@@ -167,6 +168,37 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class BytesHash:
+    """64-bit hashes of byte strings: eight bytes at a time, each step a bijection of the state; strings up to eight bytes of one length never collide."""
+
+    #: Longer strings go through BLAKE2b.
+    LONG = 256
+
+    def __init__(self, seed: int) -> None:
+        self.seed, self.of_size, self.of_piece = (np.uint64(int(x) * 2 + 1) for x in np.random.default_rng(seed).integers(1 << 40, 1 << 62, 3))
+
+    def of(self, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of b[start : end] for each."""
+        size = end - start
+        padded = np.zeros(len(b) + 8, np.uint8)
+        padded[: len(b)] = b
+        pieces = np.ndarray(len(b) + 1, "<u8", padded, strides=(1,))
+        h = mix64(size.astype(np.uint64) * self.of_size + self.seed)
+        h = mix64(h ^ ((pieces[start] & _MASKS[np.minimum(size, 8)]) * self.of_piece))
+        at, done = np.flatnonzero((size > 8) & (size <= self.LONG)), 8
+        while len(at):
+            h[at] = mix64(h[at] ^ ((pieces[start[at] + done] & _MASKS[np.minimum(size[at] - done, 8)]) * self.of_piece))
+            done += 8
+            at = at[size[at] > done]
+        for i in np.flatnonzero(size > self.LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(b[start[i] : end[i]], digest_size=8, salt=int(self.seed).to_bytes(16, "little")).digest(), "little")
+        return h
+
+
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
 class SpanHash:
     """Fingerprints of byte spans from prefix sums: equal spans have equal values wherever they stand."""
 

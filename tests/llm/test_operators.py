@@ -91,7 +91,38 @@ def test_ngram_join_awkward(spark):
     assert ngram_join.link(empty(spark)).count() == 0
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([1, 3, 4, 5, 6, 7, 9, None], key=repr)
+    # the row without an id has the text of row 1
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5, 6, 7, 9]
+    assert ngram_join.keep_one(empty(spark)).count() == 0
+
+
+def test_keep_one_goes_by_rows(spark):
+    words = lambda x, n=60: " ".join(f"{x}{i}" for i in range(n))
+    rows = [(5, words("a")), (5, words("b")), (5, words("b")), (3, words("a")), (None, words("c")), (None, words("c")), (None, words("d"))]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(3, words("a")), (5, words("b")), (None, words("c")), (None, words("d"))], key=repr)
+
+
+def test_ngram_join_rows_without_id_link(spark):
+    base = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(base[:90])), (None, " ".join(base[4:96])), (2, " ".join(base[12:]))]
+    got = ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute_components(rows)
+    assert {r["component_id"] for r in got} == {1}
+
+
+@pytest.mark.parametrize("few, part", [(2, 5), (2, 1 << 15), (48, 1 << 15)])
+def test_ngram_join_one_hot_column(spark, monkeypatch, few, part):
+    """Many short rows around one common passage, most of which do not link, in matrices and split into parts."""
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "PART", part)
+    monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", 1)
+    monkeypatch.setattr(ngram_join, "CELLS", 64)
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(30)]
+    rows = [(i, " ".join([f"x{rng.randint(0, 9)}" for _ in range(rng.randint(0, 7))] + common + [f"y{rng.randint(0, 9)}" for _ in range(rng.randint(0, 7))])) for i in range(150)]
+    got = ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute_components(rows)
 
 
 # 9
