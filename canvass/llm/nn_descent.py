@@ -12,10 +12,15 @@ the best found are all expanded. What is found is scored exactly at last.
 Largest inner product is nearness on a sphere after adding one component,
 sqrt(M^2 - |x|^2) with M the largest norm, to every vector; the query gets 0
 there. Nodes are dealt to tasks in blocks of neighbouring leaves, and each
-block is sent every vector it needs once.
+block is sent every vector it needs once. A block keeps the K best that it
+finds for a node, and sends what it found for a bucket of nodes as one row.
+A leaf that is larger than meant is dealt out by id, so that leaves and blocks
+stay of one size as the table grows.
 
 The index is approximate: a node keeps K neighbours and meets at most K of
-those that name it, as the method has it. Recall is measured in the tests.
+those that name it, as the method has it; those are cut to K where they are
+read, so a hub gathers K from each batch of rows at most. Recall is measured
+in the tests.
 
 Defined cases: rows with a null id, and vectors that are null, zero, or have
 null, NaN or infinite components take no part; of rows that repeat an id the
@@ -42,8 +47,10 @@ from canvass.llm.va_file import usable
 K, ROUNDS, ENOUGH = 40, 4, 0.02
 #: Trees, rows of a leaf, rows they are fitted on.
 TREES, LEAF, SAMPLE = 6, 1500, 20_000
-#: Nodes and queries of a block, candidates a query keeps, nodes it expands at once, rounds of search at most.
-BLOCK, QUERY_BLOCK, KEPT, EXPAND, SEARCH_ROUNDS = 8192, 512, 64, 16, 8
+#: Nodes and queries of a block, candidates a query keeps, nodes it expands at once.
+BLOCK, QUERY_BLOCK, KEPT, EXPAND = 4096, 512, 64, 16
+#: Buckets of nodes for each partition; what a block finds for a bucket is one row.
+BUCKETS = 16
 
 
 def best_of(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, fresh: np.ndarray, k: int, alike: bool = True):
@@ -120,6 +127,15 @@ def _unit(norm: float):
     return run
 
 
+def _lot(member: np.ndarray, node: np.ndarray, turn: int) -> np.ndarray:
+    """A seeded order of those that name a node."""
+    return (member.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (node + turn).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return (((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+
+
 def _leaves(forest, splits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, parts = pickle.loads(forest.value), splits
@@ -134,16 +150,25 @@ def _leaves(forest, splits):
                 leaf = tree.leaf_of(u)
                 n = parts[t][leaf]
                 key = (np.int64(t) << 48) | (leaf << 24) | (spread % n)
-                block = leaf if block is None else block
+                # pieces of the first tree's leaves, counted through
+                block = (np.cumsum(parts[t]) - parts[t])[leaf] + spread % n if block is None else block
                 yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0), b.column(1), pa.array(block)], ["leaf", "id", "u", "block"])
 
     return run
 
 
 NEAR = "id long, block long, u binary, nbrs binary, sims binary, fresh binary"
+#: What is merged: such rows, and rows (ids, counts, nbrs, sims, fresh) with what a block found for a bucket of nodes.
+FOUND = f"bucket int, {NEAR}, ids binary, counts binary"
+FOUND_NAMES = [x.split()[0] for x in FOUND.split(", ")]
+
+
+def _found_rows(buckets: int, ids: np.ndarray, rest: list[pa.Array]) -> pa.RecordBatch:
+    nothing = pa.nulls(len(ids), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(bucket_of(ids, buckets)), pa.array(ids), *rest, nothing, nothing], FOUND_NAMES)
 
 
-def _within_leaves(k: int, most: int):
+def _within_leaves(k: int, most: int, per_block: int, buckets: int):
     """Best neighbours within each leaf, a leaf at a time and never more than `most` rows of it together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,51 +193,71 @@ def _within_leaves(k: int, most: int):
                     u_out = part.column(2).combine_chunks() if own else pa.nulls(len(ids), pa.binary())
                     if isinstance(u_out, pa.ChunkedArray):
                         u_out = pa.concat_arrays(u_out.chunks)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.asarray(part.column(3))), u_out, packed(nbrs.ravel(), n), packed(sims.ravel(), n), packed(np.ones(nbrs.size, bool), n)], ["id", "block", "u", "nbrs", "sims", "fresh"])
+                    yield _found_rows(buckets, ids, [pa.array(np.asarray(part.column(3)) // per_block), u_out, packed(nbrs.ravel(), n), packed(sims.ravel(), n), packed(np.ones(nbrs.size, bool), n)])
 
     return run
 
 
 def _merge(k: int):
-    """Rows (id, block, u, nbrs, sims, fresh) in order of id, one of which has u, to one row for each id."""
+    """Rows of FOUND in order of bucket, one of which has u for each id, to one row for each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches):
-            ids = np.asarray(t.column(0))
-            nbrs, n = lists(t.column(3), np.int64)
-            sims, fresh = lists(t.column(4), np.float32)[0], lists(t.column(5), bool)[0]
-            who, counts, nbrs, sims, fresh = best_of(np.repeat(ids, n), nbrs, sims, fresh, k)
-            has = np.flatnonzero(~np.asarray(t.column(2).is_null()))
+        for t in whole_groups(batches, 1):
+            single = ~np.asarray(t.column(1).is_null())
+            ids = np.asarray(t.column(1).fill_null(0))
+            nbrs, n = lists(t.column(4), np.int64)
+            sims, fresh = lists(t.column(5), np.float32)[0], lists(t.column(6), bool)[0]
+            many, m = lists(t.column(7), np.int64)
+            owners = np.where(single, 1, m)
+            row = np.repeat(single, owners)
+            owner, count = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+            owner[row], count[row] = ids[single], n[single]
+            owner[~row], count[~row] = many, lists(t.column(8), np.int32)[0]
+            who, counts, nbrs, sims, fresh = best_of(np.repeat(owner, count), nbrs, sims, fresh, k)
+            has = np.flatnonzero(~np.asarray(t.column(3).is_null()))
             own, at = np.unique(ids[has], return_index=True)
             full = np.zeros(len(own), np.int64)
             full[np.searchsorted(own, who)] = counts
             rows = t.take(pa.array(has[at]))
-            u = rows.column(2)
+            u = rows.column(3)
             u = pa.concat_arrays(u.chunks) if isinstance(u, pa.ChunkedArray) else u
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.asarray(rows.column(1))), u, packed(nbrs, full), packed(sims, full), packed(fresh, full)], ["id", "block", "u", "nbrs", "sims", "fresh"])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.asarray(rows.column(2))), u, packed(nbrs, full), packed(sims, full), packed(fresh, full)], ["id", "block", "u", "nbrs", "sims", "fresh"])
 
     return run
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, member, fresh, named, block): each neighbour of a node, and the node as one that names its neighbour."""
-    for b in batches:
-        ids, block = np.asarray(b.column(0)), np.asarray(b.column(1))
-        nbrs, n = lists(b.column(3), np.int64)
-        fresh = lists(b.column(5), bool)[0]
-        own = np.repeat(ids, n)
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(nbrs), pa.array(fresh), pa.array(np.zeros(len(own), bool)), pa.array(np.repeat(block, n))], ["node", "member", "fresh", "named", "block"])
-        yield pa.RecordBatch.from_arrays([pa.array(nbrs), pa.array(own), pa.array(fresh), pa.array(np.ones(len(own), bool)), pa.array(np.full(len(own), -1))], ["node", "member", "fresh", "named", "block"])
+EDGES = "node long, member long, fresh boolean, named boolean, block long"
+
+
+def _edges(k: int, turn: int):
+    """Each neighbour of a node, and the node as one of those that name its neighbour: k of them from a batch at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in EDGES.split(", ")]
+        with np.errstate(over="ignore"):
+            for b in batches:
+                ids, block = np.asarray(b.column(0)), np.asarray(b.column(1))
+                nbrs, n = lists(b.column(3), np.int64)
+                fresh = lists(b.column(5), bool)[0]
+                own = np.repeat(ids, n)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(nbrs), pa.array(fresh), pa.array(np.zeros(len(own), bool)), pa.array(np.repeat(block, n))], names)
+                order = np.lexsort((_lot(own, nbrs, turn), nbrs))
+                own, nbrs, fresh = own[order], nbrs[order], fresh[order]
+                first = np.flatnonzero(np.concatenate([[True], nbrs[1:] != nbrs[:-1]])) if len(nbrs) else np.zeros(0, np.int64)
+                keep = np.arange(len(nbrs)) - np.repeat(first, np.diff(np.append(first, len(nbrs)))) < k
+                own, nbrs, fresh = own[keep], nbrs[keep], fresh[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(nbrs), pa.array(own), pa.array(fresh), pa.array(np.ones(len(own), bool)), pa.array(np.full(len(own), -1))], names)
+
+    return run
 
 
 def _meetings(k: int, turn: int):
     """For each node those who meet there: its neighbours, and k of those that name it, dealt by a seeded order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, 200_000):
+        for t in whole_groups(batches, 100_000):
             node, member, fresh, named, block = (np.asarray(c) for c in t.columns)
-            lot = (member.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (node + turn).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-            order = np.lexsort((lot, named, node))
+            order = np.lexsort((_lot(member, node, turn), named, node))
             node, member, fresh, named, block = node[order], member[order], fresh[order], named[order], block[order]
             first = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (named[1:] != named[:-1])]))
             place = np.arange(len(node)) - np.repeat(first, np.diff(np.append(first, len(node))))
@@ -243,8 +288,8 @@ def _column(t: pa.Table, name: str):
     return c.combine_chunks() if isinstance(c, pa.ChunkedArray) and c.num_chunks else c
 
 
-def _introduce(k: int):
-    """In one block: all pairs that meet, one of them new, kept where they beat the k-th neighbour of either."""
+def _introduce(k: int, buckets: int):
+    """In one block: all pairs that meet, one of them new, kept where they beat the k-th neighbour of either; one row a bucket."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         ids = np.asarray(_column(right, "id"))
@@ -292,7 +337,15 @@ def _introduce(k: int):
             who = other = np.zeros(0, np.int64)
             sim = np.zeros(0, np.float32)
         own, counts = np.unique(who, return_counts=True)
-        return pa.table([pa.array(ids[own]), pa.array(np.full(len(own), -1)), pa.nulls(len(own), pa.binary()), packed(ids[other], counts), packed(sim.astype(np.float32), counts), packed(np.ones(len(other), bool), counts)], ["id", "block", "u", "nbrs", "sims", "fresh"])
+        bucket = bucket_of(ids[own], buckets)
+        order = np.argsort(bucket, kind="stable")
+        begin, counts, bucket = (np.cumsum(counts) - counts)[order], counts[order], bucket[order]
+        place = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(len(who))
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+        nodes = np.diff(np.append(first, len(bucket)))
+        size = np.add.reduceat(counts, first) if len(first) else first
+        nothing = lambda kind: pa.nulls(len(first), kind)
+        return pa.table([pa.array(bucket[first]), nothing(pa.int64()), nothing(pa.int64()), nothing(pa.binary()), packed(ids[other[place]], size), packed(sim[place].astype(np.float32), size), packed(np.ones(len(who), bool), size), packed(ids[own[order]], nodes), packed(counts.astype(np.int32), nodes)], FOUND_NAMES)
 
     return run
 
@@ -328,38 +381,37 @@ def build(rows: DataFrame, scratch: Scratch, *, k: int = K, rounds: int = ROUNDS
     splits = [np.array([max(1, round(s * n / len(x) / (2 * LEAF))) for s in t.sizes]) for t in trees]
     forest = spark.sparkContext.broadcast(pickle.dumps(trees))
     dealt = base.mapInArrow(_leaves(forest, splits), "leaf long, id long, u binary, block long")
-    near = dealt.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(_within_leaves(max(k // 2, 20), 4 * LEAF), NEAR)
-    per_block = max(1, round(BLOCK / max(1, n / len(trees[0].sizes))))
-    near = near.withColumn("block", F.when(F.col("block") >= 0, F.floor(F.col("block") / per_block)).otherwise(F.col("block")))
-    merged = lambda df: df.repartition(parts, "id").sortWithinPartitions("id").mapInArrow(_merge(k), NEAR)
+    per_block, buckets = max(1, round(BLOCK / max(1, n / int(splits[0].sum())))), BUCKETS * parts
+    near = dealt.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(_within_leaves(max(k // 2, 20), 4 * LEAF, per_block, buckets), FOUND)
+    merged = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge(k), NEAR)
     graph = scratch.cut(merged(near), "graph-0")
     scratch.drop("base")
-    for turn in range(rounds + 1):
-        edges = graph.mapInArrow(_edges, "node long, member long, fresh boolean, named boolean, block long")
+    turn, going = 0, True
+    while True:
+        edges = graph.mapInArrow(_edges(k, turn), EDGES)
         meet = edges.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_meetings(k, turn), "block long, node long, members binary, fresh binary")
         meet = scratch.cut(meet, f"meet-{turn}")
-        if turn == rounds:
-            break
+        if turn == rounds or not going:
+            return graph, meet
         known = graph.mapInArrow(_kth(k), "id long, u binary, kth float")
         need = meet.mapInArrow(_needed, "block long, id long").distinct().join(known, "id").select("block", "id", "u", "kth")
-        new = meet.groupBy("block").cogroup(need.groupBy("block")).applyInArrow(_introduce(k), NEAR)
-        old = graph.mapInArrow(_seen, NEAR)
+        new = meet.groupBy("block").cogroup(need.groupBy("block")).applyInArrow(_introduce(k, buckets), FOUND)
+        old = graph.mapInArrow(_seen(buckets), FOUND)
         graph = scratch.cut(merged(old.union(new)), f"graph-{turn + 1}")
         scratch.drop(f"graph-{turn}", f"meet-{turn}")
         changed = graph.mapInArrow(_changed, "n long").agg(F.sum("n")).first()[0] or 0
-        if changed < ENOUGH * n * k:
-            rounds = turn + 1
-            edges = graph.mapInArrow(_edges, "node long, member long, fresh boolean, named boolean, block long")
-            meet = scratch.cut(edges.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_meetings(k, turn), "block long, node long, members binary, fresh binary"), f"meet-{turn + 1}")
-            break
-    return graph, meet
+        turn, going = turn + 1, changed >= ENOUGH * n * k
 
 
-def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _seen(buckets: int):
     """All neighbours have met now."""
-    for b in batches:
-        flat, n = lists(b.column(5), bool)
-        yield pa.RecordBatch.from_arrays([*b.columns[:5], packed(np.zeros(len(flat), bool), n)], b.schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, n = lists(b.column(5), bool)
+            yield _found_rows(buckets, np.asarray(b.column(0)), [*b.columns[1:5], packed(np.zeros(len(flat), bool), n)])
+
+    return run
 
 
 def _changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,7 +503,8 @@ def search(graph: DataFrame, meet: DataFrame, is_query: Column, scratch: Scratch
     queries = vectors.filter(is_query)
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     walk = scratch.cut(queries.mapInArrow(_start(blocks), WALK), "walk-0")
-    for turn in range(SEARCH_ROUNDS):
+    turn = 0
+    while True:  # each turn expands nodes that were not expanded, until no query has one among its best
         front = scratch.cut(walk.mapInArrow(_frontier(EXPAND, k), "node long, query long, block long"), f"front-{turn}")
         if front.isEmpty():
             break
@@ -461,6 +514,7 @@ def search(graph: DataFrame, meet: DataFrame, is_query: Column, scratch: Scratch
         after = walk.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_advance(EXPAND, k, kept), WALK)
         walk = scratch.cut(after, f"walk-{turn + 1}")
         scratch.drop(f"walk-{turn}", f"front-{turn}", f"links-{turn}")
+        turn += 1
     return walk.mapInArrow(_found(max(2 * k, 40)), "query long, id long")
 
 
