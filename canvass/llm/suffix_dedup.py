@@ -3,26 +3,31 @@
 Prefix doubling names every position by the rank of the string of length h
 that starts there, pairs the names of positions h apart, sorts the pairs and
 so names strings of length 2h; positions whose name is unique drop out. Here
-a name is a fingerprint that each task computes alike, so that only the
-sorting of names, which tells unique from repeated, is left to Spark.
-
-Positions are not sent one by one. In each window of LENGTH bytes the least
-hash of a string of GRAM bytes marks an anchor; equal windows have equal
-anchors at equal offsets, so a window repeats only where its anchor does.
-The names of anchors (GRAM bytes, half the threshold) are sorted first, and
-anchors with a unique name drop out with all their windows. Among anchors of
-one name, all windows of an anchor are named at once by the string that spans
-them: if that repeats, they all do. Only where anchors of one name stand in
-differing surroundings are windows named one by one, from the pair of names
-half a window apart, and sorted; those past the threshold of LENGTH bytes
-that repeat are removed. What a task has seen twice itself it does not send
-twice, so a string that is everywhere arrives once from each task.
+names grow in the same way, from 8 bytes on: the name at length 2h is that of
+the pair of names h apart. But a name is a fingerprint of the pair, which
+each task computes alike, so that Spark has to sort names only where that
+tells unique from repeated: at half the threshold and at the threshold.
+
+At half the threshold not all positions are sent. In each window of LENGTH
+bytes the least hash of a string of GRAM bytes marks an anchor; equal windows
+have equal anchors at equal offsets, so a window repeats only where its anchor
+does. Spark sorts the names of anchors, and those with a unique name drop out
+with all their windows. Among anchors of one name, all windows of an anchor
+are named at once by the string that spans them: if that repeats, they all
+do. Only where anchors of one name stand in differing surroundings are windows
+named one by one, from the pair of names half a window apart, and sorted;
+those past the threshold of LENGTH bytes that repeat are removed.
+
+A string that is everywhere does not meet in one task. What a task has seen
+twice itself it does not send twice; where it sees an anchor's name in many
+surroundings, it says so once, and deals these rows by name and surroundings;
+and the windows of a name with many anchors are dealt by their own names too.
 
 Defined cases: a null text is an empty one, and nothing of it or of texts
 shorter than LENGTH is removed; overlapping occurrences count, within a text
 too; equal rows (same doc_id and text) are two occurrences; an empty table
-gives no rows; other columns are not read. Spans are compared by 128 bits,
-single windows by 64 bits among those whose anchors have one name.
+gives no rows; other columns are not read. Anchors are compared by 64 bits,
+and spans and windows by 64 bits more among those whose anchors have one name.
 """
 
 from __future__ import annotations
@@ -35,16 +40,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm.common import STEP_BYTES, Scratch, SpanHash, flat_text, lists, mix64, packed, steps, table, whole_groups
+from canvass.llm.common import _MASKS, STEP_BYTES, Scratch, _pieces, flat_text, lists, mix64, packed, steps, table, whole_groups
 
 LENGTH, GRAM = 400, 200
 #: Documents whose ids are broadcast to filter a scan; beyond it a shuffled join does it.
 BROADCAST_IDS = 1_000_000
-_A, _B = SpanHash(101), SpanHash(202)
+#: Surroundings of one name in a batch beyond which they are dealt on their own, and anchors of a name whose windows meet in one task.
+MANY, TOGETHER = 8, 400
 _BITS = np.uint64(22)
+_FIRST, _LEFT, _SALT = (np.uint64(int(x) * 2 + 1) for x in np.random.default_rng(101).integers(1 << 40, 1 << 62, 3))
 NO_ID = -(1 << 63)
 
 
+def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The name of two names, one after the other."""
+    return mix64(left * _LEFT + right)
+
+
+def names(b: np.ndarray, *lengths: int) -> list[np.ndarray]:
+    """For each length, in growing order, the names of the strings of that length at every place that has one, by doubling."""
+    out, h = [], min(8, lengths[0])
+    name = mix64((_pieces(b)[: max(0, len(b) - h + 1)] & _MASKS[h]) * _FIRST)
+    for length in lengths:
+        while 2 * h <= length:
+            name = _pair(name[: max(0, len(name) - h)], name[h:])
+            h *= 2
+        # two strings that overlap, if it is no power of two
+        out.append(name if h == length else _pair(name[: max(0, len(b) - length + 1)], name[length - h :]))
+    return out
+
+
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Least of x[i : i + w] for each i that has as many."""
     n = len(x)
@@ -58,30 +83,46 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 def anchor_runs(b: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     """Row, first window start and anchor (in the row), windows, anchor name and two names of the spanning string, for each anchor."""
-    empty = np.zeros(0, np.int64)
+    nothing = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 3
     if len(b) < length:
-        return (empty,) * 7
-    p = _A.prefix(b)
+        return nothing
     at = np.arange(len(b) - gram + 1)
-    name = _A.span(p, at, at + gram)
+    name = names(b, gram)[0]
     # by hash, then leftmost: the low bits hold the position
-    packed = (name >> _BITS << _BITS) | at.astype(np.uint64)
-    anchor = (_sliding_min(packed, length - gram + 1) & np.uint64((1 << int(_BITS)) - 1)).astype(np.int64)
+    ordered = (name >> _BITS << _BITS) | at.astype(np.uint64)
+    anchor = (_sliding_min(ordered, length - gram + 1) & np.uint64((1 << int(_BITS)) - 1)).astype(np.int64)
     valid = np.zeros(len(b) + 1, np.int64)
     ok = np.diff(offsets) >= length
     np.add.at(valid, offsets[:-1][ok], 1)
     np.add.at(valid, offsets[1:][ok] - length + 1, -1)
     start = np.flatnonzero(np.cumsum(valid[: len(anchor)]))
     if not len(start):
-        return (empty,) * 7
+        return nothing
     a = anchor[start]
     begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
     n = np.diff(np.concatenate([begin, [len(start)]]))
     first, a = start[begin], a[begin]
-    end = first + n - 1 + length
-    salt = mix64(((a - first) << 32 | n).astype(np.uint64))
     row = np.searchsorted(offsets, first, "right") - 1
-    return row, first - offsets[row], a - offsets[row], n, name[a], _A.span(p, first, end) ^ salt, _B.span(_B.prefix(b), first, end) + salt
+    u, v = _spanning(name, first, n, length, gram, ((a - first) << 32 | n).astype(np.uint64))
+    return row, first - offsets[row], a - offsets[row], n, name[a], u, v
+
+
+def _spanning(name: np.ndarray, first: np.ndarray, n: np.ndarray, length: int, gram: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two fingerprints of strings of length + n - 1 bytes with an anchor at `place`, each from names of strings that cover them."""
+    end = first + n - 1 + length - gram  # where the last string of GRAM bytes starts
+    u = v = mix64(place)
+    for i in range(0, length, gram):
+        u = _pair(u, name[np.minimum(first + i, end)])
+        v = _pair(v + _SALT, name[np.maximum(end - i, first)])
+    # runs of more windows than a gram is long are covered gram by gram
+    long, at = np.flatnonzero(n > gram), length
+    while len(long):
+        u[long] = _pair(u[long], name[np.minimum(first[long] + at, end[long])])
+        v[long] = _pair(v[long] + _SALT, name[np.maximum(end[long] - at, first[long])])
+        at += gram
+        long = long[first[long] + at < end[long] + gram]
+    u, v = _pair(u, name[end]), _pair(v + _SALT, name[first])
+    return u, v
 
 
 def _parts(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -97,12 +138,17 @@ def _parts(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray
             yield i, 0, x, o[i : j + 1] - o[i]
 
 
-RUNS = "name long, u long, v long, doc_id long, uid long, first long, n int, whole boolean, known boolean"
+RUNS = "deal long, name long, u long, v long, doc_id long, uid long, first long, n int, whole boolean, known boolean, many boolean"
 RUN_NAMES = [x.split()[0] for x in RUNS.split(", ")]
 
 
-def _anchors(length: int, gram: int):
-    """Runs of windows by anchor. Of equal runs in one batch one is sent as `known` to repeat, and the others as `whole`, done with."""
+def _anchors(length: int, gram: int, many: int):
+    """Runs of windows by anchor.
+
+    Of equal runs in one batch one is sent as `known` to repeat, and the others
+    as `whole`, done with. A name in more than `many` surroundings is sent once
+    as a row without a document; its runs are dealt by their surroundings.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -114,15 +160,24 @@ def _anchors(length: int, gram: int):
                 if not parts:
                     continue
                 row, first, n, name, u, v = (np.concatenate(x) for x in zip(*parts, strict=True))
-                order = np.lexsort((v, u))
-                same = np.zeros(len(u), bool)
-                same[1:] = (u[order][1:] == u[order][:-1]) & (v[order][1:] == v[order][:-1])
-                whole, known = np.zeros(len(u), bool), np.zeros(len(u), bool)
+                order = np.lexsort((v, u, name))
+                same, new = np.zeros(len(u), bool), np.ones(len(u), bool)
+                same[1:] = (u[order][1:] == u[order][:-1]) & (v[order][1:] == v[order][:-1]) & (name[order][1:] == name[order][:-1])
+                new[1:] = name[order][1:] != name[order][:-1]
+                whole, known, hot = np.zeros(len(u), bool), np.zeros(len(u), bool), np.zeros(len(u), bool)
                 whole[order] = same
                 known[order[:-1]] = same[1:] & ~same[:-1]
-                at = pa.array(row)
-                longs = [pa.array(x.astype(np.int64)) for x in (name, u, v)]
-                yield pa.RecordBatch.from_arrays([*longs, batch.column(0).take(at), batch.column(1).take(at), pa.array(first), pa.array(n.astype(np.int32)), pa.array(whole), pa.array(known)], RUN_NAMES)
+                group = np.cumsum(new) - 1
+                crowded = np.bincount(group, ~same) > many if len(u) else new
+                hot[order] = crowded[group]
+                # what is done with is dealt by place: it is much where a string is everywhere
+                deal = np.where(whole, mix64(first.astype(np.uint64) + u), np.where(hot, mix64(name ^ mix64(u)), name))
+                told = order[new][crowded]
+                at, k = pa.array(np.concatenate([row, row[told]])), len(told)
+                also = lambda x, y: pa.array(np.concatenate([x, y]))
+                longs = [pa.array(np.concatenate([x, y]).view(np.int64)) for x, y in ((deal, name[told]), (name, name[told]), (u, u[told]), (v, v[told]))]
+                no = np.zeros(k, bool)
+                yield pa.RecordBatch.from_arrays([*longs, batch.column(0).take(at), batch.column(1).take(at), also(first, first[told]), pa.array(np.concatenate([n, np.zeros(k, n.dtype)]).astype(np.int32)), also(whole, no), also(known, no), also(hot, ~no)], RUN_NAMES)
 
     return run
 
@@ -132,43 +187,49 @@ OPEN_NAMES = [x.split()[0] for x in OPEN.split(", ")]
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of runs in order of name: `whole` ones, whose spanning string repeats, and `open` ones, one for each kind of a name with several."""
+    """Of runs in order of deal: `whole` ones, whose spanning string repeats, and `open` ones, one for each kind of a name with several."""
     for t in whole_groups(batches, 50_000):
-        name, u, v, done, known = (np.asarray(t.column(i)) for i in (0, 1, 2, 7, 8))
+        deal, name, u, v = (np.asarray(t.column(i)) for i in range(4))
+        n, done, known, many = (np.asarray(t.column(i)) for i in (7, 8, 9, 10))
         keys = np.flatnonzero(~done)
-        order = keys[np.lexsort((v[keys], u[keys], name[keys]))]
-        a, b, c = name[order], u[order], v[order]
-        new_name = np.concatenate([[True], a[1:] != a[:-1]]) if len(order) else np.zeros(0, bool)
+        order = keys[np.lexsort((v[keys], u[keys], name[keys], deal[keys]))]
+        a, b, c, d = name[order], u[order], v[order], deal[order]
+        new_name = np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])]) if len(order) else np.zeros(0, bool)
         new_kind = new_name | np.concatenate([[True], (b[1:] != b[:-1]) | (c[1:] != c[:-1])]) if len(order) else new_name
         kind, group = np.cumsum(new_kind) - 1, np.cumsum(new_name) - 1
-        size = np.bincount(kind) if len(order) else kind
-        kinds = np.bincount(group[new_kind]) if len(order) else group
+        real = n[order] > 0
+        size = np.bincount(kind, real) if len(order) else kind
+        several = (np.bincount(group[new_kind]) > 1) | (np.bincount(group, many[order]) > 0) if len(order) else group
         heard = np.bincount(kind, known[order]) > 0 if len(order) else known[:0]
         whole, open_ = done.copy(), np.zeros(len(name), bool)
         whole[order] = (size[kind] > 1) | heard[kind]
-        open_[order] = new_kind & (kinds[group] > 1)
-        keep = np.flatnonzero(whole | open_)
+        # one of each kind: the first that has a document
+        of = order[real]
+        _, at = np.unique(kind[real], return_index=True)
+        open_[of[at]] = several[group[real][at]]
+        keep = np.flatnonzero((whole | open_) & (n > 0))
         at = pa.array(keep)
-        yield pa.RecordBatch.from_arrays([pa.array(name[keep]), *(t.column(i).combine_chunks().take(at) for i in (3, 4, 5, 6)), pa.array(whole[keep]), pa.array(open_[keep])], OPEN_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(name[keep]), *(t.column(i).combine_chunks().take(at) for i in (4, 5, 6, 7)), pa.array(whole[keep]), pa.array(open_[keep])], OPEN_NAMES)
 
 
-WINDOWS = "name long, doc_id long, uid long, first long, n int, keys binary, hits binary"
+WINDOWS = "deal long, name long, doc_id long, uid long, first long, places binary, keys binary, hits binary"
 WINDOW_NAMES = [x.split()[0] for x in WINDOWS.split(", ")]
 
 
 def _window_names(length: int):
     """The names of the windows of each open run, from those of their halves, as 64-bit values in a binary column.
 
-    Of equal ones in one flush, one is sent as a hit and the others, hits as well, are blank.
+    Of equal ones in one flush, one is sent as a hit and the others, hits as
+    well, are blank. Runs of a name that is dealt out are cut into parts by the
+    windows' names; places then tell which windows a part holds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half = length // 2
         held: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            name, doc, uid, first, n, done, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+            name, doc, uid, first, n, done, parts, keys = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             hits = np.repeat(done, n)
             order = np.argsort(keys, kind="stable")
@@ -178,56 +239,78 @@ def _window_names(length: int):
             again[order] = same
             hits[order[1:]] |= same[1:]
             hits[order[:-1]] |= same[1:]
+            part = (keys >> np.uint64(7)) % np.repeat(parts, n).astype(np.uint64)
             keys[again] = 0
-            return pa.RecordBatch.from_arrays([pa.array(name), pa.array(doc), pa.array(uid), pa.array(first), pa.array(n.astype(np.int32)), packed(keys, n), packed(hits, n)], WINDOW_NAMES)
+            row = np.repeat(np.arange(len(n)), n)
+            place = (np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            if parts.max() > 1:
+                order = np.lexsort((place, part, row))
+                row, place, part, keys, hits = row[order], place[order], part[order], keys[order], hits[order]
+            begin = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])]))
+            m, of = np.diff(np.append(begin, len(row))), row[begin]
+            deal = np.where(parts[of] > 1, mix64(name[of].astype(np.uint64) + mix64(part[begin])).view(np.int64), name[of])
+            return pa.RecordBatch.from_arrays([pa.array(deal), pa.array(name[of]), pa.array(doc[of]), pa.array(uid[of]), pa.array(first[of]), packed(place, m), packed(keys, m), packed(hits, m)], WINDOW_NAMES)
 
         with np.errstate(over="ignore"):
             for batch in batches:
                 ids, uids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
                 runs = batch.column(3)
                 ends, flat = np.asarray(runs.offsets), runs.values
-                name, first, n, done = (np.asarray(flat.field(x)) for x in ("name", "first", "n", "whole"))
+                name, first, n, done, parts = (np.asarray(flat.field(x)) for x in ("name", "first", "n", "whole", "parts"))
                 for r in range(len(ids)):
                     b, _ = flat_text(batch.column(2).slice(r, 1))
                     part = slice(ends[r], ends[r + 1])
                     f, k = first[part], n[part].astype(np.int64)
-                    low, high = int(f.min()), int((f + k).max()) - 1 + length
-                    p = _A.prefix(b[low:high])
-                    s = np.repeat(f - low - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
-                    keys = mix64(_A.span(p, s, s + half) + np.uint64(3) * mix64(_A.span(p, s + half, s + length)))
-                    keys[keys == 0] = 1
-                    held.append((name[part], np.full(len(f), ids[r]), np.full(len(f), uids[r]), f, k, done[part], keys))
-                    size += len(s)
-                    if size > 1 << 20:
-                        yield flush()
-                        size = 0
+                    for i, j, low, high in _stretches(f, k, length):
+                        key = names(b[low:high], length)[0]
+                        s = np.repeat(f[i:j] - low - (np.cumsum(k[i:j]) - k[i:j]), k[i:j]) + np.arange(k[i:j].sum())
+                        key = np.maximum(key[s], np.uint64(1))
+                        at = slice(ends[r] + i, ends[r] + j)
+                        held.append((name[at], np.full(j - i, ids[r]), np.full(j - i, uids[r]), f[i:j], k[i:j], done[at], parts[at], key))
+                        size += len(s)
+                        if size > 1 << 19:
+                            yield flush()
+                            size = 0
             if held:
                 yield flush()
 
     return run
 
 
+def _stretches(first: np.ndarray, n: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """Runs i to j in order of place, with the bytes low to high that their windows cover: at most about a step, and no wide gaps."""
+    i = 0
+    while i < len(first):
+        low, j, high = int(first[i]), i + 1, int(first[i] + n[i]) - 1 + length
+        while j < len(first) and first[j] < high + length and first[j] + n[j] - low < STEP_BYTES:
+            high = max(high, int(first[j] + n[j]) - 1 + length)
+            j += 1
+        yield i, j, low, high
+        i = j
+
+
 SPANS = "doc_id long, uid long, first long, n int"
 
 
 def _window_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of windows in order of the names of their anchors, runs of those whose own names repeat."""
+    """Of windows in order of deal, runs of those whose own names repeat."""
     for t in whole_groups(batches, 5_000):
-        name = np.asarray(t.column(0))
-        n = np.asarray(t.column(4)).astype(np.int64)
-        keys = lists(t.column(5), np.uint64)[0]
-        hits = lists(t.column(6), bool)[0].copy()
-        order = np.lexsort((keys, np.repeat(name, n)))
-        k, a = keys[order], np.repeat(name, n)[order]
+        name = np.asarray(t.column(1))
+        place, n = lists(t.column(5), np.int32)
+        keys = lists(t.column(6), np.uint64)[0]
+        hits = lists(t.column(7), bool)[0].copy()
+        of = np.repeat(name, n)
+        order = np.lexsort((keys, of))
+        k, a = keys[order], of[order]
         same = (k[1:] == k[:-1]) & (a[1:] == a[:-1]) & (k[1:] != 0)
         hits[order[1:]] |= same
         hits[order[:-1]] |= same
         row = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n)
-        begin = np.flatnonzero(hits & np.concatenate([[True], ~hits[:-1] | (row[1:] != row[:-1])])) if len(hits) else row
-        end = np.flatnonzero(hits & np.concatenate([~hits[1:] | (row[1:] != row[:-1]), [True]])) if len(hits) else row
+        next_ = (row[1:] == row[:-1]) & (place[1:] == place[:-1] + 1) & hits[1:] & hits[:-1]
+        begin = np.flatnonzero(hits & ~np.concatenate([[False], next_])) if len(hits) else row
+        end = np.flatnonzero(hits & ~np.concatenate([next_, [False]])) if len(hits) else row
         at = pa.array(row[begin])
-        yield pa.RecordBatch.from_arrays([t.column(1).combine_chunks().take(at), t.column(2).combine_chunks().take(at), pa.array(np.asarray(t.column(3))[row[begin]] + place[begin]), pa.array((end - begin + 1).astype(np.int32))], ["doc_id", "uid", "first", "n"])
+        yield pa.RecordBatch.from_arrays([t.column(2).combine_chunks().take(at), t.column(3).combine_chunks().take(at), pa.array(np.asarray(t.column(4))[row[begin]] + place[begin]), pa.array((end - begin + 1).astype(np.int32))], ["doc_id", "uid", "first", "n"])
 
 
 def _docs_of(docs: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
@@ -238,15 +321,18 @@ def _docs_of(docs: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, scratch: Scratch, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, uid and spans, an array of (first, n): n windows from byte `first` on occur elsewhere; docs has doc_id, uid, text."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = docs.select("doc_id", "uid", "text").mapInArrow(_anchors(length, gram), RUNS)
-    # runs that are done with are dealt by place: they are many where a string is everywhere
-    runs = runs.repartition(parts, F.when(F.col("whole"), F.xxhash64("doc_id", "first")).otherwise(F.col("name"))).sortWithinPartitions("name")
+    runs = docs.select("doc_id", "uid", "text").mapInArrow(_anchors(length, gram, MANY), RUNS)
+    runs = runs.repartition(parts, "deal").sortWithinPartitions("deal")
     found = scratch.cut(runs.mapInArrow(_repeated, OPEN), "found")
-    by_doc = found.filter("open").groupBy("doc_id", "uid").agg(F.collect_list(F.struct("name", "first", "n", "whole")).alias("runs"))
+    # names with many anchors: their windows are dealt out in parts
+    crowded = found.filter("open").groupBy("name").count().filter(F.col("count") > TOGETHER).select("name", F.ceil(F.col("count") / TOGETHER).cast("int").alias("parts"))
+    crowded = scratch.cut(crowded, "crowded")
+    open_ = found.filter("open").join(F.broadcast(crowded) if crowded.count() <= BROADCAST_IDS else crowded, "name", "left")
+    by_doc = open_.groupBy("doc_id", "uid").agg(F.array_sort(F.collect_list(F.struct("first", "name", "n", "whole", F.coalesce("parts", F.lit(1)).alias("parts")))).alias("runs"))
     by_doc = scratch.cut(by_doc, "open")
     texts = _docs_of(docs, by_doc.select("doc_id", "uid"), "left_semi")
     named = texts.join(by_doc.hint("merge"), ["doc_id", "uid"]).select("doc_id", "uid", "text", "runs").mapInArrow(_window_names(length), WINDOWS)
-    single = named.repartition(parts, "name").sortWithinPartitions("name").mapInArrow(_window_hits, SPANS)
+    single = named.repartition(parts, "deal").sortWithinPartitions("deal").mapInArrow(_window_hits, SPANS)
     spans = found.filter("whole").select("doc_id", "uid", "first", "n").union(single)
     return spans.groupBy("doc_id", "uid").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
 
@@ -296,7 +382,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, t
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
     docs = docs.select(key, F.xxhash64("text").alias("uid"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), row)
     spans = scratch.cut(repeated_spans(docs.select("doc_id", "uid", "text"), scratch, length=length, gram=gram), "spans")
-    scratch.drop("found", "open")
+    scratch.drop("found", "open", "crowded")
     ids = spans.select("doc_id", "uid")
     hit = _docs_of(docs, ids, "left_semi").join(spans, ["doc_id", "uid"]).select("doc_id", "uid", "text", "row", "spans")
     rest = _docs_of(docs, ids, "left_anti").select("doc_id", "uid", "text", "row")
