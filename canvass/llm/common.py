@@ -180,9 +180,7 @@ class BytesHash:
     def of(self, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of b[start : end] for each."""
         size = end - start
-        padded = np.zeros(len(b) + 8, np.uint8)
-        padded[: len(b)] = b
-        pieces = np.ndarray(len(b) + 1, "<u8", padded, strides=(1,))
+        pieces = _pieces(b)
         h = mix64(size.astype(np.uint64) * self.of_size + self.seed)
         h = mix64(h ^ ((pieces[start] & _MASKS[np.minimum(size, 8)]) * self.of_piece))
         at, done = np.flatnonzero((size > 8) & (size <= self.LONG)), 8
@@ -199,6 +197,85 @@ class BytesHash:
 _MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
+def _pieces(b: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as numbers; zeros follow the end."""
+    padded = np.zeros(len(b) + 8, np.uint8)
+    padded[: len(b)] = b
+    return np.ndarray(len(b) + 1, "<u8", padded, strides=(1,))
+
+
+class SpanTable:
+    """Numbers of the byte strings seen so far, found by hash and compared by their bytes."""
+
+    def __init__(self, seed: int, slots: int) -> None:
+        self.hash, self.slots = BytesHash(seed), slots
+        self.keys, self.codes = np.zeros(1 << slots, np.uint64), np.zeros(1 << slots, np.int32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys[:] = 0
+        self.n = 0
+        self.at, self.bytes = np.zeros(1 << 12, np.int64), np.zeros(1 << 16, np.uint8)
+
+    @property
+    def held(self) -> int:
+        """Bytes of the strings held."""
+        return int(self.at[self.n])
+
+    def hashes(self, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return np.maximum(self.hash.of(b, start, end), np.uint64(1))  # 0 marks a free slot
+
+    def _same(self, code: np.ndarray, b: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        own = self.at[code]
+        ok = self.at[code + 1] - own == size
+        mine, theirs = np.ndarray(len(self.bytes) - 7, "<u8", self.bytes, strides=(1,)), _pieces(b)
+        at, done = np.flatnonzero(ok & (size <= BytesHash.LONG)), 0
+        while len(at):
+            mask = _MASKS[np.minimum(size[at] - done, 8)]
+            good = (mine[own[at] + done] & mask) == (theirs[start[at] + done] & mask)
+            ok[at[~good]] = False
+            done += 8
+            at = at[good & (size[at] > done)]
+        for i in np.flatnonzero(ok & (size > BytesHash.LONG)).tolist():
+            ok[i] = np.array_equal(self.bytes[own[i] : own[i] + size[i]], b[start[i] : start[i] + size[i]])
+        return ok
+
+    def find(self, h: np.ndarray, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each string, -1 where it is new."""
+        out, left = np.full(len(h), -1, np.int32), np.arange(len(h))
+        slot = (h >> np.uint64(64 - self.slots)).astype(np.int64)
+        while len(left):
+            there = self.keys[slot]
+            hit = there == h[left]
+            which = np.flatnonzero(hit)
+            code = self.codes[slot[which]]
+            hit[which] = self._same(code, b, start[left[which]], (end - start)[left[which]])
+            out[left[which]] = np.where(hit[which], code, -1)
+            go = ~hit & (there != 0)
+            left, slot = left[go], (slot[go] + 1) & ((1 << self.slots) - 1)
+        return out
+
+    def add(self, h: np.ndarray, strings: list[bytes]) -> None:
+        """Number strings that are not held, of distinct hashes."""
+        body = np.frombuffer(b"".join(strings), np.uint8)
+        ends = self.held + np.cumsum([len(x) for x in strings])
+        while len(self.at) < self.n + len(strings) + 1:
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        while len(self.bytes) < ends[-1] + 8:
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+        self.bytes[self.held : ends[-1]] = body
+        self.at[self.n + 1 : self.n + 1 + len(strings)] = ends
+        code, left = np.arange(self.n, self.n + len(strings), dtype=np.int32), np.arange(len(strings))
+        slot = (h >> np.uint64(64 - self.slots)).astype(np.int64)
+        while len(left):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[left[free]]
+            mine = free & (self.keys[slot] == h[left])
+            self.codes[slot[mine]] = code[left[mine]]
+            left, slot = left[~mine], (slot[~mine] + 1) & ((1 << self.slots) - 1)
+        self.n += len(strings)
+
+
 class SpanHash:
     """Fingerprints of byte spans from prefix sums: equal spans have equal values wherever they stand."""
 

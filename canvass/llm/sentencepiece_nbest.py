@@ -32,15 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm.common import SpanHash, flat_text, steps, table
+from canvass.llm.common import SpanTable, flat_text, steps, table
 
 MARK = "▁"
 NBEST = 3
-#: Parts that a worker keeps with their segmentations, and slots of their table as a power of two.
-PARTS_KEPT, SLOTS = 1_000_000, 22
+#: Parts that a worker keeps with their segmentations, their bytes, and slots of their table as a power of two.
+PARTS_KEPT, BYTES_KEPT, SLOTS = 800_000, 1 << 25, 21
 #: Scores below this mark pieces that are there by hand; they do not set the score of unknown characters.
 BY_HAND = -1e8
-_HASH = SpanHash(41)
 _models: dict = {}
 
 
@@ -79,12 +78,11 @@ class Pieces:
         self.size = np.array([len(x) for x in self.bytes_of])
         self.at = np.concatenate([[0], np.cumsum(self.size)])
         self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        self.keys, self.codes = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int32)
+        self.known = SpanTable(41, SLOTS)
         self.clear()
 
     def clear(self) -> None:
-        self.keys[:] = 0
-        self.n = 0
+        self.known.clear()
         self.flat, self.offsets = np.zeros(1 << 14, np.int32), np.zeros(1 << 12, np.int64)
         self.score = np.zeros((1 << 12, self.nbest))
         self.others, self.other_at = np.zeros(1 << 14, np.int32), np.zeros((1 << 12) * max(1, self.nbest - 1) + 1, np.int64)
@@ -128,20 +126,9 @@ class Pieces:
 
     # many texts
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        out, left = np.full(len(h), -1, np.int32), np.arange(len(h))
-        slot = (h >> np.uint64(64 - SLOTS)).astype(np.int64)
-        while len(left):
-            there = self.keys[slot]
-            hit = there == h[left]
-            out[left[hit]] = self.codes[slot[hit]]
-            go = ~hit & (there != 0)
-            left, slot = left[go], (slot[go] + 1) & ((1 << SLOTS) - 1)
-        return out
-
     def _add(self, h: np.ndarray, parts: list[bytes]) -> None:
         found = [self.search(x.decode("utf-8", "replace").replace(" ", MARK)) for x in parts]
-        n, k = self.n, len(parts)
+        n, k = self.known.n, len(parts)
         ends = self.offsets[n] + np.cumsum([len(x[0][1]) for x in found])
         while len(self.offsets) < n + k + 1:
             self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
@@ -160,15 +147,7 @@ class Pieces:
                 self.others = np.concatenate([self.others, np.zeros_like(self.others)])
             self.others[self.other_at[n * width] : upto[-1]] = [i for x in ids for i in x]
             self.other_at[n * width + 1 : (n + k) * width + 1] = upto
-        code, left = np.arange(n, n + k, dtype=np.int32), np.arange(k)
-        slot = (h >> np.uint64(64 - SLOTS)).astype(np.int64)
-        while len(left):
-            free = self.keys[slot] == 0
-            self.keys[slot[free]] = h[left[free]]
-            mine = self.keys[slot] == h[left]
-            self.codes[slot[mine]] = code[left[mine]]
-            left, slot = left[~mine], (slot[~mine] + 1) & ((1 << SLOTS) - 1)
-        self.n += k
+        self.known.add(h, parts)
 
     def parts_of(self, b: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Starts of the parts of rows that carry their leading space already."""
@@ -181,21 +160,16 @@ class Pieces:
         """(code of each part, parts of each row as offsets, ids of the best, their offsets by row)."""
         start = self.parts_of(b, offsets)
         end = np.append(start[1:], len(b)) if len(start) else start
-        h = _HASH.span(_HASH.prefix(b), start, end)
-        h[h == 0] = 1
-        code = self._find(h)
-        if (code < 0).any():
-            fresh = np.flatnonzero(code < 0)
+        h = self.known.hashes(b, start, end)
+        if self.known.n > PARTS_KEPT or self.known.held > BYTES_KEPT:
+            self.clear()
+        raw = b.tobytes()
+        while len(fresh := np.flatnonzero((code := self.known.find(h, b, start, end)) < 0)):
             _, first = np.unique(h[fresh], return_index=True)
             fresh = fresh[first]
-            if self.n and self.n + len(fresh) > PARTS_KEPT:
-                self.clear()
-                _, fresh = np.unique(h, return_index=True)
-            raw = b.tobytes()
             for k in range(0, len(fresh), 16384):
                 x = fresh[k : k + 16384]
                 self._add(h[x], [raw[i:j] for i, j in zip(start[x].tolist(), end[x].tolist(), strict=True)])
-            code = self._find(h)
         first, n = self.offsets[code], self.offsets[code + 1] - self.offsets[code]
         upto = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.repeat(first - upto[:-1], n) + np.arange(upto[-1])]

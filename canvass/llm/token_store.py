@@ -33,12 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm.common import LOWER, Scratch, SpanHash, flat_text, mix64, open_fs, steps, write_file
+from canvass.llm.common import LOWER, Scratch, SpanHash, SpanTable, flat_text, mix64, open_fs, steps, write_file
 
 END_ID, WINDOW, LEAST, MASK, MOST = 2, 16, 64, 255, 2048
 PACK, RECIPE = b"CVPACK01", b"CVRECP01"
-#: Words that a worker keeps with their ids, and chunk digests it knows as sent.
-WORDS_KEPT, DIGESTS_KEPT = 1_500_000, 1_000_000
+#: Words that a worker keeps with their ids, their bytes, and chunk digests it knows as sent.
+WORDS_KEPT, BYTES_KEPT, DIGESTS_KEPT = 1_000_000, 1 << 25, 1_000_000
 _ROLL = SpanHash(7)
 
 _encoders: dict = {}
@@ -64,20 +64,33 @@ def _byte_letters() -> dict[int, str]:
 
 _KIND, _KIND2 = _kinds()
 _LETTERS = _byte_letters()
-_WORD = SpanHash(31)
 #: Slots of the table of known words, as a power of two.
-SLOTS = 22
+SLOTS = 21
+
+
+#: What a tokenizer file has to say of normalising and parting for `WordEncoder` to part texts itself.
+PARTED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 class WordEncoder:
     """Ids of texts by way of their words.
 
-    The tokenizer lower-cases, drops white space, and parts runs of letters,
+    If its file says so, the tokenizer lower-cases, drops white space, and parts runs of letters,
     single numbers and runs of other characters before its merges, which
     never cross these. So the ids of a text are those of its words in turn;
     each distinct word goes through the library's model once and is then
-    looked up by a 64-bit hash. Texts with letters beyond Latin-1, with
-    contractions or with what may be a special token go to the library whole.
+    looked up by its bytes. Texts with letters beyond Latin-1, with
+    contractions or with what may be a special token go to the library whole,
+    and so do all texts if the file parts texts otherwise.
     """
 
     def __init__(self, path: str) -> None:
@@ -85,44 +98,28 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.keys, self.codes = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int32)
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        dropout = (said.get("model") or {}).get("dropout")
+        self.parts = all(said.get(k) == v for k, v in PARTED.items()) and not dropout and all(t["content"].startswith("<|") for t in said.get("added_tokens") or [])
+        self.known = SpanTable(31, SLOTS)
         self.clear()
 
     def clear(self) -> None:
-        self.keys[:] = 0
-        self.offsets, self.n = np.zeros(1 << 12, np.int64), 0
-        self.flat = np.zeros(1 << 14, np.uint32)
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """The code of each hash, -1 where it is new."""
-        out, left = np.full(len(h), -1, np.int32), np.arange(len(h))
-        slot = (h >> np.uint64(64 - SLOTS)).astype(np.int64)
-        while len(left):
-            there = self.keys[slot]
-            hit = there == h[left]
-            out[left[hit]] = self.codes[slot[hit]]
-            go = ~hit & (there != 0)
-            left, slot = left[go], (slot[go] + 1) & ((1 << SLOTS) - 1)
-        return out
+        self.known.clear()
+        self.offsets, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
 
     def _add(self, h: np.ndarray, words: list[bytes]) -> None:
         got = [[t.id for t in self.model.tokenize("".join(map(_LETTERS.__getitem__, w)))] for w in words]
-        ends = self.offsets[self.n] + np.cumsum([len(x) for x in got])
-        while len(self.offsets) < self.n + len(words) + 1:
+        n, k = self.known.n, len(words)
+        ends = self.offsets[n] + np.cumsum([len(x) for x in got])
+        while len(self.offsets) < n + k + 1:
             self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
         while len(self.flat) < ends[-1]:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.offsets[self.n] : ends[-1]] = np.fromiter((i for x in got for i in x), np.uint32, int(ends[-1] - self.offsets[self.n]))
-        self.offsets[self.n + 1 : self.n + 1 + len(words)] = ends
-        code, left = np.arange(self.n, self.n + len(words), dtype=np.int32), np.arange(len(words))
-        slot = (h >> np.uint64(64 - SLOTS)).astype(np.int64)
-        while len(left):
-            free = self.keys[slot] == 0
-            self.keys[slot[free]] = h[left[free]]
-            mine = self.keys[slot] == h[left]
-            self.codes[slot[mine]] = code[left[mine]]
-            left, slot = left[~mine], (slot[~mine] + 1) & ((1 << SLOTS) - 1)
-        self.n += len(words)
+        self.flat[self.offsets[n] : ends[-1]] = np.fromiter((i for x in got for i in x), np.uint32, int(ends[-1] - self.offsets[n]))
+        self.offsets[n + 1 : n + 1 + k] = ends
+        self.known.add(h, words)
 
     def encode(self, b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets by row) of rows of UTF-8 text."""
@@ -141,7 +138,7 @@ class WordEncoder:
                 low[upper] += 0x20
         # rows for the library: beyond Latin-1, an apostrophe before a letter, or the start of a special token
         odd = np.flatnonzero((b >= 0xC4) | ((b == 39) & (_KIND[ahead] == LETTER)) | ((b == 60) & (ahead == 124)))
-        odd = np.unique(np.searchsorted(offsets, odd, "right") - 1)
+        odd = np.unique(np.searchsorted(offsets, odd, "right") - 1) if self.parts else np.flatnonzero(np.diff(offsets))
         edge = np.zeros(len(b) + 1, bool)
         edge[offsets] = True
         lead = (b & 0xC0) != 0x80
@@ -151,21 +148,16 @@ class WordEncoder:
         end = np.append(start[1:], len(b)) if len(start) else start
         word = kind[start] != SPACE
         start, end = start[word], end[word]
-        h = _WORD.span(_WORD.prefix(low), start, end)
-        h[h == 0] = 1
-        code = self._find(h)
-        if (code < 0).any():
-            fresh = np.flatnonzero(code < 0)
+        h = self.known.hashes(low, start, end)
+        if self.known.n > WORDS_KEPT or self.known.held > BYTES_KEPT:
+            self.clear()
+        raw = low.tobytes()
+        while len(fresh := np.flatnonzero((code := self.known.find(h, low, start, end)) < 0)):
             _, first = np.unique(h[fresh], return_index=True)
             fresh = fresh[first]
-            if self.n and self.n + len(fresh) > WORDS_KEPT:
-                self.clear()
-                _, fresh = np.unique(h, return_index=True)
-            raw = low.tobytes()
             for k in range(0, len(fresh), 65536):
                 part = fresh[k : k + 65536]
                 self._add(h[part], [raw[i:j] for i, j in zip(start[part].tolist(), end[part].tolist(), strict=True)])
-            code = self._find(h)
         first, n = self.offsets[code], self.offsets[code + 1] - self.offsets[code]
         upto = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.repeat(first - upto[:-1], n) + np.arange(upto[-1])]
