@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm.common import LOWER, SpanHash, distinct, fold_of, flat_text, labelled, steps, table, words
+from canvass.llm.common import LOWER, BytesHash, distinct, fold_of, flat_text, labelled, steps, table, words
 
 #: Labelled rows that the trees are fitted on, at most.
 SAMPLE = 20_000
-TREES, DEPTH, BINS, RATE, LEAST_ROWS, RIDGE = 60, 4, 64, 0.2, 20, 1.0
-_HASH = SpanHash(17)
+TREES, DEPTH, BINS, RATE, RIDGE = 60, 4, 64, 0.2, 1.0
+#: Rows on either side of a split, at least: a twentieth of all, within these bounds.
+FEWEST_ROWS, LEAST_ROWS = 2, 20
+_HASH = BytesHash(17)
 
 FEATURES = (
     "log_bytes", "log_words", "word_mean", "word_deviation", "word_longest", "letters", "upper", "digits", "marks", "beyond_ascii",
@@ -55,7 +57,7 @@ def features(b: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     out = np.zeros((n, len(FEATURES)))
     s, e, o = words(b, offsets)
-    h = _HASH.span(_HASH.prefix(LOWER[b]), s, e) if len(s) else np.zeros(0, np.uint64)
+    h = _HASH.of(LOWER[b], s, e) if len(s) else np.zeros(0, np.uint64)
     size = (e - s).astype(np.float64)
     marked = _KINDS[:, 3].astype(bool) | _KINDS[:, 6].astype(bool)
     ends_in_mark = marked[b[e - 1]] if len(e) else np.zeros(0, bool)
@@ -120,6 +122,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = TREES, depth: int = DEPTH,
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)])
+    least = min(LEAST_ROWS, max(FEWEST_ROWS, len(y) // 20))
     margin = np.zeros(len(y))
     feature, threshold, value = np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, leaves))
     for t in range(trees):
@@ -135,7 +138,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = TREES, depth: int = DEPTH,
                 sums = [np.bincount(cell, v, minlength=width * bins).reshape(width, bins).cumsum(1) for v in (g, h, np.ones(len(y)))]
                 (gl, hl, nl), (ga, ha, na) = sums, (s[:, -1:] for s in sums)
                 gains = gl**2 / (hl + RIDGE) + (ga - gl) ** 2 / (ha - hl + RIDGE) - ga**2 / (ha + RIDGE)
-                gains[(nl < LEAST_ROWS) | (na - nl < LEAST_ROWS)] = 0
+                gains[(nl < least) | (na - nl < least)] = 0
                 gains[:, len(edges[f]) :] = 0
                 cut = gains.argmax(1)
                 top = gains[np.arange(width), cut]

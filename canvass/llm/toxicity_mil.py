@@ -11,8 +11,9 @@ Words are runs of letters, digits and bytes beyond ASCII, lower-cased, and
 known by a 64-bit hash. Fitted on at most SAMPLE labelled documents.
 
 Defined cases: a null text is an empty one; a text without sentences scores
-0; a null doc_id is not held out; with no labels, or labels of one kind, every
-sentence scores the base probability; repeated rows are scored alike; an empty
+0; a null doc_id is not held out; with no labels every sentence scores the
+base probability; with labels of one kind all documents and sentences score
+the prior, (ones + 1/2) / (labels + 1); repeated rows are scored alike; an empty
 table gives no rows; other columns are never read.
 """
 
@@ -27,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm.common import LOWER, SpanHash, distinct, fold_of, flat_text, labelled, steps, table, words
+from canvass.llm.common import LOWER, BytesHash, distinct, fold_of, flat_text, labelled, steps, table, words
 
 #: Labelled documents that the weights are fitted on, at most.
 SAMPLE = 8_000
 EPOCHS, RATE, LASSO, BIAS = 120, 0.3, 1.5e-4, -6.0
 #: A word counts if this many fitted documents have it.
 LEAST_DOCS = 4
-_HASH = SpanHash(23)
+_HASH = BytesHash(23)
 _OUTSIDE = np.array([not (48 <= i <= 57 or 65 <= i <= 90 or 97 <= i <= 122 or i >= 128) for i in range(256)])
 _STOPS = np.isin(np.arange(256), list(b".!?\n"))
 
@@ -42,7 +43,7 @@ _STOPS = np.isin(np.arange(256), list(b".!?\n"))
 def sentences(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, first word of each sentence, row of each sentence, bounds in bytes); sentences without words are left out."""
     s, e, o = words(b, offsets, _OUTSIDE)
-    h = _HASH.span(_HASH.prefix(LOWER[b]), s, e) if len(s) else np.zeros(0, np.uint64)
+    h = _HASH.of(LOWER[b], s, e) if len(s) else np.zeros(0, np.uint64)
     row = np.searchsorted(o, np.arange(len(s)), "right") - 1
     part = np.cumsum(_STOPS[b])[s] if len(s) else np.zeros(0, np.int64)
     first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (row[1:] != row[:-1])])) if len(s) else np.zeros(0, np.int64)
@@ -55,16 +56,26 @@ class Weights:
     bias: float
     known: np.ndarray  # sorted hashes
     weight: np.ndarray
+    prior: float | None = None  # the score of all, if labels were of one kind
 
     def of_sentences(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
         if not len(first):
             return np.zeros(0)
+        if self.prior is not None:
+            return np.full(len(first), self.prior)
         w = np.zeros(len(h))
         if len(self.known):
             at = np.searchsorted(self.known, h)
             at[at == len(self.known)] = 0
             w = np.where(self.known[at] == h, self.weight[at], 0.0)
-        return 1 / (1 + np.exp(-(self.bias + np.add.reduceat(w, first))))
+        return logistic(self.bias + np.add.reduceat(w, first))
+
+    def of_documents(self, h: np.ndarray, first: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        return noisy_or(self.of_sentences(h, first), row, rows) if self.prior is None else np.full(rows, self.prior)
+
+
+def logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
 def noisy_or(p: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -74,7 +85,8 @@ def noisy_or(p: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Weights:
     """Weights from (word hashes, first word of each sentence) of each document and its label."""
     if not len(y) or not 0 < y.mean() < 1:
-        return Weights(BIAS, np.zeros(0, np.uint64), np.zeros(0))
+        prior = (float(y.sum()) + 0.5) / (len(y) + 1) if len(y) else None
+        return Weights(BIAS, np.zeros(0, np.uint64), np.zeros(0), prior)
     words_ = np.concatenate([distinct(h) for h, _ in bags])
     known, docs = np.unique(words_, return_counts=True)
     known = known[docs >= LEAST_DOCS]
@@ -94,7 +106,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Weights:
     w, bias = np.zeros(len(known)), BIAS + 1
     m, v, t = np.zeros(len(known) + 1), np.zeros(len(known) + 1), 0
     for _ in range(EPOCHS):
-        p = 1 / (1 + np.exp(-(bias + np.bincount(sentence, w[ids], n))))
+        p = logistic(bias + np.bincount(sentence, w[ids], n))
         whole = np.clip(noisy_or(p, row, len(y)), 1e-9, 1 - 1e-9)
         # of -log likelihood, to the logit of each sentence: p for label 0, -p (1 - P) / P for label 1
         up = np.where(y == 1, -(1 - whole) / whole, 1.0) * weight
@@ -142,7 +154,7 @@ def score(docs: DataFrame, weights: Weights) -> DataFrame:
                 parts = [np.zeros(0)]
                 for i, j in steps(o):
                     h, first, row, _ = sentences(b[o[i] : o[j]], o[i : j + 1] - o[i])
-                    parts.append(noisy_or(fitted.of_sentences(h, first), row, j - i))
+                    parts.append(fitted.of_documents(h, first, row, j - i))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
