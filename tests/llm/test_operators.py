@@ -125,6 +125,44 @@ def test_ngram_join_one_hot_column(spark, monkeypatch, few, part):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute_components(rows)
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words that fingerprints by powers of a number modulo 2**64 take for one."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+@pytest.mark.parametrize("size", [8, 64, 256, 1024, 4096])
+def test_words_that_look_alike_stay_apart(spark, size):
+    x, y = thue_morse(size)
+    docs = spark.createDataFrame([(1, f"one {x} two three four five"), (2, f"one {y} two three four five"), (3, f"one {x} two three four five")], "doc_id long, text string")
+    assert [tuple(r) for r in ngram_join.link(docs).orderBy("doc_id").collect()] == [(1, 2, 1), (2, 2, 2), (3, 2, 1)]
+    path = sentencepiece_nbest.model_path()
+    assert all(r["decodes"] for r in sentencepiece_nbest.digest(docs, path).collect())
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
+    raw = [t.encode() for t in texts]
+    ids, at = token_store.WordEncoder(path).encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)] == want
+
+
+def test_table_of_strings_compares_bytes(monkeypatch):
+    from canvass.llm import common
+
+    words_ = [f"word{i}".encode() * (1 + i % 90) for i in range(500)]
+    b = np.frombuffer(b"".join(words_), np.uint8)
+    end = np.cumsum([len(w) for w in words_])
+    start = end - [len(w) for w in words_]
+    held = common.SpanTable(1, 12)
+    h = np.full(len(words_), 7, np.uint64)  # all hashes collide
+    for i in range(0, 500, 2):
+        held.add(h[:1], [words_[i]])
+    assert held.find(h, b, start, end).tolist() == [i // 2 if i % 2 == 0 else -1 for i in range(500)]
+
+
 # 9
 
 
@@ -158,6 +196,29 @@ def test_suffix_dedup_overlaps(spark, seed):
     assert [tuple(r)[1:] for r in got] == brute_removed(texts, 40)
 
 
+@pytest.mark.parametrize("many, together", [(2, 3), (8, 400), (0, 1)])
+def test_suffix_dedup_one_string_everywhere(spark, monkeypatch, many, together):
+    """A string in many surroundings, whole copies of it, and strings that repeat around it."""
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+    rng = random.Random(11)
+    common = "".join(rng.choice("abcdefgh ") for _ in range(70))
+    around = ["".join(rng.choice("pqrst ") for _ in range(rng.randint(1, 40))) for _ in range(12)]
+    texts = [rng.choice(around) + str(i) + rng.choice(around) + common + rng.choice(around) + rng.choice(["", str(i)]) for i in range(80)] + [common, common * 2, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    got = suffix_dedup.remove_repeats(docs, length=40, gram=20).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute_removed(texts, 40)
+
+
+def test_names_are_those_of_strings():
+    rng = np.random.default_rng(1)
+    b = rng.integers(97, 99, 3000).astype(np.uint8)
+    for length in (1, 5, 8, 9, 16, 23, 200, 400):
+        got = suffix_dedup.names(b, length)[0]
+        strings = [b[i : i + length].tobytes() for i in range(len(b) - length + 1)]
+        assert len(got) == len(strings) and len(set(zip(strings, got.tolist(), strict=True))) == len(set(strings)) == len(set(got.tolist()))
+
+
 def test_suffix_dedup_long_text_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "STEP_BYTES", 3000)
     monkeypatch.setattr("canvass.llm.common.STEP_BYTES", 3000)
@@ -422,6 +483,52 @@ def test_classifiers_awkward(spark):
     assert all(r["score"] == 0 for r in toxicity_mil.score(docs, w).collect() if r["doc_id"] in (3, 4, 5))
 
 
+def test_toxicity_of_one_sided_labels(spark):
+    docs = awkward(spark)
+    for y, prior in ((1, 4.5 / 5), (0, 0.5 / 5)):
+        weights = toxicity_mil.fit([(np.array([1, 2], np.uint64), np.array([0]))] * 4, np.full(4, float(y)))
+        assert {round(r["score"], 9) for r in toxicity_mil.score(docs, weights).collect()} == {prior}
+
+
+def test_noisy_or_and_gradient_against_naive():
+    """The fitted weights against a plain loop over documents, sentences and words."""
+    rng = random.Random(4)
+    bags, y = [], []
+    for i in range(40):
+        bad = i % 2
+        sents = [[rng.randint(1, 12) for _ in range(rng.randint(1, 5))] for _ in range(rng.randint(1, 4))]
+        if bad:
+            sents[rng.randrange(len(sents))].append(99)
+        bags.append((np.array([w for x in sents for w in x], np.uint64), np.cumsum([0, *map(len, sents)])[:-1]))
+        y.append(float(bad))
+    got = toxicity_mil.fit(bags, np.array(y))
+    weight = dict(zip(got.known.tolist(), got.weight.tolist(), strict=True))
+    assert max(weight, key=weight.get) == 99
+    for h, first in bags:
+        ends = [*first.tolist()[1:], len(h)]
+        keep = 1.0
+        for i, j in zip(first.tolist(), ends, strict=True):
+            keep *= 1 - 1 / (1 + np.exp(-(got.bias + sum(weight.get(w, 0.0) for w in h[i:j].tolist()))))
+        assert abs(got.of_documents(h, first, np.zeros(len(first), np.int64), 1)[0] - (1 - keep)) < 1e-9
+
+
+def test_flattened_trees_against_naive_walk():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, len(quality_gbt.FEATURES)))
+    forest = quality_gbt.fit(x, (x[:, 0] * x[:, 1] > 0).astype(float), trees=8)
+
+    def walk(row):
+        total = forest.base
+        for feature, threshold, value in zip(forest.feature, forest.threshold, forest.value, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (1 if row[feature[node]] <= threshold[node] else 2)
+            total += value[node - len(feature)]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(forest.score(x), [walk(r) for r in x])
+
+
 def test_trees_split_what_lines_cannot():
     rng = np.random.default_rng(0)
     x = rng.uniform(-1, 1, (3000, 3))
