@@ -25,21 +25,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return ngram_join.keep_one(docs)
 
 
+#: Bytes of a string that is cut out where it occurs more than once: about 50 words of four letters.
+REPEATED = 240
+
+
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, less the strings of 400 bytes that occur more than once; n_chars follows."""
-    cut = suffix_dedup.remove_repeats(docs, texts=True)
-    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)}
+    """All documents, less the strings of REPEATED bytes that occur more than once; n_chars follows."""
+    cut = suffix_dedup.remove_repeats(docs, length=REPEATED, gram=REPEATED // 2, texts=True)
+    kinds = {f.name: f.dataType for f in docs.schema}
+    new = {"text": F.col("kept")}
+    if "n_chars" in kinds:
+        new["n_chars"] = F.length("kept").cast(kinds["n_chars"])
     return cut.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    keyed = docs.withColumn("__uid", F.xxhash64("text"))
-    thin = keyed.select(F.struct("doc_id", "__uid").alias("key"), "source", mixing.word_count(F.col("text")).alias("words"))
+    """Each document as often as the mix takes it; of equal rows, as often as it takes all of them together."""
+    scratch = Scratch(spark, "mixture")
+    keyed = docs.select(F.struct(F.col("doc_id"), F.xxhash64(*docs.columns).alias("uid")).alias("key"), F.struct(*docs.columns).alias("row"))
+    thin = keyed.select("key", "row.source", mixing.word_count(F.col("row.text")).alias("words"))
     mixed = mixing.mix(thin, F.col("words"), F.array("source"), key="key").filter("taken > 0")
-    copies = mixed.groupBy(F.col("key.doc_id").alias("i"), F.col("key.__uid").alias("u")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("copies"))
-    taken = keyed.join(copies, keyed["doc_id"].eqNullSafe(copies["i"]) & (keyed["__uid"] == copies["u"]))
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(docs.columns)
+    copies = mixed.groupBy(F.col("key.doc_id").alias("i"), F.col("key.uid").alias("u")).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("copies"), F.count("*").alias("rows"))
+    copies = scratch.cut(copies, "copies")
+    taken = keyed.join(copies, keyed["key.doc_id"].eqNullSafe(copies["i"]) & (keyed["key.uid"] == copies["u"]))
+    if not copies.filter("rows > 1").isEmpty():
+        # equal rows stand for each other: one of them is repeated for all
+        taken = taken.filter("rows = 1").union(taken.filter("rows > 1").dropDuplicates(["key"]))
+    return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
