@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from canvass.queries import metrics, relations, sampling, texts
+from canvass.queries import metrics, relations, sampling, surveys, texts
 from canvass.queries.base import Query
 
-PARTS = (metrics.R, relations.R, sampling.R, texts.R)
+PARTS = (metrics.R, relations.R, sampling.R, surveys.R, texts.R)
 
 
 def queries() -> dict[str, Query]:

@@ -214,7 +214,26 @@ def distinctive(c: Column) -> Column:
 
 def leak_tokens(c: Column) -> Column:
     """Codes and prices in a text."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"([A-Za-z0-9]+(?:_[A-Za-z0-9]+)+|\$?\d+\.\d+)"), F.lit(1)))
+    tokens = F.regexp_extract_all(c, F.lit(r"([A-Za-z0-9]+(?:[._-][A-Za-z0-9]+)*|\$\d+(?:\.\d+)?)"), F.lit(1))
+    return F.array_distinct(F.filter(tokens, lambda t: ~t.rlike("^[0-9]+$") & t.rlike(r"_|\.|^\$")))
+
+
+#: How a question of the pricing study names its product and price.
+PRICED = r"following product in that category: (.+?)\. The product is priced at: (\$\d+(?:\.\d+)?)"
+
+
+def outcome_strings(item: Column) -> Column:
+    """What an outcome may betray itself by: its answer, id, text and column, what it showed, and the product and price in its text."""
+    question = item["question_text"]
+    parts = [item[k] for k in ("answer", "question_id", "question_text", "source_column")]
+    priced = [F.nullif(F.regexp_extract(question, PRICED, i), F.lit("")) for i in (1, 2)]
+    found = F.concat(F.array(*parts), F.coalesce(F.map_values(item["stimulus"]), F.array().cast("array<string>")), F.array(*priced))
+    return F.array_distinct(F.filter(F.transform(found, strip), lambda x: x.isNotNull() & (x != "")))
+
+
+def hours(c: Column) -> Column:
+    """A number of hours, or null."""
+    return strip(c).try_cast("double")
 
 
 def wtp_prompt(product: Column) -> Column:

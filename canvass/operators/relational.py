@@ -126,6 +126,9 @@ def contained(texts: DataFrame, needles: DataFrame, text: str, needle: str, word
         key = F.xxhash64(F.array_join(F.slice("__w", 2, n), " ")) if n > 0 else F.xxhash64(F.substring(needle, 1, -n))
         probe = keyed.filter(F.col("__n") == n).withColumn("__k", key).drop("__w", "__n")
         units = split(text) if n > 0 else F.split(F.col(text), "")
-        offers = texts.withColumn("__u", units).withColumn("__k", F.explode(windows(F.col("__u"), abs(n), " " if n > 0 else ""))).drop("__u")
-        out.append(offers.join(probe, "__k").filter(F.contains(F.col(text), F.col(needle))).drop("__k"))
+        # a text's windows are sent without it; what meets fetches the text again by its hash
+        offers = texts.select(F.xxhash64(text).alias("__h"), F.explode(windows(units, abs(n), " " if n > 0 else "")).alias("__k"))
+        met = offers.join(probe.select("__k", needle).distinct(), "__k").select("__h", needle).distinct()
+        found = texts.withColumn("__h", F.xxhash64(text)).join(met, "__h").filter(F.contains(F.col(text), F.col(needle))).drop("__h")
+        out.append(found.join(needles, needle).select(out[0].columns))
     return reduce(DataFrame.unionByName, out)

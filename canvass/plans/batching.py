@@ -91,6 +91,11 @@ def with_cache(batches: DataFrame, cache: DataFrame, key: str = "key") -> tuple[
     return batches.join(known, key), batches.join(known, key, "left_anti")
 
 
+def listed(raw: Column) -> Column:
+    """The answers of a reply, each as JSON text, in order."""
+    return F.transform(F.try_variant_get(F.try_parse_json(reply_object(raw)["json"]), "$.answers", "array<variant>"), F.to_json)
+
+
 def answers(replies: DataFrame) -> DataFrame:
     """One row for each question asked: (subject_id, chunk, question_id, answer as JSON, error).
 

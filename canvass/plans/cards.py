@@ -73,7 +73,7 @@ def leaks(cards: DataFrame, outcomes: DataFrame, key: str = "subject_id") -> Dat
     """(key, kind, text) of outcomes that show on the person's own card.
 
     Persons are joined first, so nothing is compared across persons. Digits
-    count only as a whole line value, distinctive strings wherever they stand,
+    count only as all that a line says, distinctive strings wherever they stand,
     codes and prices as whole tokens. What is a value of the card itself is
     no leak.
     """
@@ -81,12 +81,14 @@ def leaks(cards: DataFrame, outcomes: DataFrame, key: str = "subject_id") -> Dat
     values = F.transform("basic_info", lambda f: f["value"])
     mine = cards.select(key, body.alias("body"), values.alias("values"), leak_tokens(body).alias("tokens"))
     pairs = mine.join(outcomes.select(key, blank_to_null(F.col("text")).alias("needle")).filter("needle is not null"), key)
-    pairs = pairs.filter(~F.array_contains("values", F.col("needle")) | F.col("needle").rlike("^[0-9]+$"))
+    pairs = pairs.filter(~F.array_contains("values", F.col("needle")))
     digits = F.col("needle").rlike("^[0-9]+$")
+    lines = F.filter(F.split("body", "\n"), lambda x: F.contains(x, F.lit(": ")))
+    shown = F.transform(lines, lambda x: F.regexp_extract(x, r"(?s)^.*?: (.*)$", 1))
     kind = (
-        F.when(digits, F.when(F.array_contains("values", F.col("needle")), "value"))
+        F.when(digits, F.when(F.array_contains(shown, F.col("needle")), "value"))
         .when(distinctive(F.col("needle")) & F.contains("body", F.col("needle")), "text")
-        .when(F.size(F.array_intersect("tokens", leak_tokens(F.col("needle")))) > 0, "token")
+        .when(F.size(F.array_except(F.array_intersect("tokens", leak_tokens(F.col("needle"))), "values")) > 0, "token")
     )
     return pairs.select(key, kind.alias("kind"), F.col("needle").alias("text")).filter("kind is not null")
 
@@ -181,8 +183,10 @@ def life_cards(persons: DataFrame, seed: int = 0) -> DataFrame:
     pick = [F.get(F.col(f"l{i}"), F.get("i", i)) for i in range(6)]
     whole_hours = minutes(F.col("hours"))
     place = F.when(F.col("state").isNotNull(), F.concat(F.lit(" Current home state: "), "state", F.lit("."))).when(F.col("region").isNotNull(), F.concat(F.lit(" Current census region: "), "region", F.lit("."))).otherwise("")
-    ranked = F.array_sort(F.transform(F.map_entries("routine"), lambda e: F.struct((-e["value"]).alias("m"), e["key"].alias("k"))))
-    top = F.get(ranked, 0)
+    entries = F.map_entries("routine")
+    ranked = F.array_sort(F.transform(entries, lambda e: F.struct((-e["value"]).alias("m"), e["key"].alias("k"))))
+    # of equal minutes the activity that the map names first
+    top = F.get(F.array_sort(F.transform(entries, lambda e, i: F.struct((-e["value"]).alias("m"), i.alias("i"), e["key"].alias("k")))), 0)
     note = F.when(top.isNotNull(), F.concat(F.lit(" Time-use note: "), top["k"], F.lit(" averages about "), minutes(-top["m"]), F.lit(" minutes on a diary day."))).otherwise("")
     life = [
         ("Childhood", pick[0]), ("Schooling", pick[1]),

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window as W
 
 from canvass.functions.text import group_key, make_qid
 
+#: Ranges that the cases of a split are counted in.
+RANGES = 64
 OPTION = r"(?m)^\(([A-Za-z0-9]+)\)\s*:\s*(.*)$"
 BLOCK = r"(?i)\n\s*Options:\s*\n"
 
@@ -39,16 +41,19 @@ def parse_options(template: Column, answer_options: Column, human_answer: Column
 def cases(rows: DataFrame) -> DataFrame:
     """rows (split, dataset_name, input_template, variables, ord) with question and case ids; the index counts within a split.
 
-    The index is a running count over ranges of `ord`: counts of partitions on
-    the driver, not one window over a split.
+    The index is a running count over ranges of `ord`, and not one window over
+    a split. Ranges are cut at approximate quantiles, which decide how even they
+    are and not what the index is: a row's range follows from its `ord` alone.
     """
-    sorted_ = rows.repartitionByRange("split", "ord").sortWithinPartitions("split", "ord").withColumn("__p", F.spark_partition_id())
-    counts = sorted_.groupBy("split", "__p").count()
+    grid = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
+    bounds = rows.groupBy("split").agg(F.array_distinct(F.percentile_approx("ord", grid, 1000)).alias("__bounds"))
+    ranged = rows.join(bounds, "split").withColumn("__p", F.size(F.filter("__bounds", lambda b: b < F.col("ord")))).drop("__bounds")
+    counts = ranged.groupBy("split", "__p").count()
     before = counts.withColumn("before", F.sum("count").over(W.partitionBy("split").orderBy("__p")) - F.col("count")).drop("count")
     at = F.row_number().over(W.partitionBy("split", "__p").orderBy("ord"))
-    numbered = sorted_.withColumn("__i", at).join(F.broadcast(before), ["split", "__p"]).withColumn("idx", F.col("before") + F.col("__i") - 1)
+    numbered = ranged.withColumn("__i", at).join(before, ["split", "__p"]).withColumn("idx", F.col("before") + F.col("__i") - 1)
     named = numbered.withColumn("question_id", make_qid(F.col("dataset_name"), F.col("input_template")))
-    return named.withColumns({"case_id": F.concat_ws(":", "split", "dataset_name", F.lpad(F.col("idx").cast("string"), 5, "0")), "group_key": group_key(F.col("dataset_name"), F.col("variables"))}).drop("__p", "__i", "before")
+    return named.withColumns({"case_id": F.concat_ws(":", "split", "dataset_name", F.format_string("%05d", "idx")), "group_key": group_key(F.col("dataset_name"), F.col("variables"))}).drop("__p", "__i", "before")
 
 
 def catalog(rows: DataFrame) -> DataFrame:

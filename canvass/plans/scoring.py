@@ -7,8 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canvass.errors import DataError
+from canvass.functions.jsonx import align_types, human_cells, model_cells
 from canvass.functions.text import encode_with_options, norm_label, parse_number
 from canvass.operators import metrics
+from canvass.operators.relational import first_wins
+from canvass.plans.builders import PURCHASE
 
 
 def paired_labels(responses: DataFrame, item: str, human: str, model: str) -> DataFrame:
@@ -24,12 +28,38 @@ def mean_tvd_by_item(responses: DataFrame, item: str, human: str, model: str) ->
     return per.agg(F.avg("tvd").alias("mean_tvd"), F.avg("top1").alias("mean_top1"), F.count("*").alias("items"))
 
 
+def scales(asked: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(question_id, options, span, kind) of questions asked (question_id, options, kind, ord), with what the catalog knows beside.
+
+    What was asked comes first; the catalog (QuestionID, QuestionType, Options,
+    Columns, Rows, Range struct<Min, Max>) fills holes and adds its own
+    questions and, for each row of a matrix, QID:n with the matrix' options.
+    """
+    several = lambda c: F.when(F.size(c) >= 2, (F.size(c) - 1).cast("double"))
+    clean = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+    first = first_wins(asked.filter("question_id <> ''").select("question_id", F.coalesce("options", F.array().cast("array<string>")).alias("options"), "kind", "ord"), ["question_id"], ["ord"])
+    mine = first.select("question_id", "options", several(F.col("options")).alias("span"), "kind")
+    options = F.when(F.size(clean(F.col("Options"))) > 0, clean(F.col("Options"))).otherwise(clean(F.col("Columns")))
+    listed = catalog.select(F.col("QuestionID").alias("question_id"), options.alias("c_options"), F.coalesce(several(options), F.col("Range.Max").cast("double") - F.col("Range.Min").cast("double")).alias("c_span"), F.coalesce("QuestionType", F.lit("")).alias("c_kind"), F.coalesce(F.size("Rows"), F.lit(0)).alias("rows"))
+    both = mine.join(listed.drop("rows"), "question_id", "full_outer")
+    filled = F.coalesce(F.size("options"), F.lit(0)) == 0
+    base = both.select("question_id", F.when(filled, F.coalesce("c_options", "options")).otherwise(F.col("options")).alias("options"), F.coalesce("span", "c_span").alias("span"), F.coalesce("kind", "c_kind").alias("kind"))
+    rows = listed.filter((F.col("rows") > 0) & (F.size("c_options") > 0)).select(F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("i"), "question_id", "c_options")
+    children = rows.select(F.concat_ws(":", "question_id", "i").alias("question_id"), F.col("c_options").alias("options"), (F.size("c_options") - 1).cast("double").alias("span"), F.lit("likert").alias("kind"))
+    return base.unionByName(children.join(base.select("question_id"), "question_id", "left_anti"))
+
+
+#: The span of a list of numbers of unknown scale.
+SLIDER = 100.0
+
+
 def encode_pairs(responses: DataFrame, scales: DataFrame) -> DataFrame:
     """(item, human, model, span) numbers of responses (question_id, human, model).
 
-    Two lists with commas and as many parts give an item for each part; else
-    options encode both answers; else both are numbers. A scale is that of the
-    question or of the name before its colon.
+    Two lists with commas and as many parts give an item for each part, from 1;
+    else options encode both answers; else both are numbers. A scale is that
+    of the question or of the name before its colon; without one a list's span
+    is SLIDER, and others are left to what is observed.
     """
     s = scales.select(F.col("question_id").alias("sid"), "options", "span")
     base = F.element_at(F.split("question_id", ":"), 1)
@@ -38,19 +68,101 @@ def encode_pairs(responses: DataFrame, scales: DataFrame) -> DataFrame:
     h, m = F.split("human", ","), F.split("model", ",")
     is_list = F.contains("human", F.lit(",")) & F.contains("model", F.lit(",")) & (F.size(h) == F.size(m)) & (F.size(h) > 1)
     parts = rows.filter(is_list).select("question_id", "span", F.posexplode(F.arrays_zip(h.alias("h"), m.alias("m"))).alias("i", "x"))
-    listed = parts.select(F.concat("question_id", F.lit(":"), "i").alias("item"), parse_number(F.col("x.h")).alias("human"), parse_number(F.col("x.m")).alias("model"), F.coalesce("span", F.lit(None).cast("double")).alias("span"))
+    listed = parts.select(F.concat("question_id", F.lit(":"), F.col("i") + 1).alias("item"), parse_number(F.col("x.h")).alias("human"), parse_number(F.col("x.m")).alias("model"), F.coalesce("span", F.lit(SLIDER)).alias("span"))
     single = rows.filter(~F.coalesce(is_list, F.lit(False)))
     ho, mo = encode_with_options(F.col("human"), F.col("options")), encode_with_options(F.col("model"), F.col("options"))
     both = ho.isNotNull() & mo.isNotNull()
-    coded = single.select(F.col("question_id").alias("item"), F.when(both, ho.cast("double")).otherwise(parse_number(F.col("human"))).alias("human"), F.when(both, mo.cast("double")).otherwise(parse_number(F.col("model"))).alias("model"), "span")
+    known = F.when(both, F.coalesce("span", (F.size("options") - 1).cast("double"))).otherwise(F.col("span"))
+    coded = single.select(F.col("question_id").alias("item"), F.when(both, ho.cast("double")).otherwise(parse_number(F.col("human"))).alias("human"), F.when(both, mo.cast("double")).otherwise(parse_number(F.col("model"))).alias("model"), known.alias("span"))
     return listed.unionByName(coded).filter("human is not null and model is not null")
 
 
+def encode_bids(responses: DataFrame) -> DataFrame:
+    """(item, human, model, span) of bids from 0 to 10 and of the purchase, yes as 1."""
+    span = F.when(F.col("question_id") == PURCHASE, 1.0).otherwise(10.0)
+    out = responses.select(F.col("question_id").alias("item"), parse_number(F.col("human")).alias("human"), parse_number(F.col("model")).alias("model"), span.alias("span"))
+    return out.filter("human is not null and model is not null")
+
+
+def paired_cells(responses: DataFrame) -> DataFrame:
+    """(study, name, h, m) of responses (question_id, payload, model): the questions of a survey tree beside the entries of a reply.
+
+    They are paired by place if equally many, else along the longest common
+    run of types.
+    """
+    cells = responses.filter("payload is not null and model is not null").select(F.element_at(F.split("question_id", ":"), 1).alias("study"), human_cells("payload").alias("h"), model_cells("model").alias("m"))
+    full = cells.filter((F.size("h") > 0) & (F.size("m") > 0))
+    types = lambda c: F.transform(c, lambda x: x["type"])
+    pairs = full.withColumn("p", F.explode(align_types(types(F.col("h")), types(F.col("m")))))
+    return pairs.select("study", F.get("h", F.col("p.human")).alias("h"), F.get("m", F.col("p.model")).alias("m")).select("study", F.col("m.name").alias("name"), "h", "m")
+
+
+def study_labels(pairs: DataFrame) -> DataFrame:
+    """(question_id, human, model) forms of paired cells; cells without an answer on either side are left out."""
+    return pairs.select(F.concat_ws(":", "study", "name").alias("question_id"), F.col("h.form").alias("human"), F.col("m.form").alias("model")).filter("human is not null and model is not null")
+
+
+def encode_cells(pairs: DataFrame) -> DataFrame:
+    """(item, human, model, span) numbers of paired cells. Lists of one length give an item for each part, from 1.
+
+    The span is the human side's, else the model's, else what the two numbers
+    are apart, or 1; an item has the largest of its spans.
+    """
+    options = F.when(F.size("h.options") > 0, F.col("h.options")).otherwise(F.col("m.options"))
+    known = F.coalesce("h.span", "m.span", F.when(F.size(options) >= 2, (F.size(options) - 1).cast("double")))
+    item = F.concat_ws(":", "study", "name")
+    rows = pairs.select(item.alias("item"), known.alias("known"), F.col("h.codes").alias("hc"), F.col("m.codes").alias("mc"), F.col("h.several").alias("hs"), F.col("m.several").alias("ms"))
+    lists = rows.filter("hs and ms and size(hc) = size(mc)")
+    every = F.concat("hc", "mc")
+    apart = F.coalesce("known", F.array_max(every) - F.array_min(every))
+    many = lists.select("item", F.when(apart > 0, apart).otherwise(1.0).alias("span"), F.posexplode(F.arrays_zip("hc", "mc")).alias("i", "x"))
+    listed = many.select(F.concat_ws(":", "item", F.col("i") + 1).alias("item"), F.col("x.hc").alias("human"), F.col("x.mc").alias("model"), "span")
+    single = rows.filter("not hs and not ms and size(hc) = 1 and size(mc) = 1").select("item", F.get("hc", F.lit(0)).alias("human"), F.get("mc", F.lit(0)).alias("model"), "known")
+    gap = F.abs(F.col("human") - F.col("model"))
+    one = single.select("item", "human", "model", F.when(F.col("known") > 0, F.col("known")).when(gap > 0, gap).otherwise(1.0).alias("span"))
+    return listed.unionByName(one)
+
+
+def summary(codes: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row of pooled metrics of codes (item, human, model, span) and labels (question_id, human, model)."""
+    means = mean_tvd_by_item(labels, "question_id", "human", "model")
+    return metrics.coded_summary(codes).join(means.drop("items"), F.lit(True))  # one row beside one row
+
+
+def score_run(dataset: str, responses: DataFrame, scales_: DataFrame | None = None) -> DataFrame:
+    """The metrics of a run of one survey; responses have question_id, human, model, and payload for studies."""
+    if dataset == "twin2k_500":
+        if scales_ is None:
+            raise DataError("the twin survey needs scales")
+        return summary(encode_pairs(responses, scales_), responses)
+    if dataset == "bdm_lettuce":
+        return summary(encode_bids(responses), responses)
+    if dataset == "twin2k_mega_study":
+        pairs = paired_cells(responses)
+        return summary(encode_cells(pairs), study_labels(pairs))
+    raise DataError(f"no scorer for {dataset}")
+
+
+def yes_no_cards(questions: DataFrame, responses: DataFrame, human: DataFrame) -> DataFrame:
+    """A card for each question (qid, body): counts of yes and no, what was neither, the human share, total variation and mean, to 6 places.
+
+    responses: qid, answer (Yes, No or other); human: qid, yes, no. Human
+    shares are scaled to 1; a question without answers is 1 away.
+    """
+    counts = responses.groupBy("qid").agg(F.count_if(F.col("answer") == "Yes").alias("yes"), F.count_if(F.col("answer") == "No").alias("no"), F.count_if(~F.coalesce(F.col("answer").isin("Yes", "No"), F.lit(False))).alias("unparsed"))
+    whole = F.col("yes") + F.col("no")
+    said = human.select("qid", F.coalesce(F.try_divide("yes", whole), F.lit(0.0)).alias("human_yes"), F.coalesce(F.try_divide("no", whole), F.lit(0.0)).alias("human_no"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    joined = questions.join(said, "qid").join(counts, "qid", "left").withColumns({c: zero(F.col(c)) for c in ("yes", "no", "unparsed")})
+    n = F.col("yes") + F.col("no")
+    yes = F.coalesce(F.try_divide("yes", n), F.lit(0.0))
+    tvd = F.when(n == 0, 1.0).otherwise((F.abs(yes - F.col("human_yes")) + F.abs(1 - yes - F.col("human_no"))) / 2)
+    return joined.select("qid", "body", "yes", "no", n.alias("n"), "unparsed", F.round("human_yes", 6).alias("human_yes"), F.round("human_no", 6).alias("human_no"), F.round(tvd, 6).alias("tvd"), F.round(yes, 6).alias("mean"))
+
+
 def score(responses: DataFrame, scales: DataFrame) -> DataFrame:
     """One row of all pooled metrics of a run."""
-    codes = metrics.coded_summary(encode_pairs(responses, scales))
-    labels = mean_tvd_by_item(responses, "question_id", "human", "model")
-    return codes.join(labels.drop("items"), F.lit(True))  # one row beside one row
+    return summary(encode_pairs(responses, scales), responses)
 
 
 def compare(table: DataFrame, keys: Sequence[str], method: str, base: str, other: str, values: Sequence[str]) -> DataFrame:

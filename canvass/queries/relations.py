@@ -177,7 +177,7 @@ def limited_cases(t: Tables):
 
 
 @R.add("""WITH x AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'Pop' ELSE 'Grouped' END AS split, lang, doc_id FROM documents)
-SELECT doc_id, split || ':' || lang || ':' || lpad(CAST(row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS VARCHAR), 5, '0') AS case_id FROM x""")
+SELECT doc_id, split || ':' || lang || ':' || printf('%05d', row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1) AS case_id FROM x""")
 def case_ids(t: Tables):
     rows = t.documents.select(F.when(F.col("doc_id") % 2 == 0, "Pop").otherwise("Grouped").alias("split"), F.col("lang").alias("dataset_name"), F.lit("q").alias("input_template"), F.col("doc_id").alias("ord"), F.map_from_arrays(F.array(F.lit("lang")), F.array("lang")).alias("variables"))
     return groups.cases(rows).select(F.col("ord").alias("doc_id"), "case_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from canvass.functions import text as x
 from canvass.plans import cards, groups
 from canvass.queries.base import Registry, Tables
+from canvass.session import shared_dir
 from canvass.streaming import incremental
 
 R = Registry()
@@ -116,7 +117,7 @@ def tendency_cards(t: Tables):
 @R.add("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_window_counts(t: Tables):
     """Daily counts of the answer stream, run over all files there are."""
-    base = f"{t.spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/stream-{uuid.uuid4().hex[:12]}"
+    base = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex[:12]}"
     schema = t.events.schema
     # a stream reads folders, and the table may be one file
     stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.sf_dir}/events.parquet*")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canvass.errors import DataError
+from canvass.errors import DataError, EnvironmentFault
 from canvass.functions.text import strip
 
 
@@ -97,9 +97,12 @@ def first_field(*names: str) -> Column:
 
 
 def file_facts(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, sha256) of the files below a path, hashed where they are read."""
+    """(name, bytes, sha256) of the files below a path, hashed where they are read; a name is the path from there on."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+    below = F.when(F.startswith("path", F.lit(f"{whole}/")), F.substring("path", len(whole) + 2, 1 << 20)).otherwise(F.element_at(F.split("path", "/"), -1))
+    return files.select(below.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def verify(facts: DataFrame, lock: DataFrame) -> DataFrame:
@@ -109,3 +112,38 @@ def verify(facts: DataFrame, lock: DataFrame) -> DataFrame:
     both = a.join(b, "name", "full_outer")
     status = F.when(F.col("there").isNull(), "extra").when(F.col("here").isNull(), "missing").when(F.col("here") == F.col("there"), "verified").otherwise("changed")
     return both.select("name", status.alias("status"))
+
+
+def verified(facts: DataFrame, lock: DataFrame, optional: Sequence[str] = ()) -> str:
+    """"verified" if all files are as the lock says, "partial" if only optional ones are absent, "skipped_absent" if all are; anything else is an error."""
+    bad = verify(facts, lock).filter("status <> 'verified'").orderBy("name").limit(20).collect()
+    wrong = [f"{r['name']} is {r['status']}" for r in bad if r["status"] != "missing"]
+    absent = [r["name"] for r in bad if r["status"] == "missing"]
+    if absent and facts.isEmpty():
+        return "skipped_absent"
+    if wrong or (needed := [n for n in absent if n not in optional]):
+        raise DataError("; ".join(wrong or [f"{n} is missing" for n in needed]))
+    return "partial" if absent else "verified"
+
+
+def require_cache(spark: SparkSession, paths: Sequence[str], command: str) -> Sequence[str]:
+    """paths, if all of them exist; else an error that names the command that fetches them."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            raise EnvironmentFault(f"{path} is missing; run: {command}")
+    return paths
+
+
+def require_fields(**fields: Column) -> dict[str, Column]:
+    """Columns whose null or blank values are errors that name the field."""
+    return {k: F.when(F.coalesce(strip(c.cast("string")), F.lit("")) == "", F.raise_error(F.lit(f"a record needs {k}"))).otherwise(c) for k, c in fields.items()}
+
+
+def sampled_records(records: DataFrame, key: str, weight: Column | None, n: int, seed: int) -> DataFrame:
+    """n records in two passes: the first reads ids and weights only, the second the chosen records whole."""
+    from canvass.operators.sampling import weighted_draw
+
+    ids = records.select(key, (F.lit(1.0) if weight is None else weight).alias("__w"))
+    chosen = weighted_draw(ids, key, F.col("__w"), n, seed).select(key)
+    return records.join(chosen, key, "left_semi")

@@ -28,6 +28,6 @@ def write_partitioned(df: DataFrame, path: str, *keys: str) -> None:
 
 def manifest(df_path: str, spark, **facts: object) -> dict:
     """Names, sizes and hashes of the files of a result with a hash of the manifest itself."""
-    files = {r["name"]: {"bytes": r["bytes"], "sha256": r["sha256"]} for r in file_facts(spark, df_path).orderBy("name").collect() if not r["name"].startswith(("_", "."))}
+    files = {r["name"]: {"bytes": r["bytes"], "sha256": r["sha256"]} for r in file_facts(spark, df_path).orderBy("name").collect() if not r["name"].rpartition("/")[2].startswith(("_", "."))}
     body = {"files": files, **facts}
     return body | {"manifest_sha256": sha256_text(canonical(body))}

@@ -83,7 +83,7 @@ def test_scoring_encodes_lists_options_and_numbers(spark):
     responses = spark.createDataFrame([("q1", "b", "a"), ("q2", "1,2", "3,2"), ("q3:1", "hi", "lo"), ("q4", "5", "x")], "question_id string, human string, model string")
     scales = spark.createDataFrame([("q1", ["a", "b"], 1.0), ("q3", ["lo", "hi"], 1.0)], "question_id string, options array<string>, span double")
     got = {(g["item"], g["human"], g["model"]) for g in scoring.encode_pairs(responses, scales).collect()}
-    assert got == {("q1", 2.0, 1.0), ("q2:0", 1.0, 3.0), ("q2:1", 2.0, 2.0), ("q3:1", 2.0, 1.0)}
+    assert got == {("q1", 2.0, 1.0), ("q2:1", 1.0, 3.0), ("q2:2", 2.0, 2.0), ("q3:1", 2.0, 1.0)}
     assert scoring.score(responses, scales).first()["items"] == 3
 
 
@@ -130,8 +130,12 @@ def test_cards_and_leaks(spark):
     got = {c["subject_id"]: c for c in made.collect()}
     assert got["7"]["text"].endswith("## Basics\ncolor: red\nbid: MISSING\n") and got["7"]["basic_info"][1]["status"] == "missing"
     assert made.filter(cards.generated_text(F.col("text"))).count() == 0
+    # a value of the card itself is no leak, be it digits or not
     outcomes = spark.createDataFrame([("7", "12"), ("8", "12"), ("8", "MISSING"), ("7", "lor: r")], "subject_id string, text string")
-    assert {(k["subject_id"], k["kind"]) for k in cards.leaks(made, outcomes).collect()} == {("8", "value"), ("7", "text")}
+    assert {(k["subject_id"], k["kind"]) for k in cards.leaks(made, outcomes).collect()} == {("7", "text")}
+    inner = spark.createDataFrame([("9", "## Identity\n\n## Basics\ncolor: x\nprice: 12\n", [("x",)])], "subject_id string, text string, basic_info array<struct<value:string>>")
+    outcomes = spark.createDataFrame([("9", "12"), ("9", "pri"), ("9", "a $4.50 b")], "subject_id string, text string")
+    assert {(k["subject_id"], k["kind"], k["text"]) for k in cards.leaks(inner, outcomes).collect()} == {("9", "value", "12")}
     with pytest.raises(Exception, match="not in the catalog"):
         cards.basic_cards(rows, "d", "f", ["color"], {"color": "?"}, {"color": ["red"]}).collect()
     bad = cards.eligibility(rows.select("pid"), spark.createDataFrame([("7", [("a", "x"), ("b", " ")])], "pid string, items array<struct<question_id:string,answer:string>>"), ["a", "b"])
