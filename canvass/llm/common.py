@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canvass.session import shared_dir
+
 #: Bytes of text that one vectorised step works on; longer texts form a step of their own.
 STEP_BYTES = 1 << 20
 
@@ -25,12 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or f"file:///tmp/checkpoints/canvass-{spark.sparkContext.applicationId}"
-
-
 class Scratch:
     """Tables and files of one run of an operator, in the shared folder.
 
@@ -40,7 +36,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
-        self.base = f"{shared_dir(spark).rstrip('/')}/canvass/{label}-{uuid.uuid4().hex[:12]}"
+        self.base = f"{shared_dir(spark)}/canvass/{label}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
