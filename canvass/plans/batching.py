@@ -26,8 +26,8 @@ DISTRIBUTION_SYSTEM = (
 ATTEMPTS, PAUSE = 3, 0.2
 
 
-def pack(packages: DataFrame, size: int, outer: bool = False) -> DataFrame:
-    """(subject_id, chunk, question_ids, system, user) of packages (subject_id, ord, question_id, persona, prompt, options, kind, response_mode)."""
+def pack(packages: DataFrame, size: int, outer: bool = False, system: str | None = None) -> DataFrame:
+    """(subject_id, chunk, question_ids, system, user) of packages (subject_id, ord, question_id, persona, prompt, options, kind, response_mode); `system` takes the place of the instruction to answer."""
     body = question_body(F.col("prompt"), F.col("options"))
     lead = F.concat(F.lit("question_id: "), F.col("question_id"), F.lit("\n"))
     if outer:
@@ -38,7 +38,7 @@ def pack(packages: DataFrame, size: int, outer: bool = False) -> DataFrame:
     ids = F.transform("rows", lambda r: r["question_id"])
     wrong = F.when(F.col("persona") != F.col("other"), "a batch must share one persona").when(F.size(F.array_distinct(ids)) < F.size(ids), "duplicate question_id in batch")
     user = F.concat(F.lit("Persona:\n\n"), F.col("persona"), F.lit("\n\nQuestions:\n\n"), F.array_join(F.transform("rows", lambda r: r["block"]), "\n\n"))
-    system = F.when(F.col("mode") == "distribution", DISTRIBUTION_SYSTEM).otherwise(ANSWER_SYSTEM)
+    system = F.when(F.col("mode") == "distribution", DISTRIBUTION_SYSTEM).otherwise(ANSWER_SYSTEM if system is None else system)
     return out.select("subject_id", "chunk", ids.alias("question_ids"), F.col("mode").alias("response_mode"), F.when(wrong.isNotNull(), F.raise_error(wrong)).otherwise(system).alias("system"), user.alias("user"))
 
 
@@ -93,7 +93,7 @@ def with_cache(batches: DataFrame, cache: DataFrame, key: str = "key") -> tuple[
 
 def listed(raw: Column) -> Column:
     """The answers of a reply, each as JSON text, in order."""
-    return F.transform(F.try_variant_get(F.try_parse_json(reply_object(raw)["json"]), "$.answers", "array<variant>"), F.to_json)
+    return F.transform(F.try_variant_get(F.try_parse_json(reply_object(raw)["json"]), "$.answers", "array<variant>"), lambda v: F.to_json(v))
 
 
 def answers(replies: DataFrame) -> DataFrame:

@@ -23,12 +23,25 @@ def group_persona(subjects: DataFrame) -> DataFrame:
     return subjects.select("subject_id", strip(F.col("persona_text")).alias("persona"))
 
 
+def expanded(subjects: DataFrame, seed: int) -> DataFrame:
+    """Life histories of subjects, with the day of those that have one."""
+    if "routine" not in subjects.columns:
+        subjects = subjects.withColumn("routine", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))
+    return life_cards(subjects, seed).withColumnRenamed("text", "persona")
+
+
+def inclined(subjects: DataFrame, seed: int) -> DataFrame:
+    """Life histories with the person's tendencies below."""
+    both = expanded(subjects, seed).join(tendency_cards(subjects), "subject_id")
+    return both.select("subject_id", F.concat_ws("\n\n", "persona", "text").alias("persona"))
+
+
 #: Ways to a persona: (subjects, seed) to (subject_id, persona), whether replies are drawn outside, and the kind of reply.
 METHODS: dict[str, tuple[Callable[[DataFrame, int], DataFrame], bool, str]] = {
     "fixed_text": (lambda s, seed: group_persona(s), False, "answer"),
     "group": (lambda s, seed: group_persona(s), False, "distribution"),
-    "atus_expanded": (lambda s, seed: life_cards(s, seed).withColumnRenamed("text", "persona"), False, "answer"),
-    "atus_expanded_skill": (lambda s, seed: life_cards(s, seed).join(tendency_cards(s).withColumnRenamed("text", "__t"), "subject_id").select("subject_id", F.concat_ws("\n\n", "text", "__t").alias("persona")), True, "answer"),
+    "atus_expanded": (expanded, False, "answer"),
+    "atus_expanded_skill": (inclined, True, "answer"),
 }
 
 
@@ -38,10 +51,13 @@ def method(name: str) -> tuple[Callable[[DataFrame, int], DataFrame], bool, str]
     return METHODS[name]
 
 
-def packages(bundle: Bundle, name: str, seed: int = 0) -> DataFrame:
-    """A row for each case: (subject_id, ord, question_id, persona, prompt, options, kind, response_mode). An empty persona is an error."""
+def packages(bundle: Bundle, name: str, seed: int = 0, under: str = "") -> DataFrame:
+    """A row for each case: (subject_id, ord, question_id, persona, prompt, options, kind, response_mode).
+
+    under: instructions that follow every persona, as those of a skill do. An empty persona is an error.
+    """
     make, _, mode = method(name)
-    text = F.when(F.coalesce(strip(F.col("persona")), F.lit("")) == "", F.raise_error(F.concat(F.lit(f"{name} made an empty persona for "), "subject_id"))).otherwise(strip(F.col("persona")))
+    text = F.when(F.coalesce(strip(F.col("persona")), F.lit("")) == "", F.raise_error(F.concat(F.lit(f"{name} made an empty persona for "), "subject_id"))).otherwise(F.concat_ws("\n\n", strip(F.col("persona")), F.lit(under.strip() or None)))
     personas = make(bundle.subjects, seed).select("subject_id", text.alias("persona"))
     asked = bundle.cases.join(bundle.questions, ["dataset", "question_id"])
     return asked.join(personas, "subject_id").select("subject_id", F.struct("ord", "pos").alias("ord"), "question_id", "persona", "prompt", "options", "kind", F.lit(mode).alias("response_mode"))
@@ -75,7 +91,7 @@ class Run:
 CACHE = "key string, raw string"
 
 
-def simulate(asked: DataFrame, call: Callable[[str, str], str], *, model: str, provider: str = "provider", size: int = 15, seed: int = 0, outer: bool = False, cache: DataFrame | None = None, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> Run:
+def simulate(asked: DataFrame, call: Callable[[str, str], str], *, model: str, provider: str = "provider", size: int = 15, seed: int = 0, outer: bool = False, system: str | None = None, cache: DataFrame | None = None, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> Run:
     """Ask packages in batches of one person. Replies in the cache are not asked again.
 
     cut writes the replies down (they cost money and may differ the next time)
@@ -85,7 +101,7 @@ def simulate(asked: DataFrame, call: Callable[[str, str], str], *, model: str, p
     """
     if isinstance(size, bool) or not isinstance(size, int) or size < 1:
         raise DataError("a batch must have 1 question at least")
-    batches = batching.pack(asked, size, outer).withColumn("key", batching.cache_key(provider, model, "system", "user", "response_mode"))
+    batches = batching.pack(asked, size, outer, system).withColumn("key", batching.cache_key(provider, model, "system", "user", "response_mode"))
     known = batches.limit(0).withColumn("raw", F.lit("")) if cache is None else batching.with_cache(batches, cache)[0]
     ask = batches if cache is None else batching.with_cache(batches, cache)[1]
     told = cut(batching.ask(ask, call).withColumn("cached", F.lit(False)).unionByName(known.select(*batches.columns, "raw", F.lit(None).cast("string").alias("failure"), F.lit(True).alias("cached"))))
@@ -118,8 +134,10 @@ def read_replies(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_gold(results: DataFrame, gold: DataFrame) -> DataFrame:
-    """Results with the held-out answers, which no prompt has seen."""
-    return attach(results, gold.drop("dataset"), ["subject_id", "question_id"])
+    """Results with the held-out answers, which no prompt has seen; names that are taken get gold_ before them."""
+    keys = ["subject_id", "question_id"]
+    held = gold.drop("dataset")
+    return attach(results, held.withColumnsRenamed({c: f"gold_{c}" for c in held.columns if c in results.columns and c not in keys}), keys)
 
 
 def progress(run: Run, planned: int, seconds: float = 0.0) -> dict[str, object]:

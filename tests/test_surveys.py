@@ -155,7 +155,14 @@ def reply(system, user):
 
 def test_outer_draws_of_a_run(spark):
     b = bundle(spark)
-    run = simulation.simulate(simulation.packages(b, "atus_expanded_skill", 3), reply, model="m", outer=True, seed=5)
+    asked = simulation.packages(b, "atus_expanded_skill", 3, under="Be quick.")
+    assert all("## Life history" in r["persona"] and r["persona"].endswith("\n\nBe quick.") and "【" in r["persona"] for r in asked.collect())
+
+    def told(system, user):
+        assert system == "You fill in a survey."
+        return reply(system, user)
+
+    run = simulation.simulate(asked, told, model="m", outer=True, seed=5, system="You fill in a survey.")
     got = {(r["subject_id"], r["question_id"]): (r["answer"], r["error"]) for r in run.results.collect()}
     assert got["p1", "q1"] == ("b", None) and got["p1", "q3"] == ("7", None) and {got[p, "q2"][0] for p in ("p1", "p2")} <= {"buy", "skip"}
     rng = sampling.first_uniform("5:p1:buy:q2")
