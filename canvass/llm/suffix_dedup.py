@@ -46,7 +46,7 @@ LENGTH, GRAM = 400, 200
 #: Documents whose ids are broadcast to filter a scan; beyond it a shuffled join does it.
 BROADCAST_IDS = 1_000_000
 #: Surroundings of one name in a batch beyond which they are dealt on their own, and anchors of a name whose windows meet in one task.
-MANY, TOGETHER = 8, 400
+MANY, TOGETHER = 1, 400
 _BITS = np.uint64(22)
 _FIRST, _LEFT, _SALT = (np.uint64(int(x) * 2 + 1) for x in np.random.default_rng(101).integers(1 << 40, 1 << 62, 3))
 NO_ID = -(1 << 63)
