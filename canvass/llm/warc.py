@@ -208,11 +208,15 @@ def _read(payloads: bool):
     return run
 
 
-def read_records(spark: SparkSession, base: str, *, payloads: bool = False) -> DataFrame:
-    """All records by way of the indexes below base; a revisit has the size and payload of the response it names."""
+def read_records(spark: SparkSession, base: str, *, payloads: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """All records by way of the indexes below base; a revisit has the size and payload of the response it names.
+
+    Given scratch space the archives are read once; else once for each side of that join.
+    """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = spark.read.schema(INDEX).json(f"{base}/*.index.jsonl")
     rows = index.repartitionByRange(parts, "path", "offset").sortWithinPartitions("path", "offset").mapInArrow(_read(payloads), READ)
+    rows = rows if scratch is None else scratch.cut(rows, "parsed")
     source = rows.filter("record_type = 'response'").select(F.col("page_id").alias("to"), F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("size"), F.col("payload").alias("body")).dropDuplicates(["to", "digest"])
     again = rows.filter("record_type = 'revisit'")
     on = again["refers_to"].eqNullSafe(source["to"]) & (again["payload_digest"] == source["digest"])
@@ -226,7 +230,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_archives(table(spark, sf_dir, "pages"), scratch.path("whole"))
     normalise(archives, scratch.path("records"))
     scratch.drop("whole")
-    rows = read_records(spark, scratch.path("records")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = read_records(spark, scratch.path("records"), scratch=scratch).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return scratch.cut(rows, "read")
 
 
