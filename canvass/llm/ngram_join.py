@@ -436,8 +436,9 @@ def grouped(docs: DataFrame, scratch: Scratch, *, n: int = N, percent: int = PER
     # one document of each row that is left, by which its set can be read again, and the row's parity map
     wanted = rows.join(shared.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "uid", "map")
     wanted = scratch.cut(wanted.dropDuplicates(["node"]), "wanted")
-    at = scratch.cut(shared.join(wanted.select("node", "map"), "node").withColumn("c", F.col("node")), "at")
     size = shared.count()
+    at = scratch.cut(shared.join(wanted.select("node", "map"), "node").withColumn("c", F.col("node")), "at")
+    scratch.drop("entries")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs whose whole sets reach the threshold. Only documents of these pairs are read again; b's set is sent once for TAILS of its partners."""
