@@ -54,13 +54,18 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Names that Hadoop's clients have for stores that Arrow knows by others.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}
+
+
 def open_fs(uri: str):
     """(file system, path) of a URI, on the driver or in a task."""
     from pyarrow import fs
 
     if "://" not in uri:
         return fs.LocalFileSystem(), uri.removeprefix("file:")
-    return fs.FileSystem.from_uri(uri)
+    scheme, rest = uri.split("://", 1)
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 def write_file(uri: str, write) -> None:

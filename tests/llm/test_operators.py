@@ -270,6 +270,30 @@ def test_quotas():
     assert mixing.quotas({}) == {}
 
 
+def test_flow_is_cheapest_of_all():
+    """Small networks of overlapping sources against all ways to fill the quotas."""
+    import itertools
+
+    rng = random.Random(12)
+    for _ in range(60):
+        patterns = [(("a",), rng.randint(0, 3)), (("b",), rng.randint(0, 3)), (("a", "b"), rng.randint(0, 3))]
+        targets = {"a": mixing.Fraction(rng.randint(0, 6)), "b": mixing.Fraction(rng.randint(0, 6))}
+        got = mixing.route(patterns, targets, 2)
+        best = None
+        # words of the three patterns for a, and for b of those in both
+        for x in itertools.product(*(range(2 * n + 1) for _, n in patterns), range(2 * patterns[2][1] + 1)):
+            a, b, both, part = x
+            if part > both or a + part > targets["a"] or b + both - part > targets["b"]:
+                continue
+            cost = sum(max(0, used - n) for used, (_, n) in zip((a, b, both), patterns, strict=True))
+            best = min(best or (0, 0), (-(a + b + both), cost))
+        mine = {s: sum(w for _, _, t, w in got if t == s) for s in "ab"}
+        assert all(mine[s] <= targets[s] for s in mine)
+        assert (-sum(w for *_, w in got), sum(r * w for _, r, _, w in got)) == (best or (0, 0))
+        for i, (_, n) in enumerate(patterns):
+            assert all(sum(w for p, r, _, w in got if (p, r) == (i, lap)) <= n for lap in (0, 1))
+
+
 def test_flow_routes_overlaps_at_least_cost():
     # 10 words in both sources and 10 in b only: a needs 10, b needs 10; no word has to be repeated
     lanes = mixing.route([(("a", "b"), 10), (("b",), 10)], {"a": 10, "b": 10})
