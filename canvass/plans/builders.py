@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from canvass.errors import DataError
 from canvass.functions.jsonx import decoded
-from canvass.functions.text import blank_to_null, canonical_pid, format_template, group_key, purchase_prompt, strip, wtp_prompt
-from canvass.operators.relational import first_wins
-from canvass.plans.bundle import Bundle, from_records
+from canvass.functions.text import blank_to_null, canonical_pid, education_bucket, format_template, group_key, income_over_50k, purchase_prompt, strip, weekly_hours, wtp_prompt
+from canvass.operators.relational import first_wins, unequal_counts
+from canvass.plans.bundle import Bundle, canonical_demographics, from_records
 from canvass.sources.readers import expect_rows, require_fields
 
 # Fixed columns of the lettuce survey: source column, key, label on the card.
@@ -196,6 +196,41 @@ def fixed_personas(personas: DataFrame, questions: DataFrame, persons: int, aske
     return personas.select(need["id"].cast("string").alias("subject_id"), need["text"].alias("persona"), F.explode(listed).alias("q")).select("subject_id", "persona", "q.*", F.lit("multiple_choice").alias("kind"), F.lit("answer").alias("response_mode"))
 
 
+def pricing(dataset: str, question_id: Column) -> Column:
+    """Whether a question is of the pricing study of its survey."""
+    if dataset == "twin2k_500":
+        return F.startswith(question_id, F.lit("QID9_"))
+    if dataset == "bdm_lettuce":
+        return question_id.isin(*OUTCOMES)
+    raise DataError(f"{dataset} has no pricing study")
+
+
+def pricing_bundle(bundle: Bundle, dataset: str, asked: int) -> Bundle:
+    """The pricing questions of a survey; a person with other than `asked` of them is an error."""
+    kept = bundle.filtered(pricing(dataset, F.col("question_id")))
+    if odd := unequal_counts(kept.subjects, kept.cases, "subject_id", asked).limit(5).collect():
+        raise DataError(f"persons without {asked} pricing questions: {[tuple(r) for r in odd]}")
+    return kept
+
+
+def float_map(c: Column) -> Column:
+    """The entries of a map of texts that are numbers, as numbers."""
+    return F.map_filter(F.transform_values(c, lambda k, v: v.try_cast("double")), lambda k, v: v.isNotNull())
+
+
+def adapted(demographics: Column) -> Column:
+    """What a card reads of a person: known keys for survey ids, no outcomes, and education, hours and income derived where they are not given."""
+    kept = F.map_filter(canonical_demographics(demographics), lambda k, v: ~k.isin(*OUTCOMES, DRAWN_PRODUCT, DRAWN_PRICE))
+    at = lambda k: F.element_at(kept, k)
+    derived = {
+        "education_bucket": education_bucket(at("education")),
+        "work_hours": F.when(at("work_hours").isNull(), F.bround(weekly_hours(at("employment"))).cast("int").cast("string")),
+        "income_over_50k": F.when(at("income_over_50k").isNull() & at("income").isNotNull(), F.coalesce(income_over_50k(at("income")), F.lit(False)).cast("string")),
+    }
+    more = F.map_from_entries(F.array_compact(F.array(*(F.when(v.isNotNull() & (at("education").isNotNull() if k == "education_bucket" else F.lit(True)), F.struct(F.lit(k).alias("key"), v.alias("value"))) for k, v in derived.items()))))
+    return F.map_concat(F.map_filter(kept, lambda k, v: k != "education_bucket"), more)
+
+
 def refuse_expansion(dataset: str, unit: str, subjects: DataFrame) -> DataFrame:
     """subjects whose life may be told: persons with something known of them."""
     if unit != "individual" or dataset == "simbench":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -68,6 +70,16 @@ def catalog(rows: DataFrame) -> DataFrame:
     return out
 
 
+def breakdown(rows: DataFrame, key: str, splits: Sequence[str]) -> DataFrame:
+    """(key, a column for each split, total): rows of each key by split."""
+    return rows.groupBy(key).agg(*(F.count_if(F.col("split") == s).alias(s) for s in splits), F.count("*").alias("total"))
+
+
+def unknown_questions(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Question ids of rows that a catalog lacks, with the rows they have."""
+    return rows.join(known.select("question_id"), "question_id", "left_anti").groupBy("question_id").agg(F.count("*").alias("rows"))
+
+
 def shares(rows: DataFrame) -> DataFrame:
     """(case_id, label, share) of answer maps; sums over 1.5 are percentages."""
     total = F.aggregate(F.map_values("answer"), F.lit(0.0), lambda a, x: a + x)

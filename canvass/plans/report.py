@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from canvass.errors import DataError
 from canvass.functions.text import proportion8
 from canvass.operators.relational import unpivot
+from canvass.sources.readers import assert_unique
 
 
 def field_report(rows: DataFrame, columns: Sequence[str], in_sample: str) -> DataFrame:
@@ -21,6 +23,14 @@ def field_report(rows: DataFrame, columns: Sequence[str], in_sample: str) -> Dat
     return totals.select("field", "value", "population", "sample", proportion8(F.col("population"), F.col("pn")).alias("population_share"), proportion8(F.col("sample"), F.col("sn")).alias("sample_share"))
 
 
+def in_sample(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """rows with `sampled`; an id that repeats, or that no row has, is an error."""
+    chosen = assert_unique(ids.select(key), [key])
+    if strangers := [r[0] for r in chosen.join(rows, key, "left_anti").limit(5).collect()]:
+        raise DataError(f"the sample has ids that the population lacks: {strangers}")
+    return rows.join(chosen.withColumn("sampled", F.lit(True)), key, "left").withColumn("sampled", F.coalesce("sampled", F.lit(False)))
+
+
 def field_distances(report: DataFrame) -> DataFrame:
     """Largest gap and total variation of each field, from exact counts."""
     every = W.partitionBy("field")

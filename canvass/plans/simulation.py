@@ -14,6 +14,7 @@ from canvass.functions.text import strip
 from canvass.operators.relational import attach
 from canvass.operators.sampling import clamp_prob, contract, outer_choice, outer_price, stratified_draw
 from canvass.plans import batching
+from canvass.plans.builders import adapted, refuse_expansion
 from canvass.plans.bundle import Bundle
 from canvass.plans.cards import life_cards, tendency_cards
 from canvass.sources.writers import write_jsonl
@@ -27,7 +28,8 @@ def expanded(subjects: DataFrame, seed: int) -> DataFrame:
     """Life histories of subjects, with the day of those that have one."""
     if "routine" not in subjects.columns:
         subjects = subjects.withColumn("routine", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))
-    return life_cards(subjects, seed).withColumnRenamed("text", "persona")
+    known = refuse_expansion("", "individual", subjects)
+    return life_cards(known.withColumn("demographics", adapted(F.col("demographics"))), seed).withColumnRenamed("text", "persona")
 
 
 def inclined(subjects: DataFrame, seed: int) -> DataFrame:

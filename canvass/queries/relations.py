@@ -9,6 +9,7 @@ from canvass.functions.jsonx import canonical_hash, reply_object
 from canvass.operators import relational as r
 from canvass.plans import batching, groups
 from canvass.queries.base import Registry, Tables
+from canvass.sources.writers import text_statistics
 
 R = Registry()
 
@@ -75,13 +76,12 @@ def batch_chunks(t: Tables):
     return cut.groupBy("conv_id", "chunk").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("turn")).cast("array<string>"), ",").alias("turns"))
 
 
-@R.add("SELECT conv_id, md5(string_agg('question_id: ' || CAST(turn AS VARCHAR) || chr(10) || trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+@R.add("""SELECT CAST(conv_id AS VARCHAR) AS subject_id, md5('Persona:' || chr(10) || chr(10) || 'A person.' || chr(10) || chr(10) || 'Questions:' || chr(10) || chr(10)
+|| string_agg('question_id: ' || turn || chr(10) || trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id""")
 def pack_prompt(t: Tables):
-    from canvass.functions.text import strip
-
-    block = F.concat(F.lit("question_id: "), F.col("turn").cast("string"), F.lit("\n"), strip(F.col("text")))
-    rows = F.array_sort(F.collect_list(F.struct("turn", block.alias("b"))))
-    return t.conversations.groupBy("conv_id").agg(F.md5(F.array_join(F.transform(rows, lambda x: x["b"]), "\n\n").cast("binary")).alias("digest"))
+    turn = F.col("turn").cast("string")
+    asked = t.conversations.select(F.col("conv_id").cast("string").alias("subject_id"), F.col("turn").alias("ord"), turn.alias("question_id"), F.lit("A person.").alias("persona"), F.col("text").alias("prompt"), F.array().cast("array<string>").alias("options"), F.lit("text").alias("kind"), F.lit("answer").alias("response_mode"))
+    return batching.pack(asked, 10_000).select("subject_id", F.md5(F.col("user").cast("binary")).alias("digest"))
 
 
 @R.add("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'mock' END AS answer, CASE WHEN turn % 2 = 1 THEN 'missing question_id ' || CAST(turn AS VARCHAR) END AS error FROM conversations""")
@@ -123,12 +123,14 @@ def share_sum_issues(t: Tables):
     return groups.share_sum_issues(s).select("case_id", F.round("total", 6).alias("total"))
 
 
-@R.add("""WITH k AS (SELECT md5(text) AS h, doc_id, lang, CASE WHEN doc_id % 2 = 0 THEN 'Pop' ELSE 'Grouped' END AS split FROM documents)
-SELECT arg_min(doc_id, doc_id) AS doc_id, arg_min(lang, doc_id) AS lang, CASE WHEN count(DISTINCT split) > 1 THEN 'both' ELSE min(split) END AS source, count(*) AS cases FROM k GROUP BY h""")
+@R.add("""WITH k AS (SELECT md5(text) AS question_id, lang, source, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Pop' ELSE 'Grouped' END AS split FROM documents)
+SELECT question_id, arg_min(lang, (split, doc_id)) AS template, list_sort(list(DISTINCT source)) AS datasets, CASE WHEN count(DISTINCT split) > 1 THEN 'both' ELSE min(split) END AS source, count(*) AS cases,
+arg_min(CASE WHEN doc_id % 3 = 0 THEN lang END, (split, doc_id)) FILTER (doc_id % 3 = 0) AS option FROM k GROUP BY question_id""")
 def catalog_dedup(t: Tables):
-    k = t.documents.select(F.md5(F.col("text").cast("binary")).alias("h"), "doc_id", "lang", F.when(F.col("doc_id") % 2 == 0, "Pop").otherwise("Grouped").alias("split"))
-    out = k.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min_by("lang", "doc_id").alias("lang"), F.when(F.min("split") != F.max("split"), "both").otherwise(F.min("split")).alias("source"), F.count("*").alias("cases"))
-    return out.drop("h")
+    k = F.col("doc_id")
+    options = F.when(k % 3 == 0, F.array("lang")).otherwise(F.array().cast("array<string>"))
+    rows = t.documents.select(F.md5(F.col("text").cast("binary")).alias("question_id"), F.col("lang").alias("input_template"), options.alias("options"), F.col("source").alias("dataset_name"), F.when(k % 2 == 0, "Pop").otherwise("Grouped").alias("split"), k.alias("ord"))
+    return groups.catalog(rows).select("question_id", "template", "datasets", "source", "cases", F.get("options", F.lit(0)).alias("option"))
 
 
 @R.add("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(trim(b.text)) > 0")
@@ -185,9 +187,14 @@ def case_ids(t: Tables):
 
 @R.add("SELECT lang AS dataset, count(*) FILTER (doc_id % 2 = 0) AS pop, count(*) FILTER (doc_id % 2 = 1) AS grouped, count(*) AS total FROM documents GROUP BY lang")
 def breakdown(t: Tables):
-    return t.documents.groupBy(F.col("lang").alias("dataset")).agg(F.count_if(F.col("doc_id") % 2 == 0).alias("pop"), F.count_if(F.col("doc_id") % 2 == 1).alias("grouped"), F.count("*").alias("total"))
+    return groups.breakdown(t.documents.select(F.col("lang").alias("dataset"), F.when(F.col("doc_id") % 2 == 0, "pop").otherwise("grouped").alias("split")), "dataset", ["pop", "grouped"])
+
+
+@R.add("SELECT lang AS question_id, count(*) AS rows FROM documents WHERE lang <> 'en' GROUP BY lang")
+def unknown_questions(t: Tables):
+    return groups.unknown_questions(t.documents.select(F.col("lang").alias("question_id")), t.spark.createDataFrame([("en",)], "question_id string"))
 
 
-@R.add("SELECT min(n_chars) AS least, max(n_chars) AS most, round(avg(n_chars), 6) AS mean, count(DISTINCT text) AS texts FROM documents")
+@R.add("SELECT min(length(text)) AS least, max(length(text)) AS most, round(avg(length(text)), 6) AS mean, count(DISTINCT text) AS texts FROM documents")
 def card_lengths(t: Tables):
-    return t.documents.agg(F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.round(F.avg("n_chars"), 6).alias("mean"), F.countDistinct("text").alias("texts"))
+    return text_statistics(t.documents, "text").withColumn("mean", F.round("mean", 6))

@@ -41,7 +41,8 @@ def planned_size(t: Tables):
     return t.spark.createDataFrame([(k, v, s.planned_size(v)) for k, v in counts.items()], "name string, population long, n long")
 
 
-@R.add()
+@R.add("""WITH u AS (SELECT c_custkey, c_acctbal, greatest(c_acctbal, 0) AS w, (CAST(('0x' || substr(sha256('7' || chr(10) || CAST(c_custkey AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM customer)
+SELECT c_custkey, c_acctbal FROM u WHERE w > 0 ORDER BY ln(u) / w DESC LIMIT 50""")
 def weighted_draw(t: Tables):
     return s.weighted_draw(t.customer.select("c_custkey", "c_acctbal"), "c_custkey", F.col("c_acctbal"), 50, 7)
 

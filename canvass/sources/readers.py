@@ -88,6 +88,8 @@ def read_splits(spark: SparkSession, paths: Mapping[str, str], limit: int | None
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
+    if out.isEmpty():
+        raise DataError(f"no rows in {sorted(paths)}")
     return out if limit is None else out.orderBy("split_ord", order).limit(limit)
 
 

@@ -31,3 +31,15 @@ def manifest(df_path: str, spark, **facts: object) -> dict:
     files = {r["name"]: {"bytes": r["bytes"], "sha256": r["sha256"]} for r in file_facts(spark, df_path).orderBy("name").collect() if not r["name"].rpartition("/")[2].startswith(("_", "."))}
     body = {"files": files, **facts}
     return body | {"manifest_sha256": sha256_text(canonical(body))}
+
+
+def text_statistics(df: DataFrame, text: str) -> DataFrame:
+    """(least, most, mean, texts): lengths of a text column, and how many different texts there are."""
+    size = F.length(text)
+    return df.agg(F.min(size).alias("least"), F.max(size).alias("most"), F.avg(size).alias("mean"), F.countDistinct(text).alias("texts"))
+
+
+def export_texts(df: DataFrame, key: str, text: str, path: str) -> dict[str, object]:
+    """One object a line with the text of each key, as it was sent; returns the statistics of the texts."""
+    write_jsonl(df.select(key, text), path, [key])
+    return text_statistics(df, text).first().asDict()

@@ -216,6 +216,44 @@ def test_progress_and_samples(spark):
     assert {r["id"] for r in readers.sampled_records(records, "id", F.col("w"), 4, 2).collect()} == {6, 7, 8, 9}
 
 
+def test_demographics_that_a_card_reads(spark):
+    raw = {"QID14": "College graduate", "QID24": "Part-time employment", "income": "$100,000 or more", "local_field": "3", "age": "4 ", "sex": " "}
+    rows = spark.createDataFrame([("p", raw), ("q", {"age": "5"})], "id string, d map<string,string>").select("id", builders.adapted(F.col("d")).alias("d"))
+    got = {r["id"]: r["d"] for r in rows.collect()}
+    assert got["p"]["education_bucket"] == "bachelor_or_higher" and got["p"]["income_over_50k"] == "true" and "local_field" not in got["p"] and got["p"]["age"] == "4" and "sex" not in got["p"]
+    assert got["q"] == {"age": "5"}
+    assert spark.createDataFrame([({"a": "1.5", "b": "x"},)], "m map<string,string>").select(builders.float_map(F.col("m"))).first()[0] == {"a": 1.5}
+
+
+def test_pricing_questions_and_samples(spark):
+    ask = [("QID9_1", "p", [], "text", ""), ("QID9_2", "p", [], "text", ""), ("QID1", "p", [], "text", "")]
+    b = from_records(spark.createDataFrame([("1", {}, "x", ask), ("2", {}, "x", ask[1:])], RECORDS), "twin2k_500")
+    with pytest.raises(DataError, match="without 2 pricing"):
+        builders.pricing_bundle(b, "twin2k_500", 2)
+    one = Bundle(b.subjects.filter("subject_id = '1'"), b.questions, b.cases.filter("subject_id = '1'"), b.gold)
+    assert builders.pricing_bundle(one, "twin2k_500", 2).cases.count() == 2
+    with pytest.raises(DataError, match="no pricing study"):
+        builders.pricing("simbench", F.col("x"))
+    from canvass.plans.report import in_sample
+
+    ids = spark.createDataFrame([("1",)], "subject_id string")
+    assert {r["subject_id"]: r["sampled"] for r in in_sample(b.subjects, ids, "subject_id").collect()} == {"1": True, "2": False}
+    for bad, what in ((ids.union(ids), "repeated"), (spark.createDataFrame([("9",)], "subject_id string"), "population lacks")):
+        with pytest.raises(DataError, match=what):
+            in_sample(b.subjects, bad, "subject_id")
+
+
+def test_export_of_texts(spark, tmp_path):
+    from canvass.sources.writers import export_texts
+
+    df = spark.createDataFrame([("a", "xy"), ("b", "xyzz"), ("c", "xy")], "subject_id string, text string")
+    assert export_texts(df, "subject_id", "text", str(tmp_path / "cards")) == {"least": 2, "most": 4, "mean": 8 / 3, "texts": 2}
+    assert [json.loads(x)["subject_id"] for x in sorted_lines(tmp_path / "cards")] == ["a", "b", "c"]
+    with pytest.raises(DataError, match="no rows"):
+        spark.createDataFrame([], "line long").write.parquet(str(tmp_path / "none"))
+        readers.read_splits(spark, {"none": str(tmp_path / "none")})
+
+
 def test_lock_of_outputs(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x").write_text("1")
