@@ -274,13 +274,74 @@ def _meetings(k: int, turn: int):
     return run
 
 
-def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, id) of the vectors that lists (block, node, members) need."""
-    for b in batches:
-        block = np.asarray(b.column(0))
-        members, n = lists(b.column(2), np.int64)
-        of, ids = distinct_pairs(np.repeat(block, n), members)
-        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(ids)], ["block", "id"])
+#: Buckets of nodes, and what blocks ask of them: (id, u, kth) offered, (block, ids) asked.
+EXCHANGE = "bucket int, block long, id long, u binary, kth float, ids binary"
+EXCHANGE_NAMES = [x.split()[0] for x in EXCHANGE.split(", ")]
+ANSWER = "block long, ids binary, us binary, kths binary"
+
+
+def _asked(buckets: int):
+    """What lists (block, node, members) need: for each block and bucket of nodes a row of ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            members, n = lists(b.column(2), np.int64)
+            block, ids = distinct_pairs(np.repeat(np.asarray(b.column(0)), n), members)
+            bucket = bucket_of(ids, buckets)
+            order = np.lexsort((ids, block, bucket))
+            block, ids, bucket = block[order], ids[order], bucket[order]
+            first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])])) if len(ids) else np.zeros(0, np.int64)
+            nothing = lambda kind: pa.nulls(len(first), kind)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(block[first]), nothing(pa.int64()), nothing(pa.binary()), nothing(pa.float32()), packed(ids, np.diff(np.append(first, len(ids))))], EXCHANGE_NAMES)
+
+    return run
+
+
+def _offered(k: int, buckets: int):
+    """Each node with its vector and the similarity that a new neighbour has to beat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sims, n = lists(b.column(4), np.float32)
+            kth = np.full(b.num_rows, -2, np.float32)
+            full = n >= k
+            kth[full] = sims[(np.cumsum(n) - 1)[full]]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(np.asarray(b.column(0)), buckets)), pa.nulls(b.num_rows, pa.int64()), b.column(0), b.column(2), pa.array(kth), pa.nulls(b.num_rows, pa.binary())], EXCHANGE_NAMES)
+
+    return run
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block that asks a bucket: the ids, vectors and similarities it asked for."""
+    for t in whole_groups(batches, 1):
+        bucket, own = np.asarray(t.column(0)), ~np.asarray(t.column(2).is_null())
+        nodes, ask = t.filter(pa.array(own)), t.filter(pa.array(~own))
+        if not ask.num_rows:
+            continue
+        ids = np.asarray(nodes.column(2))
+        order = np.argsort(ids)
+        ids = ids[order]
+        u = lists(_column(nodes, "u"), np.float32)[0].reshape(len(ids), -1)[order]
+        kth = np.asarray(nodes.column(4))[order]
+        wanted, n = lists(_column(ask, "ids"), np.int64)
+        block, bucket = np.repeat(np.asarray(ask.column(1)), n), np.repeat(bucket[~own], n)
+        order = np.lexsort((wanted, block, bucket))
+        block, bucket, wanted = block[order], bucket[order], wanted[order]
+        keep = np.concatenate([[True], (wanted[1:] != wanted[:-1]) | (block[1:] != block[:-1])])
+        block, bucket, at = block[keep], bucket[keep], np.searchsorted(ids, wanted[keep])
+        first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])]))
+        ends = np.append(first[1:], len(at))
+        for i in range(0, len(first), 64):  # some rows at a time: vectors are copied for each that asks
+            part = slice(first[i], ends[min(i + 64, len(first)) - 1])
+            size = (ends - first)[i : i + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(block[first[i : i + 64]]), packed(ids[at[part]], size), packed(u[at[part]].ravel(), size * u.shape[1]), packed(kth[at[part]], size)], [x.split()[0] for x in ANSWER.split(", ")])
+
+
+def answered(asking: DataFrame, graph: DataFrame, k: int, buckets: int) -> DataFrame:
+    """(block, ids, us, kths) of what lists (block, node, members) need of the graph. Buckets of nodes answer blocks with a row each."""
+    both = graph.mapInArrow(_offered(k, buckets), EXCHANGE).union(asking.mapInArrow(_asked(buckets), EXCHANGE))
+    parts = max(1, buckets // BUCKETS)
+    return both.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_answers, ANSWER)
 
 
 def _column(t: pa.Table, name: str):
@@ -292,11 +353,11 @@ def _introduce(k: int, buckets: int):
     """In one block: all pairs that meet, one of them new, kept where they beat the k-th neighbour of either; one row a bucket."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = np.asarray(_column(right, "id"))
+        ids = lists(_column(right, "ids"), np.int64)[0]
         order = np.argsort(ids)
         ids = ids[order]
-        u = lists(_column(right, "u"), np.float32)[0].reshape(len(ids), -1)[order]
-        floor = np.asarray(_column(right, "kth"))[order]
+        u = lists(_column(right, "us"), np.float32)[0].reshape(len(ids), -1)[order]
+        floor = lists(_column(right, "kths"), np.float32)[0][order]
         members, n = lists(_column(left, "members"), np.int64)
         fresh = lists(_column(left, "fresh"), bool)[0]
         at = np.searchsorted(ids, members)
@@ -350,20 +411,6 @@ def _introduce(k: int, buckets: int):
     return run
 
 
-def _kth(k: int):
-    """id, u and the similarity that a new neighbour has to beat."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sims, n = lists(b.column(4), np.float32)
-            kth = np.full(b.num_rows, -2, np.float32)
-            full = n >= k
-            kth[full] = sims[(np.cumsum(n) - 1)[full]]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(kth)], ["id", "u", "kth"])
-
-    return run
-
-
 def build(rows: DataFrame, scratch: Scratch, *, k: int = K, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame] | None:
     """(graph, meetings) of rows (id, v): the neighbours of each node, and those that it meets both ways."""
     spark = rows.sparkSession
@@ -393,9 +440,9 @@ def build(rows: DataFrame, scratch: Scratch, *, k: int = K, rounds: int = ROUNDS
         meet = scratch.cut(meet, f"meet-{turn}")
         if turn == rounds or not going:
             return graph, meet
-        known = graph.mapInArrow(_kth(k), "id long, u binary, kth float")
-        need = meet.mapInArrow(_needed, "block long, id long").distinct().join(known, "id").select("block", "id", "u", "kth")
-        new = meet.groupBy("block").cogroup(need.groupBy("block")).applyInArrow(_introduce(k, buckets), FOUND)
+        # who has met all its members already introduces nobody
+        news = meet.filter(F.contains("fresh", F.lit(bytearray(b"\x01"))))
+        new = news.groupBy("block").cogroup(answered(news.select("block", "node", "members"), graph, k, buckets).groupBy("block")).applyInArrow(_introduce(k, buckets), FOUND)
         old = graph.mapInArrow(_seen(buckets), FOUND)
         graph = scratch.cut(merged(old.union(new)), f"graph-{turn + 1}")
         scratch.drop(f"graph-{turn}", f"meet-{turn}")
@@ -468,14 +515,14 @@ def _advance(expand: int, k: int, kept: int):
         q = lists(_column(left, "q"), np.float32)[0].reshape(len(node), -1)
         ids, n = lists(_column(left, "ids"), np.int64)
         sims, done = lists(_column(left, "sims"), np.float32)[0], lists(_column(left, "done"), bool)[0].copy()
-        kinds = np.asarray(_column(met, "kind"))
-        vectors, links = met.filter(pa.array(kinds == 0)), met.filter(pa.array(kinds == 1))
-        vid = np.asarray(_column(vectors, "id")) if vectors.num_rows else np.zeros(0, np.int64)
+        isnt = np.asarray(_column(met, "query").is_null())
+        vectors, links = met.filter(pa.array(isnt)), met.filter(pa.array(~isnt))
+        vid = lists(_column(vectors, "ids"), np.int64)[0] if vectors.num_rows else np.zeros(0, np.int64)
         order = np.argsort(vid)
         vid = vid[order]
-        u = lists(_column(vectors, "body"), np.float32)[0].reshape(len(vid), -1)[order] if len(vid) else np.zeros((0, q.shape[1]), np.float32)
-        asked = np.asarray(_column(links, "id")) if links.num_rows else np.zeros(0, np.int64)
-        to, m = lists(_column(links, "body"), np.int64) if links.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        u = lists(_column(vectors, "us"), np.float32)[0].reshape(len(vid), -1)[order] if len(vid) else np.zeros((0, q.shape[1]), np.float32)
+        asked = np.asarray(_column(links, "query")) if links.num_rows else np.zeros(0, np.int64)
+        to, m = lists(_column(links, "ids"), np.int64) if links.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         by = np.argsort(node)
         row = by[np.searchsorted(node[by], np.repeat(asked, m))] if len(asked) else np.zeros(0, np.int64)
         pairs = np.stack(distinct_pairs(row, to), 1)
@@ -499,8 +546,8 @@ def _advance(expand: int, k: int, kept: int):
 
 def search(graph: DataFrame, meet: DataFrame, is_query: Column, scratch: Scratch, *, k: int, kept: int = KEPT) -> DataFrame:
     """(query, id): the candidates that greedy search finds for the nodes of the graph that are queries."""
-    vectors = graph.select("id", "u")
-    queries = vectors.filter(is_query)
+    buckets = BUCKETS * int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    queries = graph.select("id", "u").filter(is_query)
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     walk = scratch.cut(queries.mapInArrow(_start(blocks), WALK), "walk-0")
     turn = 0
@@ -509,8 +556,8 @@ def search(graph: DataFrame, meet: DataFrame, is_query: Column, scratch: Scratch
         if front.isEmpty():
             break
         links = scratch.cut(front.join(meet.select("node", "members"), "node").select("block", "query", "members"), f"links-{turn}")
-        need = links.mapInArrow(_needed, "block long, id long").distinct().join(vectors, "id")
-        both = need.select("block", F.lit(0).alias("kind"), "id", F.col("u").alias("body")).union(links.select("block", F.lit(1), "query", "members"))
+        told = answered(links, graph, k, buckets).select("block", F.lit(None).cast("long").alias("query"), "ids", "us")
+        both = told.union(links.select("block", "query", "members", F.lit(None).cast("binary")))
         after = walk.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_advance(EXPAND, k, kept), WALK)
         walk = scratch.cut(after, f"walk-{turn + 1}")
         scratch.drop(f"walk-{turn}", f"front-{turn}", f"links-{turn}")

@@ -111,13 +111,11 @@ def test_ngram_join_rows_without_id_link(spark):
     assert {r["component_id"] for r in got} == {1}
 
 
-@pytest.mark.parametrize("few, part", [(2, 5), (2, 1 << 15), (48, 1 << 15)])
-def test_ngram_join_one_hot_column(spark, monkeypatch, few, part):
+@pytest.mark.parametrize("part", [40, 1 << 15])
+def test_ngram_join_one_hot_column(spark, monkeypatch, part):
     """Many short rows around one common passage, most of which do not link, in matrices and split into parts."""
-    monkeypatch.setattr(ngram_join, "FEW", few)
     monkeypatch.setattr(ngram_join, "PART", part)
     monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", 1)
-    monkeypatch.setattr(ngram_join, "CELLS", 64)
     rng = random.Random(3)
     common = [f"c{i}" for i in range(30)]
     rows = [(i, " ".join([f"x{rng.randint(0, 9)}" for _ in range(rng.randint(0, 7))] + common + [f"y{rng.randint(0, 9)}" for _ in range(rng.randint(0, 7))])) for i in range(150)]
@@ -131,7 +129,7 @@ def thue_morse(n: int) -> tuple[str, str]:
     return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
 
 
-@pytest.mark.parametrize("size", [8, 64, 256, 1024, 4096])
+@pytest.mark.parametrize("size", [64, 1024])
 def test_words_that_look_alike_stay_apart(spark, size):
     x, y = thue_morse(size)
     docs = spark.createDataFrame([(1, f"one {x} two three four five"), (2, f"one {y} two three four five"), (3, f"one {x} two three four five")], "doc_id long, text string")
@@ -196,7 +194,7 @@ def test_suffix_dedup_overlaps(spark, seed):
     assert [tuple(r)[1:] for r in got] == brute_removed(texts, 40)
 
 
-@pytest.mark.parametrize("many, together", [(2, 3), (8, 400), (0, 1)])
+@pytest.mark.parametrize("many, together", [(2, 3), (0, 1)])
 def test_suffix_dedup_one_string_everywhere(spark, monkeypatch, many, together):
     """A string in many surroundings, whole copies of it, and strings that repeat around it."""
     monkeypatch.setattr(suffix_dedup, "MANY", many)
