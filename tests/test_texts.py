@@ -84,7 +84,7 @@ def test_scoring_encodes_lists_options_and_numbers(spark):
     scales = spark.createDataFrame([("q1", ["a", "b"], 1.0), ("q3", ["lo", "hi"], 1.0)], "question_id string, options array<string>, span double")
     got = {(g["item"], g["human"], g["model"]) for g in scoring.encode_pairs(responses, scales).collect()}
     assert got == {("q1", 2.0, 1.0), ("q2:1", 1.0, 3.0), ("q2:2", 2.0, 2.0), ("q3:1", 2.0, 1.0)}
-    assert scoring.score(responses, scales).first()["items"] == 3
+    assert scoring.score(responses, scales).first()["items"] == 4
 
 
 def test_batches_and_answers(spark):
