@@ -7,7 +7,7 @@ each node meets its neighbours and those it is a neighbour of, and introduces
 them to each other where one of the two is new to it; what beats the worst
 neighbour of either is merged in. Queries walk the graph: from the neighbours
 of the query's own node on, the best unexpanded nodes are expanded, until
-the best found are all expanded. What is found is scored exactly at last.
+the best BEAM * k found are all expanded. What is found is scored exactly at last.
 
 Largest inner product is nearness on a sphere after adding one component,
 sqrt(M^2 - |x|^2) with M the largest norm, to every vector; the query gets 0
@@ -48,7 +48,9 @@ K, ROUNDS, ENOUGH = 40, 4, 0.02
 #: Trees, rows of a leaf, rows they are fitted on.
 TREES, LEAF, SAMPLE = 6, 1500, 20_000
 #: Nodes and queries of a block, candidates a query keeps, nodes it expands at once.
-BLOCK, QUERY_BLOCK, KEPT, EXPAND = 4096, 512, 64, 16
+BLOCK, QUERY_BLOCK, KEPT, EXPAND = 4096, 512, 96, 16
+#: Of the best found for a query, as many times k are expanded before its walk ends.
+BEAM = 3
 #: Buckets of nodes for each partition; what a block finds for a bucket is one row.
 BUCKETS = 16
 
@@ -497,7 +499,7 @@ def _frontier(expand: int, k: int):
             row = np.repeat(np.arange(len(n)), n)
             place = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
             open_ = ~done
-            waits = np.bincount(row[open_ & (place < k)], minlength=len(n)) > 0  # the best k are not all expanded yet
+            waits = np.bincount(row[open_ & (place < k)], minlength=len(n)) > 0  # the best are not all expanded yet
             rank = np.cumsum(open_) - np.repeat(np.concatenate([[0], np.cumsum(open_)])[np.cumsum(n) - n], n)
             take = open_ & (rank <= expand) & waits[row]
             at = np.concatenate([ids[take], node[n == 0]])
@@ -549,16 +551,18 @@ def search(graph: DataFrame, meet: DataFrame, is_query: Column, scratch: Scratch
     buckets = BUCKETS * int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     queries = graph.select("id", "u").filter(is_query)
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    beam = BEAM * k
+    kept = max(kept, beam)
     walk = scratch.cut(queries.mapInArrow(_start(blocks), WALK), "walk-0")
     turn = 0
     while True:  # each turn expands nodes that were not expanded, until no query has one among its best
-        front = scratch.cut(walk.mapInArrow(_frontier(EXPAND, k), "node long, query long, block long"), f"front-{turn}")
+        front = scratch.cut(walk.mapInArrow(_frontier(EXPAND, beam), "node long, query long, block long"), f"front-{turn}")
         if front.isEmpty():
             break
         links = scratch.cut(front.join(meet.select("node", "members"), "node").select("block", "query", "members"), f"links-{turn}")
         told = answered(links, graph, k, buckets).select("block", F.lit(None).cast("long").alias("query"), "ids", "us")
         both = told.union(links.select("block", "query", "members", F.lit(None).cast("binary")))
-        after = walk.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_advance(EXPAND, k, kept), WALK)
+        after = walk.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_advance(EXPAND, beam, kept), WALK)
         walk = scratch.cut(after, f"walk-{turn + 1}")
         scratch.drop(f"walk-{turn}", f"front-{turn}", f"links-{turn}")
         turn += 1
