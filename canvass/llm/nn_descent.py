@@ -51,8 +51,8 @@ TREES, LEAF, SAMPLE = 6, 1500, 20_000
 BLOCK, QUERY_BLOCK, KEPT, EXPAND = 4096, 512, 96, 16
 #: Of the best found for a query, as many times k are expanded before its walk ends.
 BEAM = 3
-#: Buckets of nodes for each partition; what a block finds for a bucket is one row.
-BUCKETS = 16
+#: Nodes of a bucket; what a block finds for a bucket, or asks of it, is one row. Their number follows the table, not the cluster.
+BUCKET = 512
 
 
 def best_of(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, fresh: np.ndarray, k: int, alike: bool = True):
@@ -342,7 +342,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def answered(asking: DataFrame, graph: DataFrame, k: int, buckets: int) -> DataFrame:
     """(block, ids, us, kths) of what lists (block, node, members) need of the graph. Buckets of nodes answer blocks with a row each."""
     both = graph.mapInArrow(_offered(k, buckets), EXCHANGE).union(asking.mapInArrow(_asked(buckets), EXCHANGE))
-    parts = max(1, buckets // BUCKETS)
+    parts = min(buckets, int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return both.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_answers, ANSWER)
 
 
@@ -413,8 +413,8 @@ def _introduce(k: int, buckets: int):
     return run
 
 
-def build(rows: DataFrame, scratch: Scratch, *, k: int = K, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame] | None:
-    """(graph, meetings) of rows (id, v): the neighbours of each node, and those that it meets both ways."""
+def build(rows: DataFrame, scratch: Scratch, *, k: int = K, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, int] | None:
+    """(graph, meetings, buckets) of rows (id, v): the neighbours of each node, those that it meets both ways, and the number of buckets."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n, norm = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
@@ -430,7 +430,7 @@ def build(rows: DataFrame, scratch: Scratch, *, k: int = K, rounds: int = ROUNDS
     splits = [np.array([max(1, round(s * n / len(x) / (2 * LEAF))) for s in t.sizes]) for t in trees]
     forest = spark.sparkContext.broadcast(pickle.dumps(trees))
     dealt = base.mapInArrow(_leaves(forest, splits), "leaf long, id long, u binary, block long")
-    per_block, buckets = max(1, round(BLOCK / max(1, n / int(splits[0].sum())))), BUCKETS * parts
+    per_block, buckets = max(1, round(BLOCK / max(1, n / int(splits[0].sum())))), -(-n // BUCKET)
     near = dealt.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(_within_leaves(max(k // 2, 20), 4 * LEAF, per_block, buckets), FOUND)
     merged = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge(k), NEAR)
     graph = scratch.cut(merged(near), "graph-0")
@@ -441,7 +441,7 @@ def build(rows: DataFrame, scratch: Scratch, *, k: int = K, rounds: int = ROUNDS
         meet = edges.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_meetings(k, turn), "block long, node long, members binary, fresh binary")
         meet = scratch.cut(meet, f"meet-{turn}")
         if turn == rounds or not going:
-            return graph, meet
+            return graph, meet, buckets
         # who has met all its members already introduces nobody
         news = meet.filter(F.contains("fresh", F.lit(bytearray(b"\x01"))))
         new = news.groupBy("block").cogroup(answered(news.select("block", "node", "members"), graph, k, buckets).groupBy("block")).applyInArrow(_introduce(k, buckets), FOUND)
@@ -546,9 +546,8 @@ def _advance(expand: int, k: int, kept: int):
     return run
 
 
-def search(graph: DataFrame, meet: DataFrame, is_query: Column, scratch: Scratch, *, k: int, kept: int = KEPT) -> DataFrame:
+def search(graph: DataFrame, meet: DataFrame, buckets: int, is_query: Column, scratch: Scratch, *, k: int, kept: int = KEPT) -> DataFrame:
     """(query, id): the candidates that greedy search finds for the nodes of the graph that are queries."""
-    buckets = BUCKETS * int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     queries = graph.select("id", "u").filter(is_query)
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     beam = BEAM * k
