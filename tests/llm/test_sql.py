@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(entries.oracle_sql()))
 def test_same_rows(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = entries.queries()[name](spark, SF)
     want = con.sql(entries.oracle_sql()[name])
