@@ -1,19 +1,14 @@
-"""Nested and doubly encoded JSON: replies, survey trees, canonical form."""
+"""Nested and doubly encoded JSON: replies, canonical form."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import math
-import re
-from collections.abc import Iterator
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from canvass.functions import arrow_udf
+from canvass.functions import let
 
 FENCE = r"(?is)```(?:json)?\s*(.*?)\s*```"
 
@@ -30,9 +25,12 @@ def strip_start(c: Column) -> Column:
 
 def decoded(c: Column) -> Column:
     """A text that may hold JSON, decoded up to twice: what does not decode stays, blank is null; one JSON value of text, as JSON otherwise."""
-    once = F.nullif(F.trim(c), F.lit(""))
-    text = lambda x: F.when(F.schema_of_variant(F.try_parse_json(x)) == "STRING", F.try_variant_get(F.try_parse_json(x), "$", "string")).otherwise(x)
-    return F.nullif(F.trim(text(F.nullif(F.trim(text(once)), F.lit("")))), F.lit(""))
+    filled = lambda x: let(F.trim(x), lambda t: F.nullif(t, F.lit("")))
+
+    def inner(x: Column) -> Column:
+        return let(F.struct(x.alias("text"), F.try_parse_json(x).alias("v")), lambda s: F.when(F.schema_of_variant(s["v"]) == "STRING", F.try_variant_get(s["v"], "$", "string")).otherwise(s["text"]))
+
+    return filled(let(filled(let(filled(c), inner)), inner))
 
 
 def reply_object(raw: Column) -> Column:
@@ -65,273 +63,3 @@ def sha256_text(text: str) -> str:
 def canonical_hash(*columns: str) -> Column:
     """SHA-256 of the row as JSON with its keys in order; nulls are left out."""
     return F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(columns)))).cast("binary"), 256)
-
-
-def _clean(value: object) -> str:
-    text = re.sub(r"<[^>]*>", " ", "" if value is None else str(value))
-    return " ".join(text.replace("&nbsp;", " ").replace("&amp;", "&").split())
-
-
-def selected_label(answers: object) -> str:
-    """The readable answer: selected text, else free text, else values."""
-    if not isinstance(answers, dict):
-        return ""
-    chosen, text, values = (answers.get(k) for k in ("SelectedText", "Text", "Values"))
-    joined = lambda items, mark: mark.join(filter(None, map(_clean, items)))
-    if isinstance(chosen, list):
-        return joined(chosen, "; ")
-    if isinstance(chosen, str) and chosen.strip():
-        return _clean(chosen)
-    if isinstance(text, str) and text.strip():
-        return _clean(text)
-    if isinstance(text, list):
-        return joined([v for t in text for v in (t.values() if isinstance(t, dict) else (t,))], "; ")
-    return joined(values, ", ") if isinstance(values, list) else ""
-
-
-def _blocks(elements: object) -> Iterator[dict]:
-    for e in elements if isinstance(elements, list) else []:
-        if isinstance(e, dict) and e.get("ElementType") == "Block":
-            yield e
-        elif isinstance(e, dict) and e.get("ElementType") == "Branch":
-            yield from _blocks(e.get("Elements"))
-
-
-QUESTION = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("block", T.IntegerType()), ("pos", T.IntegerType()), ("id", T.StringType()), ("prompt", T.StringType()), ("options", T.ArrayType(T.StringType())), ("kind", T.StringType()), ("gold", T.StringType()))]))
-_KINDS = {"mc": "multiple_choice", "multiple choice": "multiple_choice", "matrix": "likert", "slider": "numeric"}
-
-
-def _questions(text: str | None) -> list[tuple]:
-    try:
-        tree = json.loads(text or "")
-    except ValueError:
-        return []
-    out: list[tuple] = []
-    for b, block in enumerate(_blocks(tree.get("Elements") if isinstance(tree, dict) else tree)):
-        for i, q in enumerate(x for x in block.get("Questions") or []):
-            if not isinstance(q, dict):
-                continue
-            kind = _clean(q.get("QuestionType") or "text") or "text"
-            if kind == "DB":
-                continue
-            name, prompt = _clean(q.get("QuestionID")) or f"q{i + 1}", _clean(q.get("QuestionText"))
-            raw = q.get("Options") or q.get("Columns") or []
-            options = [x for x in map(_clean, raw if isinstance(raw, list) else []) if x]
-            bullets = "\n".join(["Options:", *(f"- {o}" for o in options)]) if options else ""
-            shown = lambda p: "\n".join(filter(None, (p, bullets)))  # noqa: E731, B023
-            if kind == "Matrix" and isinstance(q.get("Rows"), list) and q["Rows"]:
-                answers = q.get("Answers") if isinstance(q.get("Answers"), dict) else {}
-                chosen = answers.get("SelectedText") if isinstance(answers.get("SelectedText"), list) else []
-                for k, row in enumerate(map(_clean, q["Rows"])):
-                    if row:
-                        gold = _clean(chosen[k]) if k < len(chosen) else ""
-                        out.append((b, len(out), f"{name}:{k + 1}", shown("\n".join(filter(None, (prompt, row)))), options, "likert" if options else "text", gold))
-            else:
-                out.append((b, len(out), name, shown(prompt), options, _KINDS.get(kind.casefold(), "text"), selected_label(q.get("Answers"))))
-    return out
-
-
-#: The questions of a survey tree, depth first: branches are unbounded, so this one is a Python function over Arrow.
-survey_questions = arrow_udf(_questions, QUESTION)
-
-
-def _numeric_cells(text: str | None) -> list[tuple[str, str]]:
-    try:
-        tree = json.loads(text or "")
-    except ValueError:
-        return []
-    keys = sorted((k for k in tree if re.fullmatch(r"Q\d+", k)), key=lambda k: int(k[1:])) if isinstance(tree, dict) else []
-    return [(k, canonical(tree[k])) for k in keys]
-
-
-#: Entries Q<n> of a reply object in numeric order, as (key, JSON).
-numbered_answers = arrow_udf(_numeric_cells, "array<struct<key:string,value:string>>")
-
-
-def _align(human: list[str] | None, model: list[str] | None) -> list[tuple[int, int]]:
-    """Pairs of positions: by place if equally many, else along a longest common subsequence that advances the human side on ties."""
-    h, m = (np.array(x or [], object) for x in (human, model))
-    if len(h) == len(m):
-        return [(int(i), int(i)) for i in range(len(h))]
-    # rest[i, j]: length of the longest common subsequence of what follows i and j, a row of it at a time
-    rest = np.zeros((len(h) + 1, len(m) + 1), np.int64)
-    for i in range(len(h) - 1, -1, -1):
-        taken = np.maximum(rest[i + 1, :-1], (rest[i + 1, 1:] + 1) * (m == h[i]))
-        rest[i, :-1] = np.maximum.accumulate(taken[::-1])[::-1]
-    pairs, at = [], 0
-    for i in range(len(h)):
-        # the model side moves only where that leaves a longer rest than leaving out this answer does
-        while at < len(m) and m[at] != h[i] and rest[i, at + 1] > rest[i + 1, at]:
-            at += 1
-        if at < len(m) and m[at] == h[i]:
-            pairs.append((i, at))
-            at += 1
-    return pairs
-
-
-#: Alignment of two arrays of answer types.
-align_types = arrow_udf(_align, "array<struct<human:int,model:int>>")
-
-
-def _objects(node: object) -> Iterator[dict]:
-    """All objects of a JSON value, each before those within it."""
-    if isinstance(node, dict):
-        yield node
-    for x in node.values() if isinstance(node, dict) else node if isinstance(node, list) else ():
-        yield from _objects(x)
-
-
-def _loads(text: str | None) -> object:
-    try:
-        return json.loads(text or "null")
-    except ValueError:
-        return None
-
-
-def _pricing_answers(text: str | None) -> tuple[list[tuple], str | None]:
-    items, seen = [], set()
-    for q in _objects(_loads(text)):
-        name = str(q.get("QuestionID") or "")
-        if not name.startswith("QID9_") or "QuestionText" not in q:
-            continue
-        said, asked = q.get("Answers"), q["QuestionText"]
-        chosen, place = (said.get(k) for k in ("SelectedText", "SelectedByPosition")) if isinstance(said, dict) else (None, None)
-        wrong = (
-            "repeats" if name in seen else "has no Answers object for" if not isinstance(said, dict) else "has no text chosen for" if not isinstance(chosen, str)
-            else "has no text of" if not isinstance(asked, str) or not asked.strip() else "has no whole place for" if isinstance(place, bool) or not isinstance(place, int)
-            else "has a blank or padded answer to" if not chosen.strip() or chosen != chosen.strip() else None
-        )
-        if wrong:
-            return [], f"{wrong} {name}"
-        seen.add(name)
-        items.append((name, chosen, place, asked, "wave4_Q_wave4_A"))
-    return items, None
-
-
-_ITEM = "question_id:string,answer:string,answer_position:bigint,question_text:string,source_column:string"
-#: The pricing questions of a survey tree with strict types, and what is wrong with it.
-pricing_answers = arrow_udf(_pricing_answers, f"struct<items:array<struct<{_ITEM}>>,error:string>")
-
-
-def answer_form(answers: object) -> str | None:
-    """One text for an answer: its place as #3 or #1#2, else its text folded (several as |a|b|), else its values as ~4."""
-    if not isinstance(answers, dict):
-        return None
-    whole = lambda x: str(int(x)) if re.fullmatch(r"-*\d+", str(x)) else str(x)
-    forms = {
-        "SelectedByPosition": (lambda v: f"#{v}", lambda v: "#" + "#".join(map(whole, v))),
-        "SelectedText": (lambda v: str(v).strip().casefold(), lambda v: "|" + "|".join(str(x).strip().casefold() for x in v) + "|"),
-        "Values": (lambda v: f"~{v}", lambda v: "~" + "~".join(str(x).strip() for x in v)),
-    }
-    for key, (one, many) in forms.items():
-        if (v := answers.get(key)) is not None:
-            return many(v) if isinstance(v, list) else one(v)
-    return None
-
-
-def _by_shape(answers: object, otherwise: str) -> str:
-    """The type of a question of unknown name, from what its answer holds."""
-    if isinstance(answers, dict):
-        if answers.get("Values") is not None:
-            return "slider"
-        if isinstance(answers.get("SelectedByPosition"), list):
-            return "matrix"
-    return otherwise
-
-
-def human_type(q: dict) -> str:
-    """choice, matrix, slider, text or other, by the name of a survey's type, else by the answer."""
-    name, said = str(q.get("QuestionType") or "").strip().strip('"').upper(), q.get("Answers")
-    for kind, fits in (("choice", name in ("MC", "DB", "SAVR", "MAVR")), ("matrix", name.startswith("MATRIX")), ("slider", "SLIDER" in name), ("text", name in ("TE", "TEXT"))):
-        if fits:
-            return kind
-    given = isinstance(said, dict) and any(said.get(k) is not None for k in ("SelectedByPosition", "SelectedText"))
-    return _by_shape(said, "choice" if given else "other")
-
-
-def model_type(cell: dict) -> str:
-    """The same types by the words of a reply."""
-    name = str(cell.get("Question Type") or cell.get("QuestionType") or "").strip().casefold()
-    for kind in ("matrix", "slider", "text", "choice"):
-        if kind in name:
-            return kind
-    said = cell["Answers"] if isinstance(cell.get("Answers"), dict) else cell
-    return "choice" if name == "mc" else _by_shape(said, "matrix" if isinstance(said.get("SelectedText"), list) else "choice")
-
-
-#: Words that stand for a number.
-WORD_NUMBERS = {"true": 1.0, "yes": 1.0, "false": 0.0, "no": 0.0}
-
-
-def number(x: object) -> float | None:
-    """A finite number, words for yes and no as 1 and 0; commas and a percent sign at the end are dropped."""
-    text = str(x if x is not None else "").strip()
-    if (word := WORD_NUMBERS.get(text.casefold())) is not None:
-        return word
-    try:
-        value = float(text.replace(",", "").removesuffix("%").strip())
-    except ValueError:
-        return None
-    return value if math.isfinite(value) else None
-
-
-def option_number(x: object, options: list[str]) -> float | None:
-    """The place of an answer among its options, from 1: a folded match, else the first of which one begins the other."""
-    text, folded = str(x if x is not None else "").strip().casefold(), [o.strip().casefold() for o in options]
-    if not text:
-        return None
-    near = [i for i, o in enumerate(folded, 1) if o == text] or [i for i, o in enumerate(folded, 1) if o.startswith(text) or text.startswith(o)]
-    return float(near[0]) if near else None
-
-
-def _options(*places: dict) -> list[str]:
-    for q in places:
-        for key in ("Options", "Columns", "Choices"):
-            if isinstance(q.get(key), list) and q[key]:
-                return [str(x).strip() for x in q[key] if str(x).strip()]
-    return []
-
-
-def _codes(answers: dict, options: list[str]) -> list[float] | float | None:
-    """The numbers of an answer: its values, else its places, else its texts by their options."""
-    by_text = (lambda t: option_number(t, options)) if options else number
-    for key, code in (("Values", number), ("SelectedByPosition", number), ("SelectedText", by_text)):
-        v = answers.get(key)
-        if isinstance(v, list):
-            if all((c := code(x)) is not None for x in v):
-                return [code(x) for x in v]
-            if key == "Values":
-                return number(v)
-        elif v is not None:
-            return code(v)
-    return None
-
-
-def _cells(places: list[tuple[str | None, dict, dict, str]]) -> list[tuple]:
-    """(name, type, form, numbers, several, options, span) of questions (name, question, answers, type)."""
-    out = []
-    for name, q, said, kind in places:
-        options = _options(q, said)
-        codes = _codes(said, options)
-        many = isinstance(codes, list)
-        out.append((name, kind, answer_form(said), codes if many else [] if codes is None else [codes], many, options, float(len(options) - 1) if len(options) >= 2 else None))
-    return out
-
-
-def _human_cells(text: str | None) -> list[tuple]:
-    keys = ("SelectedByPosition", "SelectedText", "Values")
-    found = [q for q in _objects(_loads(text)) if isinstance(q.get("Answers"), dict) and any(k in q["Answers"] for k in keys)]
-    return _cells([(None, q, q["Answers"], human_type(q)) for q in found])
-
-
-def _model_cells(text: str | None) -> list[tuple]:
-    reply = _loads(text)
-    reply = _loads(reply) if isinstance(reply, str) else reply
-    names = sorted((k for k in reply if re.fullmatch(r"Q\d+", k)), key=lambda k: int(k[1:])) if isinstance(reply, dict) else []
-    cells = [(k, reply[k]) for k in names if isinstance(reply[k], dict)]
-    return _cells([(k, c, c["Answers"] if isinstance(c.get("Answers"), dict) else c, model_type(c)) for k, c in cells])
-
-
-_CELLS = "array<struct<name:string,type:string,form:string,codes:array<double>,several:boolean,options:array<string>,span:double>>"
-#: The answered questions of a survey tree, and the entries Q<n> of a reply.
-human_cells, model_cells = arrow_udf(_human_cells, _CELLS), arrow_udf(_model_cells, _CELLS)

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from canvass.errors import DataError
@@ -110,25 +109,33 @@ def contained(texts: DataFrame, needles: DataFrame, text: str, needle: str, word
     of as many characters. The substring is checked on pairs that meet; each
     pair meets once. Null and empty needles are in no text.
     """
-    split = lambda c: F.filter(F.split(F.col(c), r"\s+"), lambda w: w != "")
-
-    def windows(units: Column, n: int, glue: str) -> Column:
-        at = F.when(F.size(units) >= n, F.sequence(F.lit(1), F.size(units) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(units, i, n), glue))))
-
     inner = F.size("__w") - 2
-    gram = F.least(F.lit(GRAM), F.length(needle))
-    keyed = needles.filter(F.col(needle) != "").withColumn("__w", split(needle)).withColumn("__n", F.when(inner >= words, words).when(inner >= 1, 1).otherwise(-gram))
-    # only the windows that some needle has are built
+    keyed = needles.filter(F.col(needle) != "").withColumn("__w", _words(F.col(needle))).withColumn("__n", F.when(inner >= words, words).when(inner >= 1, 1).otherwise(-F.least(F.lit(GRAM), F.length(needle))))
+    # only the windows that some needle has are built, all of them in one pass over the texts
     sizes = sorted(r["__n"] for r in keyed.select("__n").distinct().collect())
-    out = [texts.crossJoin(needles).filter("false")]
-    for n in sizes:
-        key = F.xxhash64(F.array_join(F.slice("__w", 2, n), " ")) if n > 0 else F.xxhash64(F.substring(needle, 1, -n))
-        probe = keyed.filter(F.col("__n") == n).withColumn("__k", key).drop("__w", "__n")
-        units = split(text) if n > 0 else F.split(F.col(text), "")
-        # a text's windows are sent without it; what meets fetches the text again by its hash
-        offers = texts.select(F.xxhash64(text).alias("__h"), F.explode(windows(units, abs(n), " " if n > 0 else "")).alias("__k"))
-        met = offers.join(probe.select("__k", needle).distinct(), "__k").select("__h", needle).distinct()
-        found = texts.withColumn("__h", F.xxhash64(text)).join(met, "__h").filter(F.contains(F.col(text), F.col(needle))).drop("__h")
-        out.append(found.join(needles, needle).select(out[0].columns))
-    return reduce(DataFrame.unionByName, out)
+    if not sizes:
+        return texts.sparkSession.createDataFrame([], T.StructType([*texts.schema.fields, *needles.schema.fields]))
+    probe = keyed.withColumn("__k", F.when(F.col("__n") > 0, _window_key(F.slice("__w", 2, F.greatest("__n", F.lit(1))), F.col("__n"), " ")).otherwise(_window_key(F.split(F.substring(F.col(needle), F.lit(1), -F.col("__n")), ""), F.col("__n"), "")))
+    units = F.struct(*(c.alias(k) for k, c in (("w", _words(F.col(text))), ("c", F.split(F.col(text), ""))) if any((n > 0) == (k == "w") for n in sizes)))
+    # exploding an array of one keeps the units in a column: inside the windows' lambda they would be made anew for each window
+    parted = texts.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("__h"), F.explode(F.array(units)).alias("__u"))
+    keys = F.concat(*(_windows(F.col("__u.w" if n > 0 else "__u.c"), n) for n in sizes))
+    # a text's windows are sent without it; what meets fetches the text again by its hash
+    offers = parted.select("__h", F.explode(F.array_distinct(keys)).alias("__k"))
+    met = offers.join(probe.select("__k", needle).distinct(), "__k").select("__h", needle).distinct()
+    found = texts.withColumn("__h", F.xxhash64(text)).join(met, "__h").filter(F.contains(F.col(text), F.col(needle))).drop("__h")
+    return found.join(needles, needle).select(*texts.columns, *needles.columns)
+
+
+def _words(c: Column) -> Column:
+    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+
+
+def _window_key(units: Column, n: Column, glue: str) -> Column:
+    return F.xxhash64(n.cast("int"), F.array_join(units, glue))
+
+
+def _windows(units: Column, n: int) -> Column:
+    """Keys of all windows of |n| units: words if n is above 0, else characters."""
+    at = F.when(F.size(units) >= abs(n), F.sequence(F.lit(1), F.size(units) - abs(n) + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: _window_key(F.slice(units, i, abs(n)), F.lit(n), " " if n > 0 else ""))

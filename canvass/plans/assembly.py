@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canvass.errors import DataError
-from canvass.functions.jsonx import pricing_answers
+from canvass.functions import let
 from canvass.functions.text import normalize_cell, outcome_strings, strip
+from canvass.functions.trees import priced
 from canvass.operators.relational import audit_equal, key_difference, numeric_first, unpivot
 from canvass.operators.sampling import allocate_two_margins, hamilton, planned_size, stratified_draw
 from canvass.plans.builders import DRAWN_PRICE, DRAWN_PRODUCT, OUTCOMES, PURCHASE
@@ -53,11 +54,13 @@ def read_catalog(catalog: DataFrame, basic: Sequence[str]) -> tuple[DataFrame, D
 
 def wave_items(rows: DataFrame, payload: str, ids: Sequence[str], key: str = "pid") -> DataFrame:
     """(pid, items) of survey trees: the answer, place and text of exactly these questions in order; anything else is an error."""
-    found = rows.select(strip(F.col(key).cast("string")).alias(key), pricing_answers(F.col(payload).cast("string")).alias("x"))
-    got = F.map_from_entries(F.transform("x.items", lambda i: F.struct(i["question_id"], i)))
-    wrong = F.when(F.col("x.error").isNotNull(), F.col("x.error")).when(F.array_sort(F.transform("x.items", lambda i: i["question_id"])) != F.lit(sorted(ids)), "not the expected questions")
-    items = F.array(*(F.element_at(got, i) for i in ids))
-    return found.select(key, F.when(wrong.isNotNull(), F.raise_error(F.concat(F.lit("pid "), key, F.lit(": "), wrong))).otherwise(items).alias("items"))
+    found = priced(rows.select(strip(F.col(key).cast("string")).alias(key), F.col(payload).cast("string").alias("__tree")), "__tree", "x")
+    want = F.array(*map(F.lit, ids))
+    named = lambda items: F.array_sort(F.transform(items, lambda i: i["question_id"]))
+    wrong = lambda x: F.coalesce(x["error"], F.when(named(x["items"]) != F.array_sort(want), "not the expected questions"))
+    in_order = lambda items: F.transform(want, lambda q: F.get(F.filter(items, lambda i: i["question_id"] == q), F.lit(0)))
+    checked = lambda x: let(wrong(x), lambda w: F.when(w.isNotNull(), F.raise_error(F.concat(F.lit("pid "), F.col(key), F.lit(": "), w))).otherwise(in_order(x["items"])))
+    return found.select(key, let(F.col("x"), checked).alias("items"))
 
 
 def read_waves(spark: SparkSession, paths: Sequence[str], payload: str, ids: Sequence[str], files: int = 7) -> DataFrame:

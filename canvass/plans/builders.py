@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canvass.errors import DataError
+from canvass.functions import let
 from canvass.functions.jsonx import decoded
 from canvass.functions.text import blank_to_null, canonical_pid, education_bucket, format_template, group_key, income_over_50k, purchase_prompt, strip, weekly_hours, wtp_prompt
 from canvass.operators.relational import first_wins, unequal_counts
-from canvass.plans.bundle import Bundle, canonical_demographics, from_records
+from canvass.plans.bundle import Bundle, canonical_demographics, from_records, in_order, versioned
 from canvass.sources.readers import expect_rows, require_fields
 
 # Fixed columns of the lettuce survey: source column, key, label on the card.
@@ -80,7 +81,7 @@ def lettuce_records(rows: DataFrame, expected: int | None = PUBLISHED) -> DataFr
     asked = [question(c, wtp_prompt(F.lit(p)), none, "numeric") for c, p in PRODUCTS.items()]
     asked.append(question(PURCHASE, purchase_prompt(cell(DRAWN_PRODUCT), cell(DRAWN_PRICE)), F.array(F.lit("TRUE"), F.lit("FALSE")), "multiple_choice"))
     known = F.map_from_entries(F.array(*(F.struct(F.lit(key).alias("key"), cell(c).alias("value")) for c, key, _ in SHOPPER if c in rows.columns)))
-    return rows.select(cell("pid").alias("id"), string_map(known).alias("demographics"), F.lit(None).cast("string").alias("persona_text"), F.array(*asked).alias("questions"))
+    return rows.select(cell("pid").alias("id"), string_map(known).alias("demographics"), F.lit(None).cast("string").alias("persona_text"), F.array(*asked).alias("questions"), *(c for c in rows.columns if c == "ord"))
 
 
 def lettuce_bundle(records: DataFrame) -> Bundle:
@@ -97,7 +98,7 @@ def study_records(rows: DataFrame, study: str) -> DataFrame:
     have = lambda *names: F.coalesce(*(F.col(n).cast("string") for n in names if n in rows.columns), F.lit(None).cast("string"))
     payload = have("survey_json_with_human_response")
     need = require_fields(id=canonical_pid(have("PID", "pid", "id")), survey_text=strip(have("survey_text")))
-    return rows.select(need["id"].alias("id"), F.lit(study).alias("study"), need["survey_text"].alias("survey_text"), payload_text(payload).alias("gold_payload"))
+    return rows.select(need["id"].alias("id"), F.lit(study).alias("study"), need["survey_text"].alias("survey_text"), payload_text(payload).alias("gold_payload"), *(c for c in rows.columns if c == "ord"))
 
 
 def payload_text(c: Column) -> Column:
@@ -112,12 +113,12 @@ def study_bundle(records: DataFrame, studies: Sequence[str]) -> Bundle:
     known = F.when(F.col("study").isin(*studies), need["study"]).otherwise(F.raise_error(F.concat(F.lit("unknown study "), F.col("study"))))
     copied = F.coalesce(F.contains("survey_text", payload), F.lit(False))
     prompt = F.when(copied, F.raise_error(F.concat(F.lit("a survey text holds the answers of "), F.col("id")))).otherwise(need["survey_text"])
-    rows = records.withColumn("ord", F.monotonically_increasing_id())
-    flat = rows.select(F.lit("twin2k_mega_study").alias("dataset"), need["id"].alias("subject_id"), F.concat_ws(":", known, need["id"]).alias("question_id"), "ord", F.lit(0).alias("pos"), prompt.alias("prompt"), payload.alias("payload"))
+    rows = in_order(records)
+    flat = rows.select(F.lit("twin2k_mega_study").alias("dataset"), need["id"].alias("subject_id"), F.concat_ws(":", known, need["id"]).alias("question_id"), "ord", F.lit(0).alias("pos"), prompt.alias("prompt"), F.array().cast("array<string>").alias("options"), F.lit("text").alias("kind"), payload.alias("payload"))
     nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     subjects = first_wins(flat.select("subject_id", nothing.alias("demographics"), F.lit(None).cast("string").alias("persona_text"), "ord"), ["subject_id"], ["ord"]).drop("ord")
-    questions = flat.select("dataset", "question_id", "prompt", F.array().cast("array<string>").alias("options"), F.lit("text").alias("kind")).dropDuplicates(["question_id"])
-    return Bundle(subjects, questions, flat.select("dataset", "subject_id", "question_id", "ord", "pos"), flat.filter("payload is not null").select("dataset", "subject_id", "question_id", "payload"))
+    cases, questions = versioned(flat.drop("payload"))
+    return Bundle(subjects, questions, cases, flat.filter("payload is not null").select("dataset", "subject_id", "question_id", "payload"))
 
 
 #: Columns that only rows of single persons have.
@@ -130,24 +131,22 @@ def refuse_persons(rows: DataFrame, answer: str = "human_answer") -> DataFrame:
         raise DataError(f"group rows have columns of persons: {found}")
     if answer not in rows.columns or rows.schema[answer].dataType.typeName() != "string":
         return rows
-    value = decoded(F.col(answer))
-    is_map = F.schema_of_variant(F.try_parse_json(value)).startswith("OBJECT")
+    is_map = F.schema_of_variant(F.try_parse_json(decoded(F.col(answer)))).startswith("OBJECT")
     bad = F.col(answer).isNotNull() & ~F.coalesce(is_map, F.lit(False))
     return rows.withColumn(answer, F.when(bad, F.raise_error(F.lit("an answer of a group must be a distribution"))).otherwise(F.col(answer)))
 
 
 def distribution(c: Column) -> Column:
     """The weights of a JSON object of options; an empty one, and a weight below 0, are errors."""
-    parsed = F.from_json(decoded(c), "map<string,double>")
-    wrong = F.exists(F.map_values(parsed), lambda w: w.isNull() | (w < 0))
-    return F.when(F.coalesce(F.size(parsed), F.lit(0)) < 1, F.raise_error(F.lit("an answer of a group must have options"))).when(wrong, F.raise_error(F.lit("weights must be numbers of 0 at least"))).otherwise(parsed)
+    wrong = lambda p: F.exists(F.map_values(p), lambda w: w.isNull() | (w < 0))
+    checked = lambda p: F.when(F.coalesce(F.size(p), F.lit(0)) < 1, F.raise_error(F.lit("an answer of a group must have options"))).when(wrong(p), F.raise_error(F.lit("weights must be numbers of 0 at least"))).otherwise(p)
+    return let(F.from_json(decoded(c), "map<string,double>"), checked)
 
 
 def item_id(auxiliary: Column, index: Column) -> Column:
     """The first of three ids that is there, else the place of the row."""
-    body = decoded(auxiliary)
-    ids = [blank_to_null(F.get_json_object(body, f"$.{k}")) for k in ("task_id", "question_id_original", "question_id")]
-    return F.coalesce(*ids, F.concat(F.lit("item-"), index.cast("string")))
+    ids = lambda body: F.coalesce(*(blank_to_null(F.get_json_object(body, f"$.{k}")) for k in ("task_id", "question_id_original", "question_id")))
+    return F.coalesce(let(decoded(auxiliary), ids), F.concat(F.lit("item-"), index.cast("string")))
 
 
 def group_records(rows: DataFrame, split: str) -> DataFrame:
@@ -157,9 +156,9 @@ def group_records(rows: DataFrame, split: str) -> DataFrame:
     name = F.coalesce(blank_to_null(F.col("dataset_name")), F.lit(split))
     base = checked.select("*", variables.alias("__v"), name.alias("__d"))
     shares = distribution(F.col("human_answer"))
-    return base.select(
+    return base.withColumn("__s", shares).select(
         F.lit(split).alias("split"), F.col("__d").alias("dataset_name"), group_key(F.col("__d"), F.col("__v")).alias("group_key"), strip(format_template(F.col("group_prompt_template"), F.map_entries("__v"))).alias("group_prompt"),
-        F.col("__v").alias("variables"), item_id(F.col("auxiliary"), F.col("index")).alias("question_id"), strip(F.col("input_template")).alias("prompt"), F.map_keys(shares).alias("options"), shares.alias("distribution"), "group_size", "index",
+        F.col("__v").alias("variables"), item_id(F.col("auxiliary"), F.col("index")).alias("question_id"), strip(F.col("input_template")).alias("prompt"), F.map_keys("__s").alias("options"), F.col("__s").alias("distribution"), "group_size", "index",
     )
 
 
@@ -168,14 +167,13 @@ def group_bundle(records: DataFrame) -> Bundle:
     need = require_fields(group_key=strip(F.col("group_key")), group_prompt=strip(F.col("group_prompt")), prompt=strip(F.col("prompt")))
     flat = records.select(F.lit("simbench").alias("dataset"), need["group_key"].alias("subject_id"), F.col("variables").alias("demographics"), need["group_prompt"].alias("persona_text"), "question_id", F.col("index").alias("ord"), need["prompt"].alias("prompt"), "options", F.lit("distribution").alias("kind"), "distribution", "group_size")
     subjects = first_wins(flat.select("subject_id", "demographics", "persona_text", "ord"), ["subject_id"], ["ord"]).drop("ord")
-    questions = first_wins(flat.select("dataset", "question_id", "prompt", "options", "kind", "ord"), ["dataset", "question_id"], ["ord"]).drop("ord")
-    cases = flat.select("dataset", "subject_id", "question_id", "ord", F.lit(0).alias("pos"))
+    cases, questions = versioned(flat.select("dataset", "subject_id", "question_id", "ord", F.lit(0).alias("pos"), "prompt", "options", "kind"))
     return Bundle(subjects, questions, cases, flat.select("dataset", "subject_id", "question_id", "distribution", F.col("group_size").cast("long").alias("group_size")))
 
 
 def preferred_json(c: Sequence[str]) -> Column:
     """Of several JSON texts of one person the first that decodes to an object."""
-    return F.coalesce(*(F.when(F.schema_of_variant(F.try_parse_json(decoded(F.col(x)))).startswith("OBJECT"), decoded(F.col(x))) for x in c))
+    return F.coalesce(*(let(decoded(F.col(x)), lambda body: F.when(F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT"), body)) for x in c))
 
 
 def only_questions(records: DataFrame, prefix: str) -> DataFrame:

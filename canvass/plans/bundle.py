@@ -28,35 +28,55 @@ def resolve(name: str) -> str:
     return key
 
 
+#: What makes a version of a question; its hash is the key between cases and questions.
+CONTENT = ("prompt", "options", "kind")
+
+
+def versioned(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cases, questions) of rows that hold their question's wording: each wording is kept once, and each case has the hash of its own."""
+    rows = flat.withColumn("version", F.sha2(F.to_json(F.struct(*CONTENT), {"ignoreNullFields": "false"}), 256))
+    questions = rows.select("dataset", "question_id", "version", *CONTENT).dropDuplicates(["dataset", "question_id", "version"])
+    return rows.drop(*CONTENT), questions
+
+
 @dataclass(frozen=True)
 class Bundle:
-    """cases hold keys only; gold is a table of its own, so no prompt can reach it."""
+    """cases hold keys only: persons with different prices, products or options have different versions of a question. gold is a table of its own, so no prompt can reach it."""
 
     subjects: DataFrame
     questions: DataFrame
     cases: DataFrame
     gold: DataFrame
 
+    def asked(self) -> DataFrame:
+        """Cases with the wording that their person is asked."""
+        return self.cases.join(self.questions, ["dataset", "question_id", "version"])
+
     def filtered(self, keep) -> Bundle:
         cases = self.cases.filter(keep)
         return Bundle(self.subjects.join(cases.select("subject_id").distinct(), "subject_id", "left_semi"), self.questions, cases, self.gold)
 
 
+def in_order(records: DataFrame) -> DataFrame:
+    """records with `ord`: the place that a reader gave them, else a hash of all they hold, so that the first of several is the same however rows are dealt."""
+    return records if "ord" in records.columns else records.withColumn("ord", F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in records.columns)))))
+
+
 def from_records(records: DataFrame, dataset: str) -> Bundle:
     """A bundle of nested records (id, demographics, persona_text, questions array<struct<id, prompt, options, kind, gold>>).
 
     Blank golds are no golds; a prompt that shows its own gold is an error.
     """
-    base = records.withColumn("subject_id", canonical_pid(F.col("id"))).withColumn("ord", F.monotonically_increasing_id())
+    base = in_order(records).withColumn("subject_id", canonical_pid(F.col("id")))
     subjects = first_wins(base.select("subject_id", "demographics", blank_to_null(F.col("persona_text")).alias("persona_text"), "ord"), ["subject_id"], ["ord"])
     flat = base.select("subject_id", "ord", F.posexplode("questions").alias("pos", "q"))
     prompt, gold = strip(F.col("q.prompt")), blank_to_null(F.col("q.gold"))
     leak = F.coalesce(F.contains(prompt, F.concat(F.lit("Answer: "), gold)), F.lit(False))
     fit = lambda value: F.when(leak, F.raise_error(F.lit("a prompt shows its held-out answer"))).when(prompt == "", F.raise_error(F.lit("a question has no prompt"))).otherwise(value)
     cases = flat.select(F.lit(dataset).alias("dataset"), "subject_id", fit(F.col("q.id")).alias("question_id"), "ord", "pos", fit(prompt).alias("prompt"), F.col("q.options").alias("options"), F.coalesce(F.col("q.kind"), F.lit("text")).alias("kind"))
-    questions = first_wins(cases.select("dataset", "question_id", "prompt", "options", "kind", "ord", "pos"), ["dataset", "question_id"], ["ord", "pos"]).drop("ord", "pos")
+    cases, questions = versioned(cases)
     golds = flat.filter(gold.isNotNull()).select(F.lit(dataset).alias("dataset"), "subject_id", F.col("q.id").alias("question_id"), gold.alias("answer"))
-    return Bundle(subjects.drop("ord"), questions, cases.drop("prompt", "options", "kind"), golds)
+    return Bundle(subjects.drop("ord"), questions, cases, golds)
 
 
 def attach_personas(bundle: Bundle, personas: DataFrame) -> Bundle:

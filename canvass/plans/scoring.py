@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canvass.errors import DataError
-from canvass.functions.jsonx import align_types, human_cells, model_cells
+from canvass.functions import trees
 from canvass.functions.text import encode_with_options, norm_label, parse_number
 from canvass.operators import metrics
 from canvass.operators.relational import first_wins
@@ -84,30 +84,37 @@ def encode_bids(responses: DataFrame) -> DataFrame:
     return out.filter("human is not null and model is not null")
 
 
-def paired_cells(responses: DataFrame) -> DataFrame:
-    """(study, name, h, m) of responses (question_id, payload, model): the questions of a survey tree beside the entries of a reply.
+def study_cells(responses: DataFrame) -> DataFrame:
+    """(study, h, m) of responses (question_id, payload, model): the questions of a survey tree beside the entries of a reply."""
+    rows = responses.filter("payload is not null and model is not null").select(F.element_at(F.split("question_id", ":"), 1).alias("study"), F.col("payload").cast("string").alias("payload"), F.col("model").cast("string").alias("model"))
+    return trees.reply_cells(trees.survey_cells(rows, "payload", "h"), "model", "m").select("study", "h", "m")
 
-    They are paired by place if equally many, else along the longest common
-    run of types.
-    """
-    cells = responses.filter("payload is not null and model is not null").select(F.element_at(F.split("question_id", ":"), 1).alias("study"), human_cells("payload").alias("h"), model_cells("model").alias("m"))
-    full = cells.filter((F.size("h") > 0) & (F.size("m") > 0))
+
+def _paired(cells: DataFrame) -> DataFrame:
+    """(study, name, h, m) of cells, by place if equally many, else along the longest common run of types."""
     types = lambda c: F.transform(c, lambda x: x["type"])
-    pairs = full.withColumn("p", F.explode(align_types(types(F.col("h")), types(F.col("m")))))
+    typed = cells.withColumns({"th": types(F.col("h")), "tm": types(F.col("m"))})
+    pairs = typed.select("study", "h", "m", F.explode(trees.aligned(F.col("th"), F.col("tm"))).alias("p"))
     return pairs.select("study", F.get("h", F.col("p.human")).alias("h"), F.get("m", F.col("p.model")).alias("m")).select("study", F.col("m.name").alias("name"), "h", "m")
 
 
-def study_labels(pairs: DataFrame) -> DataFrame:
-    """(question_id, human, model) forms of paired cells; cells without an answer on either side are left out."""
-    return pairs.select(F.concat_ws(":", "study", "name").alias("question_id"), F.col("h.form").alias("human"), F.col("m.form").alias("model")).filter("human is not null and model is not null")
+def study_labels(cells: DataFrame) -> DataFrame:
+    """(question_id, human, model) forms of cells. Questions without an answer are left out before they are paired."""
+    said = lambda c: F.filter(c, lambda x: x["form"].isNotNull())
+    pairs = _paired(cells.withColumns({c: said(F.col(c)) for c in "hm"}))
+    return pairs.select(F.concat_ws(":", "study", "name").alias("question_id"), F.col("h.form").alias("human"), F.col("m.form").alias("model"))
+
 
+def encode_cells(cells: DataFrame) -> DataFrame:
+    """(item, human, model, span) numbers of cells. Lists of one length give an item for each part, from 1.
 
-def encode_cells(pairs: DataFrame) -> DataFrame:
-    """(item, human, model, span) numbers of paired cells. Lists of one length give an item for each part, from 1.
+    All questions of the tree are paired, and the entries of the reply that
+    hold more than a list of places which are no numbers.
 
     The span is the human side's, else the model's, else what the two numbers
     are apart, or 1; an item has the largest of its spans.
     """
+    pairs = _paired(cells.withColumn("m", F.filter("m", lambda x: x["told"])))
     options = F.when(F.size("h.options") > 0, F.col("h.options")).otherwise(F.col("m.options"))
     known = F.coalesce("h.span", "m.span", F.when(F.size(options) >= 2, (F.size(options) - 1).cast("double")))
     item = F.concat_ws(":", "study", "name")
@@ -138,8 +145,8 @@ def score_run(dataset: str, responses: DataFrame, scales_: DataFrame | None = No
     if dataset == "bdm_lettuce":
         return summary(encode_bids(responses), responses)
     if dataset == "twin2k_mega_study":
-        pairs = paired_cells(responses)
-        return summary(encode_cells(pairs), study_labels(pairs))
+        cells = study_cells(responses)
+        return summary(encode_cells(cells), study_labels(cells))
     raise DataError(f"no scorer for {dataset}")
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canvass.errors import DataError
+from canvass.functions import let
 from canvass.functions.text import strip
 from canvass.operators.relational import attach
-from canvass.operators.sampling import clamp_prob, contract, outer_choice, outer_price, stratified_draw
+from canvass.operators.sampling import by_shares, clamp_prob, contract, outer_choice, outer_price, stratified_draw
 from canvass.plans import batching
 from canvass.plans.builders import adapted, refuse_expansion
 from canvass.plans.bundle import Bundle
@@ -59,10 +60,9 @@ def packages(bundle: Bundle, name: str, seed: int = 0, under: str = "") -> DataF
     under: instructions that follow every persona, as those of a skill do. An empty persona is an error.
     """
     make, _, mode = method(name)
-    text = F.when(F.coalesce(strip(F.col("persona")), F.lit("")) == "", F.raise_error(F.concat(F.lit(f"{name} made an empty persona for "), "subject_id"))).otherwise(F.concat_ws("\n\n", strip(F.col("persona")), F.lit(under.strip() or None)))
+    text = let(F.coalesce(strip(F.col("persona")), F.lit("")), lambda p: F.when(p == "", F.raise_error(F.concat(F.lit(f"{name} made an empty persona for "), F.col("subject_id")))).otherwise(F.concat_ws("\n\n", p, F.lit(under.strip() or None))))
     personas = make(bundle.subjects, seed).select("subject_id", text.alias("persona"))
-    asked = bundle.cases.join(bundle.questions, ["dataset", "question_id"])
-    return asked.join(personas, "subject_id").select("subject_id", F.struct("ord", "pos").alias("ord"), "question_id", "persona", "prompt", "options", "kind", F.lit(mode).alias("response_mode"))
+    return bundle.asked().join(personas, "subject_id").select("subject_id", F.struct("ord", "pos").alias("ord"), "question_id", "persona", "prompt", "options", "kind", F.lit(mode).alias("response_mode"))
 
 
 def outer_answer(answer: Column, reply: Column, kind: Column, options: Column, seed: int, person: Column, item: Column) -> Column:
@@ -173,10 +173,14 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return there and not spark.read.text(f"{path}/responses").isEmpty()
 
 
-def income_sample(bundle: Bundle, stratum: Column, seats: DataFrame, seed: int) -> Bundle:
-    """The bundle of persons drawn by stratum (stratum, seats)."""
+def income_sample(bundle: Bundle, stratum: Column, seats: DataFrame | int, seed: int) -> Bundle:
+    """The bundle of persons drawn by stratum, by given seats (stratum, seats) or n in all by the strata's shares."""
     rows = bundle.subjects.withColumn("stratum", stratum)
-    drawn = stratified_draw(rows, ["stratum"], "subject_id", seats, seed, "income").select("subject_id")
+    if isinstance(seats, int):
+        drawn, _ = by_shares(rows, "stratum", "subject_id", seats, seed, "income")
+    else:
+        drawn = stratified_draw(rows, ["stratum"], "subject_id", seats, seed, "income")
+    drawn = drawn.select("subject_id")
     subjects = bundle.subjects.join(drawn, "subject_id", "left_semi")
     return Bundle(subjects, bundle.questions, bundle.cases.join(drawn, "subject_id", "left_semi"), bundle.gold)
 

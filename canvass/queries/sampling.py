@@ -28,6 +28,33 @@ def stratified_draw(t: Tables):
     return s.stratified_draw(rows, ["c_mktsegment"], "c_custkey", seats, 42, "demo")
 
 
+_SHARES = """c AS (SELECT c_mktsegment AS income, count(*) AS population FROM customer GROUP BY ALL), t AS (SELECT sum(population) AS total FROM c),
+b AS (SELECT income, population, CAST(50 * population // total AS BIGINT) AS base, 50 * population % total AS over FROM c, t), l AS (SELECT 50 - sum(base) AS rest FROM b),
+r AS (SELECT income, population, CAST(base + (row_number() OVER (ORDER BY over DESC, income) <= rest)::INT AS BIGINT) AS selected FROM b, l)"""
+
+
+def _shares(t: Tables):
+    return s.by_shares(t.customer.select("c_custkey", F.col("c_mktsegment").alias("income")), "income", "c_custkey", 50, 9, "jobs")
+
+
+@R.add(f"""WITH {_SHARES}, k AS (SELECT c_custkey, c_mktsegment AS income, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('9' || chr(10) || 'jobs' || chr(10) || c_mktsegment || chr(10) || CAST(c_custkey AS VARCHAR)), c_custkey) AS rk FROM customer)
+SELECT c_custkey, income FROM k JOIN r USING (income) WHERE rk <= selected""")
+def share_sample(t: Tables):
+    return _shares(t)[0].select("c_custkey", "income")
+
+
+@R.add(f"WITH {_SHARES} SELECT income, population, selected, 50 AS n, 9 AS seed FROM r")
+def share_facts(t: Tables):
+    return _shares(t)[1]
+
+
+@R.add("""WITH x AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS population, count(*) FILTER (o_orderkey % 7 = 0) AS sample FROM orders GROUP BY ALL)
+SELECT 'a' AS axis, a AS level, sum(population) AS population, sum(sample) AS sample FROM x GROUP BY a UNION ALL SELECT 'b', b, sum(population), sum(sample) FROM x GROUP BY b""")
+def axis_totals(t: Tables):
+    cells = t.orders.groupBy(F.col("o_orderstatus").alias("a"), F.col("o_orderpriority").alias("b")).agg(F.count("*").alias("population"), F.count_if(F.col("o_orderkey") % 7 == 0).alias("sample"))
+    return s.axis_totals(cells, ["a", "b"], ["population", "sample"])
+
+
 @R.add()
 def two_margin_allocation(t: Tables):
     people = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))

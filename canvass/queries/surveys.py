@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canvass.functions import trees
 from canvass.functions.jsonx import decoded
 from canvass.plans import assembly, batching, builders, scoring, simulation
 from canvass.plans.bundle import Bundle
@@ -129,7 +130,47 @@ ELSE 'Under the same Becker-DeGroot-Marschak rule, one product was drawn at rand
 SELECT CAST(k AS VARCHAR) AS subject_id, question_id, CAST(i AS INT) AS pos, prompt, CASE WHEN i = 6 THEN CASE WHEN k % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END WHEN k % 7 <> i THEN printf('%d.%02d', k % 10, k % 89) END AS answer FROM c""")
 def lettuce_cases(t: Tables):
     b = lettuce(t)
-    return simulation.with_gold(b.cases.join(b.questions, ["dataset", "question_id"]), b.gold).select("subject_id", "question_id", "pos", "prompt", "answer")
+    return simulation.with_gold(b.asked(), b.gold).select("subject_id", "question_id", "pos", "prompt", "answer")
+
+
+@R.add("""SELECT CAST(c_custkey AS VARCHAR) AS subject_id, 'Under the same Becker-DeGroot-Marschak rule, one product was drawn at random (' || CASE WHEN c_custkey % 3 = 0 THEN 'the randomly selected lettuce' ELSE c_mktsegment END || ') and a price was drawn at random ('
+|| printf('%d.%02d', c_custkey % 7, c_custkey % 100) || ' Canadian dollars). Would you purchase that product at the drawn price? Answer TRUE or FALSE.' AS prompt FROM customer""")
+def shopper_questions(t: Tables):
+    """Each shopper is asked about the product and the price drawn for them."""
+    k = F.col("c_custkey")
+    drawn = {builders.PURCHASE: F.lit("TRUE"), builders.DRAWN_PRODUCT: F.when(k % 3 > 0, F.col("c_mktsegment")), builders.DRAWN_PRICE: F.format_string("%d.%02d", k % 7, k % 100)}
+    rows = t.customer.select(k.cast("string").alias("pid"), F.lit("30").alias("survey_q01_age"), *(F.lit("").alias(c) for c in builders.PRODUCTS), *(c.alias(n) for n, c in drawn.items()))
+    b = builders.lettuce_bundle(builders.lettuce_records(rows, expected=None))
+    return simulation.packages(b, "fixed_text").filter(F.col("question_id") == builders.PURCHASE).select("subject_id", "prompt")
+
+
+@R.add("""SELECT CAST(s_suppkey AS VARCHAR) AS question_id, 'd:nation=' || s_nationkey AS subject_id, 'Of ' || s_name || '?' AS prompt, CASE WHEN s_suppkey % 2 = 0 THEN ['A', 'B'] ELSE ['C', 'D', 'E'] END AS options FROM supplier
+UNION ALL SELECT 'all', 'd:nation=' || n_nationkey, 'In ' || n_name || '?', [n_name, 'none'] FROM nation""")
+def group_questions(t: Tables):
+    """A question that every group is asked in its own words and with its own options, and questions of one group."""
+
+    def rows(df: DataFrame, nation: str, answer, task, prompt, index) -> DataFrame:
+        variables = F.to_json(F.struct(F.col(nation).cast("string").alias("nation")))
+        named = {"dataset_name": F.lit("d"), "group_prompt_template": F.lit("People of {nation}"), "group_prompt_variable_map": variables, "human_answer": answer, "auxiliary": F.to_json(F.struct(task.cast("string").alias("task_id"))), "input_template": prompt, "group_size": F.lit(5), "index": index}
+        return df.select(*(c.alias(n) for n, c in named.items()))
+
+    one = rows(t.supplier, "s_nationkey", F.when(F.col("s_suppkey") % 2 == 0, '{"A": 1, "B": 2}').otherwise('{"C": 1, "D": 0, "E": 2}'), F.col("s_suppkey"), F.concat(F.lit("Of "), "s_name", F.lit("?")), F.col("s_suppkey").cast("long"))
+    every = rows(t.nation, "n_nationkey", F.concat(F.lit('{"'), "n_name", F.lit('": 0.5, "none": 0.5}')), F.lit("all"), F.concat(F.lit("In "), "n_name", F.lit("?")), F.lit(1 << 40) + F.col("n_nationkey"))
+    b = builders.group_bundle(builders.group_records(one.unionByName(every), "Pop"))
+    return simulation.packages(b, "group").select("question_id", "subject_id", "prompt", "options")
+
+
+@R.add("""SELECT CAST(c_custkey AS VARCHAR) AS pid, CAST(b AS INT) AS block, CAST(pos AS INT) AS pos, id, CASE id WHEN 'Q1' THEN 'Pick' || chr(10) || 'Options:' || chr(10) || '- ' || c_mktsegment || chr(10) || '- none' WHEN 'free' THEN 'Why?' ELSE 'Rate' || chr(10) || CASE id WHEN 'M:1' THEN 'this' ELSE 'that' END || chr(10) || 'Options:' || chr(10) || '- lo' || chr(10) || '- hi' END AS prompt,
+kind, CASE id WHEN 'Q1' THEN c_mktsegment WHEN 'M:1' THEN 'lo' WHEN 'M:3' THEN CASE WHEN c_custkey % 2 = 0 THEN 'hi' ELSE 'lo' END ELSE CAST(c_nationkey AS VARCHAR) || '; more' END AS gold
+FROM customer, (VALUES (0, 0, 'Q1', 'multiple_choice'), (0, 1, 'M:1', 'likert'), (0, 2, 'M:3', 'likert'), (1, 3, 'free', 'text')) AS v(b, pos, id, kind)""")
+def survey_tree(t: Tables):
+    """The questions of a tree with a branch, a matrix, a hidden question and a group that is no block."""
+    k = F.col("c_custkey")
+    head = F.format_string('{"Elements":[{"ElementType":"Branch","Elements":[{"ElementType":"Block","Questions":[{"QuestionType":"MC","QuestionID":"Q1","QuestionText":"<b>Pick</b>","Options":["%s","none"],"Answers":{"SelectedText":"%s"}},', "c_mktsegment", "c_mktsegment")
+    matrix = F.format_string('{"QuestionType":"DB","QuestionID":"D"},{"QuestionType":"Matrix","QuestionID":"M","QuestionText":"Rate","Columns":["lo","hi"],"Rows":["this"," ","that"],"Answers":{"SelectedText":["lo","lo","%s"]}}]}]},', F.when(k % 2 == 0, "hi").otherwise("lo"))
+    tail = F.format_string('{"ElementType":"Group","Elements":[{"ElementType":"Block","Questions":[{"QuestionID":"hidden","QuestionText":"?"}]}]},{"ElementType":"Block","Questions":[{"QuestionID":"free","QuestionText":"Why?","QuestionType":"TE","Answers":{"Text":[{"x":"%d"},"more"]}}]}]}', "c_nationkey")
+    found = trees.survey_questions(t.customer.select(k.cast("string").alias("pid"), F.concat(head, matrix, tail).alias("tree")), "tree")
+    return found.select("pid", F.explode("questions").alias("q")).select("pid", "q.block", "q.pos", "q.id", "q.prompt", "q.kind", "q.gold")
 
 
 @R.add("""SELECT CASE WHEN o_custkey % 2 = 0 THEN 'a' ELSE 'b' END || ':' || CAST(o_orderkey AS VARCHAR) AS question_id, CAST(o_orderkey AS VARCHAR) AS subject_id, 'Survey ' || o_orderpriority AS prompt,
@@ -144,7 +185,7 @@ def study_cases(t: Tables):
         part = builders.study_records(rows, study)
         out = part if out is None else out.union(part)
     b = builders.study_bundle(out, ["a", "b"])
-    return simulation.with_gold(b.cases.join(b.questions, ["dataset", "question_id"]), b.gold).select("question_id", "subject_id", "prompt", "payload")
+    return simulation.with_gold(b.asked(), b.gold).select("question_id", "subject_id", "prompt", "payload")
 
 
 @R.add("""SELECT 'd:nation=' || n_name || '|region=' || n_regionkey AS subject_id, CASE WHEN n_nationkey % 2 = 0 THEN 't' || n_nationkey ELSE 'item-' || n_nationkey END AS question_id, 'People of ' || n_name || ' in ' || n_regionkey AS persona_text, 'Q?' AS prompt,
@@ -156,7 +197,7 @@ def group_cases(t: Tables):
         F.lit('"{\\"A\\": 0.25, \\"B\\": 0.75}"').alias("human_answer"), F.when(k % 2 == 0, F.to_json(F.struct(F.concat(F.lit("t"), k).alias("task_id")))).alias("auxiliary"), F.lit(" Q? ").alias("input_template"), (k + 10).alias("group_size"), k.alias("index"),
     )
     b = builders.group_bundle(builders.group_records(rows, "Pop"))
-    joined = b.cases.join(b.questions, ["dataset", "question_id"]).join(b.subjects, "subject_id").join(b.gold.drop("dataset"), ["subject_id", "question_id"])
+    joined = b.asked().join(b.subjects, "subject_id").join(b.gold.drop("dataset"), ["subject_id", "question_id"])
     return joined.select("subject_id", "question_id", "persona_text", "prompt", "options", F.element_at("distribution", "A").cast("decimal(3,2)").alias("a"), F.element_at("distribution", "B").cast("decimal(3,2)").alias("b"), "group_size")
 
 
@@ -277,13 +318,13 @@ def study_answers(t: Tables) -> DataFrame:
 
 @R.add(STUDY_CODES)
 def study_codes(t: Tables):
-    return scoring.encode_cells(scoring.paired_cells(study_answers(t)))
+    return scoring.encode_cells(scoring.study_cells(study_answers(t)))
 
 
 @R.add("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders) SELECT 's:Q1' AS question_id, '#' || 1 + k % 3 AS human, '#' || 1 + c % 3 AS model FROM o
 UNION ALL SELECT 's:Q2', '~' || k % 100 || '~5', '~' || c % 100 || '~7' FROM o WHERE k % 2 = 0 UNION ALL SELECT 's:Q10', CASE WHEN k % 2 = 0 THEN 'n' ELSE 'y' END, CASE WHEN c % 2 = 0 THEN 'n' ELSE 'y' END FROM o WHERE k % 2 = 0""")
 def study_labels(t: Tables):
-    return scoring.study_labels(scoring.paired_cells(study_answers(t)))
+    return scoring.study_labels(scoring.study_cells(study_answers(t)))
 
 
 @R.add(f"""WITH x AS ({STUDY_CODES.replace("WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders)", "WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders) SELECT * FROM (")})),

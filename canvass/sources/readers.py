@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canvass.errors import DataError, EnvironmentFault
+from canvass.functions import let
 from canvass.functions.text import strip
 
 
@@ -139,7 +140,11 @@ def require_cache(spark: SparkSession, paths: Sequence[str], command: str) -> Se
 
 def require_fields(**fields: Column) -> dict[str, Column]:
     """Columns whose null or blank values are errors that name the field."""
-    return {k: F.when(F.coalesce(strip(c.cast("string")), F.lit("")) == "", F.raise_error(F.lit(f"a record needs {k}"))).otherwise(c) for k, c in fields.items()}
+
+    def need(name: str, c: Column) -> Column:
+        return let(c, lambda x: F.when(F.coalesce(strip(x.cast("string")), F.lit("")) == "", F.raise_error(F.lit(f"a record needs {name}"))).otherwise(x))
+
+    return {k: need(k, c) for k, c in fields.items()}
 
 
 def sampled_records(records: DataFrame, key: str, weight: Column | None, n: int, seed: int) -> DataFrame:

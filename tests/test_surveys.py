@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from canvass.errors import DataError, EnvironmentFault, TransportError
-from canvass.functions import jsonx
 from canvass.operators import sampling
 from canvass.plans import assembly, builders, simulation
 from canvass.plans.bundle import Bundle, from_records
@@ -22,40 +21,6 @@ def bundle(spark):
     return from_records(spark.createDataFrame([("p1", {"age": "40", "income": "$60,000"}, "Card one", ask), ("p2", {"age": "30"}, "Card two", ask[:2])], RECORDS), "twin2k_500")
 
 
-def test_align_is_a_longest_run():
-    def brute(h, m):
-        if len(h) == len(m):
-            return len(h)
-        table = [[0] * (len(m) + 1) for _ in range(len(h) + 1)]
-        for i, x in enumerate(h):
-            for j, y in enumerate(m):
-                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-        return table[-1][-1]
-
-    import random
-
-    rng = random.Random(1)
-    for _ in range(300):
-        h, m = ([rng.choice("abc") for _ in range(rng.randint(0, 7))] for _ in range(2))
-        got = jsonx._align(h, m)
-        assert len(got) == brute(h, m) and got == sorted(got)
-        assert len(h) == len(m) or all(h[i] == m[j] for i, j in got)
-    # on ties the human side advances
-    assert jsonx._align(["a", "b"], ["b", "a", "x"]) == [(1, 0)]
-
-
-def test_answer_forms_and_types():
-    form = jsonx.answer_form
-    assert form({"SelectedByPosition": [1, "02", "x"]}) == "#1#2#x" and form({"SelectedByPosition": 3}) == "#3"
-    assert form({"SelectedText": [" A", "b"]}) == "|a|b|" and form({"SelectedText": " Ja "}) == "ja"
-    assert form({"Values": [1, " 2 "]}) == "~1~2" and form({"Values": None}) is None and form("x") is None
-    assert [jsonx.human_type({"QuestionType": q}) for q in ("MC", "Matrix", "HSLIDER", "TE", "?")] == ["choice", "matrix", "slider", "text", "other"]
-    assert jsonx.human_type({"Answers": {"Values": 1}}) == "slider" and jsonx.model_type({"SelectedText": ["x"]}) == "matrix"
-    assert jsonx.model_type({"Question Type": "MC"}) == "choice" and jsonx.model_type({"Question Type": "Text entry"}) == "text"
-    assert [jsonx.number(x) for x in (True, "no", "1,200", "5%", "nan", "", None, "x", -2.5)] == [1.0, 0.0, 1200.0, 5.0, None, None, None, None, -2.5]
-    assert [jsonx.option_number(x, ["Yes", "No, never"]) for x in ("yes", "No", "yes, always", "other", "")] == [1.0, 2.0, 1.0, None, None]
-
-
 def test_builders_refuse(spark):
     people = spark.createDataFrame([("1",)], "pid string")
     with pytest.raises(DataError, match="columns of persons"):

@@ -44,19 +44,6 @@ def test_replies(spark):
         assert got["error"] == error and (error or json.loads(got["json"]) == {"a": 1})
 
 
-def test_survey_tree(spark):
-    tree = {"Elements": [{"ElementType": "Branch", "Elements": [{"ElementType": "Block", "Questions": [
-        {"QuestionID": "Q1", "QuestionText": "<b>Pick</b>", "QuestionType": "MC", "Options": ["a", "b"], "Answers": {"SelectedText": "b"}},
-        {"QuestionID": "M1", "QuestionText": "Rate", "QuestionType": "Matrix", "Columns": ["lo", "hi"], "Rows": ["one", " ", "two"], "Answers": {"SelectedText": ["lo", "lo", "hi"]}},
-        {"QuestionID": "D", "QuestionType": "DB"},
-    ]}]}]}
-    got = one(spark, jsonx.survey_questions(F.lit(json.dumps(tree))))
-    assert [(q["id"], q["kind"], q["gold"]) for q in got] == [("Q1", "multiple_choice", "b"), ("M1:1", "likert", "lo"), ("M1:3", "likert", "hi")]
-    assert got[0]["prompt"] == "Pick\nOptions:\n- a\n- b"
-    assert one(spark, jsonx.survey_questions(F.lit("{"))) == []
-    pairs = one(spark, jsonx.align_types(F.array(*map(F.lit, "abc")), F.array(*map(F.lit, "ac"))))
-    assert [(p["human"], p["model"]) for p in pairs] == [(0, 0), (2, 1)]
-
 
 def test_metric_identities(spark):
     rng = random.Random(3)
