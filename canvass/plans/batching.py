@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import threading
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canvass.errors import TransportError
 from canvass.functions.jsonx import reply_object
 from canvass.functions.text import question_body
 from canvass.operators.relational import chunks
 from canvass.operators.sampling import contract
+from canvass.sources.files import put_bytes, read_bytes
 
 # Fixed instruction texts of the request protocol.
 ANSWER_SYSTEM = (
@@ -63,26 +69,87 @@ def with_retry(call: Callable[[str, str], str], attempts: int = ATTEMPTS, pause:
     return tried
 
 
-def ask(batches: DataFrame, call: Callable[[str, str], str]) -> DataFrame:
-    """batches with `raw` and `failure`: each task calls the provider for its own rows; one batch that fails leaves the others be."""
-    from pyspark.sql import types as T
+@dataclass(frozen=True)
+class Limits:
+    """in_flight: requests that a task has open at once; per_second: requests that the job may begin, shared out among the tasks that can run at once; None is without limit."""
 
+    in_flight: int = 4
+    per_second: float | None = None
+
+
+class Bucket:
+    """Tokens of one task: one for each request, renewed at a steady rate, with room for one second's worth."""
+
+    def __init__(self, rate: float | None, now: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.rate, self.now, self.sleep, self.lock = rate, now, sleep, threading.Lock()
+        self.held, self.at = max(1.0, rate or 1.0), now()
+
+    def take(self) -> None:
+        if self.rate is None:
+            return
+        with self.lock:  # those that wait do so one after the other
+            t = self.now()
+            self.held = min(max(1.0, self.rate), self.held + (t - self.at) * self.rate)
+            self.at = t
+            if self.held < 1:
+                self.sleep((1 - self.held) / self.rate)
+                self.at += (1 - self.held) / self.rate
+                self.held = 1.0
+            self.held -= 1
+
+
+def logged(call: Callable[[str, str], str], log: str | None) -> Callable[[str, str, str], str]:
+    """call by (key, system, user): what the log has of a key is not asked again, and the reply is what the log then has."""
+
+    def told(key: str, system: str, user: str) -> str:
+        place = None if log is None else f"{log}/{key[:2]}/{key}"
+        if place is not None and (old := read_bytes(place)) is not None:
+            return old.decode()
+        reply = call(system, user)
+        if place is not None:
+            if (old := read_bytes(place)) is not None:  # another attempt of this task was faster
+                return old.decode()
+            put_bytes(place, reply.encode())
+        return reply
+
+    return told
+
+
+def ask(batches: DataFrame, call: Callable[[str, str], str], limits: Limits | None = None, log: str | None = None) -> DataFrame:
+    """batches with `raw` and `failure`. Each task calls the provider for its own rows, several at a time; one batch that fails leaves the others be.
+
+    log: a shared folder with a file for each reply, by the batches' `key`. A
+    task that is tried again, and a job that is started again, read there what
+    has been answered before.
+    """
+    limits = limits or Limits()
     schema = T.StructType([*batches.schema.fields, T.StructField("raw", T.StringType()), T.StructField("failure", T.StringType())])
+    rate = None if limits.per_second is None else limits.per_second / max(1, batches.sparkSession.sparkContext.defaultParallelism)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = Bucket(rate)
+
+        def begin(system: str, user: str) -> str:
+            bucket.take()
+            return call(system, user)
+
+        tried = logged(with_retry(begin), log)
+
+        def one(row: tuple) -> tuple[str | None, str | None]:
+            try:
+                return tried(*row), None
+            except TransportError as error:
+                return None, str(error)
 
-    def run(frames: Iterator) -> Iterator:
-        tried = with_retry(call)
-        for pdf in frames:
-            raw, failure = [], []
-            for system, user in zip(pdf["system"], pdf["user"], strict=True):
-                try:
-                    raw.append(tried(system, user))
-                    failure.append(None)
-                except TransportError as error:
-                    raw.append(None)
-                    failure.append(str(error))
-            yield pdf.assign(raw=raw, failure=failure)
+        with ThreadPoolExecutor(limits.in_flight) as pool:
+            for batch in frames:
+                names = batch.schema.names
+                keys = batch.column("key").to_pylist() if "key" in names else [""] * batch.num_rows
+                said = list(pool.map(one, zip(keys, batch.column("system").to_pylist(), batch.column("user").to_pylist(), strict=True)))
+                raw, failure = ([x[i] for x in said] for i in range(2))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.string()), pa.array(failure, pa.string())], [*names, "raw", "failure"])
 
-    return batches.mapInPandas(run, schema)
+    return batches.mapInArrow(run, schema)
 
 
 def with_cache(batches: DataFrame, cache: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
@@ -96,15 +163,15 @@ def listed(raw: Column) -> Column:
     return F.transform(F.try_variant_get(F.try_parse_json(reply_object(raw)["json"]), "$.answers", "array<variant>"), lambda v: F.to_json(v))
 
 
-def answers(replies: DataFrame) -> DataFrame:
-    """One row for each question asked: (subject_id, chunk, question_id, answer as JSON, error).
+def answers(replies: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row for each question asked: (subject_id, chunk, question_id, answer as JSON, error), and columns of the reply.
 
     A question that the reply names twice has its last answer; one that it
     does not name has an error.
     """
     parsed = replies.withColumn("reply", reply_object(F.col("raw")))
     listed = F.try_variant_get(F.try_parse_json("reply.json"), "$.answers", "array<variant>")
-    asked = parsed.withColumn("items", listed).select("subject_id", "chunk", "response_mode", F.posexplode("question_ids").alias("pos", "question_id"), "items", F.col("reply.error").alias("bad"))
+    asked = parsed.withColumn("items", listed).select("subject_id", "chunk", "response_mode", F.posexplode("question_ids").alias("pos", "question_id"), "items", F.col("reply.error").alias("bad"), *keep)
     name = lambda v: F.try_variant_get(v, "$.question_id", "string")
     mine = F.element_at(F.filter("items", lambda v: name(v) == F.col("question_id")), -1)
     rows = asked.withColumn("item", F.when(F.size(F.filter("items", lambda v: name(v) == F.col("question_id"))) > 0, F.to_json(mine)))
@@ -116,7 +183,7 @@ def answers(replies: DataFrame) -> DataFrame:
         .when(F.col("item").isNull(), F.concat(F.lit("missing question_id "), F.col("question_id")))
         .when(value.isNull(), F.concat(F.col("question_id"), F.lit(" is missing "), field))
     )
-    return rows.select("subject_id", "chunk", "pos", "question_id", F.when(error.isNull(), value).alias("answer"), error.alias("error"))
+    return rows.select("subject_id", "chunk", "pos", "question_id", F.when(error.isNull(), value).alias("answer"), error.alias("error"), *keep)
 
 
 def clean_batches(results: DataFrame) -> DataFrame:

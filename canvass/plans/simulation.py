@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -18,6 +19,8 @@ from canvass.plans import batching
 from canvass.plans.builders import adapted, refuse_expansion
 from canvass.plans.bundle import Bundle
 from canvass.plans.cards import life_cards, tendency_cards
+from canvass.session import shared_dir
+from canvass.sources.publish import write_text
 from canvass.sources.writers import write_jsonl
 
 
@@ -93,22 +96,38 @@ class Run:
 CACHE = "key string, raw string"
 
 
-def simulate(asked: DataFrame, call: Callable[[str, str], str], *, model: str, provider: str = "provider", size: int = 15, seed: int = 0, outer: bool = False, system: str | None = None, cache: DataFrame | None = None, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> Run:
+def written(spark: SparkSession, path: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A function that writes a table, in the shared folder unless a path is given, and reads it back."""
+
+    def cut(df: DataFrame) -> DataFrame:
+        place = path or f"{shared_dir(spark)}/canvass/replies-{uuid.uuid4().hex[:12]}"
+        df.write.mode("overwrite").parquet(place)
+        return spark.read.schema(df.schema).parquet(place)
+
+    return cut
+
+
+def simulate(
+    asked: DataFrame, call: Callable[[str, str], str], *, model: str, provider: str = "provider", size: int = 15, seed: int = 0, outer: bool = False, system: str | None = None,
+    cache: DataFrame | None = None, path: str | None = None, limits: batching.Limits | None = None, log: str | None = None,
+) -> Run:
     """Ask packages in batches of one person. Replies in the cache are not asked again.
 
-    cut writes the replies down (they cost money and may differ the next time)
-    and returns them; without it each action asks anew. A batch whose
-    questions were all answered goes to the cache; one that could not be sent
-    has no results.
+    Replies cost money and differ the next time, so they are written down
+    before anything is read off them: below path, or in the shared folder. A
+    batch is asked once, however often the results are read; with a log, also
+    where tasks are tried again. A batch whose questions were all answered goes
+    to the cache; one that could not be sent has no results.
     """
     if isinstance(size, bool) or not isinstance(size, int) or size < 1:
         raise DataError("a batch must have 1 question at least")
     batches = batching.pack(asked, size, outer, system).withColumn("key", batching.cache_key(provider, model, "system", "user", "response_mode"))
     known = batches.limit(0).withColumn("raw", F.lit("")) if cache is None else batching.with_cache(batches, cache)[0]
     ask = batches if cache is None else batching.with_cache(batches, cache)[1]
-    told = cut(batching.ask(ask, call).withColumn("cached", F.lit(False)).unionByName(known.select(*batches.columns, "raw", F.lit(None).cast("string").alias("failure"), F.lit(True).alias("cached"))))
+    live = batching.ask(ask, call, limits, log).withColumn("cached", F.lit(False))
+    told = written(asked.sparkSession, path)(live.unionByName(known.select(*batches.columns, "raw", F.lit(None).cast("string").alias("failure"), F.lit(True).alias("cached"))))
     replies = told.filter("failure is null")
-    rows = batching.answers(replies).join(replies.select("subject_id", "chunk", "raw", "cached"), ["subject_id", "chunk"])
+    rows = batching.answers(replies, ["raw", "cached"])
     if outer:
         facts = asked.select("subject_id", "question_id", "options", contract(F.col("options"), F.col("kind")).alias("__kind"))
         items = replies.select("subject_id", "chunk", F.posexplode(batching.listed(F.col("raw"))).alias("__i", "item")).select("subject_id", "chunk", F.get_json_object("item", "$.question_id").alias("question_id"), "__i", "item")
@@ -158,10 +177,8 @@ def write_results(run: Run, rows: DataFrame, path: str, manifest: Mapping[str, o
         write_jsonl(run.failed, f"{path}/batch_errors", ["subject_id", "chunk"])
         return "batch_errors"
     write_jsonl(rows, f"{path}/responses", ["subject_id", "chunk", "pos"])
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest.json")
-    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
-    out.write(bytearray((json.dumps(dict(manifest), ensure_ascii=False, indent=2) + "\n").encode()))
-    out.close()
+    # the manifest goes last and at once: it says that the run is complete
+    write_text(spark, f"{path}/manifest.json", json.dumps(dict(manifest), ensure_ascii=False, indent=2) + "\n")
     return "responses"
 
 
@@ -192,18 +209,14 @@ def topped_up(bundle: Bundle, chosen: DataFrame, n: int, sample: Callable[[Bundl
     return sample(bundle, seed + 1) if subjects.count() < n else Bundle(subjects, bundle.questions, cases, bundle.gold)
 
 
-def run_job(bundle: Bundle, call: Callable[[str, str], str], *, name: str, model: str, path: str, size: int = 15, seed: int = 0, facts: Mapping[str, object] | None = None) -> str:
+def run_job(bundle: Bundle, call: Callable[[str, str], str], *, name: str, model: str, path: str, size: int = 15, seed: int = 0, facts: Mapping[str, object] | None = None, limits: batching.Limits | None = None) -> str:
     """A job from start to end: skipped if complete, else simulated with the cache of its folder, scored against gold later, and written."""
     spark = bundle.cases.sparkSession
     if is_complete(spark, path):
         return "complete"
     _, outer, _ = method(name)
 
-    def cut(df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{path}/replies")
-        return spark.read.schema(df.schema).parquet(f"{path}/replies")
-
-    run = simulate(packages(bundle, name, seed), call, model=model, size=size, seed=seed, outer=outer, cache=read_replies(spark, f"{path}/cache"), cut=cut)
+    run = simulate(packages(bundle, name, seed), call, model=model, size=size, seed=seed, outer=outer, cache=read_replies(spark, f"{path}/cache"), path=f"{path}/replies", limits=limits, log=f"{path}/log")
     keep_replies(run, f"{path}/cache")
     return write_results(run, with_gold(run.results, bundle.gold), path, {"method": name, "model": model, "seed": seed, "batch_size": size, **(facts or {})})
 

@@ -5,17 +5,20 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from canvass.errors import TransportError
 from canvass.functions import trees
 from canvass.functions.jsonx import decoded
-from canvass.plans import assembly, batching, builders, scoring, simulation
-from canvass.plans.bundle import Bundle
+from canvass.plans import assembly, batching, builders, jobs, scoring, simulation
+from canvass.plans.bundle import Bundle, from_records
 from canvass.queries.base import Registry, Tables
 from canvass.session import shared_dir
-from canvass.sources import readers, writers
+from canvass.sources import publish, readers, writers
 
 R = Registry()
 
@@ -365,16 +368,69 @@ def csv_table(t: Tables):
     return readers.assert_unique(readers.read_csv(t.spark, path, ["pid", "name", "nation"]), ["pid"])
 
 
-@R.add("SELECT * FROM (VALUES ('a/one.txt', 'verified'), ('b/one.txt', 'changed'), ('b/two.txt', 'extra'), ('c/one.txt', 'missing')) AS v(name, status)")
-def file_lock(t: Tables):
-    """Files of like names in several folders against a lock."""
-    path = scratch(t, "lock")
-    jvm, conf = t.spark._jvm, t.spark._jsc.hadoopConfiguration()
-    for name in ("a/one.txt", "b/one.txt", "b/two.txt"):
-        p = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-        out = p.getFileSystem(conf).create(p, True)
-        out.write(bytearray(name.encode()))
-        out.close()
-    facts = readers.file_facts(t.spark, path)
-    lock = facts.filter("name <> 'b/two.txt'").withColumn("bytes", F.when(F.col("name") == "b/one.txt", 1).otherwise(F.col("bytes")))
-    return readers.verify(facts, lock.union(facts.filter("name = 'a/one.txt'").withColumn("name", F.lit("c/one.txt"))))
+@R.add("SELECT o_orderkey, o_orderpriority, true AS in_place FROM orders")
+def json_places(t: Tables):
+    """Lines keep their file and number: those of a file that was written in order count its rows up."""
+    path = scratch(t, "places")
+    writers.write_jsonl(t.orders.select("o_orderkey", "o_orderpriority"), path, ["o_orderkey"])
+    rows = readers.read_jsonl(t.spark, path, "o_orderkey long, o_orderpriority string", place="at")
+    rank = F.row_number().over(W.partitionBy("at.file").orderBy("o_orderkey"))
+    return rows.select("o_orderkey", "o_orderpriority", (F.col("at.line") == rank).alias("in_place"))
+
+
+@R.add("""SELECT CASE event_id % 6 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'not a JSON object' ELSE 'good' END AS state, count(*) AS n, sum(event_id) FILTER (event_id % 6 > 2) AS ids FROM events WHERE event_id % 6 <> 2 GROUP BY ALL""")
+def lenient_lines(t: Tables):
+    """Lines that are cut short or no objects are put aside with a reason; blank ones count for nothing."""
+    path = scratch(t, "lenient")
+    k = F.col("event_id") % 6
+    whole = F.to_json(F.struct("event_id", "event_type"))
+    t.events.select(F.when(k == 0, F.substring(whole, 1, 10)).when(k == 1, F.concat(F.lit("["), "event_id", F.lit("]"))).when(k == 2, "  ").otherwise(whole).alias("value")).write.text(path)
+    good, bad = readers.read_lenient(t.spark, path, "event_id long, event_type string")
+    counts = bad.groupBy(F.col("reason").alias("state")).agg(F.count("*").alias("n"), F.lit(None).cast("long").alias("ids"))
+    return counts.union(good.agg(F.lit("good").alias("state"), F.count("*").alias("n"), F.sum("event_id").alias("ids")))
+
+
+@R.add("""SELECT 1 AS version, 'customer' AS name, count(*) AS n, sum(c_custkey) AS keys FROM customer WHERE c_nationkey < 10 UNION ALL SELECT 1, 'supplier', count(*), sum(s_suppkey) FROM supplier
+UNION ALL SELECT 2, 'customer', count(*), sum(c_custkey) FROM customer UNION ALL SELECT 2, 'supplier', count(*), sum(s_suppkey) FROM supplier""")
+def published_tables(t: Tables):
+    """Two versions of a folder of tables, read back against their locks; a writer that dies between them leaves no trace."""
+    path = scratch(t, "published")
+    keys = {"customer": "c_custkey", "supplier": "s_suppkey"}
+    publish.publish({"customer": t.customer.filter("c_nationkey < 10"), "supplier": t.supplier}, path, source="test tables")
+    try:
+        publish.publish({"customer": t.customer, "supplier": t.supplier.withColumn("x", F.raise_error(F.lit("the writer died")).cast("string"))}, path)
+    except Exception as error:
+        if "the writer died" not in str(error):
+            raise
+    publish.publish({"customer": t.customer, "supplier": t.supplier}, path)
+    parts = [publish.read_published(t.spark, path, name, v).agg(F.lit(v).alias("version"), F.lit(name).alias("name"), F.count("*").alias("n"), F.sum(k).alias("keys")) for v in publish.versions(t.spark, path) for name, k in keys.items()]
+    return reduce(DataFrame.union, parts)
+
+
+@R.add("""SELECT d AS dataset, 'fixed_text' AS method, m AS model, CASE WHEN m = 'down' THEN 'batch_errors' ELSE 'responses' END AS state, CASE WHEN m = 'down' THEN 0 ELSE n END AS answers
+FROM (SELECT 'even' AS d, count(*) * 2 AS n FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'odd', count(*) * 2 FROM customer WHERE c_custkey % 2 = 1), (VALUES ('a'), ('b'), ('down')) AS v(m)""")
+def job_grid(t: Tables):
+    """Two surveys asked by one method of three models, one of which can't be reached; answers are read from what the jobs wrote."""
+    base = scratch(t, "jobs")
+
+    def bundle_of(name: str) -> Bundle:
+        k = F.col("c_custkey")
+        ask = lambda q: F.struct(F.lit(q).alias("id"), F.concat(F.lit(f"{q}, "), "c_name", F.lit("?")).alias("prompt"), F.array(F.lit("yes"), F.lit("no")).alias("options"), F.lit("multiple_choice").alias("kind"), F.lit("yes").alias("gold"))
+        rows = t.customer.filter(k % 2 == int(name == "odd")).select(k.cast("string").alias("id"), F.create_map(F.lit("segment"), "c_mktsegment").alias("demographics"), F.col("c_name").alias("persona_text"), F.array(ask("q1"), ask("q2")).alias("questions"))
+        return from_records(rows, "twin2k_500")
+
+    states = jobs.run_jobs(t.spark, jobs.grid(base, ["even", "odd"], ["fixed_text"], ["a", "b", "down"], size=2), bundle_of, provider_of)
+    made = [j for j in states.collect() if j["state"] == "responses"]
+    counts = [readers.read_jsonl(t.spark, f"{base}/{j['dataset']}/{j['method']}/{j['model']}/responses", "answer string").agg(F.lit(j["dataset"]).alias("dataset"), F.lit(j["model"]).alias("model"), F.count("answer").alias("answers")) for j in made]
+    return states.join(reduce(DataFrame.union, counts), ["dataset", "model"], "left").select("dataset", "method", "model", "state", F.coalesce("answers", F.lit(0)).alias("answers"))
+
+
+def provider_of(model: str):
+    """Providers of the grid: one that can't be reached, others that answer yes."""
+
+    def told(system: str, user: str) -> str:
+        if model == "down":
+            raise TransportError("no route")
+        return json.dumps({"answers": [{"question_id": q, "answer": "yes"} for q in re.findall(r"(?m)^question_id: (\S+)$", user)]})
+
+    return told

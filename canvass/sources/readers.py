@@ -2,27 +2,84 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from canvass.errors import DataError, EnvironmentFault
 from canvass.functions import let
 from canvass.functions.text import strip
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, limit: int | None = None) -> DataFrame:
-    """Objects of a JSON-lines file; blank lines are skipped, other text than an object is an error."""
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+def _within_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`at`: the place of each line among those of its block, which a task reads one after the other."""
+    last, n = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block, file = np.asarray(batch.column(2)), batch.column(1).dictionary_encode()
+        code = np.asarray(file.indices)
+        first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (code[1:] != code[:-1])]))
+        at = np.arange(len(block)) - np.repeat(first, np.diff(np.append(first, len(block))))
+        head, tail = ((file.dictionary[int(code[i])].as_py(), int(block[i])) for i in (0, -1))
+        if head == last:
+            at[: first[1] if len(first) > 1 else len(at)] += n
+        last, n = tail, int(at[-1]) + 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int64))], ["value", "file", "block", "at"])
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, line): lines of text files with their numbers from 1, the same however files are cut into tasks.
+
+    A line's number is its place in its block, which its task knows, and the
+    lines of the blocks before it; of these there is one count for each block.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = raw.mapInArrow(_within_blocks, "value string, file string, block long, at long")
+    counts = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("file", "block", before.alias("start"))
+    return lines.join(starts, ["file", "block"]).select("value", "file", (F.col("start") + F.col("at") + 1).alias("line"))
+
+
+def line_fault(value: Column) -> Column:
+    """What is wrong with a line that is to hold a JSON object; null for a good one. Works in batches and streams alike."""
+    return let(F.schema_of_variant(F.try_parse_json(value)), lambda kind: F.when(kind.isNull(), "not JSON").when(~F.startswith(kind, F.lit("OBJECT")), "not a JSON object"))
+
+
+def sorted_out(lines: DataFrame, schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) of lines (value and columns that name their place): objects read by the schema, and lines with the reason why they are none. Blank lines are neither."""
+    judged = lines.filter(F.trim("value") != "").withColumn("reason", line_fault(F.col("value")))
+    place = [c for c in lines.columns if c != "value"]
+    good = judged.filter("reason is null").select(*place, F.from_json("value", schema).alias("x")).select(*place, "x.*")
+    return good, judged.filter("reason is not null").select(*place, "reason", "value")
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, limit: int | None = None, place: str | None = None) -> DataFrame:
+    """Objects of JSON-lines files; blank lines are skipped, other text than an object is an error that names file and line.
+
+    limit takes the first by file and line, and nothing after them is looked
+    at; place names a column struct<file, line> to keep.
+    """
+    lines = numbered_lines(spark, path).filter(F.trim("value") != "")
     if limit is not None:
         if isinstance(limit, bool) or not isinstance(limit, int) or limit < 1:
             raise DataError("limit must be an integer of 1 at least")
-        lines = lines.limit(limit)
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
-    checked = F.when(is_object, F.col("value")).otherwise(F.raise_error(F.concat(F.lit(f"{path}: not a JSON object: "), F.substring("value", 1, 80))))
-    return lines.select(F.from_json(checked, schema).alias("x")).select("x.*")
+        lines = lines.orderBy("file", "line").limit(limit)
+    where = F.concat("file", F.lit(":"), F.col("line"), F.lit(": "))
+    checked = let(line_fault(F.col("value")), lambda fault: F.when(fault.isNull(), F.col("value")).otherwise(F.raise_error(F.concat(where, fault, F.lit(": "), F.substring("value", 1, 80)))))
+    keep = [] if place is None else [F.struct("file", "line").alias(place)]
+    return lines.select(*keep, F.from_json(checked, schema).alias("x")).select(*([place] if place else []), "x.*")
+
+
+def read_lenient(spark: SparkSession, path: str, schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(objects with file and line, bad lines with file, line and reason) of JSON-lines files: nothing is an error."""
+    return sorted_out(numbered_lines(spark, path), schema)
 
 
 def read_csv(spark: SparkSession, path: str, required: Sequence[str], key: str = "pid", trim: bool = True) -> DataFrame:
