@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 from canvass.errors import TransportError
 from canvass.functions import trees
 from canvass.functions.jsonx import decoded
-from canvass.plans import assembly, batching, builders, jobs, scoring, simulation
+from canvass.plans import assembly, batching, builders, jobs, loaders, scoring, simulation
 from canvass.plans.bundle import Bundle, from_records
 from canvass.queries.base import Registry, Tables
 from canvass.session import shared_dir
@@ -107,6 +107,63 @@ def paired_waves(t: Tables):
     return assembly.paired_waves(earlier, later, items, ["a", "b"])
 
 
+# loaders
+
+
+TWIN_IDS = ("QID9_1", "QID9_2", "QID9_3")
+
+
+def twin_files(t: Tables) -> loaders.Loaded:
+    """The sources of a twin survey written from the customers, and loaded again: two waves, a catalog and trees in two files."""
+    base, k = scratch(t, "twin"), F.col("c_custkey")
+    pid = k.cast("string").alias("pid")
+    cells = [F.col("c_mktsegment").alias("segment"), F.concat(F.col("c_nationkey").cast("string"), F.lit(" ")).alias("nation")]
+    writers.write_csv(t.customer.select(pid, *cells, *(F.when(k % 3 == 0, "none").otherwise(F.col("c_mktsegment")).alias(q) for q in TWIN_IDS)), f"{base}/earlier")
+    writers.write_csv(t.customer.select(pid, *(F.col("c_mktsegment").alias(q) for q in TWIN_IDS)), f"{base}/later")
+    q = lambda i: F.struct(F.lit(f"QID9_{i}").alias("QuestionID"), F.lit(f"Buy {i}?").alias("QuestionText"), F.struct(F.col("c_mktsegment").alias("SelectedText"), F.lit(i).alias("SelectedByPosition")).alias("Answers"))
+    tree = F.to_json(F.struct(F.array(F.struct(F.lit("Block").alias("ElementType"), F.array(q(3), q(1), q(2)).alias("Questions"))).alias("Elements")))
+    for rest in (0, 1):
+        t.customer.filter(k % 2 == rest).select(pid, tree.alias("tree")).write.parquet(f"{base}/wave{rest}")
+    segments = [r[0] for r in t.customer.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]
+    nations = [str(r[0]) for r in t.customer.select("c_nationkey").distinct().orderBy("c_nationkey").collect()]
+    entry = lambda c, stem, options: {"QuestionID": c, "BlockName": "Demographics", "QuestionText": stem, "Options": options, "csv_columns": [c]}
+    publish.write_text(t.spark, f"{base}/catalog.json", json.dumps([entry("segment", "Which segment?", segments), entry("nation", "Which nation?", nations)]))
+    return loaders.load_twin(t.spark, earlier=f"{base}/earlier", later=f"{base}/later", catalog=f"{base}/catalog.json", waves=[f"{base}/wave0", f"{base}/wave1"], payload="tree", basic=["segment", "nation"], ids=TWIN_IDS, persons=t.customer.count(), files=2)
+
+
+@R.add("SELECT count(*) AS rows_earlier, count(*) AS rows_later, count(*) AS rows_trees, 3 * count(*) FILTER (c_custkey % 3 > 0) AS cells_equal, 3 * count(*) FILTER (c_custkey % 3 = 0) AS cells_differ FROM customer")
+def twin_audit(t: Tables):
+    """Counts taken while the sources were read and joined."""
+    audit = twin_files(t).audit
+    return t.spark.createDataFrame([tuple(audit.values())], ", ".join(f"{k} long" for k in audit))
+
+
+@R.add("""WITH n AS (SELECT c_mktsegment AS segment, count(*) AS k FROM customer GROUP BY ALL), t AS (SELECT sum(k) AS pop FROM n), b AS (SELECT segment, k, 60 * k // pop AS base, 60 * k % pop AS over FROM n, t), l AS (SELECT 60 - sum(base) AS rest FROM b),
+seats AS (SELECT segment, base + (row_number() OVER (ORDER BY over DESC, segment) <= rest)::INT AS seats FROM b, l),
+k AS (SELECT c_custkey, c_mktsegment AS segment, c_nationkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('42' || chr(10) || 'twin2k_500' || chr(10) || c_mktsegment || chr(10) || CAST(c_custkey AS VARCHAR)), CAST(c_custkey AS VARCHAR)) AS rk FROM customer)
+SELECT CAST(c_custkey AS VARCHAR) AS subject_id, 'Which nation?' AS stem, CAST(c_nationkey AS VARCHAR) AS nation, segment AS bought FROM k JOIN seats USING (segment) WHERE rk <= seats""")
+def twin_build(t: Tables):
+    """The persons drawn for the data set of the twin survey, with a field of their card and an outcome."""
+    made = loaders.build_twin(twin_files(t), basic=["segment", "nation"], ids=TWIN_IDS, strata=["segment"], seed=42, source="earlier.csv", size=60)
+    field = F.get(F.filter("basic_info", lambda f: f["source_column"] == "nation"), F.lit(0))
+    cards = made.cards.select("subject_id", field["source_question_text"].alias("stem"), field["value"].alias("nation"))
+    outcomes = made.outcomes.select("subject_id", F.get("items", F.lit(2))["answer"].alias("bought"))
+    return made.sample.select("subject_id").join(cards, "subject_id").join(outcomes, "subject_id")
+
+
+@R.add("""SELECT CAST(s_suppkey AS VARCHAR) AS subject_id, question_id, CASE WHEN question_id = 'conclusion_purchased_product' THEN CASE WHEN s_suppkey % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END ELSE printf('%d.%02d', s_suppkey % 10, s_suppkey % 89) END AS answer,
+CASE WHEN question_id = 'conclusion_purchased_product' THEN s_name END AS product FROM supplier, (VALUES ('local_field'), ('local_greenhouse'), ('local_vertical'), ('nonlocal_field'), ('nonlocal_greenhouse'), ('nonlocal_vertical'), ('conclusion_purchased_product')) AS v(question_id)""")
+def lettuce_build(t: Tables):
+    """Outcomes of the data set of the lettuce survey, the purchase with the product drawn."""
+    path, k = scratch(t, "lettuce"), F.col("s_suppkey")
+    bid = F.format_string("%d.%02d", k % 10, k % 89)
+    rows = t.supplier.select(k.cast("string").alias("pid"), (k % 60).cast("string").alias("survey_q01_age"), F.col("s_nationkey").cast("string").alias("survey_q15_income"), *(bid.alias(c) for c in builders.PRODUCTS), F.when(k % 2 == 0, "TRUE").otherwise("FALSE").alias(builders.PURCHASE), F.col("s_name").alias(builders.DRAWN_PRODUCT), F.lit("2.50").alias(builders.DRAWN_PRICE))
+    writers.write_csv(rows, path)
+    loaded = loaders.load_lettuce(t.spark, table=path, persons=t.supplier.count())
+    made = loaders.build_lettuce(loaded, columns=["survey_q01_age", "survey_q15_income"], strata=["survey_q15_income"], seed=42, source="lettuce.csv", size=5)
+    return made.outcomes.select("subject_id", F.explode("items").alias("i")).select("subject_id", "i.question_id", "i.answer", F.element_at("i.stimulus", builders.DRAWN_PRODUCT).alias("product"))
+
+
 # builders
 
 
