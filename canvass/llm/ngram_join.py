@@ -280,10 +280,15 @@ class _Maps:
         return out
 
 
+#: Marks of the copies of a large column's two pivots, which go to all its parts.
+FIRST, SECOND = -1, -2
+
+
 def _product(percent: int, pivots: int | None):
     """Pairs of rows of columns that may be similar, from (key, part, node, n, place, c, map) in order of key.
 
     pivots: the turn, if rows are compared with the pivots of their column only; else all pairs are.
+    Rows of part FIRST and SECOND are copies of the pivots of a column that is dealt out in parts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,9 +311,9 @@ def _product(percent: int, pivots: int | None):
                 group = np.repeat(np.arange(len(begin)), size)
                 if pivots is not None:
                     lot = mix64(node.astype(np.uint64) ^ np.uint64(pivots + 1))
-                    everyone = np.arange(len(key))
-                    for order in (np.lexsort((lot, place - n, place, group)), np.lexsort((lot, group))):
-                        weigh(everyone, order[begin][group])
+                    everyone = np.flatnonzero(part >= 0)
+                    for order in (np.lexsort((lot, place - n, place, part != FIRST, group)), np.lexsort((lot, part != SECOND, group))):
+                        weigh(everyone, order[begin][group[everyone]])
                 else:
                     few = np.flatnonzero((size <= FEW)[group])
                     for i in range(0, len(few), 1 << 14):
@@ -460,13 +465,22 @@ def grouped(docs: DataFrame, scratch: Scratch, *, n: int = N, percent: int = PER
     def product(pivots: int | None) -> DataFrame:
         keyed = at.select(F.col("gram").alias("key"), F.lit(0).alias("part"), "node", "n", "place", "c", "map")
         large = at.groupBy("gram").count().filter(F.col("count") > PART).select("gram", F.ceil(F.col("count") / PART).cast("int").alias("k"))
-        if pivots is None and not large.isEmpty():
-            large = scratch.cut(large, "large")
-            # parts of a large column meet in pairs
-            part = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-            split = at.join(large, "gram").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-            split = split.select(F.xxhash64("gram", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "part", "node", "n", "place", "c", "map")
-            keyed = at.join(large, "gram", "left_anti").select(F.col("gram").alias("key"), F.lit(0).alias("part"), "node", "n", "place", "c", "map").union(split)
+        if not large.isEmpty():
+            large = scratch.cut(large, f"large-{pivots}")
+            columns = ("node", "n", "place", "c", "map")
+            mine = at.join(large, "gram").withColumn("part", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+            if pivots is None:
+                # parts of a large column meet in pairs
+                split = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+                split = split.select(F.xxhash64("gram", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "part", *columns)
+            else:
+                # each part meets the pivots of the whole column
+                lot, row = F.xxhash64("node", F.lit(pivots)), F.struct(*columns)
+                picked = mine.groupBy("gram", "k").agg(F.min_by(row, F.struct("place", F.col("place") - F.col("n"), lot)).alias("first"), F.min_by(row, lot).alias("second"))
+                sent = picked.select("gram", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("at"), F.array(F.struct(F.lit(FIRST).alias("part"), F.col("first").alias("row")), F.struct(F.lit(SECOND).alias("part"), F.col("second").alias("row"))).alias("pivots"))
+                copies = sent.select("gram", "at", F.explode("pivots").alias("p")).select(F.xxhash64("gram", "at").alias("key"), "p.part", *(f"p.row.{c}" for c in columns))
+                split = mine.select(F.xxhash64("gram", "part").alias("key"), F.lit(0).alias("part"), *columns).union(copies)
+            keyed = at.join(large, "gram", "left_anti").select(F.col("gram").alias("key"), F.lit(0).alias("part"), *columns).union(split)
         return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_product(percent, pivots), "a long, b long, times long")
 
     found, before, turn = None, math.inf, 0

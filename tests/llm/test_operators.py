@@ -123,6 +123,35 @@ def test_ngram_join_one_hot_column(spark, monkeypatch, part):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute_components(rows)
 
 
+def test_no_task_gets_more_than_two_parts_of_a_column(spark, monkeypatch):
+    made, part = ngram_join._product, 20
+
+    def bounded(percent, pivots):
+        run = made(percent, pivots)
+
+        def checked(batches):
+            def seen():
+                sizes = {}
+                for b in batches:
+                    for k in b.column(0).to_pylist():
+                        sizes[k] = sizes.get(k, 0) + 1
+                    yield b
+                if max(sizes.values(), default=0) > 3 * part:
+                    raise ValueError(f"{max(sizes.values())} rows of a column in one task, pivots {pivots}")
+
+            yield from run(seen())
+
+        return checked
+
+    monkeypatch.setattr(ngram_join, "PART", part)
+    monkeypatch.setattr(ngram_join, "_product", bounded)
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(40)]
+    rows = [(i, " ".join([f"x{rng.randint(0, 9)}" for _ in range(rng.randint(0, 9))] + common + [f"y{rng.randint(0, 9)}" for _ in range(rng.randint(0, 9))])) for i in range(200)]
+    got = ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute_components(rows)
+
+
 def thue_morse(n: int) -> tuple[str, str]:
     """Two words that fingerprints by powers of a number modulo 2**64 take for one."""
     bits = [bin(i).count("1") % 2 for i in range(n)]
