@@ -218,15 +218,17 @@ def float_map(c: Column) -> Column:
 
 def adapted(demographics: Column) -> Column:
     """What a card reads of a person: known keys for survey ids, no outcomes, and education, hours and income derived where they are not given."""
-    kept = F.map_filter(canonical_demographics(demographics), lambda k, v: ~k.isin(*OUTCOMES, DRAWN_PRODUCT, DRAWN_PRICE))
-    at = lambda k: F.element_at(kept, k)
-    derived = {
-        "education_bucket": education_bucket(at("education")),
-        "work_hours": F.when(at("work_hours").isNull(), F.bround(weekly_hours(at("employment"))).cast("int").cast("string")),
-        "income_over_50k": F.when(at("income_over_50k").isNull() & at("income").isNotNull(), F.coalesce(income_over_50k(at("income")), F.lit(False)).cast("string")),
-    }
-    more = F.map_from_entries(F.array_compact(F.array(*(F.when(v.isNotNull() & (at("education").isNotNull() if k == "education_bucket" else F.lit(True)), F.struct(F.lit(k).alias("key"), v.alias("value"))) for k, v in derived.items()))))
-    return F.map_concat(F.map_filter(kept, lambda k, v: k != "education_bucket"), more)
+    def derived(kept: Column) -> Column:
+        at = lambda k: F.element_at(kept, k)
+        more = {
+            "education_bucket": F.when(at("education").isNotNull(), education_bucket(at("education"))),
+            "work_hours": F.when(at("work_hours").isNull(), F.bround(weekly_hours(at("employment"))).cast("int").cast("string")),
+            "income_over_50k": F.when(at("income_over_50k").isNull() & at("income").isNotNull(), F.coalesce(income_over_50k(at("income")), F.lit(False)).cast("string")),
+        }
+        entries = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in more.items())), lambda e: e["value"].isNotNull())
+        return F.map_concat(F.map_filter(kept, lambda k, v: k != "education_bucket"), F.map_from_entries(entries))
+
+    return let(F.map_filter(canonical_demographics(demographics), lambda k, v: ~k.isin(*OUTCOMES, DRAWN_PRODUCT, DRAWN_PRICE)), derived)
 
 
 def refuse_expansion(dataset: str, unit: str, subjects: DataFrame) -> DataFrame:
@@ -248,6 +250,7 @@ def income_stratum(demographics: Column, keys: Sequence[str] = ("QID21", "income
 
 def field_map(dataset: str, source: str, columns: Sequence[str], stems: Mapping[str, str] | None, options: Mapping[str, Sequence[str]] | None, blocked: Sequence[str]) -> dict:
     """How each column gets onto a card, for the manifest."""
+    # fixed sentence of the manifest
     rule = "Copy the cell after removing only leading and trailing whitespace. A blank cell is stored as MISSING. A cell whose text is that token fails. No other value is inferred."
     one = lambda c: {
         "card_section": "Basics", "source_column": c, "source_file": source, "source_question_id": c, "transform": rule,

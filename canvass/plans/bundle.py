@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canvass.errors import DataError
+from canvass.functions import let
 from canvass.functions.text import blank_to_null, canonical_pid, strip
 from canvass.operators.relational import attach, first_wins
 
@@ -94,13 +95,16 @@ DEMOGRAPHICS = {
 
 def canonical_demographics(c):
     """A map of answers without blanks, with keys for survey ids that have none yet."""
-    kept = F.map_filter(c, lambda k, v: v.isNotNull() & (F.trim(v) != ""))
     blocked = {"income": "income_over_50k", "employment": "work_hours"}
-    pairs = []
-    for qid, key in DEMOGRAPHICS.items():
-        free = ~F.map_contains_key(kept, F.lit(key))
-        if key in blocked:
-            free &= ~F.map_contains_key(kept, F.lit(blocked[key]))
-        pairs.append(F.when(free & F.map_contains_key(kept, F.lit(qid)), F.struct(F.lit(key).alias("key"), F.element_at(kept, qid).alias("value"))))
-    added = F.map_from_entries(F.array_compact(F.array(*pairs)))
-    return F.map_concat(F.transform_values(kept, lambda k, v: F.trim(v)), added)
+
+    def keyed(kept):
+        pairs = []
+        for qid, key in DEMOGRAPHICS.items():
+            free = ~F.map_contains_key(kept, F.lit(key))
+            if key in blocked:
+                free &= ~F.map_contains_key(kept, F.lit(blocked[key]))
+            pairs.append(F.when(free & F.map_contains_key(kept, F.lit(qid)), F.struct(F.lit(key).alias("key"), F.element_at(kept, qid).alias("value"))))
+        return F.map_concat(kept, F.map_from_entries(F.array_compact(F.array(*pairs))))
+
+    trimmed = F.transform_values(F.map_filter(c, lambda k, v: v.isNotNull() & (F.trim(v) != "")), lambda k, v: F.trim(v))
+    return let(trimmed, keyed)

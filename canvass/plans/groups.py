@@ -10,8 +10,10 @@ from pyspark.sql.window import Window as W
 
 from canvass.functions.text import group_key, make_qid
 
-#: Ranges that the cases of a split are counted in.
-RANGES = 64
+#: Cases that are counted together, and ranges of a split at most.
+RANGE_ROWS, MOST_RANGES = 500_000, 4096
+#: Splits whose bounds go to every task.
+FEW_SPLITS = 1000
 OPTION = r"(?m)^\(([A-Za-z0-9]+)\)\s*:\s*(.*)$"
 BLOCK = r"(?i)\n\s*Options:\s*\n"
 
@@ -43,13 +45,16 @@ def parse_options(template: Column, answer_options: Column, human_answer: Column
 def cases(rows: DataFrame) -> DataFrame:
     """rows (split, dataset_name, input_template, variables, ord) with question and case ids; the index counts within a split.
 
-    The index is a running count over ranges of `ord`, and not one window over
-    a split. Ranges are cut at approximate quantiles, which decide how even they
-    are and not what the index is: a row's range follows from its `ord` alone.
+    The index is a running count over ranges of `ord`, as many as the largest
+    split needs for RANGE_ROWS each, and not one window over a split. Ranges are
+    cut at approximate quantiles, which decide how even they are and not what
+    the index is: a row's range follows from its `ord` alone.
     """
-    grid = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
-    bounds = rows.groupBy("split").agg(F.array_distinct(F.percentile_approx("ord", grid, 1000)).alias("__bounds"))
-    ranged = rows.join(bounds, "split").withColumn("__p", F.size(F.filter("__bounds", lambda b: b < F.col("ord")))).drop("__bounds")
+    largest, splits = rows.groupBy("split").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.count("*")).first()
+    ranges = min(MOST_RANGES, max(2, -(-largest // RANGE_ROWS)))
+    grid = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
+    bounds = rows.groupBy("split").agg(F.array_distinct(F.percentile_approx("ord", grid, max(1000, 10 * ranges))).alias("__bounds"))
+    ranged = rows.join(F.broadcast(bounds) if splits <= FEW_SPLITS else bounds, "split").withColumn("__p", F.size(F.filter("__bounds", lambda b: b < F.col("ord")))).drop("__bounds")
     counts = ranged.groupBy("split", "__p").count()
     before = counts.withColumn("before", F.sum("count").over(W.partitionBy("split").orderBy("__p")) - F.col("count")).drop("count")
     at = F.row_number().over(W.partitionBy("split", "__p").orderBy("ord"))
