@@ -43,3 +43,9 @@ def decade(column: str):
     text = F.trim(F.col(column).cast("string"))
     low = (F.floor(text.try_cast("long") / 10) * 10).cast("long")
     return F.when(text.isNull() | (text == ""), "MISSING").when(~text.rlike("^[0-9]+$"), F.raise_error(F.lit("age is not a number"))).otherwise(F.concat(low.cast("string"), F.lit("-"), (low + 9).cast("string")))
+
+
+def with_older(table: DataFrame, older: DataFrame, keys: Sequence[str], columns: Sequence[str], prefix: str = "older_") -> DataFrame:
+    """A table of scores with columns of an older one beside, by its keys; rows that the older one lacks stay, and a key that it repeats is an error."""
+    beside = assert_unique(older, list(keys)).select(*keys, *(F.col(c).alias(f"{prefix}{c}") for c in columns))
+    return table.join(beside, list(keys), "left")

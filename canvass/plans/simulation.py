@@ -21,6 +21,7 @@ from canvass.plans.bundle import Bundle
 from canvass.plans.cards import life_cards, tendency_cards
 from canvass.session import shared_dir
 from canvass.sources.publish import write_text
+from canvass.sources.replies import ReplyStore
 from canvass.sources.writers import write_jsonl
 
 
@@ -93,9 +94,6 @@ class Run:
     failed: DataFrame
 
 
-CACHE = "key string, raw string"
-
-
 def written(spark: SparkSession, path: str | None = None) -> Callable[[DataFrame], DataFrame]:
     """A function that writes a table, in the shared folder unless a path is given, and reads it back."""
 
@@ -109,7 +107,7 @@ def written(spark: SparkSession, path: str | None = None) -> Callable[[DataFrame
 
 def simulate(
     asked: DataFrame, call: Callable[[str, str], str], *, model: str, provider: str = "provider", size: int = 15, seed: int = 0, outer: bool = False, system: str | None = None,
-    cache: DataFrame | None = None, path: str | None = None, limits: batching.Limits | None = None, log: str | None = None,
+    cache: DataFrame | ReplyStore | None = None, path: str | None = None, limits: batching.Limits | None = None, log: str | None = None,
 ) -> Run:
     """Ask packages in batches of one person. Replies in the cache are not asked again.
 
@@ -122,8 +120,11 @@ def simulate(
     if isinstance(size, bool) or not isinstance(size, int) or size < 1:
         raise DataError("a batch must have 1 question at least")
     batches = batching.pack(asked, size, outer, system).withColumn("key", batching.cache_key(provider, model, "system", "user", "response_mode"))
-    known = batches.limit(0).withColumn("raw", F.lit("")) if cache is None else batching.with_cache(batches, cache)[0]
-    ask = batches if cache is None else batching.with_cache(batches, cache)[1]
+    if isinstance(cache, ReplyStore):
+        looked = cache.look_up(batches)
+        known, ask = looked.filter("raw is not null"), looked.filter("raw is null").drop("raw")
+    else:
+        known, ask = (batches.limit(0).withColumn("raw", F.lit("")), batches) if cache is None else batching.with_cache(batches, cache)
     live = batching.ask(ask, call, limits, log).withColumn("cached", F.lit(False))
     told = written(asked.sparkSession, path)(live.unionByName(known.select(*batches.columns, "raw", F.lit(None).cast("string").alias("failure"), F.lit(True).alias("cached"))))
     replies = told.filter("failure is null")
@@ -141,17 +142,9 @@ def simulate(
     return Run(rows.select("subject_id", "chunk", "pos", "question_id", "answer", "error", "raw", "cached"), good.select("key", "raw"), told.filter("failure is not null").select("subject_id", "chunk", "question_ids", "failure"))
 
 
-def keep_replies(run: Run, path: str) -> None:
-    """Append the replies of clean batches to the cache table."""
-    run.cache.write.mode("append").parquet(path)
-
-
 def read_replies(spark: SparkSession, path: str) -> DataFrame:
-    """The cache, one reply for each key, or an empty one before the first run."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], CACHE)
-    return spark.read.schema(CACHE).parquet(path).groupBy("key").agg(F.min("raw").alias("raw"))
+    """(key, raw): the replies that a run has kept, one for each key."""
+    return ReplyStore(spark, path).replies()
 
 
 def with_gold(results: DataFrame, gold: DataFrame) -> DataFrame:
@@ -216,8 +209,9 @@ def run_job(bundle: Bundle, call: Callable[[str, str], str], *, name: str, model
         return "complete"
     _, outer, _ = method(name)
 
-    run = simulate(packages(bundle, name, seed), call, model=model, size=size, seed=seed, outer=outer, cache=read_replies(spark, f"{path}/cache"), path=f"{path}/replies", limits=limits, log=f"{path}/log")
-    keep_replies(run, f"{path}/cache")
+    store = ReplyStore(spark, f"{path}/cache")
+    run = simulate(packages(bundle, name, seed), call, model=model, size=size, seed=seed, outer=outer, cache=store, path=f"{path}/replies", limits=limits, log=f"{path}/log")
+    store.add(run.cache)
     return write_results(run, with_gold(run.results, bundle.gold), path, {"method": name, "model": model, "seed": seed, "batch_size": size, **(facts or {})})
 
 

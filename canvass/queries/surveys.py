@@ -14,11 +14,11 @@ from pyspark.sql.window import Window as W
 from canvass.errors import TransportError
 from canvass.functions import trees
 from canvass.functions.jsonx import decoded
-from canvass.plans import assembly, batching, builders, jobs, loaders, scoring, simulation
+from canvass.plans import assembly, batching, builders, fetching, jobs, loaders, report, scoring, simulation
 from canvass.plans.bundle import Bundle, from_records
 from canvass.queries.base import Registry, Tables
 from canvass.session import shared_dir
-from canvass.sources import publish, readers, writers
+from canvass.sources import publish, readers, replies, writers
 
 R = Registry()
 
@@ -482,6 +482,43 @@ def job_grid(t: Tables):
     return states.join(reduce(DataFrame.union, counts), ["dataset", "model"], "left").select("dataset", "method", "model", "state", F.coalesce("answers", F.lit(0)).alias("answers"))
 
 
+@R.add("""SELECT 'twin2k_500' AS dataset, 'persons' AS "table", count(*) AS rows, 'fetched' AS state, sum(c_custkey) AS keys FROM customer UNION ALL SELECT 'bdm_lettuce', 'shoppers', count(*), 'fetched', sum(s_suppkey) FROM supplier UNION ALL SELECT 'twin2k_500', 'extra', 0, 'skipped', NULL""")
+def fetched_tables(t: Tables):
+    """Two data sets by their short names, one with an optional table that is not there, and what can be loaded then."""
+    store = scratch(t, "store")
+    absent = lambda: t.spark.read.parquet(f"{store}/no-such-file")
+    sources = {
+        "twin2k_500": fetching.Source({"persons": lambda: t.customer, "extra": absent}, ["extra"], {"persons": t.customer.count()}),
+        "bdm_lettuce": fetching.Source({"shoppers": lambda: t.supplier}),
+    }
+    made = fetching.fetch(t.spark, store, ["twin", "lettuce", "TWIN2K"], sources)
+    keys = {("twin2k_500", "persons"): "c_custkey", ("bdm_lettuce", "shoppers"): "s_suppkey"}
+    sums = [fetching.load(t.spark, store, d, n).agg(F.lit(d).alias("dataset"), F.lit(n).alias("table"), F.sum(k).alias("keys")) for (d, n), k in keys.items()]
+    return made.join(reduce(DataFrame.union, sums), ["dataset", "table"], "left")
+
+
+@R.add("SELECT conv_id, turn, conv_id % 3 < 2 AS known, CASE WHEN conv_id % 3 < 2 THEN 'said ' || text END AS raw FROM conversations")
+def reply_store(t: Tables):
+    """Replies added by two jobs, compacted between them, and looked up."""
+    store = replies.ReplyStore(t.spark, scratch(t, "replies"), buckets=8)
+    key = F.concat_ws(":", "conv_id", "turn")
+    rows = t.conversations.select("conv_id", "turn", key.alias("key"), F.concat(F.lit("said "), "text").alias("raw"))
+    for rest in (0, 1):
+        store.add(rows.filter(F.col("conv_id") % 3 == rest))
+        if rest == 0:
+            store.compact()
+    found = store.look_up(rows.drop("raw"))
+    return found.select("conv_id", "turn", F.col("raw").isNotNull().alias("known"), "raw")
+
+
+@R.add("""WITH a AS (SELECT o_orderpriority AS item, round(avg(o_totalprice), 6) AS mean FROM orders GROUP BY 1), b AS (SELECT o_orderpriority AS item, round(avg(o_totalprice), 6) AS mean FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW' GROUP BY 1)
+SELECT a.item, a.mean, b.mean AS older_mean FROM a LEFT JOIN b USING (item)""")
+def older_scores(t: Tables):
+    """A table of scores with those of an older run beside, which lacks an item."""
+    per = lambda df: df.groupBy(F.col("o_orderpriority").alias("item")).agg(F.round(F.avg("o_totalprice"), 6).alias("mean"))
+    return report.with_older(per(t.orders), per(t.orders.filter("o_orderstatus = 'F' and o_orderpriority <> '5-LOW'")), ["item"], ["mean"])
+
+
 def provider_of(model: str):
     """Providers of the grid: one that can't be reached, others that answer yes."""
 
