@@ -22,8 +22,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_partitioned(df: DataFrame, path: str, *keys: str) -> None:
-    """A folder for each key; a key's rows are spread over tasks, so a very common one is not written by one."""
-    df.repartition(*(F.col(k) for k in keys), F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("overwrite").partitionBy(*keys).parquet(path)
+    """A folder for each key. Adaptive execution deals the rows by key, cuts what is large into tasks of its advisory size and joins what is small, so a very common key is written by as many tasks as it needs."""
+    df.hint("rebalance", *keys).write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
 def manifest(df_path: str, spark, **facts: object) -> dict:
