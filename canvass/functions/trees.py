@@ -44,11 +44,13 @@ def objects(rows: DataFrame, text: str, name: str = "objects") -> DataFrame:
     repeats a key has none below it.
     """
     levels = rows.agg(F.max(depth(F.col(text)))).first()[0] or 0
+    # most objects and lists hold plain values alone and are not opened; a bracket within a text opens one for nothing
+    opened = lambda x: x["body"].rlike(r"(?s)^.+[\[{]")
     root = F.filter(F.array(F.struct(F.array().cast("array<int>").alias("path"), F.lit("").alias("at"), F.ltrim(F.col(text)).alias("body"))), lambda x: F.try_parse_json(x["body"]).isNotNull() & x["body"].rlike(r"^[\[{]"))
     out, level = rows.withColumn("__0", root), [F.col("__0")]
     for i in range(1, levels):
         # a column of its own, so that a level is opened once
-        out = out.withColumn(f"__{i}", F.flatten(F.transform(F.col(f"__{i - 1}"), _below)))
+        out = out.withColumn(f"__{i}", F.flatten(F.transform(F.filter(f"__{i - 1}", opened), _below)))
         level.append(F.col(f"__{i}"))
     found = F.filter(F.concat(*level), lambda x: F.startswith(x["body"], F.lit("{")))
     return out.withColumn(name, F.array_sort(found)).drop(*(f"__{i}" for i in range(len(level))))
@@ -173,7 +175,9 @@ def _cells(rows: DataFrame, source: str, name: str, type_of) -> DataFrame:
 
 def survey_cells(rows: DataFrame, text: str, name: str) -> DataFrame:
     """rows with the questions of a survey tree whose Answers name a place, a text or values, an empty one too."""
-    found = objects(rows, text, "__o").withColumn("__o", F.transform("__o", lambda o: F.try_parse_json(o["body"])))
+    # what does not spell the key, in letters or in escapes, is not parsed
+    spelt = lambda o: F.contains(o["body"], F.lit("Answers")) | F.contains(o["body"], F.lit("\\u"))
+    found = objects(rows, text, "__o").withColumn("__o", F.transform(F.filter("__o", spelt), lambda o: F.try_parse_json(o["body"])))
     named = lambda q: F.coalesce(*(F.try_variant_get(q, f"$.Answers.{k}", "variant") for k, _ in ANSWER)).isNotNull()
     asked = F.transform(F.filter("__o", named), lambda q: F.struct(F.lit(None).cast("string").alias("name"), q.alias("q"), F.try_variant_get(q, "$.Answers", "variant").alias("said"), bulleted(q, *CHOICES).alias("options")))
     return _cells(found.withColumn("__o", asked), "__o", name, survey_type)

@@ -13,6 +13,7 @@ from canvass.functions.text import encode_with_options, norm_label, parse_number
 from canvass.operators import metrics
 from canvass.operators.relational import first_wins
 from canvass.plans.builders import PURCHASE
+from canvass.plans.simulation import written
 
 
 def paired_labels(responses: DataFrame, item: str, human: str, model: str) -> DataFrame:
@@ -119,15 +120,14 @@ def encode_cells(cells: DataFrame) -> DataFrame:
     known = F.coalesce("h.span", "m.span", F.when(F.size(options) >= 2, (F.size(options) - 1).cast("double")))
     item = F.concat_ws(":", "study", "name")
     rows = pairs.select(item.alias("item"), known.alias("known"), F.col("h.codes").alias("hc"), F.col("m.codes").alias("mc"), F.col("h.several").alias("hs"), F.col("m.several").alias("ms"))
-    lists = rows.filter("hs and ms and size(hc) = size(mc)")
+    lists = F.col("hs") & F.col("ms") & (F.size("hc") == F.size("mc"))
+    ones = ~F.col("hs") & ~F.col("ms") & (F.size("hc") == 1) & (F.size("mc") == 1)
     every = F.concat("hc", "mc")
-    apart = F.coalesce("known", F.array_max(every) - F.array_min(every))
-    many = lists.select("item", F.when(apart > 0, apart).otherwise(1.0).alias("span"), F.posexplode(F.arrays_zip("hc", "mc")).alias("i", "x"))
-    listed = many.select(F.concat_ws(":", "item", F.col("i") + 1).alias("item"), F.col("x.hc").alias("human"), F.col("x.mc").alias("model"), "span")
-    single = rows.filter("not hs and not ms and size(hc) = 1 and size(mc) = 1").select("item", F.get("hc", F.lit(0)).alias("human"), F.get("mc", F.lit(0)).alias("model"), "known")
-    gap = F.abs(F.col("human") - F.col("model"))
-    one = single.select("item", "human", "model", F.when(F.col("known") > 0, F.col("known")).when(gap > 0, gap).otherwise(1.0).alias("span"))
-    return listed.unionByName(one)
+    apart = F.array_max(every) - F.array_min(every)
+    # a scale of no length is kept for lists, where it makes 1; a single number takes what is observed
+    span = F.when(lists, F.coalesce("known", apart)).otherwise(F.when(F.col("known") > 0, F.col("known")).otherwise(apart))
+    fit = rows.filter(lists | ones).select("item", lists.alias("several"), F.when(span > 0, span).otherwise(1.0).alias("span"), F.posexplode(F.arrays_zip("hc", "mc")).alias("i", "x"))
+    return fit.select(F.when(F.col("several"), F.concat_ws(":", "item", F.col("i") + 1)).otherwise(F.col("item")).alias("item"), F.col("x.hc").alias("human"), F.col("x.mc").alias("model"), "span")
 
 
 def summary(codes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -145,7 +145,8 @@ def score_run(dataset: str, responses: DataFrame, scales_: DataFrame | None = No
     if dataset == "bdm_lettuce":
         return summary(encode_bids(responses), responses)
     if dataset == "twin2k_mega_study":
-        cells = study_cells(responses)
+        # read three times, by labels, numbers and ranges, and dear to make
+        cells = written(responses.sparkSession, name="cells")(study_cells(responses))
         return summary(encode_cells(cells), study_labels(cells))
     raise DataError(f"no scorer for {dataset}")
 

@@ -94,11 +94,11 @@ class Run:
     failed: DataFrame
 
 
-def written(spark: SparkSession, path: str | None = None) -> Callable[[DataFrame], DataFrame]:
+def written(spark: SparkSession, path: str | None = None, name: str = "replies") -> Callable[[DataFrame], DataFrame]:
     """A function that writes a table, in the shared folder unless a path is given, and reads it back."""
 
     def cut(df: DataFrame) -> DataFrame:
-        place = path or f"{shared_dir(spark)}/canvass/replies-{uuid.uuid4().hex[:12]}"
+        place = path or f"{shared_dir(spark)}/canvass/{name}-{uuid.uuid4().hex[:12]}"
         df.write.mode("overwrite").parquet(place)
         return spark.read.schema(df.schema).parquet(place)
 

@@ -123,6 +123,14 @@ def test_no_python_in_study_plans(spark):
         assert "Python" not in df._jdf.queryExecution().toString() and "ArrowEval" not in df._jdf.queryExecution().toString()
 
 
+def test_leaves_are_not_opened_and_keys_in_escapes_are_read(spark):
+    tree = '[{"Options": ["a [1]", "b {"], "\\u0041nswers": {"SelectedByPosition": 2}}, {"a": [[], {}, [{"b": 1}]]}]'
+    (row,) = trees.objects(frame(spark, [tree]), "x").collect()
+    assert [o["at"] for o in row["objects"]] == ["[0]", "[0].Answers", "[1]", "[1].a[1]", "[1].a[2][0]"]
+    (row,) = trees.survey_cells(frame(spark, [tree]), "x", "h").collect()
+    assert [c["form"] for c in row["h"]] == ["#2"]
+
+
 def test_pricing_answers_are_strict(spark):
     q = lambda name, **more: {"QuestionID": f"QID9_{name}", "QuestionText": "Buy?", "Answers": {"SelectedText": "Yes", "SelectedByPosition": 1}} | more
     cases = [
