@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyarrow.fs import FileSelector
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +22,8 @@ from canvass.functions.jsonx import reply_object
 from canvass.functions.text import question_body
 from canvass.operators.relational import chunks
 from canvass.operators.sampling import contract
-from canvass.sources.files import put_bytes, read_bytes
+from canvass.sources.files import open_fs
+from canvass.sources.publish import _fs
 
 # Fixed instruction texts of the request protocol.
 ANSWER_SYSTEM = (
@@ -98,58 +103,108 @@ class Bucket:
             self.held -= 1
 
 
-def logged(call: Callable[[str, str], str], log: str | None) -> Callable[[str, str, str], str]:
-    """call by (key, system, user): what the log has of a key is not asked again, and the reply is what the log then has."""
+class Log:
+    """What one task has been told: a file of JSON lines, one for each reply, handed to the file system as replies come.
 
-    def told(key: str, system: str, user: str) -> str:
-        place = None if log is None else f"{log}/{key[:2]}/{key}"
-        if place is not None and (old := read_bytes(place)) is not None:
-            return old.decode()
-        reply = call(system, user)
-        if place is not None:
-            if (old := read_bytes(place)) is not None:  # another attempt of this task was faster
-                return old.decode()
-            put_bytes(place, reply.encode())
-        return reply
+    Earlier tries of the task left their files beside it, whose whole lines are read first.
+    """
 
-    return told
+    def __init__(self, folder: str) -> None:
+        self.fs, self.folder = open_fs(folder)
+        self.out, self.lock, self.told = None, threading.Lock(), {}
+        for f in self.fs.get_file_info(FileSelector(self.folder, allow_not_found=True)):
+            with self.fs.open_input_stream(f.path) as lines:
+                for line in lines.read().split(b"\n")[:-1]:
+                    x = json.loads(line)
+                    self.told[x["key"]] = x["raw"]
+
+    def add(self, key: str, raw: str) -> None:
+        with self.lock:
+            if self.out is None:
+                self.fs.create_dir(self.folder, recursive=True)
+                self.out = self.fs.open_output_stream(f"{self.folder}/{uuid.uuid4().hex}.jsonl")
+            self.out.write(json.dumps({"key": key, "raw": raw}).encode() + b"\n")
+            self.out.flush()
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+
+
+def log_of(spark: SparkSession, log: str) -> DataFrame | None:
+    """(key, raw) of the logs of earlier runs, a line that was cut short left out; None if there are none."""
+    fs, p = _fs(spark, log)
+    if not fs.exists(p):
+        return None
+    lines = spark.read.schema("key string, raw string").option("recursiveFileLookup", True).json(log)
+    return lines.filter("key is not null and raw is not null").groupBy("key").agg(F.min("raw").alias("raw"))
+
+
+def in_rounds(n: int, begin: Callable[[int], str], pool: ThreadPoolExecutor, attempts: int = ATTEMPTS, pause: float = PAUSE) -> list[tuple[str | None, str | None]]:
+    """(reply, failure) of n rows, several at a time. Those that meet a transport error are all tried again after one wait, twice as long each time, so waits don't grow with the rows."""
+
+    def one(i: int) -> tuple[str | None, str | None]:
+        try:
+            return begin(i), None
+        except TransportError as error:
+            return None, str(error)
+
+    said, left = [(None, None)] * n, list(range(n))
+    for attempt in range(attempts):
+        if attempt:
+            time.sleep(pause * 2 ** (attempt - 1))
+        for i, x in zip(left, pool.map(one, left), strict=True):
+            said[i] = x
+        left = [i for i in left if said[i][1] is not None]
+        if not left:
+            break
+    return said
 
 
 def ask(batches: DataFrame, call: Callable[[str, str], str], limits: Limits | None = None, log: str | None = None) -> DataFrame:
     """batches with `raw` and `failure`. Each task calls the provider for its own rows, several at a time; one batch that fails leaves the others be.
 
-    log: a shared folder with a file for each reply, by the batches' `key`. A
-    task that is tried again, and a job that is started again, read there what
-    has been answered before.
+    log: a shared folder with a file for each task, of replies by the batches'
+    `key`. A task that is tried again reads what it has been told before; what
+    earlier runs were told is joined.
     """
     limits = limits or Limits()
+    spark = batches.sparkSession
     schema = T.StructType([*batches.schema.fields, T.StructField("raw", T.StringType()), T.StructField("failure", T.StringType())])
-    rate = None if limits.per_second is None else limits.per_second / max(1, batches.sparkSession.sparkContext.defaultParallelism)
+    rate = None if limits.per_second is None else limits.per_second / max(1, spark.sparkContext.defaultParallelism)
+    before = None if log is None else log_of(spark, log)
+    known = batches.withColumn("__known", F.lit(None).cast("string")) if before is None else batches.join(before.withColumnRenamed("raw", "__known"), "key", "left").select(*batches.columns, "__known")
+    mine = None if log is None else f"{log}/{uuid.uuid4().hex}"
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = Bucket(rate)
-
-        def begin(system: str, user: str) -> str:
-            bucket.take()
-            return call(system, user)
-
-        tried = logged(with_retry(begin), log)
-
-        def one(row: tuple) -> tuple[str | None, str | None]:
-            try:
-                return tried(*row), None
-            except TransportError as error:
-                return None, str(error)
-
-        with ThreadPoolExecutor(limits.in_flight) as pool:
-            for batch in frames:
-                names = batch.schema.names
-                keys = batch.column("key").to_pylist() if "key" in names else [""] * batch.num_rows
-                said = list(pool.map(one, zip(keys, batch.column("system").to_pylist(), batch.column("user").to_pylist(), strict=True)))
-                raw, failure = ([x[i] for x in said] for i in range(2))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.string()), pa.array(failure, pa.string())], [*names, "raw", "failure"])
-
-    return batches.mapInArrow(run, schema)
+        book = None if mine is None else Log(f"{mine}/{TaskContext.get().partitionId()}")
+        try:
+            with ThreadPoolExecutor(limits.in_flight) as pool:
+                for batch in frames:
+                    names = batch.schema.names[:-1]
+                    keys = batch.column("key").to_pylist() if "key" in names else [""] * batch.num_rows
+                    system, user, old = (batch.column(c).to_pylist() for c in ("system", "user", "__known"))
+                    if book is not None:
+                        old = [book.told.get(k) if x is None else x for k, x in zip(keys, old, strict=True)]
+
+                    def begin(i: int) -> str:
+                        if old[i] is not None:
+                            return old[i]
+                        bucket.take()
+                        reply = call(system[i], user[i])
+                        if book is not None:
+                            book.add(keys[i], reply)
+                        return reply
+
+                    said = in_rounds(batch.num_rows, begin, pool)
+                    raw, failure = ([x[i] for x in said] for i in range(2))
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(raw, pa.string()), pa.array(failure, pa.string())], [*names, "raw", "failure"])
+        finally:
+            if book is not None:
+                book.close()
+
+    return known.mapInArrow(run, schema)
 
 
 def with_cache(batches: DataFrame, cache: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:

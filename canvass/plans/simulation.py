@@ -125,7 +125,11 @@ def simulate(
         known, ask = looked.filter("raw is not null"), looked.filter("raw is null").drop("raw")
     else:
         known, ask = (batches.limit(0).withColumn("raw", F.lit("")), batches) if cache is None else batching.with_cache(batches, cache)
-    live = batching.ask(ask, call, limits, log).withColumn("cached", F.lit(False))
+    # a reply takes far longer than its bytes say, so tasks are not merged by size
+    cores = asked.sparkSession.sparkContext.defaultParallelism
+    rated = limits is not None and limits.per_second is not None  # a rate is shared out for one wave of tasks
+    spread = ask.repartition(cores if rated else max(cores, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "key")
+    live = batching.ask(spread, call, limits, log).withColumn("cached", F.lit(False))
     told = written(asked.sparkSession, path)(live.unionByName(known.select(*batches.columns, "raw", F.lit(None).cast("string").alias("failure"), F.lit(True).alias("cached"))))
     replies = told.filter("failure is null")
     rows = batching.answers(replies, ["raw", "cached"])

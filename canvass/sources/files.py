@@ -1,10 +1,7 @@
-"""Small files of tasks in the shared folder: opened by URI, written under another name and moved, so that a reader never meets half a file."""
+"""Files of tasks in the shared folder, opened by URI."""
 
 from __future__ import annotations
 
-import os
-import uuid
-
 #: Names that Hadoop's clients have for stores that Arrow knows by others.
 SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}
 
@@ -17,22 +14,3 @@ def open_fs(uri: str):
         return fs.LocalFileSystem(), uri.removeprefix("file:")
     scheme, rest = uri.split("://", 1)
     return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
-
-
-def read_bytes(uri: str) -> bytes | None:
-    """What a file holds, None if there is none."""
-    fs, path = open_fs(uri)
-    if fs.get_file_info(path).type.name != "File":
-        return None
-    with fs.open_input_stream(path) as f:
-        return f.read()
-
-
-def put_bytes(uri: str, body: bytes) -> None:
-    """Write a file in one step for its readers; an older one is replaced."""
-    fs, path = open_fs(uri)
-    fs.create_dir(os.path.dirname(path), recursive=True)
-    part = f"{os.path.dirname(path)}/.{os.path.basename(path)}.{uuid.uuid4().hex[:8]}"
-    with fs.open_output_stream(part) as out:
-        out.write(body)
-    fs.move(part, path)

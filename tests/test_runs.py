@@ -65,6 +65,33 @@ def test_a_log_answers_what_was_asked_before(spark, tmp_path):
     assert len(os.listdir(calls)) == 20
 
 
+def test_waits_of_retries_do_not_grow_with_the_batches(spark, tmp_path):
+    def down(system, user):
+        open(f"{tmp_path}/{uuid.uuid4().hex}", "w").close()
+        raise TransportError("no route")
+
+    batches = batching.pack(simulation.packages(people(spark, 300, 1), "fixed_text"), 1).coalesce(1)
+    began = time.monotonic()
+    assert {r["failure"] for r in batching.ask(batches, down).collect()} == {"no route"}
+    assert len(os.listdir(tmp_path)) == 300 * batching.ATTEMPTS  # each is tried as often as before
+    assert time.monotonic() - began < 300 * 3 * batching.PAUSE / batching.Limits().in_flight / 2
+
+
+def test_a_log_has_a_file_for_a_task_and_leaves_out_cut_lines(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    asked, log = simulation.packages(people(spark), "fixed_text"), tmp_path / "log"
+    ask = lambda: {r["key"]: r["raw"] for r in batching.ask(batching.pack(asked, 4).withColumn("key", F.col("subject_id")).coalesce(2), counting(tmp_path / "calls"), log=str(log)).collect()}
+    first = ask()
+    files = [f for f in log.rglob("*") if f.is_file() and not f.name.startswith(".")]
+    assert len(files) <= 2 and len(os.listdir(tmp_path / "calls")) == 10
+    whole = files[0].read_text().splitlines(True)
+    files[0].write_text("".join(whole[:-1]) + whole[-1][: len(whole[-1]) // 2])
+    (log / f".{files[0].name}.crc").unlink(missing_ok=True)
+    again = ask()
+    lost = json.loads(whole[-1])["key"]
+    assert {k for k in first if again[k] != first[k]} == {lost} and len(os.listdir(tmp_path / "calls")) == 11
+
+
 def test_a_task_holds_several_requests(spark, tmp_path):
     asked = simulation.packages(people(spark, 24, 1), "fixed_text")
     batches = batching.pack(asked, 1).coalesce(1)
