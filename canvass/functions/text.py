@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from canvass.functions import let
+
 #: White space as Python's str.strip and \\s see it, spelled out so that other engines can share it.
 SPACE = "[\\t\\n\\x0b\\f\\r\\x1c-\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
@@ -22,7 +24,7 @@ def squeeze(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(strip(c), F.lit(""))
+    return let(strip(c), lambda x: F.nullif(x, F.lit("")))
 
 
 def strip_html(c: Column) -> Column:
@@ -36,7 +38,9 @@ LONG_FOLDS = {"ß": "ss", "ŉ": "ʼn", "ǰ": "ǰ", "ﬀ": "ff", "ﬁ": "fi", "
 
 
 def casefold(c: Column) -> Column:
-    return reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), LONG_FOLDS.items(), F.lower(c))
+    # one letter of the list leads to the replacements; ẞ is lowered to ß first
+    long = lambda low: reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), LONG_FOLDS.items(), low)
+    return let(F.lower(c), lambda low: F.when(low.rlike(f"[{''.join(LONG_FOLDS)}]"), long(low)).otherwise(low))
 
 
 def norm_label(c: Column) -> Column:
@@ -93,23 +97,31 @@ def normalize_yes_no(c: Column) -> Column:
     return F.when(text.rlike("^yes"), "Yes").when(text.rlike("^no"), "No").when(has(NO_PHRASES), "No").when(has(YES_PHRASES), "Yes")
 
 
+#: Numbers that need no rule but a percent sign dropped, and are finite; most answers are.
+PLAIN = r"^[+-]?([0-9]{1,300}(\.[0-9]*)?|\.[0-9]+)%?$"
+
+
 def parse_number(c: Column) -> Column:
     """A finite double, with true and yes as 1, false and no as 0, commas dropped and a percent sign at the end ignored."""
-    text = strip(c)
-    low = F.lower(text)
-    bare = F.regexp_replace(F.regexp_replace(text, ",", ""), "%$", "")
-    value = bare.try_cast("double")
-    finite = F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$") & (F.abs(value) < float("inf")), value)
-    return F.when(low.isin("true", "yes"), 1.0).when(low.isin("false", "no"), 0.0).otherwise(finite)
+
+    def told(text: Column) -> Column:
+        finite = lambda bare: F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("double"))
+        number = let(let(F.regexp_replace(F.replace(text, F.lit(",")), "%$", ""), finite), lambda x: F.when(F.abs(x) < float("inf"), x))
+        return let(F.lower(text), lambda low: F.when(low.isin("true", "yes"), 1.0).when(low.isin("false", "no"), 0.0).otherwise(number))
+
+    # the rules are tried on what is left only; a text is stripped and folded once
+    return F.when(c.rlike(PLAIN), F.rtrim(c, F.lit("%")).try_cast("double")).otherwise(let(strip(c), told))
+
+
+def encode_folded(text: Column, folded: Column) -> Column:
+    """1-based option of a folded answer among folded options: the same, else the first of which one is the other's prefix; null if none."""
+    hits = F.filter(F.transform(folded, lambda o, i: F.when(o.startswith(text) | text.startswith(o), i + 1)), lambda i: i.isNotNull())
+    return F.when(text.isNotNull(), let(F.array_position(folded, text), lambda exact: F.when(exact > 0, exact).otherwise(F.get(hits, F.lit(0)).cast("long"))))
 
 
 def encode_with_options(answer: Column, options: Column) -> Column:
     """1-based option: an exact folded match, else the first of which one is the other's prefix; null if none."""
-    text = norm_label(answer)
-    folded = F.transform(options, norm_label)
-    exact = F.array_position(folded, text)
-    hits = F.filter(F.transform(folded, lambda o, i: F.when(o.startswith(text) | text.startswith(o), i + 1)), lambda i: i.isNotNull())
-    return F.when(text.isNotNull(), F.when(exact > 0, exact).otherwise(F.get(hits, 0).cast("long")))
+    return let(F.struct(norm_label(answer).alias("t"), F.transform(options, norm_label).alias("o")), lambda x: encode_folded(x["t"], x["o"]))
 
 
 # Education: (bucket, words of which one must occur), in the order in which they are tried.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +12,19 @@ from pyspark.sql.window import Window as W
 from canvass.errors import DataError
 
 
+def made_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are made once for each row, as what a generator gives.
+
+    Spark infers for an explode that its array is there and not empty, and
+    moves that filter and others below the projections, where it makes the
+    array from its expression again, nested ones many times over. Filters on
+    what a generator gives stay above it.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    bound = df.select(*kept, F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("__once"))
+    return bound.select(*kept, *(F.col(f"__once.{n}").alias(n) for n in columns))
+
+
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Of rows with equal keys the last in order, by a mergeable maximum and not a window."""
     rest = [c for c in df.columns if c not in keys]

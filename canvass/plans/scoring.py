@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canvass.errors import DataError
-from canvass.functions import trees
-from canvass.functions.text import encode_with_options, norm_label, parse_number
+from canvass.functions import let, trees
+from canvass.functions.text import encode_folded, norm_label, parse_number
 from canvass.operators import metrics
-from canvass.operators.relational import first_wins
+from canvass.operators.relational import first_wins, made_once
 from canvass.plans.builders import PURCHASE
 from canvass.plans.simulation import written
 
@@ -52,6 +52,8 @@ def scales(asked: DataFrame, catalog: DataFrame) -> DataFrame:
 
 #: The span of a list of numbers of unknown scale.
 SLIDER = 100.0
+#: Scales that every task may hold.
+FEW = 100_000
 
 
 def encode_pairs(responses: DataFrame, scales: DataFrame) -> DataFrame:
@@ -62,27 +64,30 @@ def encode_pairs(responses: DataFrame, scales: DataFrame) -> DataFrame:
     of the question or of the name before its colon; without one a list's span
     is SLIDER, and others are left to what is observed.
     """
-    s = scales.select(F.col("question_id").alias("sid"), "options", "span")
+    s = scales.select(F.col("question_id").alias("sid"), F.transform("options", norm_label).alias("options"), "span")
+    if scales.limit(FEW + 1).count() <= FEW:
+        # a question has any number of answers, which a join by the question would send to one task
+        s = F.broadcast(s)
     base = F.element_at(F.split("question_id", ":"), 1)
     joined = responses.join(s.alias("a"), F.col("question_id") == F.col("a.sid"), "left").join(s.alias("b"), base == F.col("b.sid"), "left")
-    rows = joined.select("question_id", "human", "model", F.coalesce("a.options", "b.options").alias("options"), F.coalesce("a.span", "b.span").alias("span"))
+    rows = joined.select("question_id", F.coalesce("a.options", "b.options").alias("options"), F.coalesce("a.span", "b.span").alias("span"), "human", "model")
+    pair = lambda item, human, model, span: F.struct(item.alias("item"), human.alias("human"), model.alias("model"), span.alias("span"))
     h, m = F.split("human", ","), F.split("model", ",")
-    is_list = F.contains("human", F.lit(",")) & F.contains("model", F.lit(",")) & (F.size(h) == F.size(m)) & (F.size(h) > 1)
-    parts = rows.filter(is_list).select("question_id", "span", F.posexplode(F.arrays_zip(h.alias("h"), m.alias("m"))).alias("i", "x"))
-    listed = parts.select(F.concat("question_id", F.lit(":"), F.col("i") + 1).alias("item"), parse_number(F.col("x.h")).alias("human"), parse_number(F.col("x.m")).alias("model"), F.coalesce("span", F.lit(SLIDER)).alias("span"))
-    single = rows.filter(~F.coalesce(is_list, F.lit(False)))
-    ho, mo = encode_with_options(F.col("human"), F.col("options")), encode_with_options(F.col("model"), F.col("options"))
-    both = ho.isNotNull() & mo.isNotNull()
-    known = F.when(both, F.coalesce("span", (F.size("options") - 1).cast("double"))).otherwise(F.col("span"))
-    coded = single.select(F.col("question_id").alias("item"), F.when(both, ho.cast("double")).otherwise(parse_number(F.col("human"))).alias("human"), F.when(both, mo.cast("double")).otherwise(parse_number(F.col("model"))).alias("model"), known.alias("span"))
-    return listed.unionByName(coded).filter("human is not null and model is not null")
+    is_list = F.contains("human", F.lit(",")) & F.contains("model", F.lit(",")) & (F.size(h) == F.size(m))
+    part = lambda x, i: pair(F.concat("question_id", F.lit(":"), i + 1), parse_number(x["h"]), parse_number(x["m"]), F.coalesce("span", F.lit(SLIDER)))
+    code = lambda c: F.when(F.size("options") > 0, encode_folded(c, F.col("options"))).cast("double")
+    coded = let(F.struct(let(norm_label(F.col("human")), code).alias("h"), let(norm_label(F.col("model")), code).alias("m")), lambda x: F.when(x["h"].isNotNull() & x["m"].isNotNull(), x))
+    number = pair(F.col("question_id"), parse_number(F.col("human")), parse_number(F.col("model")), F.col("span"))
+    single = let(coded, lambda x: F.when(x.isNotNull(), pair(F.col("question_id"), x["h"], x["m"], F.coalesce("span", (F.size("options") - 1).cast("double")))).otherwise(number))
+    pairs = F.when(is_list, F.transform(F.arrays_zip(h.alias("h"), m.alias("m")), part)).otherwise(F.array(single))
+    return made_once(rows, pairs=pairs).select(F.inline("pairs")).filter("human is not null and model is not null")
 
 
 def encode_bids(responses: DataFrame) -> DataFrame:
     """(item, human, model, span) of bids from 0 to 10 and of the purchase, yes as 1."""
     span = F.when(F.col("question_id") == PURCHASE, 1.0).otherwise(10.0)
-    out = responses.select(F.col("question_id").alias("item"), parse_number(F.col("human")).alias("human"), parse_number(F.col("model")).alias("model"), span.alias("span"))
-    return out.filter("human is not null and model is not null")
+    out = made_once(responses, x=F.struct(parse_number(F.col("human")).alias("human"), parse_number(F.col("model")).alias("model")))
+    return out.select(F.col("question_id").alias("item"), "x.human", "x.model", span.alias("span")).filter("human is not null and model is not null")
 
 
 def study_cells(responses: DataFrame) -> DataFrame:
@@ -94,8 +99,8 @@ def study_cells(responses: DataFrame) -> DataFrame:
 def _paired(cells: DataFrame) -> DataFrame:
     """(study, name, h, m) of cells, by place if equally many, else along the longest common run of types."""
     types = lambda c: F.transform(c, lambda x: x["type"])
-    typed = cells.withColumns({"th": types(F.col("h")), "tm": types(F.col("m"))})
-    pairs = typed.select("study", "h", "m", F.explode(trees.aligned(F.col("th"), F.col("tm"))).alias("p"))
+    typed = made_once(cells, th=types(F.col("h")), tm=types(F.col("m")))
+    pairs = made_once(typed, pairs=trees.aligned(F.col("th"), F.col("tm"))).select("study", "h", "m", F.explode("pairs").alias("p"))
     return pairs.select("study", F.get("h", F.col("p.human")).alias("h"), F.get("m", F.col("p.model")).alias("m")).select("study", F.col("m.name").alias("name"), "h", "m")
 
 

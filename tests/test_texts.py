@@ -200,3 +200,19 @@ def test_contained_at_any_place(spark):
     got = sorted((p["id"], p["n"]) for p in r.contained(a, b, "text", "needle").collect())
     rows = [*enumerate(texts), (3, texts[3])]
     assert got == sorted((i, n) for i, x in rows for n, y in enumerate(needles) if x and y and y in x)
+
+
+def test_answers_are_made_once_and_do_not_move_to_their_question(spark):
+    rows = spark.createDataFrame([("Q1", "5%", "1,000"), ("Q1", " yes", "x"), ("Q1", "1, 2", "3,4")], "question_id string, human string, model string")
+    scales = spark.createDataFrame([("Q1", ["yes", "no"], None)], "question_id string, options array<string>, span double")
+    df = scoring.encode_pairs(rows, scales)
+    assert sorted(map(tuple, df.collect())) == [("Q1", 5.0, 1000.0, None), ("Q1:1", 1.0, 3.0, 100.0), ("Q1:2", 2.0, 4.0, 100.0)]
+    assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    # the rule of a percent sign stands in the plan once for each side
+    assert scoring.encode_bids(rows)._jdf.queryExecution().optimizedPlan().toString().count("%$") == 2
+
+
+def test_plain_numbers_are_as_by_the_rules(spark):
+    said = [("5", 5.0), ("-.5%", -0.5), ("1.", 1.0), (" 7 ", 7.0), ("1e3", 1000.0), ("9" * 400, None), ("1e999", None), ("5%%", None), ("5%,", 5.0), ("True", 1.0), ("NO", 0.0), ("", None), ("1d", None), ("٣", None), (None, None), ("+", None)]
+    got = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(said)], "i int, x string").select("i", x.parse_number(F.col("x")).alias("n")).orderBy("i").collect()
+    assert [r["n"] for r in got] == [n for _, n in said]
