@@ -36,7 +36,8 @@ CONTENT = ("prompt", "options", "kind")
 def versioned(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cases, questions) of rows that hold their question's wording: each wording is kept once, and each case has the hash of its own."""
     rows = flat.withColumn("version", F.sha2(F.to_json(F.struct(*CONTENT), {"ignoreNullFields": "false"}), 256))
-    questions = rows.select("dataset", "question_id", "version", *CONTENT).dropDuplicates(["dataset", "question_id", "version"])
+    # all columns are keys: texts beside keys would be sorted to find the first of each, with all rows of a task in memory
+    questions = rows.select("dataset", "question_id", "version", *CONTENT).distinct()
     return rows.drop(*CONTENT), questions
 
 
