@@ -7,26 +7,44 @@ from pyspark.sql import functions as F
 
 from canvass.functions import let
 from canvass.functions.text import encode_with_options, first_rule, norm_label, parse_number, strip, strip_html
+from canvass.operators.relational import made_once
 
 NONE = "array<string>"
 OBJECT = "struct<path:array<int>,at:string,body:string>"
 
 
-def entries(body: Column) -> Column:
+def doubtful(text: Column) -> Column:
+    """Whether a JSON text may hold a string that begins as an object or a list does. In other texts the first letter of a value tells its kind."""
+    return text.rlike(r'"([\[{]|\\u00[57][bB])')
+
+
+def _kind(value: Column) -> Column:
+    return F.when(F.startswith(value, F.lit("{")), "OBJECT").when(F.startswith(value, F.lit("[")), "ARRAY").otherwise("OTHER")
+
+
+def entries(body: Column, doubt: Column) -> Column:
     """The entries of a JSON object in the order of its text: array<struct<key, value, type>>, values as text, inner objects and arrays as JSON."""
     texts = F.map_entries(F.from_json(body, "map<string,string>"))
     kinds = F.transform(F.map_values(F.from_json(body, "map<string,variant>")), F.schema_of_variant)
-    return F.transform(F.arrays_zip(texts.alias("t"), kinds.alias("k")), lambda x: F.struct(x["t"]["key"].alias("key"), x["t"]["value"].alias("value"), x["k"].alias("type")))
+    exact = F.transform(F.arrays_zip(texts.alias("t"), kinds.alias("k")), lambda x: F.struct(x["t"]["key"].alias("key"), x["t"]["value"].alias("value"), x["k"].alias("type")))
+    return F.when(doubt, exact).otherwise(F.transform(texts, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), _kind(e["value"]).alias("type"))))
+
 
+def _items(body: Column, doubt: Column) -> Column:
+    """The items of a JSON array: array<struct<value, type>>."""
+    texts = F.from_json(body, NONE)
+    exact = F.arrays_zip(texts.alias("value"), F.transform(F.from_json(body, "array<variant>"), F.schema_of_variant).alias("type"))
+    return F.when(doubt, exact).otherwise(F.transform(texts, lambda x: F.struct(x.alias("value"), _kind(x).alias("type"))))
 
-def _below(node: Column) -> Column:
+
+def _below(node: Column, doubt: Column) -> Column:
     """The objects and arrays right below a node, each with its place."""
-    body = node["body"]
-    items = F.arrays_zip(F.from_json(body, NONE).alias("value"), F.transform(F.from_json(body, "array<variant>"), F.schema_of_variant).alias("type"))
-    of_array = F.transform(items, lambda x, i: F.struct(F.concat(node["path"], F.array(i)).alias("path"), F.concat(node["at"], F.lit("["), i, F.lit("]")).alias("at"), x["value"].alias("body"), x["type"].alias("type")))
-    of_object = F.transform(entries(body), lambda x, i: F.struct(F.concat(node["path"], F.array(i)).alias("path"), F.concat(node["at"], F.lit("."), x["key"]).alias("at"), x["value"].alias("body"), x["type"].alias("type")))
-    both = F.when(F.startswith(body, F.lit("{")), of_object).otherwise(of_array)
-    return F.transform(F.filter(both, lambda x: x["type"].startswith("OBJECT") | x["type"].startswith("ARRAY")), lambda x: F.struct(x["path"], x["at"], x["body"]))
+    inner = lambda x, i, mark: F.struct(F.concat(node["path"], F.array(i)).alias("path"), F.concat(node["at"], *mark).alias("at"), x["value"].alias("body"))
+    held = lambda x: F.startswith(x["type"], F.lit("OBJECT")) | F.startswith(x["type"], F.lit("ARRAY"))
+    # places and paths are made for what is held only
+    of_array = F.transform(_items(node["body"], doubt), lambda x, i: F.when(held(x), inner(x, i, (F.lit("["), i, F.lit("]")))))
+    of_object = F.transform(entries(node["body"], doubt), lambda x, i: F.when(held(x), inner(x, i, (F.lit("."), x["key"]))))
+    return F.array_compact(F.when(F.startswith(node["body"], F.lit("{")), of_object).otherwise(of_array))
 
 
 def depth(text: Column) -> Column:
@@ -47,13 +65,13 @@ def objects(rows: DataFrame, text: str, name: str = "objects") -> DataFrame:
     # most objects and lists hold plain values alone and are not opened; a bracket within a text opens one for nothing
     opened = lambda x: x["body"].rlike(r"(?s)^.+[\[{]")
     root = F.filter(F.array(F.struct(F.array().cast("array<int>").alias("path"), F.lit("").alias("at"), F.ltrim(F.col(text)).alias("body"))), lambda x: F.try_parse_json(x["body"]).isNotNull() & x["body"].rlike(r"^[\[{]"))
-    out, level = rows.withColumn("__0", root), [F.col("__0")]
+    out, level = rows.withColumns({"__0": root, "__doubt": doubtful(F.col(text))}), [F.col("__0")]
     for i in range(1, levels):
         # a column of its own, so that a level is opened once
-        out = out.withColumn(f"__{i}", F.flatten(F.transform(F.filter(f"__{i - 1}", opened), _below)))
+        out = out.withColumn(f"__{i}", F.flatten(F.transform(F.filter(f"__{i - 1}", opened), lambda node: _below(node, F.col("__doubt")))))
         level.append(F.col(f"__{i}"))
     found = F.filter(F.concat(*level), lambda x: F.startswith(x["body"], F.lit("{")))
-    return out.withColumn(name, F.array_sort(found)).drop(*(f"__{i}" for i in range(len(level))))
+    return made_once(out, **{name: F.array_sort(found)}).drop("__doubt", *(f"__{i}" for i in range(len(level))))
 
 
 def at(v: Column, *path: str) -> Column:
@@ -142,19 +160,25 @@ REPLY_WORDS = tuple((w, (w,)) for w in ("matrix", "slider", "text", "choice"))
 
 def survey_type(q: Column, a: Column) -> Column:
     """choice, matrix, slider, text or other, of a question of a survey: by its name, else by its answer."""
-    name = F.upper(F.regexp_replace(strip(F.coalesce(text_at(q, "QuestionType"), F.lit(""))), '^"+|"+$', ""))
-    exact = F.element_at(F.create_map(*(F.lit(x) for kv in SURVEY_TYPES.items() for x in kv)), name)
-    stem = F.coalesce(*(F.when(F.contains(name, F.lit(w)) if anywhere else F.startswith(name, F.lit(w)), kind) for kind, w, anywhere in SURVEY_STEMS))
+    of_name = F.create_map(*(F.lit(x) for kv in SURVEY_TYPES.items() for x in kv))
     there = F.coalesce(a["SelectedByPosition"]["parts"], a["SelectedText"]["parts"]).isNotNull()
-    return F.coalesce(exact, stem, F.when(a["Values"]["parts"].isNotNull(), "slider").when(a["SelectedByPosition"]["many"], "matrix").when(there, "choice"), F.lit("other"))
+
+    def kind(name: Column) -> Column:
+        stem = F.coalesce(*(F.when(F.contains(name, F.lit(w)) if anywhere else F.startswith(name, F.lit(w)), kind) for kind, w, anywhere in SURVEY_STEMS))
+        return F.coalesce(F.element_at(of_name, name), stem, F.when(a["Values"]["parts"].isNotNull(), "slider").when(a["SelectedByPosition"]["many"], "matrix").when(there, "choice"), F.lit("other"))
+
+    return let(F.upper(F.regexp_replace(strip(F.coalesce(text_at(q, "QuestionType"), F.lit(""))), '^"+|"+$', "")), kind)
 
 
 def reply_type(cell: Column, a: Column) -> Column:
     """The same types, of an entry of a reply."""
-    name = F.lower(strip(F.coalesce(F.nullif(text_at(cell, "Question Type"), F.lit("")), text_at(cell, "QuestionType"), F.lit(""))))
-    named = F.nullif(first_rule(name, REPLY_WORDS, ""), F.lit(""))
     lists = a["SelectedByPosition"]["many"] | a["SelectedText"]["many"]
-    return F.coalesce(named, F.when(name == "mc", "choice"), F.when(a["Values"]["parts"].isNotNull(), "slider").when(lists, "matrix"), F.lit("choice"))
+
+    def kind(name: Column) -> Column:
+        named = let(first_rule(name, REPLY_WORDS, ""), lambda x: F.nullif(x, F.lit("")))
+        return F.coalesce(named, F.when(name == "mc", "choice"), F.when(a["Values"]["parts"].isNotNull(), "slider").when(lists, "matrix"), F.lit("choice"))
+
+    return let(F.lower(strip(F.coalesce(F.nullif(text_at(cell, "Question Type"), F.lit("")), text_at(cell, "QuestionType"), F.lit("")))), kind)
 
 
 CHOICES = ("Options", "Columns", "Choices")
@@ -170,7 +194,7 @@ def _cells(rows: DataFrame, source: str, name: str, type_of) -> DataFrame:
     )
     for step in steps:
         rows = rows.withColumn(source, F.transform(source, step))
-    return rows.withColumnRenamed(source, name)
+    return made_once(rows, **{name: F.col(source)}).drop(source)
 
 
 def survey_cells(rows: DataFrame, text: str, name: str) -> DataFrame:
@@ -198,12 +222,12 @@ def reply_cells(rows: DataFrame, text: str, name: str) -> DataFrame:
     for i, step in enumerate(steps):
         here = here.withColumn("__m", F.transform(F.filter("__m", lambda e: e["type"].startswith("OBJECT")) if i == 0 else F.col("__m"), step))
     cells = _cells(here.drop("__b"), "__m", name, reply_type)
-    return cells.withColumn(name, F.filter(name, lambda c: c["form"].isNotNull()))
+    return made_once(cells, **{name: F.filter(name, lambda c: c["form"].isNotNull())})
 
 
 def numbered(body: Column) -> Column:
     """The entries of an object with keys Q<n>, by number."""
-    mine = F.filter(entries(body), lambda e: e["key"].rlike("^Q[0-9]+$"))
+    mine = F.filter(entries(body, doubtful(body)), lambda e: e["key"].rlike("^Q[0-9]+$"))
     ranked = F.array_sort(F.transform(mine, lambda e: F.struct(F.substring(e["key"], 2, 1 << 20).try_cast("decimal(38,0)").alias("n"), e["key"].alias("key"), e["value"].alias("value"), e["type"].alias("type"))))
     return F.transform(ranked, lambda e: F.struct(e["key"], e["value"], e["type"]))
 
@@ -267,7 +291,7 @@ def priced(rows: DataFrame, text: str, name: str) -> DataFrame:
 
     found = objects(rows, text, "__o").withColumn("__o", F.transform("__o", lambda o: F.try_parse_json(o["body"])))
     mine = F.filter("__o", lambda q: F.coalesce(F.startswith(text_at(q, "QuestionID"), F.lit("QID9_")), F.lit(False)) & at(q, "QuestionText").isNotNull())
-    return found.withColumn(name, let(F.transform(mine, item), whole)).drop("__o")
+    return made_once(found, **{name: let(F.transform(mine, item), whole)}).drop("__o")
 
 
 # Fixed names of question kinds.
@@ -329,4 +353,4 @@ def survey_questions(rows: DataFrame, text: str, name: str = "questions") -> Dat
         told = F.filter(F.transform(let(let(elements, blocks), found), facts), lambda f: f["type"] != "DB")
         return F.transform(F.flatten(F.transform(told, expanded)), lambda q, i: F.struct(q["block"].alias("block"), i.alias("pos"), *(q[c].alias(c) for c in ("id", "prompt", "options", "kind", "gold"))))
 
-    return objects(rows, text, "__o").withColumn(name, let(F.col("__o"), asked)).drop("__o")
+    return made_once(objects(rows, text, "__o"), **{name: let(F.col("__o"), asked)}).drop("__o")

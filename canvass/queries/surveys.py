@@ -93,7 +93,7 @@ def catalog_stems(t: Tables):
 def wave_items(t: Tables):
     q = lambda i: F.struct(F.lit(f"QID9_{i}").alias("QuestionID"), F.lit(f"Buy {i}?").alias("QuestionText"), F.struct(F.col("c_mktsegment").alias("SelectedText"), (F.col("c_nationkey") + i).alias("SelectedByPosition")).alias("Answers"))
     tree = F.struct(F.array(F.struct(F.lit("Block").alias("ElementType"), F.array(q(2), q(1)).alias("Questions"))).alias("Elements"), F.struct(q(3).alias("inner")).alias("more"))
-    rows = t.customer.select(F.col("c_custkey").alias("pid"), F.to_json(tree).alias("tree"))
+    rows = t.spread("customer", "c_custkey", "c_mktsegment", "c_nationkey").select(F.col("c_custkey").alias("pid"), F.to_json(tree).alias("tree"))
     out = assembly.wave_items(rows, "tree", ["QID9_1", "QID9_2", "QID9_3"])
     return out.select("pid", F.explode("items").alias("i")).select("pid", "i.question_id", "i.answer", "i.answer_position", "i.question_text")
 
@@ -116,14 +116,15 @@ TWIN_IDS = ("QID9_1", "QID9_2", "QID9_3")
 def twin_files(t: Tables) -> loaders.Loaded:
     """The sources of a twin survey written from the customers, and loaded again: two waves, a catalog and trees in two files."""
     base, k = scratch(t, "twin"), F.col("c_custkey")
+    customer = t.spread("customer", "c_custkey", "c_mktsegment", "c_nationkey")
     pid = k.cast("string").alias("pid")
     cells = [F.col("c_mktsegment").alias("segment"), F.concat(F.col("c_nationkey").cast("string"), F.lit(" ")).alias("nation")]
-    writers.write_csv(t.customer.select(pid, *cells, *(F.when(k % 3 == 0, "none").otherwise(F.col("c_mktsegment")).alias(q) for q in TWIN_IDS)), f"{base}/earlier")
-    writers.write_csv(t.customer.select(pid, *(F.col("c_mktsegment").alias(q) for q in TWIN_IDS)), f"{base}/later")
+    writers.write_csv(customer.select(pid, *cells, *(F.when(k % 3 == 0, "none").otherwise(F.col("c_mktsegment")).alias(q) for q in TWIN_IDS)), f"{base}/earlier")
+    writers.write_csv(customer.select(pid, *(F.col("c_mktsegment").alias(q) for q in TWIN_IDS)), f"{base}/later")
     q = lambda i: F.struct(F.lit(f"QID9_{i}").alias("QuestionID"), F.lit(f"Buy {i}?").alias("QuestionText"), F.struct(F.col("c_mktsegment").alias("SelectedText"), F.lit(i).alias("SelectedByPosition")).alias("Answers"))
     tree = F.to_json(F.struct(F.array(F.struct(F.lit("Block").alias("ElementType"), F.array(q(3), q(1), q(2)).alias("Questions"))).alias("Elements")))
     for rest in (0, 1):
-        t.customer.filter(k % 2 == rest).select(pid, tree.alias("tree")).write.parquet(f"{base}/wave{rest}")
+        customer.filter(k % 2 == rest).select(pid, tree.alias("tree")).write.parquet(f"{base}/wave{rest}")
     segments = [r[0] for r in t.customer.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]
     nations = [str(r[0]) for r in t.customer.select("c_nationkey").distinct().orderBy("c_nationkey").collect()]
     entry = lambda c, stem, options: {"QuestionID": c, "BlockName": "Demographics", "QuestionText": stem, "Options": options, "csv_columns": [c]}
@@ -179,7 +180,7 @@ def lettuce(t: Tables) -> Bundle:
     cells = {"survey_q01_age": F.when(k % 3 > 0, (18 + k % 60).cast("string")), "survey_q15_income": F.when(k % 2 == 0, F.col("c_mktsegment"))}
     bids = {c: F.when(k % 7 != i, F.format_string("%d.%02d", k % 10, k % 89)) for i, c in enumerate(builders.PRODUCTS)}
     drawn = {builders.PURCHASE: F.when(k % 2 == 0, "TRUE").otherwise("FALSE"), builders.DRAWN_PRODUCT: F.lit("kale"), builders.DRAWN_PRICE: F.lit(" ")}
-    rows = t.customer.select(k.cast("string").alias("pid"), *(c.alias(n) for n, c in (cells | bids | drawn).items()))
+    rows = t.spread("customer", "c_custkey", "c_mktsegment").select(k.cast("string").alias("pid"), *(c.alias(n) for n, c in (cells | bids | drawn).items()))
     return builders.lettuce_bundle(builders.lettuce_records(rows, expected=t.customer.count()))
 
 
@@ -199,7 +200,7 @@ def shopper_questions(t: Tables):
     """Each shopper is asked about the product and the price drawn for them."""
     k = F.col("c_custkey")
     drawn = {builders.PURCHASE: F.lit("TRUE"), builders.DRAWN_PRODUCT: F.when(k % 3 > 0, F.col("c_mktsegment")), builders.DRAWN_PRICE: F.format_string("%d.%02d", k % 7, k % 100)}
-    rows = t.customer.select(k.cast("string").alias("pid"), F.lit("30").alias("survey_q01_age"), *(F.lit("").alias(c) for c in builders.PRODUCTS), *(c.alias(n) for n, c in drawn.items()))
+    rows = t.spread("customer", "c_custkey", "c_mktsegment").select(k.cast("string").alias("pid"), F.lit("30").alias("survey_q01_age"), *(F.lit("").alias(c) for c in builders.PRODUCTS), *(c.alias(n) for n, c in drawn.items()))
     b = builders.lettuce_bundle(builders.lettuce_records(rows, expected=None))
     return simulation.packages(b, "fixed_text").filter(F.col("question_id") == builders.PURCHASE).select("subject_id", "prompt")
 
@@ -229,7 +230,7 @@ def survey_tree(t: Tables):
     head = F.format_string('{"Elements":[{"ElementType":"Branch","Elements":[{"ElementType":"Block","Questions":[{"QuestionType":"MC","QuestionID":"Q1","QuestionText":"<b>Pick</b>","Options":["%s","none"],"Answers":{"SelectedText":"%s"}},', "c_mktsegment", "c_mktsegment")
     matrix = F.format_string('{"QuestionType":"DB","QuestionID":"D"},{"QuestionType":"Matrix","QuestionID":"M","QuestionText":"Rate","Columns":["lo","hi"],"Rows":["this"," ","that"],"Answers":{"SelectedText":["lo","lo","%s"]}}]}]},', F.when(k % 2 == 0, "hi").otherwise("lo"))
     tail = F.format_string('{"ElementType":"Group","Elements":[{"ElementType":"Block","Questions":[{"QuestionID":"hidden","QuestionText":"?"}]}]},{"ElementType":"Block","Questions":[{"QuestionID":"free","QuestionText":"Why?","QuestionType":"TE","Answers":{"Text":[{"x":"%d"},"more"]}}]}]}', "c_nationkey")
-    found = trees.survey_questions(t.customer.select(k.cast("string").alias("pid"), F.concat(head, matrix, tail).alias("tree")), "tree")
+    found = trees.survey_questions(t.spread("customer", "c_custkey", "c_mktsegment", "c_nationkey").select(k.cast("string").alias("pid"), F.concat(head, matrix, tail).alias("tree")), "tree")
     return found.select("pid", F.explode("questions").alias("q")).select("pid", "q.block", "q.pos", "q.id", "q.prompt", "q.kind", "q.gold")
 
 
@@ -241,7 +242,7 @@ def study_cases(t: Tables):
     twice = F.when(F.col("o_orderkey") % 2 == 0, payload).otherwise(F.concat(F.lit('"'), F.replace(payload, F.lit('"'), F.lit('\\"')), F.lit('"')))
     out = None
     for study, rest in (("a", 0), ("b", 1)):
-        rows = t.orders.filter(F.col("o_custkey") % 2 == rest).select(F.concat(F.lit("pid_"), "o_orderkey").alias("PID"), F.concat(F.lit(" Survey "), "o_orderpriority").alias("survey_text"), twice.alias("survey_json_with_human_response"))
+        rows = t.spread("orders", "o_orderkey", "o_custkey", "o_orderpriority").filter(F.col("o_custkey") % 2 == rest).select(F.concat(F.lit("pid_"), "o_orderkey").alias("PID"), F.concat(F.lit(" Survey "), "o_orderpriority").alias("survey_text"), twice.alias("survey_json_with_human_response"))
         part = builders.study_records(rows, study)
         out = part if out is None else out.union(part)
     b = builders.study_bundle(out, ["a", "b"])
@@ -373,9 +374,7 @@ def study_answers(t: Tables) -> DataFrame:
     )
     # shorter than the tree, so paired by types
     short = F.format_string('{"Q1":{"Answers":{"SelectedByPosition":%d}}}', 1 + c % 3)
-    # narrow rows are spread before they grow to trees, whose reading costs far more than moving them
-    spread = t.orders.select("o_orderkey", "o_custkey").repartition(t.orders.sparkSession.sparkContext.defaultParallelism)
-    return spread.select(F.lit("s:1").alias("question_id"), human.alias("payload"), F.when(k % 2 == 0, full).otherwise(short).alias("model"))
+    return t.spread("orders", "o_orderkey", "o_custkey").select(F.lit("s:1").alias("question_id"), human.alias("payload"), F.when(k % 2 == 0, full).otherwise(short).alias("model"))
 
 
 @R.add(STUDY_CODES)

@@ -201,7 +201,7 @@ def attached_personas(t: Tables):
 @R.add()
 def life_cards(t: Tables):
     demo = F.create_map(F.lit("age"), (18 + F.col("c_custkey") % 70).cast("string"), F.lit("education"), F.lit("College graduate"), F.lit("employment"), F.when(F.col("c_custkey") % 2 == 0, "Full-time").otherwise("Retired"), F.lit("region"), F.col("c_mktsegment"))
-    people = t.customer.select(F.col("c_custkey").cast("string").alias("subject_id"), demo.alias("demographics"), F.create_map(F.lit("work"), F.lit(240.0), F.lit("sleep"), F.lit(480.5)).alias("routine"))
+    people = t.spread("customer", "c_custkey", "c_mktsegment").select(F.col("c_custkey").cast("string").alias("subject_id"), demo.alias("demographics"), F.create_map(F.lit("work"), F.lit(240.0), F.lit("sleep"), F.lit(480.5)).alias("routine"))
     return cards.life_cards(people, 42)
 
 

@@ -243,3 +243,29 @@ def test_life_cards_name_the_first_of_equal_activities(spark):
 
     people_ = spark.createDataFrame([("p", {"age": "4"})], "subject_id string, demographics map<string,string>").withColumn("routine", F.create_map(F.lit("work"), F.lit(60.0), F.lit("eating"), F.lit(60.0)))
     assert "Time-use note: work averages" in life_cards(people_).first()["text"]
+
+
+@pytest.mark.parametrize("name", ["survey_tree", "wave_items", "lettuce_subjects", "lettuce_cases", "shopper_questions", "study_cases", "life_cards"])
+def test_narrow_rows_are_dealt_before_they_grow(spark, name):
+    from canvass import catalog
+
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_twin_sources_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    from canvass.queries import surveys
+    from canvass.queries.base import Tables
+
+    monkeypatch.setattr(surveys, "scratch", lambda t, name: str(tmp_path / name))
+    surveys.twin_files(Tables(spark, "/root/testdata/sf0.001"))
+    assert {len(list((tmp_path / "twin" / x).glob("part-*"))) for x in ("earlier", "later", "wave0", "wave1")} == {spark.sparkContext.defaultParallelism}
+
+
+def test_questions_are_kept_once_without_a_sort(spark):
+    rows = spark.createDataFrame([("d", "q", i % 2, f"Prompt {i % 2}", ["a"], "text") for i in range(9)], "dataset string, question_id string, ord int, prompt string, options array<string>, kind string")
+    from canvass.plans.bundle import versioned
+
+    cases, questions = versioned(rows)
+    assert questions.count() == 2 and cases.count() == 9
+    assert "Sort" not in questions._jdf.queryExecution().executedPlan().toString()

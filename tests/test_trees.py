@@ -156,3 +156,14 @@ def test_questions_of_a_survey(spark, wrap):
     assert [(q["block"], q["pos"], q["id"], q["kind"], q["gold"]) for q in got[0]["questions"]] == [(0, 0, "Q1", "multiple_choice", "b"), (0, 1, "M1:1", "likert", "lo"), (0, 2, "M1:3", "likert", "hi"), (0, 3, "q5", "text", "x y; z"), (1, 4, "S", "numeric", "1, 2")]
     assert [q["prompt"] for q in got[0]["questions"]][:3] == ["Pick\nOptions:\n- a\n- b", "Rate\none\nOptions:\n- lo\n- hi", "Rate\ntwo\nOptions:\n- lo\n- hi"]
     assert got[1]["questions"] == got[2]["questions"] == []
+
+
+def test_trees_are_opened_once_below_an_explode(spark):
+    df = trees.survey_questions(frame(spark, [{"Elements": []}]), "x").select(F.explode("questions"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("$['ElementType']") == 1
+
+
+def test_texts_that_look_like_objects_are_none(spark):
+    values = ['{"a": "{x}", "b": {"c": "[1]"}}', '["\\u007b", "\\u005b", [{"d": 1}]]', '{"a": " {", "b": [[]]}', '{"a": "x\\"{", "b": {}}']
+    got = [[o["at"] for o in r["objects"]] for r in trees.objects(frame(spark, values), "x").orderBy("i").collect()]
+    assert got == [["", ".b"], ["[2][0]"], [""], ["", ".b"]]
