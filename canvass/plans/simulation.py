@@ -105,6 +105,11 @@ def written(spark: SparkSession, path: str | None = None, name: str = "replies")
     return cut
 
 
+def tasks(spark: SparkSession) -> int:
+    """Parts for work that the bytes sent say little of: as many as shuffles have before they are merged."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def simulate(
     asked: DataFrame, call: Callable[[str, str], str], *, model: str, provider: str = "provider", size: int = 15, seed: int = 0, outer: bool = False, system: str | None = None,
     cache: DataFrame | ReplyStore | None = None, path: str | None = None, limits: batching.Limits | None = None, log: str | None = None,
@@ -126,9 +131,8 @@ def simulate(
     else:
         known, ask = (batches.limit(0).withColumn("raw", F.lit("")), batches) if cache is None else batching.with_cache(batches, cache)
     # a reply takes far longer than its bytes say, so tasks are not merged by size
-    cores = asked.sparkSession.sparkContext.defaultParallelism
     rated = limits is not None and limits.per_second is not None  # a rate is shared out for one wave of tasks
-    spread = ask.repartition(cores if rated else max(cores, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "key")
+    spread = ask.repartition(asked.sparkSession.sparkContext.defaultParallelism if rated else tasks(asked.sparkSession), "key")
     live = batching.ask(spread, call, limits, log).withColumn("cached", F.lit(False))
     told = written(asked.sparkSession, path)(live.unionByName(known.select(*batches.columns, "raw", F.lit(None).cast("string").alias("failure"), F.lit(True).alias("cached"))))
     replies = told.filter("failure is null")
@@ -155,7 +159,10 @@ def with_gold(results: DataFrame, gold: DataFrame) -> DataFrame:
     """Results with the held-out answers, which no prompt has seen; names that are taken get gold_ before them."""
     keys = ["subject_id", "question_id"]
     held = gold.drop("dataset")
-    return attach(results, held.withColumnsRenamed({c: f"gold_{c}" for c in held.columns if c in results.columns and c not in keys}), keys)
+    named = held.withColumnsRenamed({c: f"gold_{c}" for c in held.columns if c in results.columns and c not in keys})
+    # texts that repeat are small when they are sent and large when they are sorted, so parts are not merged by what was sent
+    parts = tasks(results.sparkSession)
+    return attach(results.repartition(parts, *keys), named.repartition(parts, *keys), keys)
 
 
 def progress(run: Run, planned: int, seconds: float = 0.0) -> dict[str, object]:

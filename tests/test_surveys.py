@@ -269,3 +269,10 @@ def test_questions_are_kept_once_without_a_sort(spark):
     cases, questions = versioned(rows)
     assert questions.count() == 2 and cases.count() == 9
     assert "Sort" not in questions._jdf.queryExecution().executedPlan().toString()
+
+
+def test_golds_join_in_parts_that_are_not_merged(spark):
+    rows = spark.createDataFrame([("p", "q", "text")], "subject_id string, question_id string, prompt string")
+    joined = simulation.with_gold(rows, spark.createDataFrame([("d", "p", "q", "a")], "dataset string, subject_id string, question_id string, answer string"))
+    assert joined.collect() == [("p", "q", "text", "a")]
+    assert joined._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
