@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canvass.functions import let
 from canvass.functions.text import encode_with_options, first_rule, norm_label, parse_number, strip, strip_html
 from canvass.operators.relational import made_once
+from canvass.session import shared_dir
 
 NONE = "array<string>"
 OBJECT = "struct<path:array<int>,at:string,body:string>"
@@ -47,13 +50,26 @@ def _below(node: Column, doubt: Column) -> Column:
     return F.array_compact(F.when(F.startswith(node["body"], F.lit("{")), of_object).otherwise(of_array))
 
 
-def depth(text: Column) -> Column:
-    """How deep the objects and arrays of a JSON text lie in each other."""
-    brackets = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', ""), r"[^\[\]{}]", "")
+#: A string of a JSON text.
+STRING = r'"(?:[^"\\]++|\\.)*+"'
+
+
+def brackets(text: Column) -> Column:
+    """The brackets of a JSON text that stand outside its strings."""
+    return F.regexp_replace(text, STRING + r'|[^"\[\]{}]++', "")
+
+
+def depth(brackets: Column) -> Column:
+    """How deep the objects and arrays of a JSON text lie in each other, by its brackets."""
     step = F.transform(F.split(brackets, ""), lambda c: F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0))
     return F.aggregate(step, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, c: F.struct((a["now"] + c).alias("now"), F.greatest(a["most"], a["now"] + c).alias("most")), lambda a: a["most"])
 
 
+def deepest(rows: DataFrame, text: str) -> int:
+    """The depth of the deepest text; those of one shape are looked at once."""
+    return rows.select(brackets(F.col(text)).alias("b")).distinct().agg(F.max(depth(F.col("b")))).first()[0] or 0
+
+
 def objects(rows: DataFrame, text: str, name: str = "objects") -> DataFrame:
     """rows with all objects of a JSON text, each before those within it and in the order of the text: array<struct<path, at, body>>.
 
@@ -61,7 +77,7 @@ def objects(rows: DataFrame, text: str, name: str = "objects") -> DataFrame:
     level each. Text that is no JSON has no objects, and an object that
     repeats a key has none below it.
     """
-    levels = rows.agg(F.max(depth(F.col(text)))).first()[0] or 0
+    levels = deepest(rows, text)
     # most objects and lists hold plain values alone and are not opened; a bracket within a text opens one for nothing
     opened = lambda x: x["body"].rlike(r"(?s)^.+[\[{]")
     root = F.filter(F.array(F.struct(F.array().cast("array<int>").alias("path"), F.lit("").alias("at"), F.ltrim(F.col(text)).alias("body"))), lambda x: F.try_parse_json(x["body"]).isNotNull() & x["body"].rlike(r"^[\[{]"))
@@ -74,6 +90,17 @@ def objects(rows: DataFrame, text: str, name: str = "objects") -> DataFrame:
     return made_once(out, **{name: F.array_sort(found)}).drop("__doubt", *(f"__{i}" for i in range(len(level))))
 
 
+def bodies(text: Column, levels: int) -> Column:
+    """The texts of all objects of a JSON text at most `levels` deep, in the order of `objects`: one search that steps into each object and over each string."""
+    inner = ""
+    for _ in range(levels - 1):
+        inner = r'[\[{](?:[^"\[\]{}]++|%s%s)*+[\]}]' % (STRING, inner and "|" + inner)
+    whole = r'\{(?:[^"\[\]{}]++|%s%s)*+\}' % (STRING, inner and "|" + inner)
+    found = F.regexp_extract_all(text, F.lit(f"(?s){STRING}|(?=({whole}))[{{]"), F.lit(1))
+    sound = F.try_parse_json(text).isNotNull() & text.rlike(r"^\s*[\[{]")
+    return F.when(sound, F.array_remove(found, "")).otherwise(F.array().cast(NONE))
+
+
 def at(v: Column, *path: str) -> Column:
     """What stands at a path of keys of a variant."""
     return F.try_variant_get(v, "$" + "".join(f"['{k}']" for k in path), "variant")
@@ -197,34 +224,96 @@ def _cells(rows: DataFrame, source: str, name: str, type_of) -> DataFrame:
     return made_once(rows, **{name: F.col(source)}).drop(source)
 
 
-def survey_cells(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """rows with the questions of a survey tree whose Answers name a place, a text or values, an empty one too."""
+def survey_parts(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows with the texts of the objects of a survey tree that may be questions with an answer: array<struct<name, body>>."""
     # what does not spell the key, in letters or in escapes, is not parsed
-    spelt = lambda o: F.contains(o["body"], F.lit("Answers")) | F.contains(o["body"], F.lit("\\u"))
-    found = objects(rows, text, "__o").withColumn("__o", F.transform(F.filter("__o", spelt), lambda o: F.try_parse_json(o["body"])))
+    spelt = lambda b: F.contains(b, F.lit("Answers")) | F.contains(b, F.lit("\\u"))
+    found = F.filter(bodies(F.col(text), deepest(rows, text)), spelt)
+    return made_once(rows, **{name: F.transform(found, lambda b: F.struct(F.lit(None).cast("string").alias("name"), b.alias("body")))})
+
+
+def survey_read(rows: DataFrame, source: str, name: str) -> DataFrame:
+    parsed = rows.withColumn(source, F.transform(source, lambda o: F.try_parse_json(o["body"])))
     named = lambda q: F.coalesce(*(F.try_variant_get(q, f"$.Answers.{k}", "variant") for k, _ in ANSWER)).isNotNull()
-    asked = F.transform(F.filter("__o", named), lambda q: F.struct(F.lit(None).cast("string").alias("name"), q.alias("q"), F.try_variant_get(q, "$.Answers", "variant").alias("said"), bulleted(q, *CHOICES).alias("options")))
-    return _cells(found.withColumn("__o", asked), "__o", name, survey_type)
+    asked = F.transform(F.filter(source, named), lambda q: F.struct(F.lit(None).cast("string").alias("name"), q.alias("q"), F.try_variant_get(q, "$.Answers", "variant").alias("said"), bulleted(q, *CHOICES).alias("options")))
+    return _cells(parsed.withColumn(source, asked), source, name, survey_type)
 
 
-def reply_cells(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """rows with the entries Q<n> of a reply, by number, that are objects with an answer; a reply may be JSON within a JSON string."""
-    parsed = F.try_parse_json(F.col(text))
-    body = F.when(is_kind(parsed, "STRING"), F.try_variant_get(parsed, "$", "string")).otherwise(F.col(text))
-    here = rows.withColumn("__b", body).withColumn("__m", F.coalesce(F.when(F.try_parse_json("__b").isNotNull(), numbered(F.col("__b"))), F.array()))
+def survey_cells(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows with the questions of a survey tree whose Answers name a place, a text or values, an empty one too."""
+    return read_once(survey_parts(rows, text, name), {name: survey_read})
+
+
+def reply_parts(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows with the entries Q<n> of a reply, by number, that are objects: array<struct<name, body>>; a reply may be JSON within a JSON string."""
+    body = F.when(is_kind(F.col("__v"), "STRING"), F.try_variant_get("__v", "$", "string")).otherwise(F.col(text))
+    sound = F.when(is_kind(F.col("__v"), "STRING"), F.try_parse_json("__b").isNotNull()).otherwise(F.col("__v").isNotNull())
+    here = made_once(made_once(rows, __v=F.try_parse_json(text)), __b=body).withColumn("__m", F.coalesce(F.when(sound, numbered(F.col("__b"))), F.array()))
+    held = F.transform(F.filter("__m", lambda e: e["type"].startswith("OBJECT")), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("body")))
+    return made_once(here, **{name: held}).drop("__v", "__b", "__m")
+
+
+def reply_read(rows: DataFrame, source: str, name: str) -> DataFrame:
     steps = (
-        lambda e: F.struct(e["key"].alias("name"), F.try_parse_json(e["value"]).alias("q")),
+        lambda e: F.struct(e["name"].alias("name"), F.try_parse_json(e["body"]).alias("q")),
         # answers stand in the entry or below it, and so do options
         lambda e: F.struct(e["name"].alias("name"), e["q"].alias("q"), F.when(F.schema_of_variant(F.try_variant_get(e["q"], "$.Answers", "variant")).startswith("OBJECT"), F.try_variant_get(e["q"], "$.Answers", "variant")).otherwise(e["q"]).alias("said")),
         lambda e: F.struct(e["name"].alias("name"), e["q"].alias("q"), e["said"].alias("said"), bulleted(e["q"], *CHOICES).alias("own"), bulleted(e["said"], *CHOICES).alias("below")),
         lambda e: F.struct(e["name"].alias("name"), e["q"].alias("q"), e["said"].alias("said"), F.when(F.size(e["own"]) > 0, e["own"]).otherwise(e["below"]).alias("options")),
     )
-    for i, step in enumerate(steps):
-        here = here.withColumn("__m", F.transform(F.filter("__m", lambda e: e["type"].startswith("OBJECT")) if i == 0 else F.col("__m"), step))
-    cells = _cells(here.drop("__b"), "__m", name, reply_type)
+    for step in steps:
+        rows = rows.withColumn(source, F.transform(source, step))
+    cells = _cells(rows, source, name, reply_type)
     return made_once(cells, **{name: F.filter(name, lambda c: c["form"].isNotNull())})
 
 
+def reply_cells(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows with the entries Q<n> of a reply, by number, that are objects with an answer."""
+    return read_once(reply_parts(rows, text, name), {name: reply_read})
+
+
+#: Texts of questions and entries whose cells every task may hold.
+FEW = 100_000
+
+
+def read_once(rows: DataFrame, readers: dict) -> DataFrame:
+    """rows with the cells of the parts in each of these columns.
+
+    Persons are asked the same and most answers are chosen, so few texts of
+    questions and entries differ: each is read once, and its cell is looked up.
+    Where they are too many to be sent to all tasks, each is read where it
+    stands.
+    """
+    spark = rows.sparkSession
+    base = f"{shared_dir(spark)}/canvass/cells-{uuid.uuid4().hex[:12]}"
+    part = lambda i, c: F.transform(c, lambda p, k: F.struct(F.lit(i).alias("side"), k.alias("k"), p["name"].alias("name"), p["body"].alias("body")))
+    parts = F.concat(*(part(i, F.col(c)) for i, c in enumerate(readers)))
+    # trees are dear to open, and the texts of their parts repeat
+    rows.write.parquet(f"{base}/parts")
+    rows = spark.read.schema(rows.schema).parquet(f"{base}/parts")
+    texts = rows.select(F.explode(parts).alias("p")).select("p.side", "p.body").distinct()
+    texts.write.parquet(f"{base}/texts")
+    texts = spark.read.schema(texts.schema).parquet(f"{base}/texts")
+    if texts.count() > FEW:
+        for c, reader in readers.items():
+            rows = reader(rows.withColumnRenamed(c, "__p"), "__p", c)
+        return rows
+    known = None
+    for i, reader in enumerate(readers.values()):
+        one = texts.filter(F.col("side") == i).withColumn("__p", F.array(F.struct(F.lit(None).cast("string").alias("name"), "body")))
+        read = reader(one, "__p", "__c").select("side", "body", F.explode("__c").alias("cell"))
+        known = read if known is None else known.union(read)
+    known.write.parquet(f"{base}/cells")
+    known = spark.read.schema(known.schema).parquet(f"{base}/cells")
+    # rows are dealt by their number before they grow, so that their parts meet again where they are
+    others = [F.col(f"`{c}`") for c in rows.columns if c not in readers]
+    dealt = rows.withColumn("__r", F.monotonically_increasing_id()).repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "__r")
+    long = dealt.select("__r", *others, F.explode_outer(parts).alias("p")).select("__r", *others, "p.*").join(F.broadcast(known), ["side", "body"], "left")
+    cell = F.struct("k", F.col("cell").withField("name", F.col("name")).alias("cell"))
+    made = long.groupBy("__r").agg(*(F.any_value(c).alias(n) for c, n in zip(others, [c for c in rows.columns if c not in readers], strict=True)), *(F.collect_list(F.when((F.col("side") == i) & F.col("cell").isNotNull(), cell)).alias(c) for i, c in enumerate(readers)))
+    return made_once(made, **{c: F.transform(F.array_sort(c), lambda x: x["cell"]) for c in readers}).drop("__r")
+
+
 def numbered(body: Column) -> Column:
     """The entries of an object with keys Q<n>, by number."""
     mine = F.filter(entries(body, doubtful(body)), lambda e: e["key"].rlike("^Q[0-9]+$"))
@@ -289,7 +378,7 @@ def priced(rows: DataFrame, text: str, name: str) -> DataFrame:
         items = F.transform(asked, lambda x: F.struct(*(x[c].alias(c) for c in ("question_id", "answer", "answer_position", "question_text", "source_column"))))
         return let(error, lambda e: F.struct(F.when(e.isNull(), items).otherwise(F.filter(items, lambda x: F.lit(False))).alias("items"), e.alias("error")))
 
-    found = objects(rows, text, "__o").withColumn("__o", F.transform("__o", lambda o: F.try_parse_json(o["body"])))
+    found = made_once(rows, __o=F.transform(bodies(F.col(text), deepest(rows, text)), lambda b: F.try_parse_json(b)))
     mine = F.filter("__o", lambda q: F.coalesce(F.startswith(text_at(q, "QuestionID"), F.lit("QID9_")), F.lit(False)) & at(q, "QuestionText").isNotNull())
     return made_once(found, **{name: let(F.transform(mine, item), whole)}).drop("__o")
 

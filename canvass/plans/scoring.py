@@ -93,7 +93,8 @@ def encode_bids(responses: DataFrame) -> DataFrame:
 def study_cells(responses: DataFrame) -> DataFrame:
     """(study, h, m) of responses (question_id, payload, model): the questions of a survey tree beside the entries of a reply."""
     rows = responses.filter("payload is not null and model is not null").select(F.element_at(F.split("question_id", ":"), 1).alias("study"), F.col("payload").cast("string").alias("payload"), F.col("model").cast("string").alias("model"))
-    return trees.reply_cells(trees.survey_cells(rows, "payload", "h"), "model", "m").select("study", "h", "m")
+    parts = trees.reply_parts(trees.survey_parts(rows, "payload", "h"), "model", "m").select("study", "h", "m")
+    return trees.read_once(parts, {"h": trees.survey_read, "m": trees.reply_read})
 
 
 def _paired(cells: DataFrame) -> DataFrame:

@@ -167,3 +167,23 @@ def test_texts_that_look_like_objects_are_none(spark):
     values = ['{"a": "{x}", "b": {"c": "[1]"}}', '["\\u007b", "\\u005b", [{"d": 1}]]', '{"a": " {", "b": [[]]}', '{"a": "x\\"{", "b": {}}']
     got = [[o["at"] for o in r["objects"]] for r in trees.objects(frame(spark, values), "x").orderBy("i").collect()]
     assert got == [["", ".b"], ["[2][0]"], [""], ["", ".b"]]
+
+
+def test_texts_of_objects_in_order(spark):
+    rng = random.Random(9)
+    values = [json.dumps(random_json(rng), ensure_ascii=bool(i % 2), indent=i % 3 or None) for i in range(150)] + ["{", None, "", "[] x", "  [{\"b\": {}, \"a\": {}}] ", '{"a": 1, "a": {}}', '{"a{": "}\\\\", "b": [[{"c": "\\"{"}]]}']
+    df = frame(spark, values)
+    got = trees.objects(df, "x").withColumn("b", trees.bodies(F.col("x"), trees.deepest(df, "x"))).collect()
+    assert all([json.loads(o["body"]) for o in r["objects"]] == [json.loads(b) for b in r["b"]] for r in got)
+
+
+def test_each_text_of_a_question_is_read_once(spark, monkeypatch):
+    tree = lambda i: [{"Answers": {"SelectedByPosition": i % 2}}, {"note": "Answers"}, {"QuestionType": "Slider", "Answers": {"Values": [i % 3, 1.50, 1e3]}}]
+    rows = [(tree(i), {"Q2": {"Values": [i % 2]}, "Q1": {"SelectedByPosition": i % 3}, "Q3": {"x": 1}} if i % 4 else {}) for i in range(40)] + [([], {}), ({}, {"Q1": {"Values": 1}})]
+    read = lambda: study(spark, *rows)
+    cells = read()
+    assert "['Values']" not in (plan := cells._jdf.queryExecution().optimizedPlan().toString()) and ".Values" not in plan
+    once = sorted(cells.collect(), key=str)
+    assert len(once) == len(rows) and once[-1]["h"] is not None
+    monkeypatch.setattr(trees, "FEW", 0)
+    assert sorted(read().collect(), key=str) == once
