@@ -5,7 +5,8 @@ columns are put in one global order, rare n-grams first, by a counting sketch
 of fixed size over all documents. A size-derived bound then says how many of
 a document's first columns must hold one that a similar document holds too
 (n - ceil(t n) + 1 of n); only these entries are sent, cut into blocks of
-columns, and columns with one row are dropped. Equal rows (copies) are one
+columns, and columns with one row are dropped, as are those that have the
+rows of an earlier one. Equal rows (copies) are one
 row of the matrix, and a row is known by a hash of its set.
 
 The product of a block is formed inside the task that holds it: pairs of rows
@@ -218,11 +219,14 @@ def _incidence(n: int, percent: int, rank, blocks: int):
     return run
 
 
+COLUMNS, COLUMNS_NAMES = "rows long, rows2 long, first int, gram long, entries binary", ["rows", "rows2", "first", "gram", "entries"]
 ENTRIES = "gram long, node long, n int, place int"
+#: Entries of a column that are sent in one row.
+CHUNK = 1 << 14
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of blocks that arrive in order, the entries whose column has two rows at least."""
+    """Of blocks that arrive in order, the columns that have two rows at least: two hashes of their rows, the place in the least of these, and the entries."""
 
     def of(parts: list[bytes]) -> pa.RecordBatch:
         x = np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 3)
@@ -231,18 +235,48 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = x[~same]
         next_ = np.concatenate([x[1:, 0] == x[:-1, 0], [False]])
         x = x[next_ | np.concatenate([[False], next_[:-1]])]
-        return pa.RecordBatch.from_arrays([pa.array(x[:, 0].astype(np.int64)), pa.array(x[:, 1].astype(np.int64)), pa.array((x[:, 2] >> np.uint64(32)).astype(np.int32)), pa.array((x[:, 2] & np.uint64(0xFFFFFFFF)).astype(np.int32))], ["gram", "node", "n", "place"])
+        begin = np.flatnonzero(np.concatenate([[True], x[1:, 0] != x[:-1, 0]])) if len(x) else np.zeros(0, np.int64)
+        size = np.diff(np.append(begin, len(x)))
+        one, two = (np.add.reduceat(mix64(x[:, 1] ^ np.uint64(salt)), begin) if len(x) else np.zeros(0, np.uint64) for salt in (0xC3C3C3C3, 0x5A5A5A5A5A))
+        times = -(-size // CHUNK)
+        at = np.repeat(begin, times) + CHUNK * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+        first = (x[begin, 2] & np.uint64(0xFFFFFFFF)).astype(np.int32)
+        whole = (one.view(np.int64), two.view(np.int64), first, x[begin, 0].astype(np.int64))
+        return pa.RecordBatch.from_arrays([*(pa.array(np.repeat(c, times)) for c in whole), packed(np.ascontiguousarray(x[:, 1:]).ravel(), 2 * np.diff(np.append(at, len(x))))], COLUMNS_NAMES)
 
     now, parts = None, []
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            for block, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if block != now and parts:
+                    yield of(parts)
+                    parts = []
+                now = block
+                parts.append(entries)
+        if parts:
+            yield of(parts)
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of columns that arrive in order, less those of columns with the rows of one before.
+
+    Columns stand in one order in all rows, so the first of those with equal
+    rows has the least place in each, and whatever pair a later one shows to be
+    possible, it shows too.
+    """
+    rows, kept = None, None
     for batch in batches:
-        for block, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if block != now and parts:
-                yield of(parts)
-                parts = []
-            now = block
-            parts.append(entries)
-    if parts:
-        yield of(parts)
+        keys, gram = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(3).to_pylist()
+        stays = []
+        for r, (key, g) in enumerate(zip(keys, gram, strict=True)):
+            if key != rows:
+                rows, kept = key, g
+            if g == kept:
+                stays.append(r)
+        t = batch.take(pa.array(stays, pa.int64()))
+        flat, n = lists(t.column(4), np.uint64)
+        x = flat.reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(t.column(3)), n // 2)), pa.array(x[:, 0].astype(np.int64)), pa.array((x[:, 1] >> np.uint64(32)).astype(np.int32)), pa.array((x[:, 1] & np.uint64(0xFFFFFFFF)).astype(np.int32))], ["gram", "node", "n", "place"])
 
 
 # the product of a block
@@ -437,7 +471,10 @@ def grouped(docs: DataFrame, scratch: Scratch, *, n: int = N, percent: int = PER
 
     rank = spark.sparkContext.broadcast(bytes(order))
     entries = docs.select("text").mapInArrow(_incidence(n, percent, rank, 4 * parts), "block int, entries binary")
-    shared = scratch.cut(entries.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_shared, ENTRIES), "entries")
+    columns = entries.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_shared, COLUMNS)
+    # near copies share most of their columns: of columns with the same rows the first says all
+    apart = columns.repartition(parts, "rows", "rows2").sortWithinPartitions("rows", "rows2", "first", "gram")
+    shared = scratch.cut(apart.mapInArrow(_apart, ENTRIES), "entries")
     # one document of each row that is left, by which its set can be read again, and the row's parity map
     wanted = rows.join(shared.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "uid", "map")
     wanted = scratch.cut(wanted.dropDuplicates(["node"]), "wanted")

@@ -83,6 +83,23 @@ def test_ngram_join_near_the_threshold(spark):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute_components(rows)
 
 
+def test_ngram_join_columns_of_equal_rows_are_one(spark, monkeypatch):
+    text = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(text[: 190 + i % 2])) for i in range(20)] + [(100 + i, " ".join([*text[:170], *(f"x{i}y{j}" for j in range(20))])) for i in range(3)]
+    cut, counts = ngram_join.Scratch.cut, {}
+
+    def counted(self, df, name):
+        out = cut(self, df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "cut", counted)
+    got = ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == len(rows)
+    # five different sets of rows share about 40 columns each; of these as many as differ in their rows are left
+    assert 0 < counts["entries"] <= 30
+
+
 def test_ngram_join_awkward(spark):
     docs = awkward(spark)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
