@@ -45,7 +45,7 @@ from canvass.llm.common import LOWER, SPACES, STEP_BYTES, BytesHash, Scratch, di
 
 N, PERCENT = 5, 80
 #: The sketch that orders n-grams has a one-byte counter for about GRAMS_PER_COUNTER of them, within these powers of two: 64 MB as broadcast at most.
-LEAST_BITS, MOST_BITS, GRAMS_PER_COUNTER, SKETCH_BLOCKS = 18, 26, 8, 64
+LEAST_BITS, MOST_BITS, GRAMS_PER_COUNTER, SKETCH_BLOCKS = 18, 26, 32, 64
 #: Documents whose ids are broadcast to filter a scan; beyond it a shuffled join does it.
 BROADCAST_IDS = 1_000_000
 #: Rounds with pivots at most, pairs for each entry that need no further round, and the share of pairs that a useful round leaves at most.
@@ -157,23 +157,26 @@ def _sketch(n: int, bits: int):
         if held:
             _count(total, held)
         if total.any():
-            part = total.reshape(SKETCH_BLOCKS, -1)
+            # a task has counted few of the counters up, so that their bytes follow its n-grams rather than their number
+            part = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in total.reshape(SKETCH_BLOCKS, -1)]
             empty = pa.nulls(SKETCH_BLOCKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([empty] * 5 + [pa.nulls(SKETCH_BLOCKS, pa.binary()), pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array([x.tobytes() for x in part], pa.binary())], SKETCHED_NAMES)
+            yield pa.RecordBatch.from_arrays([empty] * 5 + [pa.nulls(SKETCH_BLOCKS, pa.binary()), pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(part, pa.binary())], SKETCHED_NAMES)
 
     return run
 
 
-def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            add = np.frombuffer(x.as_buffer(), np.uint8)
-            if block not in sums:
-                sums[block] = np.zeros(len(add), np.uint32)
-            sums[block] += add
-    quick = lambda x: (4 * np.log2(1 + x.astype(np.float32))).astype(np.uint8).tobytes()
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([quick(x) for x in sums.values()], pa.binary())], ["block", "rank"])
+def _sum_blocks(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if block not in sums:
+                    sums[block] = np.zeros(width, np.uint32)
+                sums[block] += np.frombuffer(pa.decompress(x.as_buffer(), width, "zstd"), np.uint8)
+        quick = lambda x: (4 * np.log2(1 + x.astype(np.float32))).astype(np.uint8).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([quick(x) for x in sums.values()], pa.binary())], ["block", "rank"])
+
+    return run
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -462,9 +465,9 @@ def grouped(docs: DataFrame, scratch: Scratch, *, n: int = N, percent: int = PER
     grams = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     bits = min(MOST_BITS, max(LEAST_BITS, (grams // GRAMS_PER_COUNTER).bit_length()))
     first = scratch.cut(docs.mapInArrow(_sketch(n, bits), SKETCHED), "rows")
-    counted = first.filter("block is not null").select("block", "counts").repartition(min(SKETCH_BLOCKS, parts), "block").mapInArrow(_sum_blocks, "block int, rank binary").collect()
     order = bytearray(1 << bits)
     width = len(order) // SKETCH_BLOCKS
+    counted = first.filter("block is not null").select("block", "counts").repartition(min(SKETCH_BLOCKS, parts), "block").mapInArrow(_sum_blocks(width), "block int, rank binary").collect()
     for r in counted:
         order[r["block"] * width : (r["block"] + 1) * width] = r["rank"]
     rows = first.filter("block is null")
@@ -479,8 +482,7 @@ def grouped(docs: DataFrame, scratch: Scratch, *, n: int = N, percent: int = PER
     wanted = rows.join(shared.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "uid", "map")
     wanted = scratch.cut(wanted.dropDuplicates(["node"]), "wanted")
     size = shared.count()
-    at = scratch.cut(shared.join(wanted.select("node", "map"), "node").withColumn("c", F.col("node")), "at")
-    scratch.drop("entries")
+    at = shared.withColumn("c", F.col("node"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs whose whole sets reach the threshold. Only documents of these pairs are read again; b's set is sent once for TAILS of its partners."""
@@ -500,12 +502,14 @@ def grouped(docs: DataFrame, scratch: Scratch, *, n: int = N, percent: int = PER
         return out
 
     def product(pivots: int | None) -> DataFrame:
-        keyed = at.select(F.col("gram").alias("key"), F.lit(0).alias("part"), "node", "n", "place", "c", "map")
+        # maps are many times as wide as entries, so they are joined only to be sent to the product
+        wide = at.join(wanted.select("node", "map"), "node")
+        keyed = wide.select(F.col("gram").alias("key"), F.lit(0).alias("part"), "node", "n", "place", "c", "map")
         large = at.groupBy("gram").count().filter(F.col("count") > PART).select("gram", F.ceil(F.col("count") / PART).cast("int").alias("k"))
         if not large.isEmpty():
             large = scratch.cut(large, f"large-{pivots}")
             columns = ("node", "n", "place", "c", "map")
-            mine = at.join(large, "gram").withColumn("part", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+            mine = wide.join(large, "gram").withColumn("part", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
             if pivots is None:
                 # parts of a large column meet in pairs
                 split = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -517,7 +521,7 @@ def grouped(docs: DataFrame, scratch: Scratch, *, n: int = N, percent: int = PER
                 sent = picked.select("gram", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("at"), F.array(F.struct(F.lit(FIRST).alias("part"), F.col("first").alias("row")), F.struct(F.lit(SECOND).alias("part"), F.col("second").alias("row"))).alias("pivots"))
                 copies = sent.select("gram", "at", F.explode("pivots").alias("p")).select(F.xxhash64("gram", "at").alias("key"), "p.part", *(f"p.row.{c}" for c in columns))
                 split = mine.select(F.xxhash64("gram", "part").alias("key"), F.lit(0).alias("part"), *columns).union(copies)
-            keyed = at.join(large, "gram", "left_anti").select(F.col("gram").alias("key"), F.lit(0).alias("part"), *columns).union(split)
+            keyed = wide.join(large, "gram", "left_anti").select(F.col("gram").alias("key"), F.lit(0).alias("part"), *columns).union(split)
         return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_product(percent, pivots), "a long, b long, times long")
 
     found, before, turn = None, math.inf, 0
@@ -531,8 +535,8 @@ def grouped(docs: DataFrame, scratch: Scratch, *, n: int = N, percent: int = PER
         open_ = named.groupBy("gram", "c").count().groupBy("gram").agg(F.count("*").alias("k"), F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("mm")).filter("k > 1")
         open_ = scratch.cut(open_.select("gram", ((F.col("m") * F.col("m") - F.col("mm")) / 2).alias("pairs")), f"open-{turn}")
         left = open_.agg(F.sum("pairs")).first()[0] or 0
-        at = scratch.cut(named.join(open_.select("gram"), "gram", "left_semi").select("gram", "node", "n", "place", "map", "c"), f"at-{turn}")
-        scratch.drop(f"at-{turn - 1}" if turn else "at", f"open-{turn}")
+        at = scratch.cut(named.join(open_.select("gram"), "gram", "left_semi").select("gram", "node", "n", "place", "c"), f"at-{turn}")
+        scratch.drop(f"at-{turn - 1}" if turn else "entries", f"open-{turn}")
         turn += 1
         if turn == PIVOT_ROUNDS or left <= PAIRS_PER_ENTRY * size or left > WORTH * before:
             break

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,35 @@ def test_ngram_join_columns_of_equal_rows_are_one(spark, monkeypatch):
     assert 0 < counts["entries"] <= 30
 
 
+def test_ngram_join_sends_a_task_by_its_own_ngrams():
+    bits, width = 24, (1 << 24) // ngram_join.SKETCH_BLOCKS
+    texts = [f"one two three four five {' '.join(f'w{i}x{j}' for j in range(300))}" for i in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(range(20)), pa.array(texts)], ["doc_id", "uid", "text"])
+    told = [(b, c) for r in ngram_join._sketch(5, bits)(iter([batch])) for b, c in zip(r["block"].to_pylist(), r["counts"].to_pylist(), strict=True) if b is not None]
+    # 6,021 n-grams in 16.8 million counters
+    assert len(told) == ngram_join.SKETCH_BLOCKS and sum(len(c) for _, c in told) < 10 * 6021
+    # counters of two such tasks add up, and the n-gram of all texts comes last
+    rows = pa.RecordBatch.from_arrays([pa.array([b for b, _ in told] * 2, pa.int32()), pa.array([c for _, c in told] * 2, pa.binary())], ["block", "counts"])
+    ranks = {b: x for r in ngram_join._sum_blocks(width)(iter([rows])) for b, x in zip(r["block"].to_pylist(), r["rank"].to_pylist(), strict=True)}
+    order = np.frombuffer(b"".join(ranks[b] for b in range(ngram_join.SKETCH_BLOCKS)), np.uint8)
+    first, rest = (ngram_join.shingle_sets(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]))[0] & np.uint64((1 << bits) - 1) for x in (texts[0][:23], texts[0]))
+    assert order[int(first[0])] == int(4 * np.log2(41)) == order[rest.astype(np.int64)].max()
+    assert np.median(order[rest.astype(np.int64)]) == int(4 * np.log2(3))
+
+
+def test_ngram_join_writes_maps_once_a_row(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{j}" for j in range(190 + i % 2))) for i in range(20)]
+    cut, wide = ngram_join.Scratch.cut, set()
+
+    def noted(self, df, name):
+        wide.update({name} if "map" in df.columns else ())
+        return cut(self, df, name)
+
+    monkeypatch.setattr(ngram_join.Scratch, "cut", noted)
+    assert {r["component_id"] for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+    assert wide == {"rows", "wanted"}
+
+
 def test_ngram_join_awkward(spark):
     docs = awkward(spark)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
