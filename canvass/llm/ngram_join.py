@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm.common import LOWER, SPACES, STEP_BYTES, BytesHash, Scratch, distinct, distinct_pairs, flat_text, lists, mix64, packed, steps, table, whole_groups, words
+from canvass.llm.common import LOWER, SPACES, STEP_BYTES, BytesHash, Scratch, distinct, distinct_pairs, flat_text, lists, mix64, packed, steps, table, tidy, whole_groups, words
 
 N, PERCENT = 5, 80
 #: The sketch that orders n-grams has a one-byte counter for about GRAMS_PER_COUNTER of them, within these powers of two: 64 MB as broadcast at most.
@@ -464,7 +464,7 @@ def grouped(docs: DataFrame, scratch: Scratch, *, n: int = N, percent: int = PER
     files = max(8, parts // 8)
     grams = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     bits = min(MOST_BITS, max(LEAST_BITS, (grams // GRAMS_PER_COUNTER).bit_length()))
-    first = scratch.cut(docs.mapInArrow(_sketch(n, bits), SKETCHED), "rows")
+    first = scratch.cut(docs.mapInArrow(tidy(_sketch(n, bits)), SKETCHED), "rows")
     order = bytearray(1 << bits)
     width = len(order) // SKETCH_BLOCKS
     counted = first.filter("block is not null").select("block", "counts").repartition(min(SKETCH_BLOCKS, parts), "block").mapInArrow(_sum_blocks(width), "block int, rank binary").collect()
@@ -473,8 +473,8 @@ def grouped(docs: DataFrame, scratch: Scratch, *, n: int = N, percent: int = PER
     rows = first.filter("block is null")
 
     rank = spark.sparkContext.broadcast(bytes(order))
-    entries = docs.select("text").mapInArrow(_incidence(n, percent, rank, 4 * parts), "block int, entries binary")
-    columns = entries.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_shared, COLUMNS)
+    entries = docs.select("text").mapInArrow(tidy(_incidence(n, percent, rank, 4 * parts)), "block int, entries binary")
+    columns = entries.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(tidy(_shared), COLUMNS)
     # near copies share most of their columns: of columns with the same rows the first says all
     apart = columns.repartition(parts, "rows", "rows2").sortWithinPartitions("rows", "rows2", "first", "gram")
     shared = scratch.cut(apart.mapInArrow(_apart, ENTRIES), "entries")
@@ -491,13 +491,13 @@ def grouped(docs: DataFrame, scratch: Scratch, *, n: int = N, percent: int = PER
         ids = scratch.cut(ids.join(wanted, "node").select(F.col("doc_id").alias("i"), F.col("uid").alias("u")), f"{name}-ids")
         few = ids.count() <= BROADCAST_IDS
         texts = docs.join(F.broadcast(ids) if few else ids, (docs["uid"] == ids["u"]) & _same(docs["doc_id"], ids["i"]), "left_semi").select("text")
-        sets = scratch.cut(texts.mapInArrow(_whole_sets(n), "node long, grams binary"), f"{name}-sets")
+        sets = scratch.cut(texts.mapInArrow(tidy(_whole_sets(n)), "node long, grams binary"), f"{name}-sets")
         copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / TAILS).cast("int").alias("k"))
         heads = copies.select("b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("b").alias("node"))
         tails = pairs.join(copies, "b").select("b", F.pmod(F.xxhash64("a"), F.col("k")).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("a").alias("node"))
         sent = heads.union(tails).join(sets.hint("merge"), "node").select("b", "part", "kind", "node", "grams")
         sent = sent.repartition(parts, "b", "part").sortWithinPartitions("b", "part", "kind")
-        out = scratch.cut(sent.mapInArrow(_overlaps(percent), "a long, b long").coalesce(files), name)
+        out = scratch.cut(sent.mapInArrow(tidy(_overlaps(percent)), "a long, b long").coalesce(files), name)
         scratch.drop(f"{name}-pairs", f"{name}-ids", f"{name}-sets")
         return out
 
@@ -522,7 +522,7 @@ def grouped(docs: DataFrame, scratch: Scratch, *, n: int = N, percent: int = PER
                 copies = sent.select("gram", "at", F.explode("pivots").alias("p")).select(F.xxhash64("gram", "at").alias("key"), "p.part", *(f"p.row.{c}" for c in columns))
                 split = mine.select(F.xxhash64("gram", "part").alias("key"), F.lit(0).alias("part"), *columns).union(copies)
             keyed = wide.join(large, "gram", "left_anti").select(F.col("gram").alias("key"), F.lit(0).alias("part"), *columns).union(split)
-        return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_product(percent, pivots), "a long, b long, times long")
+        return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(tidy(_product(percent, pivots)), "a long, b long, times long")
 
     found, before, turn = None, math.inf, 0
     while size:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm.common import LOWER, BytesHash, distinct, fold_of, flat_text, labelled, steps, table, words
+from canvass.llm.common import LOWER, BytesHash, distinct, fold_of, flat_text, labelled, steps, table, tidy, words
 
 #: Labelled rows that the trees are fitted on, at most.
 SAMPLE = 20_000
@@ -210,7 +210,7 @@ def keep_good(docs: DataFrame, forest: Forest, least: float = 0.5) -> DataFrame:
                     good = trees.score(features(b[o[i] : o[j]], o[i : j + 1] - o[i])) >= least
                     yield batch.slice(i, j - i).filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op2_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:

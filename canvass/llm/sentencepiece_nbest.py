@@ -32,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm.common import SpanTable, flat_text, steps, table
+from canvass.llm.common import SpanTable, flat_text, give_back, grown, steps, table
 
 MARK = "▁"
 NBEST = 3
 #: Parts that a worker keeps with their segmentations, their bytes, and slots of their table as a power of two.
 PARTS_KEPT, BYTES_KEPT, SLOTS = 800_000, 1 << 25, 21
+#: Bytes of text that are segmented in one step, and ids that are decoded in one.
+STEP, IDS_AT_ONCE = 1 << 18, 1 << 15
 #: Scores below this mark pieces that are there by hand; they do not set the score of unknown characters.
 BY_HAND = -1e8
 _models: dict = {}
@@ -131,10 +133,9 @@ class Pieces:
         n, k = self.known.n, len(parts)
         ends = self.offsets[n] + np.cumsum([len(x[0][1]) for x in found])
         while len(self.offsets) < n + k + 1:
-            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-            self.score = np.concatenate([self.score, np.zeros_like(self.score)])
+            self.offsets, self.score = grown(self.offsets), grown(self.score)
         while len(self.flat) < ends[-1]:
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat = grown(self.flat)
         self.flat[self.offsets[n] : ends[-1]] = [i for x in found for i in x[0][1]]
         self.offsets[n + 1 : n + 1 + k] = ends
         self.score[n : n + k] = [[x[j][0] if j < len(x) else -np.inf for j in range(self.nbest)] for x in found]
@@ -142,9 +143,9 @@ class Pieces:
             ids = [x[j][1] if j < len(x) else [] for x in found for j in range(1, self.nbest)]
             upto = self.other_at[n * width] + np.cumsum([len(x) for x in ids])
             while len(self.other_at) < (n + k) * width + 1:
-                self.other_at = np.concatenate([self.other_at, np.zeros_like(self.other_at)])
+                self.other_at = grown(self.other_at)
             while len(self.others) < upto[-1]:
-                self.others = np.concatenate([self.others, np.zeros_like(self.others)])
+                self.others = grown(self.others)
             self.others[self.other_at[n * width] : upto[-1]] = [i for x in ids for i in x]
             self.other_at[n * width + 1 : (n + k) * width + 1] = upto
         self.known.add(h, parts)
@@ -167,8 +168,8 @@ class Pieces:
         while len(fresh := np.flatnonzero((code := self.known.find(h, b, start, end)) < 0)):
             _, first = np.unique(h[fresh], return_index=True)
             fresh = fresh[first]
-            for k in range(0, len(fresh), 16384):
-                x = fresh[k : k + 16384]
+            for k in range(0, len(fresh), 4096):
+                x = fresh[k : k + 4096]
                 self._add(h[x], [raw[i:j] for i, j in zip(start[x].tolist(), end[x].tolist(), strict=True)])
         first, n = self.offsets[code], self.offsets[code + 1] - self.offsets[code]
         upto = np.concatenate([[0], np.cumsum(n)])
@@ -227,9 +228,12 @@ class Pieces:
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, offsets by row) of the texts, each with its leading space still there."""
-        n = self.size[ids]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        return self.all_bytes[np.repeat(self.at[ids] - upto[:-1], n) + np.arange(upto[-1])], upto[offsets]
+        upto = np.concatenate([[0], np.cumsum(self.size[ids])])
+        out = np.empty(upto[-1], np.uint8)
+        for i in range(0, len(ids), IDS_AT_ONCE):  # a place of eight bytes for each byte: not for all at once
+            x, at = ids[i : i + IDS_AT_ONCE], upto[i : i + IDS_AT_ONCE + 1]
+            out[at[0] : at[-1]] = self.all_bytes[np.repeat(self.at[x] - at[:-1], self.size[x]) + np.arange(at[0], at[-1])]
+        return out, upto[offsets]
 
 
 def pieces(path: str, nbest: int) -> Pieces:
@@ -252,7 +256,7 @@ def encode_nbest(docs: DataFrame, path: str, nbest: int = NBEST) -> DataFrame:
         with np.errstate(over="ignore"):
             for batch in batches:
                 b, o = flat_text(batch.column(1))
-                for i, j in steps(o):
+                for i, j in steps(o, STEP):
                     row, rank, score, ids, upto = model.nbest_of(b[o[i] : o[j]], o[i : j + 1] - o[i])
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + i)), pa.array(rank), pa.array(score), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids))], ["doc_id", "rank", "score", "ids"])
 
@@ -297,7 +301,7 @@ def digest(docs: DataFrame, path: str, nbest: int = NBEST) -> DataFrame:
         with np.errstate(over="ignore"):
             for batch in batches:
                 b, o = flat_text(batch.column(1))
-                for i, j in steps(o):
+                for i, j in steps(o, STEP):
                     x, at = b[o[i] : o[j]], o[i : j + 1] - o[i]
                     row, rank, score, ids, upto = model.nbest_of(x, at)
                     back, bounds = model.decode(ids, upto)
@@ -311,6 +315,9 @@ def digest(docs: DataFrame, path: str, nbest: int = NBEST) -> DataFrame:
                     cols = (n[best], score[best], crc[best], np.diff(first).astype(np.int32), score[last], np.logical_and.reduceat(good, best))
                     names = ["doc_id", "n_pieces", "score", "ids_crc32", "n_best", "last_score", "decodes", "nbest"]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, cols), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), ranked)], names)
+                # the text and what was made of it, before the next batch or task comes
+                batch = b = x = row = rank = score = ids = back = raw = text = said = ranked = cols = None
+                give_back()
 
     return _spaced(docs).mapInArrow(run, DIGEST)
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from canvass.llm import entries, mixing, ngram_join, nn_descent, quality_gbt, sentencepiece_nbest, suffix_dedup, token_store, toxicity_mil, va_file, warc
+from canvass.llm import common, entries, mixing, ngram_join, nn_descent, quality_gbt, sentencepiece_nbest, suffix_dedup, token_store, toxicity_mil, va_file, warc
 from canvass.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -522,6 +522,36 @@ def test_nbest_is_the_best(spark):
         assert [g[0] for g in got[i]] == [w[0] for w in want[:4]] and len(set(got[i])) == len(got[i]) and set(got[i]) <= set(want)
 
 
+def test_decoding_takes_little_memory():
+    import tracemalloc
+
+    m = sentencepiece_nbest.Pieces(sentencepiece_nbest.model_path(), 3)
+    text = " the quick brown fox, naïve über 1,234 " * 20_000
+    b = np.frombuffer(text.encode(), np.uint8)
+    _, _, _, ids, upto = m.nbest_of(b, np.array([0, len(b)]))
+    tracemalloc.start()
+    back, bounds = m.decode(ids, upto)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(bounds) == 4 and all(back[i:j].tobytes() == text.encode() for i, j in zip(bounds[:-1], bounds[1:], strict=True))
+    assert peak < 14 * len(back)
+    none, at = m.decode(ids[:0], np.array([0, 0, 0]))
+    assert not len(none) and at.tolist() == [0, 0, 0]
+
+
+def test_tables_grow_in_place():
+    x = common.grown(np.arange(6.0).reshape(2, 3))
+    assert x.shape == (4, 3) and x[:2].ravel().tolist() == list(range(6)) and not x[2:].any()
+
+
+def test_tasks_give_back_what_they_freed(monkeypatch):
+    done = []
+    monkeypatch.setattr(common, "give_back", lambda: done.append(len(done)))
+    out = common.tidy(lambda batches: (x for x in batches if x))(iter([1, 0, 2]))
+    assert next(out) == 1 and not done
+    assert list(out) == [2] and done == [0]
+
+
 def test_sentencepiece_decodes(spark):
     docs = awkward(spark)
     enc = sentencepiece_nbest.encode_nbest(docs.filter("doc_id <> 6"), sentencepiece_nbest.model_path(), 2)
