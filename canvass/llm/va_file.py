@@ -1,14 +1,14 @@
 """Exact top-k by inner product with vector-approximation files.
 
-Every vector is kept twice, in blocks: as one cell number of a few bits for
-each component, and exactly. A query scans the cells only: the bounds of a
-cell give bounds of the score, and vectors whose upper bound stays below the
-k-th largest lower bound are out. The exact vectors of the rest are read in
-the order of their bounds, first a few for each query, then those whose bound
-still beats the k-th exact score; then the result is certain.
+Every vector is kept twice: as one cell number of a few bits for each
+component, and exactly. A query scans the cells only: the bounds of a cell give
+bounds of the score, and the exact vector is read only where the upper bound
+reaches the k-th exact score so far, so the result is certain.
 
-Queries meet data in blocks of both: each task scans one block of cells for
-one block of queries. No step holds more than a block.
+Vectors are dealt evenly to groups that one task holds, with no key that a
+common vector could crowd. Blocks of queries go to every group by a shuffle and
+stream past its vectors; each group returns k rows a query. Nothing is
+broadcast, and the driver sees the extremes of the components only.
 
 Defined cases: vectors that are null or have null, NaN or infinite components
 and rows with a null id take no part; a query's own id is no candidate; with
@@ -25,15 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from canvass.llm.common import Scratch, table
 
-BITS, BLOCK, QUERY_BLOCK = 8, 8192, 1024
-#: Candidates of a query whose exact vectors are read first, as a multiple of k.
-FIRST = 2
+BITS = 8
+#: Vectors of a group at least, if there are as many, and bytes of its cells and exact vectors at most.
+BLOCK, GROUP_BYTES = 8192, 32 << 20
+#: Queries of a block, vectors that they meet at once, vectors that give the first bounds, and pairs scored exactly at once.
+QUERY_BLOCK, STEP, SEEDS, PAIRS = 1024, 2048, 1024, 1 << 16
+NONE = np.iinfo(np.int64).min
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
@@ -55,13 +59,15 @@ def _to_int(x: np.ndarray, scale: float) -> np.ndarray:
 def _extent(scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = high = None
+        n = 0
         for batch in batches:
             if batch.num_rows:
                 x = _to_int(_matrix(batch.column(0)), scale)
+                n += len(x)
                 a, b = x.min(0), x.max(0)
                 low, high = (a, b) if low is None else (np.minimum(low, a), np.maximum(high, b))
         if low is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([low.tolist()], pa.list_(pa.int64())), pa.array([high.tolist()], pa.list_(pa.int64()))], ["low", "high"])
+            yield pa.RecordBatch.from_arrays([pa.array([low.tolist()], pa.list_(pa.int64())), pa.array([high.tolist()], pa.list_(pa.int64())), pa.array([n], pa.int64())], ["low", "high", "n"])
 
     return run
 
@@ -72,16 +78,34 @@ class Cells:
     def __init__(self, low: np.ndarray, high: np.ndarray, bits: int) -> None:
         self.low, self.n = low.astype(np.float64), 1 << bits
         self.width = np.maximum((high - low + 1) / self.n, 1e-300)
+        self.kind = np.uint8 if self.n <= 256 else np.uint16
 
     def of(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.low) / self.width, 0, self.n - 1).astype(np.uint8 if self.n <= 256 else np.uint16)
+        return np.clip((x - self.low) / self.width, 0, self.n - 1).astype(self.kind)
 
-    def bounds(self, codes: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(middle, slack) of the scores of all codes (rows) with all q (columns); the true score is within middle +- slack."""
-        middle = (self.low + (codes + 0.5) * self.width) @ q.T
-        # the cell is followed by one unit, as rounding may put a value over its edge
-        slack = np.abs(q) @ (self.width / 2 + 1e-9 * (np.abs(self.low) + self.n * self.width)) + 1e-9
-        return middle, slack
+
+class Queries:
+    """A block of queries, with what bounds their scores by cells."""
+
+    def __init__(self, cells: Cells, ids: np.ndarray, q: np.ndarray) -> None:
+        self.ids, self.exact = ids, q
+        x, scaled = np.abs(q.astype(np.float64)), q * cells.width
+        reach = np.abs(scaled).sum(1) * cells.n
+        self.kind = np.float32 if reach.max() < 1e30 else np.float64
+        self.scaled = scaled.astype(self.kind)
+        self.middle = q @ (cells.low + cells.width / 2)
+        # half a cell and one unit, as rounding may put a value over its edge; then the rounding of the products
+        self.slack = x @ (cells.width / 2 + 1e-9 * (np.abs(cells.low) + cells.n * cells.width)) + 1e-9
+        self.slack += reach * (q.shape[1] + 4) * np.finfo(self.kind).eps
+
+    def products(self, codes: np.ndarray) -> np.ndarray:
+        """Of all queries (rows) with all codes: a true score is within this + middle +- slack."""
+        return self.scaled @ codes.astype(self.kind).T
+
+    def least(self, floor: np.ndarray) -> np.ndarray:
+        """What a product must reach for its score to reach the floor."""
+        low = np.where(floor == NONE, -np.inf, floor - self.middle - self.slack)
+        return np.nextafter(low.astype(self.kind), self.kind(-np.inf))[:, None]
 
 
 def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -93,129 +117,176 @@ def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.array([max(-(1 << 63), min((1 << 63) - 1, v)) for v in whole], np.int64)
 
 
-def _blocks(scale: float, cells: Cells, size: int):
-    """Rows (block, id, v) in order of block to one row a block or less: ids, codes and exact vectors as bytes."""
-
-    def pack(block: int, ids: list, rows: list) -> pa.RecordBatch:
-        x = np.concatenate(rows)
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([cells.of(x).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["block", "ids", "codes", "exact"])
+def _place(*keys: np.ndarray) -> np.ndarray:
+    """The place of each row within its run of equal keys."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    at = np.arange(len(new))
+    return at - np.maximum.accumulate(np.where(new, at, 0))
+
+
+class Top:
+    """The k best (score, id) of each of n queries."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.held = k, np.zeros(n, np.int64)
+        self.score, self.id = np.full((n, k), NONE), np.zeros((n, k), np.int64)
+
+    def add(self, of: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        some = np.unique(of)
+        had = np.arange(self.k) < self.held[some, None]
+        of, ids, score = np.concatenate([np.repeat(some, self.held[some]), of]), np.concatenate([self.id[some][had], ids]), np.concatenate([self.score[some][had], score])
+        order = np.lexsort((ids, ~score, of))
+        of, ids, score = of[order], ids[order], score[order]
+        place = _place(of)
+        keep = place < self.k
+        of, place = of[keep], place[keep]
+        self.score[of, place], self.id[of, place] = score[keep], ids[keep]
+        self.held[some] = np.bincount(of, minlength=len(self.held))[some]
+
+    def floor(self) -> np.ndarray:
+        """The k-th best, or NONE."""
+        return self.score[:, -1]
+
+
+class Group:
+    """The vectors that one task holds.
+
+    Copies of a vector are scored once, and keep the ids that ranks may need:
+    of one id at most k rows, and of one vector 2 k, as k of these may be the
+    query's own.
+    """
+
+    def __init__(self, ids: np.ndarray, codes: np.ndarray, exact: np.ndarray, k: int) -> None:
+        self.k = k
+        one = np.ascontiguousarray(exact).view(np.dtype((np.void, exact.itemsize * exact.shape[1])))[:, 0]
+        _, first, of = np.unique(one, return_index=True, return_inverse=True)
+        self.codes, self.exact = codes[first], exact[first]
+        order = np.lexsort((ids, of))
+        of, ids = of[order], ids[order]
+        keep = _place(of, ids) < k
+        of, ids = of[keep], ids[keep]
+        keep = _place(of) < 2 * k
+        self.ids, self.start = ids[keep], np.searchsorted(of[keep], np.arange(len(first) + 1))
+
+    def _read(self, top: Top, queries: Queries, of: np.ndarray, row: np.ndarray) -> None:
+        """Score the exact vectors of some rows for their queries."""
+        size = max(1, PAIRS * 64 // self.exact.shape[1])
+        for s in range(0, len(of), size):
+            o, r = of[s : s + size], row[s : s + size]
+            score = exact_scores(self.exact[r].astype(np.int64), queries.exact[o])
+            n = self.start[r + 1] - self.start[r]
+            at = np.repeat(self.start[r] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            o, ids, score = np.repeat(o, n), self.ids[at], np.repeat(score, n)
+            other = ids != queries.ids[o]
+            if other.any():
+                top.add(o[other], ids[other], score[other])
+
+    def best(self, queries: Queries) -> Top:
+        m, k = len(queries.ids), self.k
+        # the k-th exact score of some vectors bounds what the scan reads
+        seeds = np.arange(0, len(self.codes), max(1, len(self.codes) // SEEDS))
+        n = min(len(seeds), 2 * k)
+        likely = np.argpartition(queries.products(self.codes[seeds]), len(seeds) - n, axis=1)[:, len(seeds) - n :]
+        first, top = Top(m, k), Top(m, k)
+        self._read(first, queries, np.repeat(np.arange(m), n), seeds[likely.ravel()])
+        least = queries.least(first.floor())
+        for s in range(0, len(self.codes), STEP):
+            codes = self.codes[s : s + STEP]
+            hit = np.flatnonzero(queries.products(codes) >= least)
+            if len(hit):
+                of, row = np.divmod(hit, len(codes))
+                self._read(top, queries, of, s + row)
+                least = queries.least(np.maximum(first.floor(), top.floor()))
+        return top
+
+
+def _dealt(scale: float, cells: Cells, kind: type, groups: int, most: int):
+    """Rows (id, v) to rows (group, ids, codes, exact): every group gets its share of each `most` vectors or so."""
+
+    def shares(ids: list, rows: list) -> pa.RecordBatch:
+        own, x = np.concatenate(ids), np.concatenate(rows)
+        codes, exact = cells.of(x), x.astype(kind)
+        n, start = min(groups, len(x)), TaskContext.get().partitionId()
+        number = [(start + g) % groups for g in range(n)]
+        return pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), *(pa.array([c[g::groups].tobytes() for g in range(n)], pa.binary()) for c in (own, codes, exact))], ["group", "ids", "codes", "exact"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, rows, held = None, [], [], 0
+        ids, rows, held = [], [], 0
         for batch in batches:
-            block, own = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            x = _to_int(_matrix(batch.column(2)), scale)
-            cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])).tolist() if len(block) else []
-            for i, j in zip(cuts, [*cuts[1:], len(block)], strict=True):
-                if held and (block[i] != now or held + j - i > 2 * size):
-                    yield pack(now, ids, rows)
-                    ids, rows, held = [], [], 0
-                now = int(block[i])
-                ids.append(own[i:j])
-                rows.append(x[i:j])
-                held += j - i
+            if batch.num_rows:
+                ids.append(np.asarray(batch.column(0)))
+                rows.append(_to_int(_matrix(batch.column(1)), scale))
+                held += batch.num_rows
+            if held >= most:
+                yield shares(ids, rows)
+                ids, rows, held = [], [], 0
         if held:
-            yield pack(now, ids, rows)
+            yield shares(ids, rows)
 
     return run
 
 
-PAIRS = "query_id long, id long, low double, high double"
-
-
-def _scan(cells: Cells, k: int):
-    """For (ids, codes, query ids, queries): pairs whose upper bound reaches the k-th lower bound within the block."""
+def _asked(scale: float, kind: type):
+    """Rows (id, v) to blocks of queries (ids, exact)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d, kind = len(cells.low), np.uint8 if cells.n <= 256 else np.uint16
         for batch in batches:
-            for r in range(batch.num_rows):
-                ids, codes, qids, q = (np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in enumerate((np.int64, kind, np.int64, np.int64)))
-                codes, q = codes.reshape(-1, d), q.reshape(-1, d).astype(np.float64)
-                middle, slack = cells.bounds(codes, q)
-                middle[ids[:, None] == qids[None, :]] = -np.inf
-                if len(ids) > k:
-                    floor = np.partition(middle, len(ids) - k, axis=0)[len(ids) - k] - slack
-                else:
-                    floor = np.full(len(qids), -np.inf)
-                row, col = np.nonzero((middle + slack >= floor) & np.isfinite(middle))
-                m, s = middle[row, col], slack[col]
-                yield pa.RecordBatch.from_arrays([pa.array(qids[col]), pa.array(ids[row]), pa.array(m - s), pa.array(m + s)], ["query_id", "id", "low", "high"])
+            own, x = np.asarray(batch.column(0)), _to_int(_matrix(batch.column(1)), scale).astype(kind) if batch.num_rows else None
+            for s in range(0, len(own), QUERY_BLOCK):
+                yield pa.RecordBatch.from_arrays([pa.array([c[s : s + QUERY_BLOCK].tobytes()], pa.binary()) for c in (own, x)], ["ids", "exact"])
 
     return run
 
 
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x, q = (np.frombuffer(b"".join(c.to_pylist()), np.int64).reshape(b.num_rows, -1) for c in (b.column(2), b.column(3)))
-        score = exact_scores(x, q) if b.num_rows else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.int64())], ["query_id", "id", "score"])
-
-
-def _exploded(column: str):
-    """Blocks to single vectors (id, exact)."""
+def _scan(cells: Cells, kind: type, k: int):
+    """Rows (group, asks, ids, codes, exact) in that order, vectors before queries, to the k best of each query in each group."""
+    d = len(cells.low)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                ids = np.frombuffer(b.column(0)[r].as_buffer(), np.int64)
-                raw = b.column(1)[r].as_py()
-                w = len(raw) // max(1, len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([raw[w * i : w * i + w] for i in range(len(ids))], pa.binary())], ["id", column])
+        now, parts, group = None, [], None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                if batch.column(0)[r].as_py() != now:
+                    now, parts, group = batch.column(0)[r].as_py(), [], None
+                ids, exact = np.frombuffer(batch.column(2)[r].as_buffer(), np.int64), np.frombuffer(batch.column(4)[r].as_buffer(), kind).reshape(-1, d)
+                if not batch.column(1)[r].as_py():
+                    parts.append((ids, np.frombuffer(batch.column(3)[r].as_buffer(), cells.kind).reshape(-1, d), exact))
+                    continue
+                if parts:
+                    group, parts = Group(*map(np.concatenate, zip(*parts, strict=True)), k), []
+                if group is not None:
+                    top = group.best(Queries(cells, ids, exact.astype(np.int64)))
+                    some = np.arange(k) < top.held[:, None]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top.held)), pa.array(top.id[some]), pa.array(top.score[some])], ["query_id", "id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, *, k: int, scale: float = 256.0, bits: int = BITS, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+def _kind(low: np.ndarray, high: np.ndarray) -> type:
+    """The narrowest integers that hold all components."""
+    return next(t for t in (np.int16, np.int32, np.int64) if low.min() >= np.iinfo(t).min and high.max() <= np.iinfo(t).max)
+
+
+def top_k(vectors: DataFrame, is_query: Column, *, k: int, scale: float = 256.0, bits: int = BITS, key: str = "vec_id", column: str = "embedding", block: int = BLOCK, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """query_id, rank, id, score: the k largest integer inner products of each query with all other rows."""
     spark = vectors.sparkSession
-    scratch = Scratch(spark, "vafile")
     rows = usable(vectors, key, column)
-    extent = rows.select("v").mapInArrow(_extent(scale), "low array<long>, high array<long>").collect()
-    result = "query_id long, rank int, id long, score long"
+    extent = rows.select("v").mapInArrow(_extent(scale), "low array<long>, high array<long>, n long").collect()
     if not extent:
-        return spark.createDataFrame([], result)
-    cells = Cells(np.min([r["low"] for r in extent], 0), np.max([r["high"] for r in extent], 0), bits)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def stored(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-        n = max(1, -(-df.count() // size))
-        # the number within a block is salt: one id or vector that is very common fills many blocks
-        block = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n))
-        dealt = df.select(block.alias("block"), "id", "v").repartition(min(n, parts), "block").sortWithinPartitions("block")
-        packed = dealt.mapInArrow(_blocks(scale, cells, size), "block long, ids binary, codes binary, exact binary")
-        return scratch.cut(packed, name), n
-
-    data, n = stored(rows, BLOCK, "data")
-    # one row a query id: repeated ones would count each candidate several times towards the k-th bound
-    asking = rows.filter(is_query).groupBy("id").agg(F.min("v").alias("v"))
-    queries, _ = stored(asking, QUERY_BLOCK, "queries")
-    ask = queries.select(F.col("ids").alias("qids"), F.col("exact").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
-    scan = data.select("block", "ids", "codes").join(ask.withColumn("block", F.col("block").cast("long")), "block").select("ids", "codes", "qids", "q")
-    pairs = scratch.cut(scan.repartition(parts).mapInArrow(_scan(cells, k), PAIRS), "pairs")
-    by_low = W.partitionBy("query_id").orderBy(F.desc("low"))
-    floor = pairs.withColumn("i", F.row_number().over(by_low)).filter(F.col("i") == k).select("query_id", F.col("low").alias("floor"))
-    by_high = W.partitionBy("query_id").orderBy(F.desc("high"), "id")
-    left = pairs.join(floor, "query_id", "left").filter("floor is null or high >= floor").withColumn("i", F.row_number().over(by_high))
-    left = scratch.cut(left.select("query_id", "id", "high", "i"), "left")
-
-    exact = data.select("ids", "exact").mapInArrow(_exploded("x"), "id long, x binary")
-    asked = queries.select("ids", "exact").mapInArrow(_exploded("q"), "id long, q binary").withColumnRenamed("id", "query_id")
-
-    def read(part: DataFrame, name: str) -> DataFrame:
-        # ids that repeat have been paired once for each row of theirs already
-        need = part.select("query_id", "id").distinct()
-        got = need.join(exact, "id").join(asked, "query_id").select("query_id", "id", "x", "q")
-        return scratch.cut(got.mapInArrow(_score, "query_id long, id long, score long"), name)
-
+        return spark.createDataFrame([], "query_id long, rank int, id long, score long")
+    low, high, n = np.min([r["low"] for r in extent], 0), np.max([r["high"] for r in extent], 0), sum(r["n"] for r in extent)
+    cells, kind = Cells(low, high, bits), _kind(low, high)
+    most = max(1, group_bytes // (8 + len(low) * (np.dtype(cells.kind).itemsize + np.dtype(kind).itemsize)))
+    groups = max(-(-n // most), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // block)))
+    data = rows.mapInArrow(_dealt(scale, cells, kind, groups, min(most, 8 * block)), "group int, ids binary, codes binary, exact binary")
+    # one row a query id: repeated ones would return each candidate several times
+    asking = rows.filter(is_query).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(_asked(scale, kind), "ids binary, exact binary")
+    ask = asking.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(True).alias("asks"), "ids", F.lit(None).cast("binary").alias("codes"), "exact")
+    met = data.withColumn("asks", F.lit(False)).select(ask.columns).union(ask).repartitionById(groups, F.col("group")).sortWithinPartitions("group", "asks")
+    found = Scratch(spark, "vafile").cut(met.mapInArrow(_scan(cells, kind, k), "query_id long, id long, score long"), "found")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    first = read(left.filter(F.col("i") <= FIRST * k), "first")
-    certain = first.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k).select("query_id", F.col("score").alias("kth"))
-    more = left.filter(F.col("i") > FIRST * k).join(certain, "query_id", "left").filter("kth is null or high >= kth")
-    # an id read at first is not read again
-    more = more.join(first.select("query_id", "id").distinct(), ["query_id", "id"], "left_anti")
-    both = first.union(read(more, "more"))
-    return both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def op7_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -737,6 +737,52 @@ def test_va_file_repeated_queries(spark):
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
 
 
+def test_va_file_broadcasts_nothing(spark, monkeypatch):
+    # queries once for each block of vectors were broadcast: with their product the driver's memory grew
+    plans, cut = [], common.Scratch.cut
+    monkeypatch.setattr(common.Scratch, "cut", lambda self, df, name: plans.append(df) or cut(self, df, name))
+    df, _ = vectors(spark, 300)
+    plans.append(va_file.top_k(df, F.col("id") % 25 == 0, k=5))
+    assert len(plans) > 1
+    for plan in plans:
+        assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_va_file_many_groups_and_a_common_vector(spark):
+    df, x = vectors(spark, 500, 8)
+    rows = [(i, v) for i, v in x.items()] + [(1000 + i // 7, x[25] * 3) for i in range(200)] + [(100, x[25] * 3)] * 9 + [(275, x[25] * 3)]
+    ints = [(i, np.floor(256 * np.float32(v).astype(float)).astype(np.int64)) for i, v in rows]
+    df = spark.createDataFrame([(i, [float(np.float32(c)) for c in v]) for i, v in rows], df.schema)
+    asks = {0, 25, 50, 1000, 1028}
+    for size in (16, 1 << 12, 1 << 20):
+        got = {}
+        for r in va_file.top_k(df, F.col("id").isin(*asks), k=5, block=32, group_bytes=size).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+        assert set(got) == asks
+        for q, found in got.items():
+            own = next(v for i, v in ints if i == q)
+            want = sorted((-int(own @ v), i) for i, v in ints if i != q)[:5]
+            assert sorted(found) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
+def test_va_file_groups_against_brute_force():
+    rng = np.random.default_rng(5)
+    for span, bits, k, n in ((3, 1, 5, 300), (200, 8, 5, 5000), (1 << 20, 4, 3, 3000), (1 << 40, 8, 2, 400), (1 << 53, 16, 4, 200), (200, 8, 400, 300)):
+        x = rng.integers(-span, span, (n, 7), endpoint=True)
+        x[:: max(1, n // 20)] = x[0]
+        x[1] = 0
+        ids = rng.integers(0, n, n)
+        cells = va_file.Cells(x.min(0), x.max(0), bits)
+        asks = rng.integers(0, n, 12)
+        asks[:2] = 0, 1
+        top = va_file.Group(ids, cells.of(x), x, k).best(va_file.Queries(cells, ids[asks], x[asks]))
+        for j, a in enumerate(asks.tolist()):
+            clip = lambda v: max(-(1 << 63), min((1 << 63) - 1, v))
+            want = sorted((-clip(sum(int(p) * int(q) for p, q in zip(v, x[a], strict=True))), int(i)) for v, i in zip(x, ids, strict=True) if i != ids[a])[:k]
+            held = int(top.held[j])
+            assert [(-s, i) for s, i in zip(top.score[j, :held].tolist(), top.id[j, :held].tolist(), strict=True)] == want
+
+
 def test_nn_descent_recall(spark):
     df, x = vectors(spark, 3000, 2)
     got = {}
