@@ -34,7 +34,7 @@ from canvass.llm.common import Scratch, table
 
 BITS = 8
 #: Vectors of a group at least, if there are as many, and bytes of its cells and exact vectors at most.
-BLOCK, GROUP_BYTES = 8192, 32 << 20
+BLOCK, GROUP_BYTES = 8192, 40 << 20
 #: Queries of a block, vectors that they meet at once, vectors that give the first bounds, and pairs scored exactly at once.
 QUERY_BLOCK, STEP, SEEDS, PAIRS = 1024, 2048, 1024, 1 << 16
 NONE = np.iinfo(np.int64).min
@@ -278,7 +278,8 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int, scale: float = 256.0,
     low, high, n = np.min([r["low"] for r in extent], 0), np.max([r["high"] for r in extent], 0), sum(r["n"] for r in extent)
     cells, kind = Cells(low, high, bits), _kind(low, high)
     most = max(1, group_bytes // (8 + len(low) * (np.dtype(cells.kind).itemsize + np.dtype(kind).itemsize)))
-    groups = max(-(-n // most), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // block)))
+    # queries go to every group: no more groups than keep all cores busy, or than memory asks for
+    groups = max(-(-n // most), min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, -(-n // block)))
     data = rows.mapInArrow(_dealt(scale, cells, kind, groups, min(most, 8 * block)), "group int, ids binary, codes binary, exact binary")
     # one row a query id: repeated ones would return each candidate several times
     asking = rows.filter(is_query).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(_asked(scale, kind), "ids binary, exact binary")
